@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,19 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, read by Spark (any store that Spark reads)."""
+    _show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster, ship it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; one of our own only where it is unset."""
     context = spark.sparkContext

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from normslice.llm import bpe, decontaminate, secrets, simhash, toxicity
+from normslice.llm import bpe, decontaminate, language, matroska, quality, secrets, simhash, substring_dedup, toxicity, warc
 from normslice.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -25,6 +34,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,7 +55,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_byte_level_bpe, op5_secret_scans, op9_simhash_near_dedup, op10_benchmark_decontamination)}
+    every = (
+        op1_toxicity, op2_media_matroska, op3_warc_index_merge, op4_byte_level_bpe, op5_secret_scans,
+        op6_suffix_array_dedup, op7_language_id, op8_quality_classifier, op9_simhash_near_dedup, op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP5 = r"""
@@ -62,5 +87,15 @@ FROM d LEFT JOIN j USING (doc_id)
 """
 
 
+_OP3 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+x AS (SELECT *, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i: to_base(CAST('0x' || substr(hex, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT), 32, 4)), '') AS d FROM x)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, translate(d, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scans": _OP5}
+    return {"op3_warc_index_merge": _OP3, "op5_secret_scans": _OP5}
