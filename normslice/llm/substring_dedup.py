@@ -39,11 +39,11 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text that are hashed at once; under 2**24, so that a position fits beside a hash.
 BUFFER = 2 << 20
-#: Bytes of run contents in one suffix array.
-SHARD = 2 << 20
-#: An anchor with more contents than this among SAMPLE of the documents is spread over shards.
+#: Bytes of run contents that fill a shard; one whole anchor group may come on top.
+SHARD = 1 << 20
+#: An anchor whose contents would take more bytes than this, judged by SAMPLE of the documents, is spread over shards.
+SPREAD_BYTES = 3 << 20
 SAMPLE = 0.02
-SPREAD_FROM = 200
 #: At most so many anchors are spread (the most frequent ones): the bound of the broadcast.
 MAX_SPREAD = 20_000
 
@@ -385,9 +385,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spread(texts: DataFrame) -> dict[int, int]:
     """Anchors of very many contents, with the number of shards for each; from a sample, at most ``MAX_SPREAD``."""
     sample = texts.sample(SAMPLE, seed=11).mapInArrow(_anchored, _RUN).where("not done")
-    counts = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > SPREAD_FROM)
-    most = counts.orderBy(F.col("held").desc()).limit(MAX_SPREAD).collect()
-    return {r["anchor"]: int(min(1 << 30, 1 + r["held"] / SAMPLE * LENGTH * 1.4 // SHARD)) for r in most}
+    counts = sample.groupBy("anchor").agg((F.count(F.lit(1)) / SAMPLE * int(LENGTH * 1.4)).alias("bytes")).where(F.col("bytes") > SPREAD_BYTES)
+    most = counts.orderBy(F.col("bytes").desc()).limit(MAX_SPREAD).collect()
+    return {r["anchor"]: int(min(1 << 30, 1 + r["bytes"] // SPREAD_BYTES)) for r in most}
 
 
 def removed_windows(documents: DataFrame) -> DataFrame:
