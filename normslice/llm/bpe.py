@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: A vocabulary file above this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-_MAX_REMEMBERED = 300_000
+_MAX_REMEMBERED = 120_000
 _LONGEST_REMEMBERED = 48
 
 

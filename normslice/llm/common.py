@@ -9,10 +9,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch, unless the session sets its own number.
+BATCH_ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, read by Spark (any store that Spark reads)."""
     _show_package(spark)
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +29,13 @@ def _show_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows here are whole texts: Arrow batches of the default 10,000 rows would hold hundreds of MB where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; one of our own only where it is unset."""
     context = spark.sparkContext

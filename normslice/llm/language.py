@@ -25,48 +25,51 @@ from normslice.llm.common import crc_bucket, sampled_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PROFILE = 400
-GRAMS = (1, 2, 3)
-_MAX_REMEMBERED = 100_000
+#: Words that are counted at once; a longer text is counted in parts that are summed.
+_PART = 100_000
+_SPACE = 32
 
 
-def _grams(word: str) -> tuple[str, ...]:
-    framed = f" {word} "
-    return tuple(framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1) if n > 1 or framed[i] != " ")
+def gram_code(gram: str) -> int:
+    """Up to three characters as one integer; integers sort like the texts."""
+    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
 
 
-class GramCounter:
-    """n-gram counts of a text; the n-grams of recent words are remembered."""
+def gram_text(code: int) -> str:
+    return "".join(chr(code >> 21 * (2 - i) & 0x1FFFFF) for i in range(3)).rstrip("\0")
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def counts(self, text: str | None) -> dict[str, int]:
-        known = self.known
-        if len(known) > _MAX_REMEMBERED:
-            known.clear()
-        total: dict[str, int] = {}
-        get = total.get
-        for word, n in Counter(LETTERS.findall((text or "").lower())).items():
-            grams = known.get(word)
-            if grams is None:
-                grams = _grams(word)
-                if len(word) <= 40:
-                    known[word] = grams
-            for g in grams:
-                total[g] = get(g, 0) + n
-        return total
+def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the 1- to 3-grams of words that are framed by blanks."""
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    pairs = c[:-1] << 42 | c[1:] << 21
+    triples = (pairs[:-1] | c[2:])[c[1:-1] != _SPACE]
+    return np.unique(np.concatenate((c[c != _SPACE] << 42, pairs, triples)), return_counts=True)
 
 
-def ranked(counts: dict[str, int], size: int = PROFILE) -> list[str]:
-    """The most frequent n-grams, ties in character order."""
-    if len(counts) > size:
-        least = sorted(counts.values(), reverse=True)[size - 1]
-        counts = {g: n for g, n in counts.items() if n >= least}
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of a whole text; empty without a letter."""
+    words = LETTERS.findall((text or "").lower())
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, counts = _counted(words[:_PART])
+    for at in range(_PART, len(words), _PART):
+        more, n = _counted(words[at : at + _PART])
+        codes, where = np.unique(np.concatenate((codes, more)), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate((counts, n))).astype(np.int64)
+    return codes, counts
 
 
-def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max_per_language: int = 2_000) -> dict[str, list[str]]:
-    """A profile for each language, from at most ``max_per_language`` documents of it (ids of smallest hash).
+def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The codes of the most frequent n-grams, ties in character order."""
+    if len(codes) > size:
+        keep = counts >= np.partition(counts, -size)[-size]
+        codes, counts = codes[keep], counts[keep]
+    return codes[np.argsort(-counts, kind="stable")[:size]]  # codes come sorted
+
+
+def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max_per_language: int = 2_000) -> dict[str, list[int]]:
+    """A profile (gram codes in order of rank) for each language, from at most ``max_per_language`` documents of it (ids of smallest hash).
 
     Counts are summed on the shuffle; ``PROFILE`` n-grams of each language reach the driver.
     """
@@ -75,57 +78,45 @@ def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2,
     train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total = GramCounter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            items = list(total.items())
-            total.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["lang", "gram", "n"])
-
         for batch in batches:
+            total: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for gram, n in counter.counts(text.as_py()).items():
-                    total[lang, gram] += n
-                if len(total) > 300_000:
-                    yield flush()
-        yield flush()
+                codes, counts = gram_counts(text.as_py())
+                total.setdefault(lang, Counter()).update(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
+            for lang, grams in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counts = train.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = train.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
     rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).collect()
-    profiles: dict[str, list[tuple[int, str]]] = {}
+    profiles: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         profiles.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return {lang: [g for _, g in sorted(p)] for lang, p in profiles.items()}
 
 
-def identify(documents: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
+def identify(documents: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """``doc_id, lang_pred, score``; the score is how much closer the language is than the farthest possible list."""
     languages = sorted(profiles)
-    ranks: dict[str, np.ndarray] = {}
-    absent = np.full(len(languages), -1, np.int32)
+    grams = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+    ranks = np.full((len(grams) + 1, len(languages)), -1, np.int32)  # the last row is for n-grams in no profile
     for i, lang in enumerate(languages):
-        for rank, gram in enumerate(profiles[lang]):
-            ranks.setdefault(gram, absent.copy())[i] = rank
-    shared = documents.sparkSession.sparkContext.broadcast((languages, ranks))  # PROFILE n-grams a language
+        ranks[np.searchsorted(grams, np.array(profiles[lang], np.int64)), i] = np.arange(len(profiles[lang]))
+    shared = documents.sparkSession.sparkContext.broadcast((languages, grams, ranks))  # PROFILE n-grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value
-        row_of = {g: i for i, g in enumerate(table)}
-        matrix = np.vstack([*table.values(), np.full(len(names), -1, np.int32)])
-        unknown = len(row_of)
-        counter = GramCounter()
+        names, known, table = shared.value
         for batch in batches:
             predicted, scores = [], []
             for text in batch.column(1):
-                own = ranked(counter.counts(text.as_py()))
-                if not own or not names:
+                own = ranked(*gram_counts(text.as_py()))
+                if not len(own) or not names:
                     predicted.append("und")
                     scores.append(0.0)
                     continue
-                theirs = matrix[[row_of.get(g, unknown) for g in own]]
-                places = np.arange(len(own))[:, None]
-                distance = np.where(theirs < 0, PROFILE, np.abs(theirs - places)).sum(0)
+                row = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                theirs = table[np.where(known[row] == own, row, len(known))]
+                distance = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
                 best = int(distance.argmin())
                 predicted.append(names[best])
                 scores.append(1.0 - float(distance[best]) / (PROFILE * len(own)))
