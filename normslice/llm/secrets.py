@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normslice.llm.common import shared_path, stored
+from normslice.llm.common import fresh, shared_path, stored
 
 
 @dataclass(frozen=True)
@@ -180,12 +180,15 @@ def redact(documents: DataFrame, ledger_path: str | None = None, mask: str = "[S
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(start(s).alias("start"), s["end"].alias("end"))))),
     )
-    opens = F.concat(F.array(F.lit(0).cast("long")), F.transform("_masks", lambda m: m["end"]))
-    closes = F.concat(F.transform("_masks", lambda m: m["start"]), F.array(F.length("text").cast("long")))
+    blob, masks, new = (fresh(columns, n) for n in ("_blob", "_masks", "_text"))
+    opens = F.concat(F.array(F.lit(0).cast("long")), F.transform(masks, lambda m: m["end"]))
+    closes = F.concat(F.transform(masks, lambda m: m["start"]), F.array(F.length("text").cast("long")))
     kept = F.transform(F.arrays_zip(opens.alias("a"), closes.alias("b")), lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    keyed = documents.withColumn("_blob", blob_of(F.col("text")))
-    joined = keyed.join(spans.withColumn("_masks", merged).select(F.col("blob").alias("_blob"), "_masks"), "_blob", "left")
-    text = F.when(F.col("_masks").isNotNull(), F.array_join(kept, mask)).otherwise(F.col("text"))
-    cleaned = joined.withColumn("_text", text)
-    change = {"text": F.col("_text"), "n_chars": F.when(F.col("_masks").isNotNull(), F.length("_text").cast(dict(documents.dtypes).get("n_chars", "bigint"))).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
-    return cleaned.select(*(change[c].alias(c) if change.get(c) is not None else F.col(c) for c in columns))
+    keyed = documents.withColumn(blob, blob_of(F.col("text")))
+    joined = keyed.join(spans.select(F.col("blob").alias(blob), merged.alias(masks)), blob, "left")
+    found_any = F.col(masks).isNotNull()
+    cleaned = joined.withColumn(new, F.when(found_any, F.array_join(kept, mask)).otherwise(F.col("text")))
+    change = {"text": F.col(new)}
+    if "n_chars" in columns:
+        change["n_chars"] = F.when(found_any, F.length(new).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return cleaned.select(*(change.get(c, F.col(f"`{c}`")).alias(c) for c in columns))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import components, stored
+from normslice.llm.common import components, fresh, stored
 
 BITS = 64
 SEED = 42
@@ -145,11 +145,13 @@ def drop_near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
     from pyspark.sql import Window
 
     marks = near_duplicates(documents, **parameters)
-    goes = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(goes, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = fresh(documents.columns, "_gone")
+    goes = marks.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = documents.join(goes, F.col("doc_id") == F.col(gone), "left_anti")
     again = marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if not again:
         return kept
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = kept.where("doc_id is not null").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    row = fresh(documents.columns, "_row")
+    ranked = kept.where("doc_id is not null").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return ranked.unionByName(kept.where("doc_id is null"))

@@ -1,0 +1,29 @@
+"""The pipeline's stages on awkward documents, and the registered queries."""
+
+import corpus_pipeline
+from normslice.llm import queries, toxicity
+
+
+def test_stages_keep_the_columns_and_the_clean_rows(spark, awkward, tmp_path):
+    labels = spark.createDataFrame([(i, 1, 0) for i in (4, 6)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage in here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    awkward.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == awkward.columns, name
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in result), key=str) == [0, 3, 4, 6, 7, 8, None]
+
+
+def test_stage_names_and_queries():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "byte_level_bpe"]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_drop_toxic_keeps_rows_under_the_threshold(make_docs):
+    model = toxicity.ToxicityModel({"vile": 5.0}, {}, -1.0, 1.0, 0.0, (-4.0, 0.0, 2.0, 0.0))
+    kept = toxicity.drop_toxic(make_docs(["vile vile", "fine words", None]), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
