@@ -94,7 +94,7 @@ def signed_components(result: ScoreResult, by: str | Sequence[str], *, view: str
     v = result.view(view)
     penalty = result.penalty(v)
     ids = result.ids
-    frame = result.table.where(q(f"score__{v}").isNotNull()).select(*(q(k) for k in by), *(penalty[c].alias(f"pen__{c}") for c in ids))
+    frame = result.table.where(result.is_scored(v)).select(*(q(k) for k in by), *(penalty[c].alias(f"pen__{c}") for c in ids))
     overall = frame.agg(*(F.avg(q(f"pen__{c}")).alias(f"all__{c}") for c in ids))
     groups = frame.groupBy(*(q(k) for k in by)).agg(F.count(F.lit(1)).alias("n_cases"), *(F.avg(q(f"pen__{c}")).alias(f"mean__{c}") for c in ids)).crossJoin(F.broadcast(overall))
     size = F.col("n_cases") * F.col("n_cases") / (F.col("n_cases") + float(gamma))
@@ -183,7 +183,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: in
     Scores are summed per (cluster, group) first. Each cluster's multiplicity in a replicate is Poisson(1) from a hash of
     cluster and replicate, so it is the same on any partitioning and after a lost executor.
     """
-    cells = df.where("score is not null").groupBy(q(cluster).alias("_cluster"), q(group).alias("_group")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    cells = df.groupBy(q(cluster).alias("_cluster"), q(group).alias("_group")).agg(F.count("score").alias("n"), F.sum("score").alias("s")).where("n > 0")
     drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("_cluster")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     limits, p, acc = [], 0.36787944117144233, 0.0  # exp(-1)
@@ -194,7 +194,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: in
     times = reduce(lambda a, b: a + b, ((u >= x).cast("int") for x in limits))
     sums = drawn.withColumn("m", times).where("m > 0").groupBy("rep", "_group").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))
     means = sums.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    pi = sums.join(means, "rep").withColumn("PI", F.greatest(F.col("mean") - F.col("s") / F.col("n"), F.lit(0.0)) * F.col("n"))
+    pi = sums.join(means, "rep").withColumn("PI", F.round(F.greatest(F.col("mean") - F.col("s") / F.col("n"), F.lit(0.0)) * F.col("n"), 12))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("PI").desc(), F.col("_group").asc_nulls_last()))
     return (
         pi.withColumn("in_top", ((rank <= top) & (F.col("PI") > 0)).cast("double"))
@@ -216,7 +216,7 @@ def witnesses(result: ScoreResult, by: str | Sequence[str], *, view: str | None
     """Per group the case of lowest score (ties: smallest id) and the case nearest to the group's median."""
     by = keys(by)
     v = result.view(view)
-    frame = result.table.where(q(f"score__{v}").isNotNull()).select(*(q(k) for k in by), "case_id", q(f"score__{v}").alias("score"))
+    frame = result.table.where(result.is_scored(v)).select(*(q(k) for k in by), "case_id", q(f"score__{v}").alias("score"))
     middle = frame.groupBy(*(q(k).alias(f"_{k}") for k in by)).agg(F.percentile("score", F.lit(0.5)).alias("median"))
     condition = reduce(lambda x, y: x & y, (q(c).eqNullSafe(q(f"_{c}")) for c in by))
     both = frame.join(middle, condition)

@@ -33,11 +33,6 @@ def unfiltered(data: ScoreResult | DataFrame, view: str | None, score_col: str =
     return data.frame(data.view(view)) if isinstance(data, ScoreResult) else data.withColumn("score", q(score_col))
 
 
-def scored(data: ScoreResult | DataFrame, view: str | None, score_col: str = "score") -> DataFrame:
-    """The frame with a ``score`` column, unscored cases left out."""
-    return unfiltered(data, view, score_col).where(F.col("score").isNotNull())
-
-
 def ordered(metric: Column, by: Sequence[str], *others: Column) -> list[Column]:
     return [metric.desc_nulls_last(), *others, *(q(k).asc_nulls_last() for k in by)]
 
@@ -181,7 +176,7 @@ def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20,
     for i, a in enumerate(result.views):
         for b in result.views[i + 1 :]:
             overlap = top_k_overlap(logs[a], logs[b], by, k=k, metric=metric)
-            pair = result.table.select(q(f"score__{a}").alias("x"), q(f"score__{b}").alias("y")).where("x is not null and y is not null")
+            pair = result.table.where(result.is_scored(a) & result.is_scored(b)).select(q(f"score__{a}").alias("x"), q(f"score__{b}").alias("y"))
             parts.append(overlap.crossJoin(F.broadcast(score_correlation(pair, method))).select(F.lit(a).alias("view_a"), F.lit(b).alias("view_b"), "overlap", "correlation"))
     if not parts:
         raise NotScoredError("agreement needs two views")
@@ -200,7 +195,8 @@ def score_correlation(pair: DataFrame, method: str) -> DataFrame:
         for c in ("x", "y"):
             counts = pair.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
             upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-            ranks = ranks.join(counts.select(F.col(c), (upto - (F.col("n") - 1) / 2.0).alias(f"r{c}")), c)
+            places = counts.select(F.col(c).alias(f"_{c}"), (upto - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
+            ranks = ranks.join(places, F.col(c).eqNullSafe(F.col(f"_{c}")))
         return ranks.agg(correlation("rx", "ry").alias("correlation"))
     counts = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     if counts.limit(MAX_KENDALL + 1).count() > MAX_KENDALL:
@@ -251,7 +247,7 @@ def compare_periods(previous: DataFrame, current: DataFrame, by: str | Sequence[
 def estimate_gamma(data: ScoreResult | DataFrame, by: str | Sequence[str], *, view: str | None = None, score_col: str = "score") -> float:
     """Shrinkage strength by moments: variance within slices over variance of true slice means; inf if these do not differ."""
     by = keys(by)
-    slices = scored(data, view, score_col).groupBy(*(q(k) for k in by)).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v")).where("n >= 2")
+    slices = unfiltered(data, view, score_col).groupBy(*(q(k) for k in by)).agg(F.count("score").alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v")).where("n >= 2")
     row = slices.agg(
         F.count(F.lit(1)).alias("k"), (F.sum(F.col("v") * (F.col("n") - 1)) / F.sum(F.col("n") - 1)).alias("within"), F.var_samp("m").alias("between"), F.avg(1.0 / F.col("n")).alias("inverse")
     ).first()

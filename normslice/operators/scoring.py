@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normslice.errors import NormError, NotScoredError
-from normslice.functions.core import every, total
+from normslice.functions.core import either, every, total
 from normslice.plans.compiler import compiled
 from normslice.plans.norm import MODES, Norm
 
@@ -127,6 +127,12 @@ class ScoreResult:
             raise NormError(f"the case table has no columns {extra}")
         return every([F.coalesce(q(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else q(k) == v, F.lit(False)) for k, v in condition.items()])
 
+    def is_scored(self, view: str) -> Column:
+        """True for cases with an evaluated constraint of positive weight. As a filter it is cheaper than ``score is not null``:
+        pushed below the projections it repeats the violations once, not all of the score's arithmetic."""
+        weights = self.norm.raw_weights(self.view(view))
+        return either([q(f"v__{c}").isNotNull() for c, w in weights.items() if w > 0])
+
     def case_columns(self) -> list[str]:
         return [c for c in self.table.columns if not c.startswith(("v__", "s__", "score__", "contrib__"))]
 
@@ -187,7 +193,7 @@ class ScoreResult:
     def worst_cases(self, view: str | None = None, n: int = 10, where: Any = None) -> DataFrame:
         """The ``n`` lowest scores, ties by case id."""
         v = self.view(view)
-        return self.table.where(self.where(where) & q(f"score__{v}").isNotNull()).orderBy(q(f"score__{v}"), "case_id").limit(n).select("case_id", q(f"score__{v}").alias("score"))
+        return self.table.where(self.where(where) & self.is_scored(v)).orderBy(q(f"score__{v}"), "case_id").limit(n).select("case_id", q(f"score__{v}").alias("score"))
 
 
 def violation_matrix(log: Any, norm: Norm, derive: bool = True) -> DataFrame:

@@ -223,7 +223,7 @@ def _agreement(method, sql):
         t.table = t.table.withColumns({f"score__{v}": F.round(f"score__{v}", 9) for v in t.views})
         by = ["segment", "weekday"]
         logs = [_cut(B.prioritize(result(spark, d), by, view=v, gamma=20)) for v in t.views]
-        pair = t.table.select(q("score__Ops").alias("x"), q("score__Finance").alias("y")).where("x is not null and y is not null")
+        pair = t.table.where(t.is_scored("Ops") & t.is_scored("Finance")).select(q("score__Ops").alias("x"), q("score__Finance").alias("y"))
         both = B.top_k_overlap(*logs, by, k=10).crossJoin(F.broadcast(B.score_correlation(pair, method)))  # one row each
         return both.select(F.lit("Ops").alias("view_a"), F.lit("Finance").alias("view_b"), "overlap", "correlation")
 
@@ -239,7 +239,8 @@ def _(spark, d):
 
 @query("agg_kendall", f"WITH {S_LB}, t AS (SELECT segment, weekday, round(avg(score_Ops), 9) AS x, round(avg(score_Finance), 9) AS y FROM s WHERE score_Ops IS NOT NULL AND score_Finance IS NOT NULL GROUP BY ALL) SELECT {r('sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))))')} AS correlation FROM t a, t b")
 def _(spark, d):
-    t = result(spark, d).table.where("score__Ops is not null and score__Finance is not null")
+    t = result(spark, d)
+    t = t.table.where(t.is_scored("Ops") & t.is_scored("Finance"))
     means = t.groupBy("segment", "weekday").agg(F.round(F.avg("score__Ops"), 9).alias("x"), F.round(F.avg("score__Finance"), 9).alias("y"))
     return B.score_correlation(means, "kendall")
 
@@ -247,8 +248,8 @@ def _(spark, d):
 @query(
     "agg_hotspots",
     f"""WITH {_B9}, {_DRIVERS[len(S_LB) + 2 :]}, h AS (SELECT *, row_number() OVER (ORDER BY stable_PI DESC, segment, weekday) AS place FROM p WHERE stable_PI > 0 ORDER BY stable_PI DESC, segment, weekday LIMIT 8),
-k AS (SELECT *, (rank() OVER (ORDER BY n_cases) + (count(*) OVER (PARTITION BY n_cases) - 1) / 2.0) - (rank() OVER (ORDER BY stable_gap) + (count(*) OVER (PARTITION BY stable_gap) - 1) / 2.0) AS lead FROM h),
-x AS (SELECT *, row_number() OVER (ORDER BY lead DESC, place) = 1 AND lead > 0 AS res FROM k), y AS (SELECT *, row_number() OVER (ORDER BY res, lead, place) = 1 AND lead < 0 AS sev FROM x)
+kk AS (SELECT *, (rank() OVER (ORDER BY n_cases) + (count(*) OVER (PARTITION BY n_cases) - 1) / 2.0) - (rank() OVER (ORDER BY stable_gap) + (count(*) OVER (PARTITION BY stable_gap) - 1) / 2.0) AS lead FROM h),
+x AS (SELECT *, row_number() OVER (ORDER BY lead DESC, place) = 1 AND lead > 0 AS res FROM kk), y AS (SELECT *, row_number() OVER (ORDER BY res, lead, place) = 1 AND lead < 0 AS sev FROM x)
 SELECT y.segment, y.weekday, y.n_cases, {r('stable_PI')} AS stable_PI, CASE WHEN res THEN 'reservoir' WHEN sev THEN 'severity' ELSE 'mechanism' END AS role, dominant_layer FROM y LEFT JOIN dr ON y.segment = dr.segment""",
 )
 def _(spark, d):
