@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: A vocabulary file above this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-_MAX_REMEMBERED = 120_000
+_MAX_REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 48
 
 
@@ -129,6 +129,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+class _Recent(dict):
+    """Ids by pre-token; a pre-token that is not there is encoded, and kept while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= _LONGEST_REMEMBERED and len(self) < 2 * _MAX_REMEMBERED:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes whole texts; one per worker process, with the ids of recent short pre-tokens."""
 
@@ -136,7 +150,7 @@ class Codec:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
+        self.young = _Recent(self._piece)
         self.old: dict[str, bytes] = {}
         size = max(ranks.values(), default=0) + 1
         self.buckets = [0] * size  # the queue of a short pre-token: positions as bits; empty between pre-tokens
@@ -211,22 +225,14 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
         if ids := self.old.get(piece):
-            self.young[piece] = ids
             return ids
         data = piece.encode("utf-8")
-        ids = array("I", self._merge_short(data) if len(data) <= 64 else merge(data, self.ranks)).tobytes()
-        if len(piece) <= _LONGEST_REMEMBERED:
-            if len(self.young) >= _MAX_REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
+        return array("I", self._merge_short(data) if len(data) <= 64 else merge(data, self.ranks)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        piece = self._piece
-        out = []
-        for p in self.split(text):
-            out.append(self.young.get(p) or piece(p))
-        return b"".join(out)
+        if len(self.young) >= _MAX_REMEMBERED:  # what was used since the last turn stays for another
+            self.old, self.young = dict(self.young), _Recent(self._piece)
+        return b"".join(map(self.young.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
