@@ -35,12 +35,23 @@ def read_log(spark: SparkSession, path: str, *, schema: Any = None, read_options
     return EventLog(read_table(spark, path, schema, **(read_options or {})), **roles)
 
 
+#: The characters that the Windows code page 1252 has in place of Latin-1's controls 0x80 to 0x9F.
+WINDOWS_1252 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+
+
 def read_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str = "windows-1252") -> DataFrame:
-    """All columns as trimmed text under trimmed names, with the file each row came from."""
-    raw = spark.read.options(header=True, encoding=encoding, inferSchema=False).csv(path)
-    names = {c: c.strip() for c in raw.columns}
+    """All columns as trimmed text under trimmed names, with the file each row came from.
+
+    Spark's reader has no Windows code page: its bytes are read as Latin-1 and the controls mapped to what they stand for.
+    """
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    raw = spark.read.options(header=True, encoding="ISO-8859-1" if windows else encoding, inferSchema=False).csv(path)
+    table = str.maketrans(_CONTROLS, WINDOWS_1252) if windows else {}
+    names = {c: c.translate(table).strip() for c in raw.columns}
     wanted = [c for c in raw.columns if columns is None or names[c] in columns]
-    return raw.select(*(F.trim(F.col(f"`{c}`")).alias(names[c]) for c in wanted), F.col("_metadata.file_path").alias("source_file"))
+    text = lambda c: F.translate(F.col(f"`{c}`"), _CONTROLS, WINDOWS_1252) if windows else F.col(f"`{c}`")
+    return raw.select(*(F.trim(text(c)).alias(names[c]) for c in wanted), F.col("_metadata.file_path").alias("source_file"))
 
 
 def from_objects(spark: SparkSession, events: Any, **roles: Any) -> EventLog:
