@@ -39,7 +39,7 @@ def _small_batches(spark: SparkSession) -> None:
 def _checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; one of our own only where it is unset."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         root = "/tmp/checkpoints"
     if not context.getCheckpointDir():
@@ -65,10 +65,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -107,7 +111,8 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
     Rounds of minimum hooking and pointer jumping; every round is joins and grouped minima on the shuffle, its labels
     are written to the shared folder, and only two counts come to the driver. Nodes without an edge do not appear.
     """
-    both = stored(
+    spark = edges.sparkSession
+    both, edge_path = _stored(
         edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
         .where("u <> v")
         .transform(lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
@@ -115,7 +120,7 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         "edges",
     )
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component"))
-    labels = stored(labels, "labels")
+    labels, label_path = _stored(labels, "labels")
     for _ in range(max_rounds):
         seen = (
             both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v")
@@ -132,14 +137,16 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         )
         # jump: follow the label of the label
         jump = labels.select(F.col("node").alias("root"), F.col("component").alias("to"))
-        after = stored(
+        after, path = _stored(
             step.join(jump, F.col("c") == F.col("root"), "left").select(
                 "node", "before", F.least("c", F.coalesce("to", "c")).alias("component")
             ),
             "labels",
         )
         moved = after.where("before <> component").limit(1).count()
-        labels = after.select("node", "component")
+        _remove(spark, label_path)  # nothing reads the round before any more
+        labels, label_path = after.select("node", "component"), path
         if not moved:
+            _remove(spark, edge_path)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
