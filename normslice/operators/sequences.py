@@ -140,6 +140,9 @@ def is_subset(part: DataFrame, whole: DataFrame) -> DataFrame:
     return part.exceptAll(whole.select(*part.columns)).agg(F.count(F.lit(1)).alias("n_missing"))
 
 
-def ordered_sets(events: DataFrame, mapping: Mapping[str, str], column: str) -> Column:
+def relabel(column: Column, mapping: Mapping[str, str]) -> Column:
     """A label mapped through a dictionary; labels without an entry stay."""
-    return F.coalesce(*(F.when(q(column) == k, F.lit(v)) for k, v in mapping.items()), q(column))
+    out = column
+    for old, new in mapping.items():
+        out = F.when(column == old, F.lit(new)).otherwise(out)
+    return out
