@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated with extreme-value statistics.
 
-1. ``fit``: word counts in toxic and clean labelled documents give each word a log-odds under a two-level Dirichlet
+1. ``fit``: the numbers of toxic and clean labelled documents that hold a word give it a log-odds under a two-level Dirichlet
    prior: a word is shrunk to its stem (first letters), a stem to the global rate. Rare and unseen words so borrow
    from their stem.
 2. ``segments``: over the scores of a whole text, the linear-time all-maximal-segments scan finds every disjoint passage
@@ -30,6 +30,8 @@ from normslice.llm.common import crc_bucket, sampled_ids, stored
 
 WORDS = re.compile(r"[^\W_]+")
 STEM = 6
+#: A positive word counts again only this many words after its last occurrence.
+REPEAT = 8
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,15 @@ class ToxicityModel:
     def scores(self, text: str | None) -> np.ndarray:
         words, stems, default = self.words, self.stems, self.default
         found = WORDS.findall((text or "").lower())
-        return np.fromiter(
+        out = np.fromiter(
             (words[w] if w in words else stems.get(w[:STEM], default) for w in found), float, len(found)
         )
+        last: dict[str, int] = {}
+        for i in np.flatnonzero(out > 0).tolist():  # a word repeated at once adds nothing to its passage
+            if i - last.get(found[i], -REPEAT - 1) <= REPEAT:
+                out[i] = 0.0
+            last[found[i]] = i
+        return out
 
     def e_value(self, segment_score: float, n_tokens: int) -> float:
         return math.exp(min(50.0, self.log_k + math.log(max(n_tokens, 1)) - self.lam * segment_score))
@@ -93,7 +101,7 @@ def _features(model: ToxicityModel, scores: np.ndarray, alpha: float) -> tuple[n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of each class in this partition; flushed when the table grows large."""
+    """How many texts of each class hold a word, in this partition; flushed when the table grows large."""
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -111,8 +119,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
             label = toxic.as_py()
-            for word, n in Counter(WORDS.findall((text.as_py() or "").lower())).items():
-                counts[word, label] += n
+            for word in set(WORDS.findall((text.as_py() or "").lower())):  # a word that one text repeats is one witness
+                counts[word, label] += 1
             if len(counts) > 200_000:
                 yield flush()
     yield flush()
@@ -160,8 +168,8 @@ def fit(
     held_out_rest: int = 0,
     max_per_class: int = 8_000,
     max_words: int = 100_000,
-    stem_prior: float = 2.0,
-    word_prior: float = 2.0,
+    stem_prior: float = 10.0,
+    word_prior: float = 6.0,
     drift: float = 0.75,
     alpha: float = 0.05,
 ) -> ToxicityModel:
