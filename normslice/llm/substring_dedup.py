@@ -323,11 +323,18 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranges = _ranges(doc[goes], at[goes])
             k = len(ranges[0])
             yield pa.RecordBatch.from_arrays([*ranges, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        spread = np.flatnonzero(new & (salts[owner] >= 0))
-        for part in (spread[i : i + 20_000] for i in range(0, len(spread), 20_000)):
+        first = new & (salts[owner] >= 0)  # first of their class here; another shard may know better
+        if first.any():
+            order = np.lexsort((offset[first], owner[first]))
+            own, off = owner[first][order], offset[first][order]
+            head = np.ones(len(own), bool)
+            head[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
+            begin = np.flatnonzero(head)
+            count = np.diff(np.append(begin, len(own)))
+            own, off = own[begin], off[begin]
+            parts = [contents[o][f : f + c + LENGTH - 1] for o, f, c in zip(own.tolist(), off.tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[part]), pa.array(at[part]), pa.array(np.ones(len(part), np.int32)), pa.array(salts[owner[part]].astype(np.int32)), pa.array([contents[o][f : f + LENGTH] for o, f in zip(owner[part], offset[part], strict=True)], pa.binary())],
-                names,
+                [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary())], names
             )
 
     for batch in batches:
@@ -341,6 +348,16 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solved()
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of consecutive windows as single ones."""
+    for batch in batches:
+        for doc, start, n, salt, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array([salt] * n, pa.int32()), pa.array([data[i : i + LENGTH] for i in range(n)], pa.binary())],
+                ["doc", "start", "salt", "window"],
+            )
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of one key range from several shards: each shard's sorted list is looked up in the merged list by binary search."""
     lists: dict[int, list] = {}
@@ -415,7 +432,7 @@ def removed_windows(documents: DataFrame) -> DataFrame:
     gone = met.where("not multi").select("doc", "start", "n")
     if spread:
         solved = stored(solved, "windows")
-        lists = solved.where("window is not null").select("doc", "start", "salt", "window")
+        lists = solved.where("window is not null").mapInArrow(_single, "doc long, start long, salt int, window binary")
         gone = gone.union(lists.repartitionByRange("window").mapInArrow(_merged, "doc long, start long, n int"))
         solved = solved.where("window is null")
     return gone.union(solved.select("doc", "start", "n"))
