@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Classes of a training sample at most (languages, labels): the bound of the broadcast of their sizes.
+MAX_CLASSES = 10_000
 #: Rows of one Arrow batch, unless the session sets its own number.
 BATCH_ROWS = 512
 
@@ -91,18 +93,17 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 def sampled_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
     """At most ``per_class`` ids of each class, the ones of smallest hash: a bounded, repeatable training sample.
 
-    The rank filter is pushed below the shuffle (window group limit), so a task sends ``per_class`` rows of a class at most.
+    Class sizes are counted first, so that only ids whose hash lies under four times the wanted share are ranked: the
+    ranking task of a class gets some ``4 * per_class`` rows, however many rows and tasks there are.
     """
     from pyspark.sql import Window
 
+    rows = labelled.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
+    sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_size")).limit(MAX_CLASSES)
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_class) / F.col("_size"))
+    low = rows.join(F.broadcast(sizes), class_col).where(F.xxhash64(id_col).cast("double") <= share * 2.0**64 - 2.0**63)
     order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return (
-        labelled.select(id_col, class_col)
-        .where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= per_class)
-        .select(id_col, class_col)
-    )
+    return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select(id_col, class_col)
 
 
 def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
