@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -167,23 +168,47 @@ def top_k_overlap(a: DataFrame, b: DataFrame, by: str | Sequence[str], *, k: int
 
 
 def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20, gamma: float = 0.0, method: str = "spearman", metric: str = "stable_PI") -> DataFrame:
-    """A row for each pair of views: overlap of their top slices and correlation of their case scores."""
+    """A row for each pair of views: overlap of their top slices and correlation of their case scores.
+
+    The backlogs of all views come from one grouped aggregate. Metrics and scores are compared at 9 decimals, so that the last
+    bits of a sum, which depend on partitions, cannot reorder equal ones.
+    """
     if method not in ("pearson", "spearman", "kendall"):
         raise NormError("method must be pearson, spearman or kendall")
-    by = keys(by)
-    logs = {v: prioritize(result, by, view=v, gamma=gamma) for v in result.views}
-    parts = []
-    for i, a in enumerate(result.views):
-        for b in result.views[i + 1 :]:
-            overlap = top_k_overlap(logs[a], logs[b], by, k=k, metric=metric)
-            pair = result.table.where(result.is_scored(a) & result.is_scored(b)).select(q(f"score__{a}").alias("x"), q(f"score__{b}").alias("y"))
-            parts.append(overlap.crossJoin(F.broadcast(score_correlation(pair, method))).select(F.lit(a).alias("view_a"), F.lit(b).alias("view_b"), "overlap", "correlation"))
-    if not parts:
+    if metric not in ("PI", "stable_PI", "gap", "stable_gap"):
+        raise NormError(f"agreement cannot rank by {metric!r}")
+    by, views = keys(by), result.views
+    pairs = [(i, j) for i in range(len(views)) for j in range(i + 1, len(views))]
+    if not pairs:
         raise NotScoredError("agreement needs two views")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    score_of = {i: q(f"score__{v}") for i, v in enumerate(views)}
+    slices = result.table.groupBy(*(q(c) for c in by)).agg(*(x for i, s in score_of.items() for x in (F.count(s).alias(f"_n{i}"), F.avg(s).alias(f"_m{i}"))))
+    overall = result.table.agg(*(F.avg(s).alias(f"_g{i}") for i, s in score_of.items()))
+    wide = slices.crossJoin(F.broadcast(overall))  # one row
+    value = {}
+    for i in score_of:
+        gap = F.greatest(F.col(f"_g{i}") - F.col(f"_m{i}"), F.lit(0.0))
+        gap = gap * F.col(f"_n{i}") / (F.col(f"_n{i}") + float(gamma)) if metric.startswith("stable") and gamma else gap
+        value[i] = F.coalesce(F.round(gap * F.col(f"_n{i}") if metric.endswith("PI") else gap, 9), F.lit(0.0))
+    wide = wide.select(*(q(c) for c in by), *(x.alias(f"_x{i}") for i, x in value.items()))
+    places = {i: F.row_number().over(Window.orderBy(*ordered(F.col(f"_x{i}"), by))) for i in score_of}
+    tops = wide.select(*(((places[i] <= k) & (F.col(f"_x{i}") > 0)).alias(f"_top{i}") for i in score_of))
+
+    def rows(correlation_of: Any) -> Column:
+        return F.array(*(F.struct(F.lit(views[i]).alias("view_a"), F.lit(views[j]).alias("view_b"), correlation_of(i, j)) for i, j in pairs))
+
+    top = lambda i: F.col(f"_top{i}")
+    overlaps = tops.agg(rows(lambda i, j: F.try_divide(F.count_if(top(i) & top(j)).cast("double"), F.count_if(top(i) | top(j))).alias("overlap")).alias("r")).select(F.inline("r"))
+    if method == "pearson":
+        flat = result.table.select(*(s.alias(f"_s{i}") for i, s in score_of.items()))
+        found = flat.agg(rows(lambda i, j: correlation(f"_s{i}", f"_s{j}").alias("correlation")).alias("r")).select(F.inline("r"))
+    else:
+        parts = []
+        for i, j in pairs:
+            pair = result.table.where(result.is_scored(views[i]) & result.is_scored(views[j])).select(F.round(score_of[i], 9).alias("x"), F.round(score_of[j], 9).alias("y"))
+            parts.append(score_correlation(pair, method).select(F.lit(views[i]).alias("view_a"), F.lit(views[j]).alias("view_b"), "correlation"))
+        found = reduce(DataFrame.union, parts)
+    return overlaps.join(F.broadcast(found), ["view_a", "view_b"])  # a row for each pair of views
 
 
 def score_correlation(pair: DataFrame, method: str) -> DataFrame:

@@ -219,24 +219,13 @@ _RANKS = "rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY
 def _agreement(method, sql):
     @query(f"agg_view_agreement_{method}", f"WITH {_TWO}, {_PAIR}, {_RANKS}, cr AS ({sql}) SELECT 'Ops' AS view_a, 'Finance' AS view_b, {r('i / (na + nb - i)')} AS overlap, {r('c')} AS correlation FROM o, cr")
     def _(spark, d):
-        t = result(spark, d)
-        t.table = t.table.withColumns({f"score__{v}": F.round(f"score__{v}", 9) for v in t.views})
-        by = ["segment", "weekday"]
-        logs = [_cut(B.prioritize(result(spark, d), by, view=v, gamma=20)) for v in t.views]
-        pair = t.table.where(t.is_scored("Ops") & t.is_scored("Finance")).select(q("score__Ops").alias("x"), q("score__Finance").alias("y"))
-        both = B.top_k_overlap(*logs, by, k=10).crossJoin(F.broadcast(B.score_correlation(pair, method)))  # one row each
-        return both.select(F.lit("Ops").alias("view_a"), F.lit("Finance").alias("view_b"), "overlap", "correlation")
+        return B.view_agreement(result(spark, d), ["segment", "weekday"], k=10, gamma=20, method=method)
 
 
 _agreement("pearson", "SELECT corr(x, y) AS c FROM xy")
 _agreement("spearman", "SELECT corr(x, y) AS c FROM rk")
 
 
-@query("agg_view_agreement", None)
-def _(spark, d):
-    return B.view_agreement(result(spark, d), ["segment", "weekday"], k=10, gamma=20)
-
-
 @query("agg_kendall", f"WITH {S_LB}, t AS (SELECT segment, weekday, round(avg(score_Ops), 9) AS x, round(avg(score_Finance), 9) AS y FROM s WHERE score_Ops IS NOT NULL AND score_Finance IS NOT NULL GROUP BY ALL) SELECT {r('sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))))')} AS correlation FROM t a, t b")
 def _(spark, d):
     t = result(spark, d)
