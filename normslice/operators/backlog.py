@@ -65,17 +65,18 @@ def prioritize(
         raise NormError(f"no slice keys {lacking}")
     amount = F.count("score").cast("double") if volume == "count" else F.coalesce(F.sum(F.when(F.col("score").isNotNull(), q(volume))), F.lit(0.0))
     slices = frame.groupBy(*(q(k) for k in by)).agg(
-        F.count("score").alias("n_cases"), F.avg("score").alias("mean_score"), F.stddev_samp("score").alias("sd_score"), amount.cast("double").alias("volume")
+        F.count("score").alias("n_cases"), F.avg("score").alias("mean_score"), F.stddev_samp("score").alias("sd_score"), amount.cast("double").alias("volume"), F.sum("score").alias("_sum")
     )
     slices = slices.where("n_cases > 0")
     if baseline is None:
-        means = (population if population is not None else frame).agg(F.avg("score").alias("global_mean"))
+        # the population mean comes from the slices' sums: the case table is not scored a second time
+        means = population.agg(F.avg("score").alias("global_mean")) if population is not None else slices.agg((F.sum("_sum") / F.nullif(F.sum("n_cases"), F.lit(0))).alias("global_mean"))
         slices = slices.crossJoin(F.broadcast(means))  # one row
     else:
         slices = slices.withColumn("global_mean", F.lit(float(baseline)))
     gap = F.greatest(F.col("global_mean") - F.col("mean_score"), F.lit(0.0))
     shrink = F.col("n_cases") / (F.col("n_cases") + float(gamma)) if gamma else F.lit(1.0)
-    out = slices.withColumn("gap", gap).withColumn("PI", F.col("volume") * F.col("gap")).withColumn("shrink", shrink)
+    out = slices.drop("_sum").withColumn("gap", gap).withColumn("PI", F.col("volume") * F.col("gap")).withColumn("shrink", shrink)
     out = out.withColumn("stable_mean", F.col("global_mean") + F.col("shrink") * (F.col("mean_score") - F.col("global_mean")))
     out = out.withColumn("stable_gap", F.greatest(F.col("global_mean") - F.col("stable_mean"), F.lit(0.0))).withColumn("stable_PI", F.col("volume") * F.col("stable_gap"))
     if z is not None:
@@ -91,7 +92,7 @@ def layer_drivers(result: ScoreResult, by: str | Sequence[str], *, view: str | N
     layers = list(layers or result.norm.layer_ids)
     frame = unfiltered(result, view)
     means = frame.groupBy(*(q(k) for k in by)).agg(F.count("score").alias("n_cases"), *(F.avg(q(f"contrib__{x}")).alias(f"mean__{x}") for x in layers))
-    overall = frame.agg(*(F.avg(q(f"contrib__{x}")).alias(f"all__{x}") for x in layers))
+    overall = means.where("n_cases > 0").agg(*((F.sum(q(f"mean__{x}") * F.col("n_cases")) / F.nullif(F.sum("n_cases"), F.lit(0))).alias(f"all__{x}") for x in layers))
     out = means.where("n_cases > 0").crossJoin(F.broadcast(overall))
     deltas = [(q(f"mean__{x}") - q(f"all__{x}")) for x in layers]
     array = F.array(*deltas)
