@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 #: A vocabulary file above this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-_MAX_REMEMBERED = 200_000
+_MAX_REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 48
+_BIT = [1 << i for i in range(256)]
 
 
 class RankQueue:
@@ -154,15 +155,17 @@ class Codec:
         self.old: dict[str, bytes] = {}
         size = max(ranks.values(), default=0) + 1
         self.buckets = [0] * size  # the queue of a short pre-token: positions as bits; empty between pre-tokens
-        self.low = [0] * (size // 64 + 1)
-        self.mid = [0] * (size // 4096 + 1)
+        self.low = [0] * (size // 256 + 1)
 
     def _merge_short(self, piece: bytes) -> list[int]:
-        """``merge`` for at most 64 bytes: a bucket is one word of position bits, so both its steps are find-first-set."""
+        """``merge`` for at most 64 bytes: a bucket is one word of position bits, so find-first-set picks rank and position.
+
+        Two levels do here, as a Python integer is a bitmap word of any width: 256 buckets a word, one word of words.
+        """
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return [whole]
-        buckets, low, mid, high = self.buckets, self.low, self.mid, 0
+        buckets, low, bit_of, high = self.buckets, self.low, _BIT, 0
         n = len(piece)
         ends = list(range(1, n + 2))
         before = list(range(-1, n))
@@ -170,52 +173,53 @@ class Codec:
         for i in range(n - 1):
             if (rank := get(piece[i : i + 2])) is not None:
                 waits[i] = rank
-                if not buckets[rank]:
-                    low[rank >> 6] |= 1 << (rank & 63)
-                    mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                    high |= 1 << (rank >> 12)
-                buckets[rank] |= 1 << i
+                if buckets[rank]:
+                    buckets[rank] |= bit_of[i]
+                else:
+                    buckets[rank] = bit_of[i]
+                    low[rank >> 8] |= bit_of[rank & 255]
+                    high |= 1 << (rank >> 8)
         while high:
-            b = (high & -high).bit_length() - 1
-            word = mid[b]
-            a = b << 6 | (word & -word).bit_length() - 1
+            a = (high & -high).bit_length() - 1
             word = low[a]
-            rank = a << 6 | (word & -word).bit_length() - 1
-            word = buckets[rank]
             bit = word & -word
-            buckets[rank] = word = word ^ bit
-            if not word:
-                low[a] ^= 1 << (rank & 63)
-                if not low[a]:
-                    mid[b] ^= 1 << (a & 63)
-                    if not mid[b]:
-                        high ^= 1 << b
-            i = bit.bit_length() - 1
+            rank = a << 8 | bit.bit_length() - 1
+            held = buckets[rank]
+            first = held & -held
+            i = first.bit_length() - 1
+            if held == first:
+                buckets[rank] = 0
+                low[a] = word = word ^ bit
+                if not word:
+                    high ^= 1 << a
+            else:
+                buckets[rank] = held ^ first
             if waits[i] != rank:
                 continue
             j = ends[i]
             ends[i] = after = ends[j]
-            waits[j] = -1
-            waits[i] = -1
-            left = before[i]
+            waits[j] = waits[i] = -1
             if after < n:
                 before[after] = i
                 if (rank := get(piece[i : ends[after]])) is not None:
                     waits[i] = rank
-                    if not buckets[rank]:
-                        low[rank >> 6] |= 1 << (rank & 63)
-                        mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                        high |= 1 << (rank >> 12)
-                    buckets[rank] |= 1 << i
+                    if buckets[rank]:
+                        buckets[rank] |= bit_of[i]
+                    else:
+                        buckets[rank] = bit_of[i]
+                        low[rank >> 8] |= bit_of[rank & 255]
+                        high |= 1 << (rank >> 8)
+            left = before[i]
             if left >= 0:
                 waits[left] = -1
                 if (rank := get(piece[left:after])) is not None:
                     waits[left] = rank
-                    if not buckets[rank]:
-                        low[rank >> 6] |= 1 << (rank & 63)
-                        mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                        high |= 1 << (rank >> 12)
-                    buckets[rank] |= 1 << left
+                    if buckets[rank]:
+                        buckets[rank] |= bit_of[left]
+                    else:
+                        buckets[rank] = bit_of[left]
+                        low[rank >> 8] |= bit_of[rank & 255]
+                        high |= 1 << (rank >> 8)
         ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[piece[i : ends[i]]])
