@@ -138,13 +138,17 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2,
 
 
 def drop_near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``documents`` without all but the smallest id of each group; rows of null id stay.
+    """The rows of ``documents`` without all but the smallest id of each group; rows of null id stay."""
+    return keep_smallest(documents, near_duplicates(documents, **parameters))
+
+
+def keep_smallest(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose id is the ``component_id`` of their group in ``marks``; rows of null id stay.
 
     Only the ids that go are joined to the texts; of repeated rows of one kept id, one stays.
     """
     from pyspark.sql import Window
 
-    marks = near_duplicates(documents, **parameters)
     gone = fresh(documents.columns, "_gone")
     goes = marks.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     kept = documents.join(goes, F.col("doc_id") == F.col(gone), "left_anti")
