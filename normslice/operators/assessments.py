@@ -5,7 +5,9 @@ A prepared frame has ``case_id``, ``sev__<criterion>`` (0 to 1, NULL: not evalua
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from normslice.errors import NormError
 from normslice.functions.core import number, saturate, total
-from normslice.operators.backlog import keys, ordered, score_correlation, top_k_overlap
+from normslice.functions.ranks import quantiles
+from normslice.functions.shared import stored
+from normslice.operators.backlog import keys, ordered, prioritize, score_correlation, top_k_overlap
 from normslice.operators.scoring import ScoreResult, q, with_scores
 from normslice.plans.constraints import Metric
 from normslice.plans.norm import Layer, Norm, NormConstraint, View
@@ -109,21 +113,21 @@ def coco_same_target(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
     by = keys(by)
     penalty = 1 - F.col("score")
     frame = df.where("score is not null")
-    mean = frame.agg(F.avg(penalty).alias("_mean"))
-    with_mean = frame.crossJoin(F.broadcast(mean))
-    lost = with_mean.agg(F.sum(F.greatest(penalty - F.col("_mean"), F.lit(0.0))).alias("_lost"))
-    groups = with_mean.groupBy(*(q(k) for k in by)).agg(F.count(F.lit(1)).alias("n_cases"), F.sum(penalty - F.col("_mean")).alias("numerator"))
-    out = groups.crossJoin(F.broadcast(lost)).withColumn("coco", F.when(F.col("_lost") > 0, F.col("numerator") / F.nullif(F.col("_lost"), F.lit(0.0))))
-    return out.drop("_lost").orderBy(*ordered(F.col("coco"), by))
+    distance = penalty - F.col("_mean")
+    groups = frame.crossJoin(F.broadcast(frame.agg(F.avg(penalty).alias("_mean")))).groupBy(*(q(k) for k in by)).agg(F.count(F.lit(1)).alias("n_cases"), F.sum(distance).alias("numerator"), F.sum(F.greatest(distance, F.lit(0.0))).alias("_lost"))
+    out = groups.crossJoin(F.broadcast(groups.agg(F.sum("_lost").alias("_all"))))  # one row
+    return out.withColumn("coco", F.when(F.col("_all") > 0, F.col("numerator") / F.nullif(F.col("_all"), F.lit(0.0)))).drop("_lost", "_all").orderBy(*ordered(F.col("coco"), by))
 
 
 def coverage_diagnostics(result: ScoreResult, by: str | Sequence[str], *, view: str | None = None) -> DataFrame:
-    """Per group: mean, least and 10 % coverage, scored cases, and how many different evidence signatures it has."""
-    by = keys(by)
-    frame = assessed(result, view).select(*(q(k) for k in by), "case_id", "score", "coverage")
-    marks = result.table.select(F.col("case_id").alias("_id"), signature(result).alias("signature"))
-    joined = frame.join(marks, F.col("case_id") == F.col("_id"))
-    return joined.groupBy(*(q(k) for k in by)).agg(
+    """Per group: mean, least and 10 % coverage, scored cases, and how many different evidence signatures it has.
+
+    Coverage has few distinct values, as many as there are signatures, so its quantile needs only their counts.
+    """
+    by, v = keys(by), result.view(view)
+    coverage = coverage_columns(result.norm.raw_weights(v))["coverage"]
+    cases = result.table.select(*(q(k) for k in by), q(f"score__{v}").alias("score"), coverage.alias("coverage"), signature(result).alias("signature"))
+    return cases.groupBy(*(q(k) for k in by)).agg(
         F.count(F.lit(1)).alias("n_cases"), F.count("score").alias("n_scored"), F.avg("coverage").alias("mean_coverage"), F.min("coverage").alias("min_coverage"), F.percentile("coverage", F.lit(0.1)).alias("q10_coverage"), F.count_distinct("signature").alias("n_signatures")
     )
 
@@ -177,29 +181,46 @@ def pivot_severities(long: DataFrame, criteria: Sequence[str]) -> DataFrame:
     return wide.select("case_id", *(q(c).alias(f"sev__{c}") for c in criteria))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: int = 200, seed: int = 7, top: int = 5) -> DataFrame:
-    """Bootstrap of ``PI`` by group over clusters of cases: median, 2.5 and 97.5 % quantiles, share of replicates in the top.
+def draw(seed: int, rep: Column, cluster: Column) -> Column:
+    """A cluster's multiplicity in a replicate: Poisson(1), cut at 12, from the first 52 bits of an MD5 of seed, replicate and cluster."""
+    key = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), F.coalesce(cluster.cast("string"), F.lit("")))
+    u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return reduce(lambda a, b: a + b, ((u >= x).cast("int") for x in POISSON))
 
-    Scores are summed per (cluster, group) first. Each cluster's multiplicity in a replicate is Poisson(1) from a hash of
-    cluster and replicate, so it is the same on any partitioning and after a lost executor.
-    """
-    cells = df.groupBy(q(cluster).alias("_cluster"), q(group).alias("_group")).agg(F.count("score").alias("n"), F.sum("score").alias("s")).where("n > 0")
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("_cluster")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    limits, p, acc = [], 0.36787944117144233, 0.0  # exp(-1)
-    for k in range(12):
+
+def _poisson(limit: int = 12) -> list[float]:
+    out, p, acc = [], math.exp(-1), 0.0
+    for k in range(limit):
         acc += p
-        limits.append(acc)
+        out.append(acc)
         p /= k + 1
-    times = reduce(lambda a, b: a + b, ((u >= x).cast("int") for x in limits))
-    sums = drawn.withColumn("m", times).where("m > 0").groupBy("rep", "_group").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))
-    means = sums.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    pi = sums.join(means, "rep").withColumn("PI", F.round(F.greatest(F.col("mean") - F.col("s") / F.col("n"), F.lit(0.0)) * F.col("n"), 12))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("PI").desc(), F.col("_group").asc_nulls_last()))
+    return out
+
+
+POISSON = _poisson()
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: int = 200, seed: int = 7, top: int = 5) -> DataFrame:
+    """Poisson bootstrap of ``PI`` by group over clusters of cases: median, 2.5 and 97.5 % quantiles, share of replicates in the top.
+
+    Scores are summed per (cluster, group) first. A cluster's multiplicity in a replicate comes from a hash, so it is the
+    same on any partitioning and after a lost executor; a multinomial draw of all clusters would fix their number instead. A
+    replicate in which a group has no cluster counts with a PI of 0.
+    """
+    cells = stored(df.groupBy(q(cluster).alias("_cluster"), q(group).alias("_group")).agg(F.count("score").alias("n"), F.sum("score").alias("s")).where("n > 0"), "cells")
+    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    sums = cells.select("*", every).withColumn("m", draw(seed, F.col("rep"), F.col("_cluster"))).where("m > 0").groupBy("rep", "_group").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))
+    sums = stored(sums, "replicates")
+    means = sums.groupBy(F.col("rep").alias("_rep")).agg((F.sum("s") / F.sum("n")).alias("mean"))
+    grid = cells.select("_group").distinct().select(F.col("_group").alias("_g"), every)
+    pi = grid.join(sums.withColumnRenamed("rep", "_r"), (F.col("rep") == F.col("_r")) & F.col("_g").eqNullSafe(F.col("_group")), "left").join(means, F.col("rep") == F.col("_rep"), "left")
+    loss = F.round(F.greatest(F.col("mean") - F.col("s") / F.col("n"), F.lit(0.0)) * F.col("n"), 12)
+    pi = pi.select("rep", "_g", F.coalesce(loss, F.lit(0.0)).alias("PI"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("PI").desc(), F.col("_g").asc_nulls_last()))
     return (
         pi.withColumn("in_top", ((rank <= top) & (F.col("PI") > 0)).cast("double"))
-        .groupBy(F.col("_group").alias(group))
-        .agg(F.percentile("PI", F.lit(0.025)).alias("low"), F.percentile("PI", F.lit(0.5)).alias("median"), F.percentile("PI", F.lit(0.975)).alias("high"), (F.sum("in_top") / replicates).alias("top_share"))
+        .groupBy(F.col("_g").alias(group))
+        .agg(F.percentile("PI", F.lit(0.025)).alias("low"), F.percentile("PI", F.lit(0.5)).alias("median"), F.percentile("PI", F.lit(0.975)).alias("high"), (F.sum("in_top") / replicates).alias("top_share"))  # ``replicates`` values a group
     )
 
 
@@ -216,8 +237,8 @@ def witnesses(result: ScoreResult, by: str | Sequence[str], *, view: str | None
     """Per group the case of lowest score (ties: smallest id) and the case nearest to the group's median."""
     by = keys(by)
     v = result.view(view)
-    frame = result.table.where(result.is_scored(v)).select(*(q(k) for k in by), "case_id", q(f"score__{v}").alias("score"))
-    middle = frame.groupBy(*(q(k).alias(f"_{k}") for k in by)).agg(F.percentile("score", F.lit(0.5)).alias("median"))
+    frame = stored(result.table.where(result.is_scored(v)).select(*(q(k) for k in by), "case_id", q(f"score__{v}").alias("score")), "scored-cases")
+    middle = quantiles(frame, "score", [0.5], by).select(*(q(k).alias(f"_{k}") for k in by), F.col("q0").alias("median"))
     condition = reduce(lambda x, y: x & y, (q(c).eqNullSafe(q(f"_{c}")) for c in by))
     both = frame.join(middle, condition)
     return both.groupBy(*(q(k) for k in by)).agg(
@@ -239,3 +260,25 @@ def without_criterion(result: ScoreResult, criterion: str) -> ScoreResult:
     return ScoreResult(with_scores(base, norm, norm.view_names, result.mode), norm, norm.view_names, result.mode, result.log)
 
 
+def rescaled(norm: Norm, cid: str, **parameters: float) -> Norm:
+    """The norm with other parameters (a threshold, a width, a count) in one constraint."""
+    return norm.replace_constraint(cid, constraint=replace(norm.get_constraint(cid).constraint, **parameters))
+
+
+def cohort(result: ScoreResult, condition: Column | Mapping[str, object]) -> ScoreResult:
+    """The scored cases that meet a condition; their scores stay."""
+    return ScoreResult(result.table.where(result.where(condition)), result.norm, result.views, result.mode, result.log)
+
+
+def sensitivity(base: ScoreResult, variants: Mapping[str, ScoreResult], by: str | Sequence[str], *, view: str | None = None, gamma: float = 0.0, min_cases: Mapping[str, int] | None = None, k: int = 10) -> DataFrame:
+    """A row for each variant (another norm, mode, log or cohort, or by ``min_cases`` another support): how many cases it scores, their mean,
+    and how its backlog agrees with the base's: rank correlation on common slices, overlap of the top ``k``.
+    """
+    first = prioritize(base, by, view=view, gamma=gamma)
+    rows = []
+    for name, variant in variants.items():
+        backlog = prioritize(variant, by, view=view, gamma=gamma, min_cases=(min_cases or {}).get(name, 0))
+        cases = backlog.agg(F.sum("n_cases").alias("n_scored"), F.try_divide(F.sum(F.col("mean_score") * F.col("n_cases")), F.sum("n_cases")).alias("mean_score"))
+        metric = lambda df: df.withColumn("stable_PI", F.round("stable_PI", 9))
+        rows.append(compare_tables(metric(first), metric(backlog), by, k=k).crossJoin(F.broadcast(cases)).select(F.lit(name).alias("variant"), "n_scored", "mean_score", "correlation", "overlap"))  # one row each
+    return reduce(DataFrame.union, rows)

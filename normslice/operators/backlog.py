@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from normslice.errors import NormError, NotScoredError
 from normslice.functions.core import average_rank, correlation, finite_or_none
+from normslice.functions.ranks import rank_correlation
+from normslice.functions.shared import stored
 from normslice.operators.scoring import ScoreResult, q
 
-#: Kendall's correlation compares distinct pairs of scores; above this number it is refused.
-MAX_KENDALL = 20_000
-
 
 def keys(by: str | Sequence[str]) -> list[str]:
     found = [by] if isinstance(by, str) else list(by)
@@ -171,7 +170,8 @@ def top_k_overlap(a: DataFrame, b: DataFrame, by: str | Sequence[str], *, k: int
 def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20, gamma: float = 0.0, method: str = "spearman", metric: str = "stable_PI") -> DataFrame:
     """A row for each pair of views: overlap of their top slices and correlation of their case scores.
 
-    The backlogs of all views come from one grouped aggregate. Metrics and scores are compared at 9 decimals, so that the last
+    The scored cases are written once to the shared folder (keys and scores only) and read for everything else: slices, whose
+    backlogs for all views are one grouped aggregate, and correlations. Metrics and scores are compared at 9 decimals, so that the last
     bits of a sum, which depend on partitions, cannot reorder equal ones.
     """
     if method not in ("pearson", "spearman", "kendall"):
@@ -183,8 +183,9 @@ def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20,
     if not pairs:
         raise NotScoredError("agreement needs two views")
     score_of = {i: q(f"score__{v}") for i, v in enumerate(views)}
-    slices = result.table.groupBy(*(q(c) for c in by)).agg(*(x for i, s in score_of.items() for x in (F.count(s).alias(f"_n{i}"), F.avg(s).alias(f"_m{i}"))))
-    overall = result.table.agg(*(F.avg(s).alias(f"_g{i}") for i, s in score_of.items()))
+    cases = stored(result.table.select(*(q(c) for c in by), *score_of.values()), "scored-cases")
+    slices = cases.groupBy(*(q(c) for c in by)).agg(*(x for i, s in score_of.items() for x in (F.count(s).alias(f"_n{i}"), F.avg(s).alias(f"_m{i}"), F.sum(s).alias(f"_s{i}"))))
+    overall = slices.agg(*(F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(f"_g{i}") for i in score_of))
     wide = slices.crossJoin(F.broadcast(overall))  # one row
     value = {}
     for i in score_of:
@@ -201,37 +202,20 @@ def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20,
     top = lambda i: F.col(f"_top{i}")
     overlaps = tops.agg(rows(lambda i, j: F.try_divide(F.count_if(top(i) & top(j)).cast("double"), F.count_if(top(i) | top(j))).alias("overlap")).alias("r")).select(F.inline("r"))
     if method == "pearson":
-        flat = result.table.select(*(s.alias(f"_s{i}") for i, s in score_of.items()))
+        flat = cases.select(*(s.alias(f"_s{i}") for i, s in score_of.items()))
         found = flat.agg(rows(lambda i, j: correlation(f"_s{i}", f"_s{j}").alias("correlation")).alias("r")).select(F.inline("r"))
     else:
         parts = []
         for i, j in pairs:
-            pair = result.table.where(result.is_scored(views[i]) & result.is_scored(views[j])).select(F.round(score_of[i], 9).alias("x"), F.round(score_of[j], 9).alias("y"))
+            pair = cases.select(F.round(score_of[i], 9).alias("x"), F.round(score_of[j], 9).alias("y"))
             parts.append(score_correlation(pair, method).select(F.lit(views[i]).alias("view_a"), F.lit(views[j]).alias("view_b"), "correlation"))
         found = reduce(DataFrame.union, parts)
     return overlaps.join(F.broadcast(found), ["view_a", "view_b"])  # a row for each pair of views
 
 
 def score_correlation(pair: DataFrame, method: str) -> DataFrame:
-    """One row ``correlation`` of columns ``x, y``. Ranks are taken over distinct values with counts, not over rows."""
-    if method == "pearson":
-        return pair.agg(correlation("x", "y").alias("correlation"))
-    if method == "spearman":
-        ranks = pair
-        for c in ("x", "y"):
-            counts = pair.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-            places = counts.select(F.col(c).alias(f"_{c}"), (upto - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
-            ranks = ranks.join(places, F.col(c).eqNullSafe(F.col(f"_{c}")))
-        return ranks.agg(correlation("rx", "ry").alias("correlation"))
-    counts = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(MAX_KENDALL + 1).count() > MAX_KENDALL:
-        raise NormError(f"kendall is for at most {MAX_KENDALL} distinct score pairs; use spearman")
-    a, b = counts.alias("a"), F.broadcast(counts).alias("b")  # bounded just above
-    joined = a.join(b, (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y"))))
-    sx, sy, n = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y")), F.col("a.n") * F.col("b.n")
-    sums = joined.agg(F.sum(sx * sy * n).alias("s"), F.sum(F.abs(sx) * n).alias("a"), F.sum(F.abs(sy) * n).alias("b"))
-    return sums.select(F.try_divide(F.col("s"), F.sqrt(F.col("a") * F.col("b"))).alias("correlation"))
+    """One row ``correlation`` of columns ``x, y``, exact at any size."""
+    return rank_correlation(pair, method)
 
 
 def hotspot_table(backlog: DataFrame, by: str | Sequence[str], *, top: int = 10, drivers: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from normslice.errors import NormError
 from normslice.functions.core import UNIT_SECONDS
-from normslice.operators.backlog import keys, ordered, prioritize, unfiltered
+from normslice.operators.backlog import keys, ordered, unfiltered
 from normslice.operators.scoring import ScoreResult, q
 from normslice.plans.compiler import Primitives
 from normslice.plans.constraints import finite, labels
@@ -97,9 +97,9 @@ def gap_retained(result: ScoreResult, by: str | Sequence[str], exclude: DataFram
     frame = unfiltered(result, view)
     flags = exclude.select(F.col(exclude.columns[0]).alias("_id"), F.col(exclude.columns[1]).alias("_out"))
     frame = frame.join(flags, F.col("case_id") == F.col("_id"), "left").withColumn("_keep", ~F.coalesce("_out", F.lit(False)))
-    mean = frame.agg(F.avg("score").alias("global_mean"))
     kept = F.when(F.col("_keep"), F.col("score"))
-    slices = frame.groupBy(*(q(k) for k in by)).agg(F.count("score").alias("n_cases"), F.count(kept).alias("n_kept"), F.avg("score").alias("m"), F.avg(kept).alias("mk")).where("n_cases > 0").crossJoin(F.broadcast(mean))
+    slices = frame.groupBy(*(q(k) for k in by)).agg(F.count("score").alias("n_cases"), F.count(kept).alias("n_kept"), F.avg("score").alias("m"), F.avg(kept).alias("mk"), F.sum("score").alias("_sum")).where("n_cases > 0")
+    slices = slices.crossJoin(F.broadcast(slices.agg((F.sum("_sum") / F.nullif(F.sum("n_cases"), F.lit(0))).alias("global_mean"))))  # one row
     stable = lambda n, m: F.greatest(n / (n + float(gamma)) * (F.col("global_mean") - m), F.lit(0.0))
     out = slices.withColumn("stable_gap", stable(F.col("n_cases"), F.col("m"))).withColumn("kept_gap", F.when(F.col("n_kept") > 0, stable(F.col("n_kept"), F.col("mk"))))
     out = out.withColumn("retained", F.when(F.col("stable_gap") > 0, F.coalesce("kept_gap", F.lit(0.0)) / F.nullif(F.col("stable_gap"), F.lit(0.0))))
@@ -117,25 +117,34 @@ def validation_table(
     ratio_flag: float = 1.5,
     top: int = 10,
 ) -> DataFrame:
-    """The top of the backlog with the shares of open and replicated cases and a reading of both."""
+    """The top of the backlog with the shares of open and replicated cases and a reading of both, from one grouped aggregate."""
     by = keys(by)
-    backlog = prioritize(result, by, view=view, gamma=gamma).select(*(q(k) for k in by), "n_cases", "stable_gap", "stable_PI")
-    frame = unfiltered(result, view).select("case_id", "score", *(q(k) for k in by if k != "case_id"))
-    on = lambda df: [q(k).eqNullSafe(q(f"_{k}")) for k in by]
-    notes = []
-    out = backlog
+    frame = unfiltered(result, view).select("score", "case_id", *(q(k) for k in by if k != "case_id"))
+    known = F.col("score").isNotNull()
+    sums = {"n_cases": F.count("score"), "_sum": F.sum("score")}
+    for name, flags in (("_c", censored), ("_r", replication)):
+        if flags is not None:
+            value = flags.columns[1] if name == "_c" else "ratio"
+            frame = frame.join(flags.select(F.col(flags.columns[0]).alias(f"_id{name}"), F.col(value).alias(name)), F.col("case_id") == F.col(f"_id{name}"), "left")
     if censored is not None:
-        flags = censored.select(F.col(censored.columns[0]).alias("_id"), F.col(censored.columns[1]).alias("_c"))
-        share = frame.join(flags, F.col("case_id") == F.col("_id"), "left").groupBy(*(q(k).alias(f"_{k}") for k in by)).agg(F.avg(F.when(F.col("score").isNotNull(), F.coalesce("_c", F.lit(False)).cast("double"))).alias("share_censored"))
-        out = out.join(share, on(share), "left").drop(*(f"_{k}" for k in by))
-        kept = gap_retained(result, by, censored, view=view, gamma=gamma).select(*(q(k).alias(f"_{k}") for k in by), "retained")
-        out = out.join(kept, on(kept), "left").drop(*(f"_{k}" for k in by))
+        open_ = F.coalesce("_c", F.lit(False))
+        sums |= {"n_kept": F.count(F.when(~open_, F.col("score"))), "_kept": F.sum(F.when(~open_, F.col("score"))), "share_censored": F.avg(F.when(known, open_.cast("double")))}
+    if replication is not None:
+        sums["share_replicated"] = F.avg(F.when(known, (F.coalesce("_r", F.lit(0.0)) >= ratio_flag).cast("double")))
+    slices = frame.groupBy(*(q(k) for k in by)).agg(*(c.alias(k) for k, c in sums.items())).where("n_cases > 0")
+    out = slices.crossJoin(F.broadcast(slices.agg((F.sum("_sum") / F.nullif(F.sum("n_cases"), F.lit(0))).alias("_mean"))))  # one row
+    gap = lambda n, total: F.greatest((F.col("_mean") - F.col(total) / F.nullif(F.col(n), F.lit(0))) * F.col(n) / (F.col(n) + float(gamma)), F.lit(0.0))
+    out = out.withColumn("stable_gap", gap("n_cases", "_sum")).withColumn("stable_PI", F.col("stable_gap") * F.col("n_cases"))
+    notes, extra = [], []
+    if censored is not None:
+        kept = F.when(F.col("n_kept") > 0, gap("n_kept", "_kept")).otherwise(F.lit(0.0))
+        out = out.withColumn("retained", F.when(F.col("stable_gap") > 0, kept / F.nullif(F.col("stable_gap"), F.lit(0.0))))
         notes += [F.when(F.col("share_censored") >= 0.5, "mostly open cases"), F.when(F.col("retained") < 0.5, "gap fades without open cases")]
+        extra += ["share_censored", "retained"]
     if replication is not None:
-        ratio = replication.select(F.col("case_id").alias("_id"), F.col("ratio").alias("_r"))
-        share = frame.join(ratio, F.col("case_id") == F.col("_id"), "left").groupBy(*(q(k).alias(f"_{k}") for k in by)).agg(F.avg(F.when(F.col("score").isNotNull(), (F.coalesce("_r", F.lit(0.0)) >= ratio_flag).cast("double"))).alias("share_replicated"))
-        out = out.join(share, on(share), "left").drop(*(f"_{k}" for k in by))
         notes.append(F.when(F.col("share_replicated") >= 0.5, "mostly replicated events"))
+        extra.append("share_replicated")
+    out = out.select(*(q(k) for k in by), "n_cases", "stable_gap", "stable_PI", *extra)
     text = F.concat_ws("; ", *notes) if notes else F.lit("")
     out = out.withColumn("reading", F.when(text == "", "stable signal").otherwise(text))
     return out.orderBy(*ordered(F.col("stable_PI"), by)).limit(top)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from normslice.errors import NormError
 from normslice.functions.core import NEVER, duration, member, number, saturate
+from normslice.functions.ranks import quantile
 from normslice.plans import recipes, rules
 from normslice.plans.constraints import Balance, Constraint, Exclusion, Lag, Metric, Precedence, Presence, Singularity
 
@@ -199,11 +200,11 @@ def compiled(log: Any, norm: Any, derive: bool = True) -> DataFrame:
 
 
 def with_derived(cases: DataFrame, derived: list[tuple[str, Any]]) -> DataFrame:
-    """Adds attributes one after the other; a quantile scale needs its divisor from all cases first (one small action)."""
+    """Adds attributes one after the other; a quantile scale needs its divisor from all cases first."""
     for name, made in derived:
         if isinstance(made, tuple):
             base, q = made
-            divisor = cases.agg(F.percentile(base, F.lit(q))).first()[0]
+            divisor = quantile(cases, base, q)
             divisor = divisor if divisor and divisor > 0 else 1.0
             made = F.when(base.isNotNull(), F.least(F.greatest(base / F.lit(divisor), F.lit(0.0)), F.lit(1.0)))
         cases = cases.withColumn(name, made)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import operator
 import re
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -10,32 +12,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from normslice.errors import NormError
-from normslice.functions.core import duration, every, member, number
+from normslice.functions.core import UNIT_SECONDS, duration, every, member, number
 from normslice.plans.constraints import choice, finite, labels
 
+#: The kinds of recipes, what each needs and what it may have, and the quantile that scales by default.
 AGGREGATES = ("sum", "mean", "max", "min", "std", "first", "last")
 NEEDS = {
-    "count": {"activity"},
-    "count_events": set(),
+    "count": {"activities"},
+    "count_events": {"where"},
     "nunique": {"column"},
     "agg": {"column", "agg"},
     "cv": {"column"},
     "lag": {"a", "b"},
     "ratio": {"numerator", "denominator"},
-    "quantile_scale": {"attribute", "q"},
-    "indicator_times": {"activity", "attribute"},
+    "quantile_scale": {"attribute"},
+    "indicator_times": {"activities", "attribute"},
     "eval": {"expr"},
 }
 MAY = {
     "count": {"after", "before"},
-    "count_events": {"where"},
     "nunique": {"where"},
     "agg": {"where"},
     "cv": {"where", "eps"},
     "lag": {"unit", "activation", "response", "allow_negative"},
+    "quantile_scale": {"q"},
 }
-#: What an ``eval`` expression may hold: names, numbers, the four operations and brackets.
-_EXPRESSION = re.compile(r"\s*(?:[A-Za-z_]\w*|\d+(?:\.\d+)?|[-+*/()])\s*")
+QUANTILE = 0.95
 
 
 def check(recipe: Mapping[str, Any]) -> None:
@@ -51,10 +53,12 @@ def check(recipe: Mapping[str, Any]) -> None:
         raise NormError(f"recipe {name!r}: unknown options {sorted(extra)}")
     if kind == "agg":
         choice(recipe["agg"], f"recipe {name!r}, agg", AGGREGATES)
-    if kind == "quantile_scale" and finite(recipe["q"], f"recipe {name!r}, q", above=0) > 1:
+    if kind == "quantile_scale" and finite(recipe.get("q", QUANTILE), f"recipe {name!r}, q", least=0, text=True) > 1:
         raise NormError(f"recipe {name!r}: q is out of range")
+    if kind == "lag":
+        choice(recipe.get("unit", "D"), f"recipe {name!r}, unit", tuple(UNIT_SECONDS))
     if kind == "eval":
-        expression_names(recipe["expr"])
+        expression(recipe["expr"], None)
     for test in _tests(recipe.get("where")):
         if len(test) != 2 or "column" not in test or not set(test) <= {"column", "in", "not_in", "eq", "regex"}:
             raise NormError(f"recipe {name!r}: a where test is a column and one of in, not_in, eq, regex: {test!r}")
@@ -86,18 +90,55 @@ def where(condition: Any) -> Column:
 
 
 def activities(recipe: Mapping[str, Any]) -> set[str]:
-    return {x for k in ("activity", "after", "before", "a", "b") if recipe.get(k) for x in labels(recipe[k], k)}
+    return {x for k in ("activities", "after", "before", "a", "b") if recipe.get(k) for x in labels(recipe[k], k)}
+
+
+def columns(recipe: Mapping[str, Any]) -> set[str]:
+    """The event columns that a recipe reads."""
+    return {t["column"] for t in _tests(recipe.get("where"))} | ({recipe["column"]} if "column" in recipe else set())
+
+
+_QUOTED = re.compile(r"`([^`]*)`")
+_COMPARE = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+_ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: lambda x, y: F.try_divide(x, y), ast.Pow: lambda x, y: F.pow(x, y)}
+
+
+def expression(text: Any, attribute: Callable[[str], Column] | None) -> Column | None:
+    """An ``eval`` expression as a DOUBLE: names (in backticks if they are no words), numbers, ``+ - * / **``, comparisons, brackets.
+
+    A division by zero and a result that is no number are NULL; a comparison gives 1 or 0, also of an unknown value (0). Without
+    ``attribute`` the expression is only checked.
+    """
+    quoted: list[str] = []
+
+    def plain(m: re.Match) -> str:
+        quoted.append(m[1])
+        return f"_quoted_{len(quoted) - 1}_"
+
+    try:
+        tree = ast.parse(_QUOTED.sub(plain, text).strip(), mode="eval").body
+    except (SyntaxError, TypeError, ValueError):
+        raise NormError(f"{text!r} is no expression") from None
 
+    def made(node: ast.expr) -> Column | None:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value)) if attribute else None
+        if isinstance(node, ast.Name):
+            name = quoted[int(node.id[8:-1])] if node.id.startswith("_quoted_") else node.id
+            return number(attribute(name)) if attribute else None
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
+            x = made(node.operand)
+            return x if x is None or isinstance(node.op, ast.UAdd) else -x
+        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
+            x, y = made(node.left), made(node.right)
+            return _ARITHMETIC[type(node.op)](x, y) if attribute else None
+        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _COMPARE:
+            x, y = made(node.left), made(node.comparators[0])
+            return F.coalesce(_COMPARE[type(node.ops[0])](x, y), F.lit(False)).cast("double") if attribute else None
+        raise NormError(f"an expression takes names, numbers, + - * / **, comparisons and brackets: {text!r}")
 
-def expression_names(text: str) -> list[str]:
-    """The names in an ``eval`` expression; anything but names, numbers, ``+ - * /`` and brackets is refused."""
-    at = 0
-    while at < len(text):
-        m = _EXPRESSION.match(text, at)
-        if not m:
-            raise NormError(f"an expression may not hold {text[at:]!r}")
-        at = m.end()
-    return re.findall(r"[A-Za-z_]\w*", text)
+    out = made(tree)
+    return None if out is None else F.when(F.abs(number(out)) < float("inf"), number(out))
 
 
 def column(recipe: Mapping[str, Any], primitives: Any, attribute: Callable[[str], Column]) -> Column | tuple[Column, float]:
@@ -106,7 +147,7 @@ def column(recipe: Mapping[str, Any], primitives: Any, attribute: Callable[[str]
     p = primitives
     side = lambda k: labels(recipe[k], k) if recipe.get(k) else None
     if kind == "count":
-        return p.scoped_count(side("activity"), side("after"), side("before")).cast("double")
+        return p.scoped_count(side("activities"), side("after"), side("before")).cast("double")
     if kind == "count_events":
         return p.events_where(recipe.get("where")).cast("double")
     if kind == "nunique":
@@ -125,11 +166,7 @@ def column(recipe: Mapping[str, Any], primitives: Any, attribute: Callable[[str]
     if kind == "ratio":
         return F.try_divide(number(attribute(recipe["numerator"])), number(attribute(recipe["denominator"])))
     if kind == "quantile_scale":
-        return number(attribute(recipe["attribute"])), float(recipe["q"])
+        return number(attribute(recipe["attribute"])), float(recipe.get("q", QUANTILE))
     if kind == "indicator_times":
-        return F.when(p.count(side("activity")) > 0, F.coalesce(number(attribute(recipe["attribute"])), F.lit(0.0))).otherwise(F.lit(0.0))
-    text = recipe["expr"]
-    for name in expression_names(text):
-        attribute(name)
-    text = re.sub(r"[A-Za-z_]\w*", lambda m: f"double(`{m[0]}`)", text)
-    return F.try_divide(F.expr(f"({text})"), F.lit(1.0)) if "/" not in text else F.expr(re.sub(r"/\s*(double\(`\w+`\))", r"/ nullif(\1, 0)", text))
+        return F.when(p.count(side("activities")) > 0, F.coalesce(number(attribute(recipe["attribute"])), F.lit(0.0))).otherwise(F.lit(0.0))
+    return expression(recipe["expr"], attribute)

@@ -279,7 +279,7 @@ def _recipe(name, recipes, sql, base=DAYS, log=user_days):
         return log(spark, d).derive(recipes).cases.select("case_id", F.col("x").cast("double").alias("x"))
 
 
-_recipe("count", {"name": "x", "kind": "count", "activity": ["click", "view"]}, "count(*) FILTER (act IN ('click', 'view'))")
+_recipe("count", {"name": "x", "kind": "count", "activities": ["click", "view"]}, "count(*) FILTER (act IN ('click', 'view'))")
 _recipe("count_events", {"name": "x", "kind": "count_events", "where": {"event_type": ["click"], "weekday": {"not_in": ["1"]}}}, "count(*) FILTER (act = 'click' AND weekday <> '1')")
 _recipe("where_regex", {"name": "x", "kind": "count_events", "where": [{"column": "props", "regex": '"k": [0-9]+[13579]\\}'}]}, """count(*) FILTER (regexp_matches(props, '"k": [0-9]+[13579]\\}'))""")
 _recipe("nunique", {"name": "x", "kind": "nunique", "column": "event_type"}, "count(DISTINCT act)")
@@ -289,7 +289,9 @@ _recipe("agg_first", {"name": "x", "kind": "agg", "column": "value", "agg": "fir
 _recipe("agg_last", {"name": "x", "kind": "agg", "column": "value", "agg": "last"}, "arg_max(value, us)")
 _recipe("cv", {"name": "x", "kind": "cv", "column": "value"}, "coalesce(stddev_samp(value), 0) / greatest(abs(avg(value)), 1e-9)")
 _recipe("lag", {"name": "x", "kind": "lag", "a": "view", "b": "purchase", "unit": "h"}, f"WITH {DAYS}, a AS (SELECT case_id, min(us) FILTER (act = 'view') AS v1 FROM ev GROUP BY case_id) SELECT case_id, {r('''(min(us) FILTER (act = 'purchase' AND us >= v1) - any_value(v1)) / 1e6 / 3600''')} AS x FROM ev JOIN a USING (case_id) GROUP BY case_id")
-_recipe("ratio", [{"name": "n", "kind": "count", "activity": "click"}, {"name": "m", "kind": "count", "activity": "view"}, {"name": "x", "kind": "ratio", "numerator": "n", "denominator": "m"}], "CASE WHEN count(*) FILTER (act = 'view') > 0 THEN count(*) FILTER (act = 'click') / count(*) FILTER (act = 'view') END")
+_recipe("ratio", [{"name": "n", "kind": "count", "activities": "click"}, {"name": "m", "kind": "count", "activities": "view"}, {"name": "x", "kind": "ratio", "numerator": "n", "denominator": "m"}], "CASE WHEN count(*) FILTER (act = 'view') > 0 THEN count(*) FILTER (act = 'click') / count(*) FILTER (act = 'view') END")
 _recipe("quantile_scale", {"name": "x", "kind": "quantile_scale", "attribute": "exposure", "q": 0.9}, f"WITH {DAYS}, c AS (SELECT case_id, sum(value) AS e FROM ev GROUP BY case_id), q AS (SELECT quantile_cont(e, 0.9) AS q FROM c) SELECT case_id, {r('least(greatest(e / q, 0), 1)')} AS x FROM c, q")
-_recipe("indicator_times", {"name": "x", "kind": "indicator_times", "activity": "purchase", "attribute": "exposure"}, "CASE WHEN count(*) FILTER (act = 'purchase') > 0 THEN sum(value) ELSE 0 END")
+_recipe("indicator_times", {"name": "x", "kind": "indicator_times", "activities": "purchase", "attribute": "exposure"}, "CASE WHEN count(*) FILTER (act = 'purchase') > 0 THEN sum(value) ELSE 0 END")
 _recipe("eval", [{"name": "x", "kind": "eval", "expr": "(exposure + 10) / n_events - 2 * n_events"}], "(sum(value) + 10) / count(*) - 2 * count(*)")
+_recipe("eval_division", [{"name": "n", "kind": "count", "activities": "click"}, {"name": "m", "kind": "count", "activities": "view"}, {"name": "x", "kind": "eval", "expr": "1 / (n - m) + (n >= m) * `exposure` ** 0.5"}], "1.0 / nullif(count(*) FILTER (act = 'click') - count(*) FILTER (act = 'view'), 0) + CASE WHEN count(*) FILTER (act = 'click') >= count(*) FILTER (act = 'view') THEN 1 ELSE 0 END * sqrt(sum(value))")
+_recipe("quantile_default", {"name": "x", "kind": "quantile_scale", "attribute": "n_events"}, f"WITH {DAYS}, c AS (SELECT case_id, CAST(count(*) AS DOUBLE) AS e FROM ev GROUP BY case_id), q AS (SELECT quantile_cont(e, 0.95) AS q FROM c) SELECT case_id, {r('least(greatest(e / q, 0), 1)')} AS x FROM c, q")

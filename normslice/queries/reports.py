@@ -226,6 +226,9 @@ _agreement("pearson", "SELECT corr(x, y) AS c FROM xy")
 _agreement("spearman", "SELECT corr(x, y) AS c FROM rk")
 
 
+_agreement("kendall", "SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) AS c FROM xy a, xy b")
+
+
 @query("agg_kendall", f"WITH {S_LB}, t AS (SELECT segment, weekday, round(avg(score_Ops), 9) AS x, round(avg(score_Finance), 9) AS y FROM s WHERE score_Ops IS NOT NULL AND score_Finance IS NOT NULL GROUP BY ALL) SELECT {r('sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))))')} AS correlation FROM t a, t b")
 def _(spark, d):
     t = result(spark, d)
@@ -424,14 +427,43 @@ def _(spark, d):
     return e.select("case_id", A.observed_balance(F.col("x"), F.col("y"), 0.1, 0.5).alias("v"))
 
 
-@query("assess_parity", "SELECT CAST(0 AS BIGINT) AS unmatched_keys, CAST(0 AS BIGINT) AS null_mismatches, CAST(0 AS DOUBLE) AS residual__score")
+_OFF = "CASE WHEN segment = '6' THEN score_Finance + 0.25 WHEN segment = '5' THEN NULL ELSE score_Finance END"
+
+
+@query("assess_parity", f"WITH {S_FLAT}, o AS (SELECT case_id, {_OFF} AS score FROM s WHERE segment <> '7'), j AS (SELECT s.case_id AS a, o.case_id AS b, s.score_Finance AS x, o.score AS y FROM s FULL JOIN o ON s.case_id = o.case_id) SELECT count(*) FILTER (a IS NULL OR b IS NULL) AS unmatched_keys, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND (x IS NULL) <> (y IS NULL)) AS null_mismatches, {r('max(abs(x - y))')} AS residual__score FROM j")
 def _(spark, d):
-    """The event path and the prepared path must give the same scores."""
+    """The event path against the prepared path, of which some scores are moved, some unknown and some rows missing."""
     t = result(spark, d, "flat")
     ids = t.ids
     prep = t.table.select("case_id", *(q(f"v__{c}").alias(f"sev__{c}") for c in ids), *(q(f"s__{c}").alias(f"scope__{c}") for c in ids))
     again = A.score_prepared(prep, ids, {"Finance": {c: w for c, w in t.norm.raw_weights("Finance").items()}}, LAYER_OF, "flat", validate=False)
-    return A.parity_residual(t.frame("Finance").select("case_id", "score"), again.frame("Finance").select("case_id", "score"), ["case_id"], ["score"])
+    segments = t.table.select(F.col("case_id").alias("_id"), "segment").where("segment <> '7'")
+    moved = again.frame("Finance").join(segments, F.col("case_id") == F.col("_id"))
+    off = F.when(F.col("segment") == "6", F.col("score") + 0.25).when(F.col("segment") != "5", F.col("score"))
+    return A.parity_residual(t.frame("Finance").select("case_id", "score"), moved.select("case_id", off.alias("score")), ["case_id"], ["score"])
+
+
+_SF = S_FLAT[len(VIOLATIONS) :].replace("\ns AS", "\nsf AS")
+_PS = _B9[len(S_LB) :]
+_PF = _PS.replace("FROM s WHERE", "FROM sf WHERE").replace("b0", "f0").replace("\nb AS", "\nfb AS").replace(" FROM b)", " FROM fb)").replace(", p AS", ", pf AS")
+_ALIKE = f"o AS (SELECT {_overlap('p', 'pf', 10)} AS i, least((SELECT count(*) FROM p WHERE stable_PI > 0), 10) AS na, least((SELECT count(*) FROM pf WHERE stable_PI > 0), 10) AS nb), jn AS (SELECT p.stable_PI AS x, pf.stable_PI AS y FROM p JOIN pf USING (segment, weekday)), rj AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM jn)"
+
+
+def _sensitivity(name, variant, sf, support=0):
+    kept = f"SELECT count(*) AS n, avg(score_Ops) AS m FROM sf WHERE score_Ops IS NOT NULL" if not support else f"SELECT sum(n_cases) AS n, sum(mean_score * n_cases) / sum(n_cases) AS m FROM fb WHERE n_cases >= {support}"
+    pf = _PF.replace(" FROM fb)", f" FROM fb WHERE n_cases >= {support})")
+
+    @query(f"assess_sensitivity_{name}", f"WITH {S_LB}{sf}{_PS}{pf}, {_ALIKE}, t AS ({kept}) SELECT '{name}' AS variant, CAST(n AS BIGINT) AS n_scored, {r('m')} AS mean_score, {r('(SELECT corr(x, y) FROM rj)')} AS correlation, {r('i / (na + nb - i)')} AS overlap FROM o, t")
+    def _(spark, d):
+        base = result(spark, d)
+        return A.sensitivity(base, {name: variant(base)}, ["segment", "weekday"], view="Ops", gamma=20, min_cases={name: support})
+
+
+_sensitivity("mode", lambda t: score(t.log, t.norm, mode="flat"), _SF)
+_sensitivity("cohort", lambda t: A.cohort(t, {"weekday": ["2", "3", "4", "5", "6"]}), ", sf AS (SELECT * FROM s WHERE weekday IN ('2', '3', '4', '5', '6'))")
+_sensitivity("support", lambda t: t, ", sf AS (SELECT * FROM s)", support=60)
+_C3 = "(CASE WHEN nc <= 2 THEN 0.0 WHEN nc >= 7 THEN 1.0 ELSE (nc - 2) / 5.0 END)"
+_sensitivity("threshold", lambda t: score(t.log, A.rescaled(t.norm, "c3", k=2, K=5)), ", sf AS (SELECT *" + S_LB[len(VIOLATIONS) :].split("SELECT *", 1)[1].rsplit("FROM v)", 1)[0] + f"FROM (SELECT * REPLACE ({_C3} AS c3) FROM v))")
 
 
 @query("assess_compare_tables", f"WITH {_TWO}, jn AS (SELECT p.stable_PI AS x, pf.stable_PI AS y FROM p JOIN pf USING (segment, weekday)), rj AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM jn) SELECT {r('i / (na + nb - i)')} AS overlap, {r('(SELECT corr(x, y) FROM rj)')} AS correlation FROM o")
@@ -440,7 +472,19 @@ def _(spark, d):
     return A.compare_tables(_cut(B.prioritize(t, by, view="Ops", gamma=20)), _cut(B.prioritize(t, by, view="Finance", gamma=20)), by)
 
 
-@query("assess_bootstrap", None)
+_SQL_DRAW = " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in A.POISSON)
+
+
+@query(
+    "assess_bootstrap",
+    f"""WITH {S_LB}, cl AS (SELECT split_part(case_id, '-', 1) AS c, segment AS g, count(score_Ops) AS n, sum(score_Ops) AS s FROM s GROUP BY ALL HAVING count(score_Ops) > 0),
+u AS (SELECT c, rep, CAST(CAST('0x' || substr(md5('7|' || rep || '|' || c), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM (SELECT DISTINCT c FROM cl), (SELECT unnest(range(0, 100)) AS rep)),
+m AS (SELECT c, rep, {_SQL_DRAW} AS m FROM u), t AS (SELECT rep, g, sum(m * n) AS n, sum(m * s) AS s FROM cl JOIN m USING (c) WHERE m > 0 GROUP BY ALL),
+me AS (SELECT rep, sum(s) / sum(n) AS mean FROM t GROUP BY rep), gr AS (SELECT DISTINCT g, rep FROM cl, (SELECT unnest(range(0, 100)) AS rep)),
+pi AS (SELECT gr.g, gr.rep, coalesce(round(greatest(mean - s / n, 0.0) * n, 12), 0.0) AS pi FROM gr LEFT JOIN t ON gr.g = t.g AND gr.rep = t.rep LEFT JOIN me ON gr.rep = me.rep),
+bk AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY pi DESC, g) AS i FROM pi)
+SELECT g AS segment, {r('quantile_cont(pi, 0.025)')} AS low, {r('quantile_cont(pi, 0.5)')} AS median, {r('quantile_cont(pi, 0.975)')} AS high, {r('count(*) FILTER (i <= 5 AND pi > 0) / 100')} AS top_share FROM bk GROUP BY g""",
+)
 def _(spark, d):
     frame = result(spark, d).frame("Ops").withColumn("user", F.split_part("case_id", F.lit("-"), F.lit(1)))
     return A.cluster_bootstrap(frame, "user", "segment", replicates=100)

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from normslice.errors import LogSchemaError
 from normslice.functions.core import NEVER, UNIT_SECONDS, instant, member, micros, number
+from normslice.functions.ranks import order_statistic
 from normslice.plans import recipes
 from normslice.plans.compiler import Primitives, with_derived
 from normslice.plans.constraints import labels
 
 CASE, ACTIVITY, TIMESTAMP = "case:concept:name", "concept:name", "time:timestamp"
+#: A column of more distinct labels is refused where labels come to the driver.
+MAX_LABELS = 100_000
 RESERVED = ("case_id", "n_events", "first_ts", "last_ts", "exposure", "score")
 RESERVED_PREFIXES = ("contrib__", "score__", "v__", "s__", "__")
 EXPOSURE_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "first": None, "last": None, "median": F.median}
@@ -221,7 +224,9 @@ class EventLog:
 
     def activity_labels(self) -> list[str]:
         """The distinct labels, sorted; as many as the process has activities."""
-        rows = self.events.where("__act is not null").select("__act").distinct().collect()
+        rows = self.events.where("__act is not null").select("__act").distinct().limit(MAX_LABELS + 1).collect()
+        if len(rows) > MAX_LABELS:
+            raise LogSchemaError(f"the log has more than {MAX_LABELS} activity labels: is {self.activity_col!r} the activity?")
         return sorted(r["__act"] for r in rows)
 
     def trace(self, case_id: Any) -> DataFrame:
@@ -252,7 +257,7 @@ class EventLog:
         if q * (n - 1) < 0.5:
             low, high = self._extremes()
         else:
-            low, high = _kth(ends, "a", -int(-q * (n - 1) // 1)), _kth(ends, "b", int((1 - q) * (n - 1)))
+            low, high = order_statistic(ends, "a", -int(-q * (n - 1) // 1)), order_statistic(ends, "b", int((1 - q) * (n - 1)))
         return (low if start is None else start), (high if end is None else end)
 
     def observation_window(self, q: float = 0.001) -> DataFrame:
@@ -304,25 +309,6 @@ class EventLog:
         return self.events.drop("__case", "__act", "__us", "__tie").withColumnsRenamed(names)
 
 
-def _kth(df: DataFrame, column: str, k: int) -> int:
-    """The value of 0-based rank ``k`` from below, through value counts: rows travel as one count per distinct value."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    running = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    low = F.col("bucket")
-    # two steps, so that no single task orders all values: a coarse histogram first, then the bucket that holds the rank
-    span = counts.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
-    width = max(1, (span["b"] - span["a"]) // 4096 + 1)
-    coarse = counts.groupBy(F.floor((F.col(column) - span["a"]) / width).alias("bucket")).agg(F.sum("count").alias("n")).orderBy(low).collect()
-    before = 0
-    for row in coarse:  # at most 4097 rows
-        if before + row["n"] > k:
-            start = span["a"] + row["bucket"] * width
-            inside = counts.where((F.col(column) >= start) & (F.col(column) < start + width))
-            return inside.withColumn("upto", F.sum("count").over(running)).where(F.col("upto") > k - before).agg(F.min(column)).first()[0]
-        before += row["n"]
-    raise LogSchemaError("no such rank")
-
-
 def _instant(df: DataFrame, name: str, fmt: str | None, dayfirst: bool, utc: bool) -> Column:
     """The timestamp column without zone; text is parsed by the format, then by common ones, failures are NULL."""
     c = F.col(f"`{name}`")

@@ -6,6 +6,7 @@ XES and OCEL are read by Spark with explicit schemas and unnested with ``explode
 from __future__ import annotations
 
 import datetime
+import re
 import zipfile
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -64,10 +65,11 @@ def _typed(kind: str) -> T.StructField:
     return T.StructField(kind, T.ArrayType(pair))
 
 
-def read_xes(spark: SparkSession, path: str, attributes: Sequence[str] = (), event_attributes: Sequence[str] = ("concept:name", "time:timestamp", "lifecycle:transition", "org:resource")) -> DataFrame:
+def read_xes(spark: SparkSession, path: str, attributes: Sequence[str] = (), event_attributes: Sequence[str] = ("concept:name", "time:timestamp", "lifecycle:transition", "org:resource"), strict: bool = False) -> DataFrame:
     """One row for each event of an XES file: case id, named trace and event attributes, and the event's place in its trace.
 
-    Attribute values stay text but for the times; a repeated key in one element takes the last value, a bad date is NULL.
+    Attribute values stay text but for the times; a repeated key in one element takes the last value (``strict``: raises an error
+    that names it), a bad date is NULL.
     """
     event = T.StructType([_typed(k) for k in XES_TYPES])
     schema = T.StructType([*(_typed(k) for k in XES_TYPES), T.StructField("event", T.ArrayType(event))])
@@ -75,7 +77,11 @@ def read_xes(spark: SparkSession, path: str, attributes: Sequence[str] = (), eve
 
     def value(of: str, key: str) -> Column:
         every = [F.filter(F.col(f"{of}{k}"), lambda x: x["_key"] == key) for k in XES_TYPES]
-        return F.coalesce(*(F.try_element_at(x, F.lit(-1))["_value"] for x in every))
+        found = F.coalesce(*(F.try_element_at(x, F.lit(-1))["_value"] for x in every))
+        if not strict:
+            return found
+        n = sum((F.coalesce(F.size(x), F.lit(0)) for x in every), F.lit(0))
+        return F.when(n > 1, F.raise_error(F.lit(f"an element has the key {key!r} more than once")).cast("string")).otherwise(found)
 
     cases = traces.select(value("", "concept:name").alias(CASE), *(value("", a).alias(f"case:{a}") for a in attributes), F.posexplode_outer("event").alias("event_position", "e"))
     rows = cases.where("e is not null")
@@ -86,6 +92,17 @@ def read_xes(spark: SparkSession, path: str, attributes: Sequence[str] = (), eve
     return rows.select(CASE, *(F.col(f"`case:{a}`") for a in attributes), "event_position", *columns)
 
 
+def write_xes(events: DataFrame, path: str, *, case_col: str, activity_col: str, timestamp_col: str, case_attributes: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """A log as XES files below ``path``, each a whole document: traces with text attributes, events with activity and time in order."""
+    pair = lambda key, c: F.struct(F.lit(key).alias("_key"), c.cast("string").alias("_value"))
+    when = F.date_format(F.col(f"`{timestamp_col}`"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    keys = [F.col(f"`{c}`") for c in (timestamp_col, *order)]
+    event = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.struct(F.array(pair(ACTIVITY, F.col(f"`{activity_col}`"))).alias("string"), F.array(pair(TIMESTAMP, when)).alias("date")).alias("e"))
+    traces = events.groupBy(F.col(f"`{case_col}`").alias("case"), *(F.col(f"`{a}`") for a in case_attributes)).agg(F.sort_array(F.collect_list(event)).alias("es"))
+    own = F.array(pair(ACTIVITY, F.col("case")), *(pair(a, F.col(f"`{a}`")) for a in case_attributes))
+    traces.select(own.alias("string"), F.transform("es", lambda x: x["e"]).alias("event")).write.format("xml").options(rootTag="log", rowTag="trace", arrayElementName="item").save(path)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The key values that occur more than once, with their counts."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -160,17 +177,24 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1, dates: Sequence[st
 
 
 def catalogue(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``path, bytes, sha256`` of every file below a path."""
+    """``path, relative, bytes, sha256`` of every file below a path; ``relative`` starts below it (a single file: its name)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    root = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    below = F.when(F.startswith(plain, F.lit(root + "/")), F.substring(plain, len(root) + 2, 1 << 30)).otherwise(F.substring_index(plain, "/", -1))
+    return files.select("path", below.alias("relative"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Entries of ``expected (path, sha256)`` whose file is missing or differs; paths are compared by their ends."""
-    e = expected.select(F.col("path").alias("want_path"), F.col("sha256").alias("want_sha256"))
+    """Entries of ``expected (path, sha256)`` whose file is missing from a catalogue or differs; paths are relative to its root.
+
+    Refuses paths that leave the root; that is looked up when the comparison is built.
+    """
+    want = F.regexp_replace("path", r"^(\./)+", "")
+    e = expected.select(want.alias("want_path"), F.col("sha256").alias("want_sha256"))
     if e.where(F.col("want_path").rlike(r"(^/)|(^|/)\.\.(/|$)")).limit(1).count():
         raise LogSchemaError("catalogue paths must be relative and stay inside their folder")
-    both = e.join(found, F.col("path").endswith(F.concat(F.lit("/"), F.col("want_path"))), "left")
+    both = e.join(found, F.col("relative") == F.col("want_path"), "left")
     return both.where(~F.col("sha256").eqNullSafe(F.col("want_sha256"))).select("want_path", "want_sha256", "sha256")
 
 

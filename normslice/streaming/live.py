@@ -3,6 +3,10 @@
 Violations of one case need no other case, so a stream can keep per-case aggregates in Spark's state store: counts, first and last
 times by activity, and totals. The state of a case grows with its activities, not its events. Every trigger emits the
 cases that changed; a foreach-batch sink upserts them and slices stay batch queries on that table.
+
+A case's state ends when nothing has come for it for ``idle``: cases are sessions, and the watermark drops a session that it has
+passed. Events later than the watermark are dropped with it; a case that wakes up after ``idle`` starts anew, as another row with
+a later ``opened``. Without ``idle`` a case is one row for ever and its state is never dropped.
 """
 
 from __future__ import annotations
@@ -40,17 +44,19 @@ def _streamable(norm: Norm) -> None:
             raise NormError(f"constraint {nc.id!r} needs the whole case; score it in batch")
 
 
-def live_scores(events: DataFrame, norm: Norm, *, case_col: str, activity_col: str, timestamp_col: str, watermark: str | None = "1 day") -> DataFrame:
-    """Scores per case of a (streaming or batch) frame of events; for a stream use output mode ``update``.
+def live_scores(events: DataFrame, norm: Norm, *, case_col: str, activity_col: str, timestamp_col: str, watermark: str | None = "1 day", idle: str | None = None) -> DataFrame:
+    """Scores per case of a (streaming or batch) frame of events: ``case_id``, with ``idle`` also ``opened``, counts and scores.
 
-    With a watermark, times must be a TIMESTAMP column and events later than it are dropped by the day of their case's window.
+    A stream without ``idle`` is written in mode ``update``; with ``idle`` in ``append``, when a case is over (Spark emits sessions
+    only then). A watermark needs a TIMESTAMP column.
     """
     _streamable(norm)
     if watermark and events.isStreaming:
         events = events.withWatermark(timestamp_col, watermark)
     rows = events.select("*", F.col(f"`{activity_col}`").cast("string").alias("__act"), micros(F.col(f"`{timestamp_col}`")).alias("__us"))
     wanted = {k: v for nc in norm.constraints for k, v in _aggregates(nc.constraint).items()}
-    cases = rows.groupBy(F.col(f"`{case_col}`").alias("case_id")).agg(F.count(F.lit(1)).alias("n_events"), *(v.alias(k) for k, v in wanted.items()))
+    session = [F.session_window(F.col(f"`{timestamp_col}`"), idle).alias("session")] if idle else []
+    cases = rows.groupBy(F.col(f"`{case_col}`").alias("case_id"), *session).agg(F.count(F.lit(1)).alias("n_events"), *(v.alias(k) for k, v in wanted.items()))
     columns = []
     for nc in norm.constraints:
         c = nc.constraint
@@ -69,15 +75,17 @@ def live_scores(events: DataFrame, norm: Norm, *, case_col: str, activity_col: s
             v = F.when(x.isNull(), F.lit(1.0 if c.missing_a == "violate" else None).cast("double")).otherwise(F.when(late.isNull(), open_).otherwise(met))
         else:
             y = rest[0] if rest else x
-            v = saturate(F.abs(x - y) / F.greatest(x, y, F.lit(c.eps)), c.tau, c.width)
+            refuse = F.raise_error(F.lit(f"balance of {c.attr_x} and {c.attr_y}: a total is negative")).cast("double")
+            v = F.when((x < 0) | (y < 0), refuse).otherwise(saturate(F.abs(x - y) / F.greatest(x, y, F.lit(c.eps)), c.tau, c.width))
         columns.append(v.alias(f"v__{nc.id}"))
-    scored = cases.select("case_id", "n_events", *columns)
+    opened = [F.col("session.start").alias("opened")] if idle else []
+    scored = cases.select("case_id", *opened, "n_events", *columns)
     return with_scores(scored, norm, norm.view_names, norm.scoring_mode)
 
 
-def upsert(scores: DataFrame, write: Callable[[DataFrame, int], Any], checkpoint: str, trigger: dict[str, Any] | None = None):
-    """Starts the stream; ``write(batch, id)`` gets the cases that changed in each trigger."""
-    return scores.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def upsert(scores: DataFrame, write: Callable[[DataFrame, int], Any], checkpoint: str, trigger: dict[str, Any] | None = None, mode: str = "update"):
+    """Starts the stream; ``write(batch, id)`` gets the cases that changed (``append``: that are over) in each trigger."""
+    return scores.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def event_windows(events: DataFrame, timestamp_col: str, activity_col: str, width: str, slide: str | None = None, watermark: str = "1 hour", extra: Sequence[str] = ()) -> DataFrame:

@@ -98,13 +98,14 @@ def test_missing_times(make_log):
 
 
 def test_refusals(make_log):
-    for bad in (dict(m="x"), dict(m=0), dict(m=True)):
+    for bad in (dict(m="x"), dict(m=0), dict(m=True), dict(m=1.5), dict(m="2")):
         with pytest.raises(NormError):
             Presence("a", **bad)
     for kind, params in (("nope", {}), ("lag", {"a": "x"}), ("lag", {"a": "x", "b": "y", "what": 1}), ("balance", {"attr_x": "v", "activities_x": "a", "attr_y": "v", "activities_y": "b", "tau": 2}), ("presence", {"activity": []})):
         with pytest.raises(NormError):
             constraint_from_dict(kind, params)
     assert constraint_from_dict("sing", {"activity": "a", "k": "2"}) == Singularity("a", 2)
+    assert constraint_from_dict("pres", {"activity": "a", "m": 1.5}) == Presence("a", 1)  # documents cut counts
     with pytest.raises(LogSchemaError):
         make_log([("a", "x", 0)], case_attributes=["nope"])
     with pytest.raises(LogSchemaError):

@@ -1,22 +1,27 @@
 """The example's published scores, invariants over random logs, plan shape, norms and reports."""
 
 import datetime
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from normslice import cli
 from normslice.errors import NormError, NotScoredError
+from normslice.functions import ranks
 from normslice.operators import assessments as A
 from normslice.operators import backlog as B
 from normslice.operators import diagnostics as D
 from normslice.operators.scoring import score
 from normslice.plans.constraints import Exclusion, Lag, Metric, Precedence, Presence, Singularity
 from normslice.plans.norm import Layer, Norm, NormConstraint, View
+from normslice.queries import documents
 from normslice.sources.eventlog import EventLog
 from normslice.sources.example import example_log, example_norm
 
+#: The published scores of the example.
 WANT = {"A": (0.6625, 0.8875), "B": (0.9667, 0.7), "C": (0.87, 0.9675), "D": (0.9, 0.9), "E": (0.15, 0.55)}
 
 
@@ -42,7 +47,7 @@ def test_example_layer_balanced(spark):
 
 def random_parts(seed, n_cases=60):
     r = random.Random(seed)
-    acts = ["PO", "GR", "INV", "CLR", "CINV"]
+    acts = ["ask", "pack", "send", "bill", "undo"]
     rows = [(f"k{c}", r.choice(acts), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=r.randrange(120) / 2), r.randrange(1, 80) / 4, r.choice("XYZ"), i) for c in range(n_cases) for i in range(r.randint(1, 8))]
     one = lambda: r.choice(acts)
     kinds = [
@@ -180,9 +185,79 @@ def test_command_line(spark, tmp_path, capsys):
     example_log(spark).events.drop("__case", "__act", "__us", "__tie").write.parquet(log)
     roles = ["--case", "case", "--activity", "activity", "--timestamp", "time", "--attr", "flow", "--attr", "company"]
     assert cli.main(["validate", str(norm)]) == 0 and cli.main(["describe", str(norm)]) == 0
+    assert "weights" in capsys.readouterr().out
     assert cli.main(["check", str(norm), log, *roles]) == 0
-    capsys.readouterr()
-    assert cli.main(["score", str(norm), log, *roles, "--by", "company", "--view", "Finance"]) == 0
+    out = capsys.readouterr().out
+    assert "n_events: 21" in out and "no issues found" in out
+    assert cli.main(["check", str(norm), log, *roles[:-4]]) == 1 and "'flow'" in capsys.readouterr().out
+    assert cli.main(["score", str(norm), log, *roles, "--by", "company", "--view", "Finance", "--volume", "cases", "--out", "-"]) == 0
     assert "stable_PI" in capsys.readouterr().out
+    one = tmp_path / "backlog.csv"
+    assert cli.main(["score", str(norm), log, *roles, "--exposure", "amount", "--volume", "exposure", "--by", "company", "--out", str(one), "--cases-out", str(tmp_path / "cases")]) == 0
+    assert one.read_text().startswith("company,n_cases") and spark.read.option("header", True).csv(str(tmp_path / "cases")).count() == 5
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["--version"])
+    assert stop.value.code == 0
     norm.write_text("{}")
     assert cli.main(["validate", str(norm)]) == 1
+
+
+def test_check_names_who_is_at_fault(spark):
+    norm = example_norm().replace(derived_attributes=({"name": "x", "kind": "count", "activities": ["Nowhere"]}, {"name": "y", "kind": "agg", "column": "nope", "agg": "max"}))
+    norm = norm.replace_constraint("c6", constraint=Metric("touches", 1, 1)).replace_constraint("c1", applicability={"has": ["Never"]})
+    assert norm.check(example_log(spark)) == [
+        "derived attribute 'x': activity 'Nowhere' never occurs",
+        "derived attribute 'y': 'nope' is no event column",
+        "constraint 'c1': activity 'Never' never occurs",
+        "constraint 'c6': metric attribute 'touches' is neither a case attribute nor derived",
+    ]
+
+
+def test_documents_as_users_write_them():
+    """View descriptions, text numbers, mappings for layers, empty rules, nulls, recipes by lists of activities."""
+    norm = Norm.loads(json.dumps(documents.DOCUMENT))
+    assert norm.get_view("Finance").description and norm.get_constraint("shipped_twice").constraint == Presence("ship_N", 2)
+    assert Norm.loads(norm.dumps()) == norm and Norm.loads(norm.dumps()).fingerprint == norm.fingerprint
+    assert norm.to_dict()["constraints"][0]["applicability"] == {"o_orderstatus": ["F", "P"]}
+    for change in (
+        {"derived_attributes": [*documents.DOCUMENT["derived_attributes"], documents.DOCUMENT["derived_attributes"][0]]},
+        {"derived_attributes": [{"name": "x", "kind": "count", "activity": "a"}]},
+        {"derived_attributes": [{"name": "x", "kind": "count_events"}]},
+        {"derived_attributes": [{"name": "x", "kind": "eval", "expr": "__import__('os')"}]},
+        {"views": [{"name": "v", "layer_weights": {"closure": 1}, "weights": {}}]},
+        {"views": [{"name": "v", "layer_weights": {"closure": 0}}]},
+    ):
+        with pytest.raises(NormError):
+            Norm.from_dict(documents.DOCUMENT | change)
+
+
+def test_bootstrap_counts_absent_groups_as_zero(spark):
+    """A group of one cluster is absent from some 37 % of the replicates: its lower quantile is 0."""
+    df = spark.createDataFrame([("only", "g", 0.1)] * 4 + [(f"c{i}", "h", 0.9) for i in range(40)], "c string, g string, score double")
+    row = {r["g"]: r for r in A.cluster_bootstrap(df, "c", "g", replicates=120).collect()}["g"]
+    assert row["low"] == 0 < row["median"] and 0.5 < row["top_share"] < 0.75
+
+
+def test_rank_correlations_equal_all_pairs(spark):
+    r = random.Random(4)
+    for n, kinds in ((300, 12), (300, 3), (40, 1000)):
+        points = [(float(x := r.randrange(kinds)), float(x * 3 + r.randrange(kinds * 9))) for _ in range(n)] + [(None, 1.0)]
+        df = spark.createDataFrame(points, "x double, y double")
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(a - c), sign(b - d)) for i, (a, b) in enumerate(points[:-1]) for c, d in points[:i]]
+        want = sum(a * b for a, b in pairs) / (sum(abs(a) for a, _ in pairs) * sum(abs(b) for _, b in pairs)) ** 0.5
+        for size in (40, 10_000):
+            assert ranks.kendall(df, size).first()[0] == pytest.approx(want)
+        known = pd.DataFrame(points[:-1])
+        assert ranks.spearman(df).first()[0] == pytest.approx(known.rank().corr().iloc[0, 1])
+        got = {x["g"]: (x["q0"], x["q1"]) for x in ranks.quantiles(df.where("x is not null").withColumn("g", F.col("x") % 2), "y", [0.1, 0.95], ["g"]).collect()}
+        assert got == {g: pytest.approx(tuple(known[known[0] % 2 == g][1].quantile([0.1, 0.95]))) for g in got}
+    assert ranks.kendall(df.limit(0)).first()[0] is None and ranks.spearman(df.limit(0)).first()[0] is None
+    assert ranks.quantile(df.limit(0), F.col("x"), 0.5) is None
+
+
+def test_ranks_are_not_made_in_one_task(spark):
+    """No window over all cases in the plan of ranks: those without a key run on the ranges' sums only."""
+    counts = spark.range(1000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
+    plan = ranks.before(counts, "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 1 and "__range" in plan

@@ -1,6 +1,7 @@
 """Readers on small files, sequences, and live scores as a stream."""
 
 import json
+import time
 import zipfile
 
 import pytest
@@ -29,6 +30,14 @@ def test_xes(spark, tmp_path):
     assert str(rows[0]["time:timestamp"]) == "2024-01-01 10:00:00" and rows[1]["time:timestamp"] is None and rows[0]["org:resource"] == "u"
 
 
+def test_repeated_keys_are_refused_when_strict(spark, tmp_path):
+    path = tmp_path / "log.xes"
+    path.write_text(XES.replace('<string key="org:resource" value="u"/>', '<string key="org:resource" value="u"/><string key="org:resource" value="w"/>'))
+    assert formats.read_xes(spark, str(path)).where("`org:resource` = 'w'").count() == 1
+    with pytest.raises(Exception, match="more than once"):
+        formats.read_xes(spark, str(path), strict=True).collect()
+
+
 def test_ocel(spark, tmp_path):
     doc = {
         "events": [{"id": f"e{i}", "type": "pay", "time": "2024-01-01T00:00:00Z", "relationships": [{"objectId": "po1", "qualifier": "q"}, {"objectId": f"p{i % 2}", "qualifier": "q"}]} for i in range(3)],
@@ -50,7 +59,9 @@ def test_tables_and_catalogues(spark, tmp_path):
     assert [r["b"] for r in rows] == ["café", "z"] and rows[0]["source_file"].endswith("x.csv")
     assert formats.read_table(spark, str(tmp_path / "x.csv")).count() == 2
     found = formats.catalogue(spark, str(tmp_path / "x.csv"))
-    good = found.select(F.lit("x.csv").alias("path"), "sha256")
+    good = found.select(F.lit("./x.csv").alias("path"), "sha256")
+    below = formats.catalogue(spark, str(tmp_path))
+    assert [r["relative"] for r in below.where("relative not like '%.crc'").collect()] == ["x.csv"] and formats.verify(below, good).count() == 0
     assert formats.verify(found, good).count() == 0
     assert formats.verify(found, good.union(spark.createDataFrame([("y.csv", "0")], "path string, sha256 string"))).count() == 1
     with pytest.raises(LogSchemaError):
@@ -88,6 +99,21 @@ def test_live_scores_of_a_stream_equal_the_batch(spark, tmp_path):
         live_scores(source, norm(), case_col="case", activity_col="event_type", timestamp_col="ts")
 
 
+def test_idle_cases_leave_the_state(spark, tmp_path):
+    """Sessions: a case is written once, when it is over, and one that wakes up later starts anew."""
+    schema = "case string, event_type string, ts timestamp, value double"
+    days = [("a", "click", "2024-01-01"), ("a", "purchase", "2024-01-02"), ("b", "view", "2024-01-01"), ("a", "click", "2024-03-01"), ("z", "view", "2024-06-01"), ("late", "view", "2024-01-03")]
+    folder = tmp_path / "in"
+    for i, (c, e, t) in enumerate(days):
+        spark.createDataFrame([(c, e, t, 1.0)], "case string, event_type string, ts string, value double").selectExpr("case", "event_type", "cast(ts as timestamp) ts", "value").coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    scores = live_scores(stream, live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts", watermark="1 day", idle="20 days")
+    seen = []
+    upsert(scores, lambda batch, _: seen.extend((r["case_id"], str(r["opened"])[:10], r["n_events"]) for r in batch.collect()), str(tmp_path / "state"), mode="append").awaitTermination()
+    assert sorted(seen) == [("a", "2024-01-01", 2), ("a", "2024-03-01", 1), ("b", "2024-01-01", 1)]
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("c", i, s) for i, s in enumerate("ABACCB")] + [("d", 0, "A"), ("d", 0, "B")], "case string, i int, s string")
     assert {r["case"]: (r["n_changes"], r["n_returns"]) for r in S.returns(df, "case", ["i"], "s").collect()} == {"c": (4, 1), "d": (None, None)}
