@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
@@ -25,11 +26,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normslice.llm.common import id_type
+
 #: A vocabulary file above this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 _MAX_REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 48
 _BIT = [1 << i for i in range(256)]
+#: Letters and numbers of a newer Unicode than that of the reference tokenizer library (16), which takes them for
+#: neither. They are split as that library splits them: as code points of no class.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F),
+    (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+_CLASSLESS = dict.fromkeys((c for a, b in NEWER for c in range(a, b + 1)), "\uffff")
 
 
 class RankQueue:
@@ -236,7 +250,14 @@ class Codec:
     def encode(self, text: str) -> bytes:
         if len(self.young) >= _MAX_REMEMBERED:  # what was used since the last turn stays for another
             self.old, self.young = dict(self.young), _Recent(self._piece)
-        return b"".join(map(self.young.__getitem__, self.split(text)))
+        if not text.isascii() and _NEWER.search(text):
+            pieces, at = [], 0
+            for piece in self.split(text.translate(_CLASSLESS)):  # the pattern takes every character, so pieces lie side by side
+                pieces.append(text[at : at + len(piece)])
+                at += len(piece)
+        else:
+            pieces = self.split(text)
+        return b"".join(map(self.young.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
@@ -261,7 +282,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, *, keep_ids: boo
     ranks = read_ranks(vocabulary)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    schema = f"doc_id {id_type(documents)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared.value, pattern)
@@ -275,4 +296,4 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, *, keep_ids: boo
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Classes of a training sample at most (languages, labels): the bound of the broadcast of their sizes.
-MAX_CLASSES = 10_000
+from normslice.functions.shared import remove as _remove
+from normslice.functions.shared import shared_path, stored
+from normslice.functions.shared import stored_at as _stored
+
+__all__ = ["components", "crc_bucket", "fresh", "id_type", "sampled_ids", "shared_path", "stored", "table", "whole_ids"]
+
 #: Rows of one Arrow batch, unless the session sets its own number.
 BATCH_ROWS = 512
 
@@ -38,43 +40,15 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def _checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; one of our own only where it is unset."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        root = "/tmp/checkpoints"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; removed when the driver's Python ends."""
-    path = f"{_checkpoint_root(spark)}/normslice-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
+def id_type(df: DataFrame, column: str = "doc_id") -> str:
+    """The type of an id column, as a schema names it: ids of any type that can be ordered keep theirs."""
+    return dict(df.dtypes)[column]
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; leftovers lie in the checkpoint folder
-        return
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors."""
-    return _stored(df, name)[0]
-
-
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def whole_ids(df: DataFrame, column: str = "doc_id") -> None:
+    """Refuses ids that are no whole numbers, where positions are computed with them."""
+    if id_type(df, column) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a whole number here, not {id_type(df, column)}")
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -91,19 +65,15 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 
 
 def sampled_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` ids of each class, the ones of smallest hash: a bounded, repeatable training sample.
+    """About ``per_class`` ids of each class, the ones whose hash lies under the wanted share; all of a smaller class.
 
-    Class sizes are counted first, so that only ids whose hash lies under four times the wanted share are ranked: the
-    ranking task of a class gets some ``4 * per_class`` rows, however many rows and tasks there are.
+    A repeatable training sample: class sizes are counted, then every row decides for itself, so nothing is ranked or
+    gathered. The number of ids of a class varies about ``per_class`` by its square root.
     """
-    from pyspark.sql import Window
-
     rows = labelled.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-    sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_size")).limit(MAX_CLASSES)
-    share = F.least(F.lit(1.0), F.lit(4.0 * per_class) / F.col("_size"))
-    low = rows.join(F.broadcast(sizes), class_col).where(F.xxhash64(id_col).cast("double") <= share * 2.0**64 - 2.0**63)
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select(id_col, class_col)
+    sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_size"))
+    share = F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("_size"))
+    return rows.join(sizes, class_col).where(F.xxhash64(id_col).cast("double") <= share * 2.0**64 - 2.0**63).select(id_col, class_col)
 
 
 def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
@@ -132,9 +102,10 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
             "node", F.col("component").alias("before"), F.least("component", "near").alias("c")
         )
         # hook: everything under an old label follows the smallest label that any of its nodes has met
-        hooks = step.groupBy(F.col("before").alias("root")).agg(F.min("c").alias("to"))
-        step = step.join(hooks, F.col("before") == F.col("root")).select(
-            "node", "before", F.least("c", "to").alias("c")
+        # (only labels that move are joined, so a settled giant component meets no row)
+        hooks = step.groupBy(F.col("before").alias("root")).agg(F.min("c").alias("to")).where("to < root")
+        step = step.join(hooks, F.col("before") == F.col("root"), "left").select(
+            "node", "before", F.least("c", F.coalesce("to", "c")).alias("c")
         )
         # jump: follow the label of the label
         jump = labels.select(F.col("node").alias("root"), F.col("component").alias("to"))

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, sampled_ids
+from normslice.llm.common import crc_bucket, id_type, sampled_ids
 
-LETTERS = re.compile(r"[^\W\d_]+")
+ALNUM = re.compile(r"[^\W\d_]+")
 PROFILE = 400
+MAX_LANGUAGES = 5_000
 #: Words that are counted at once; a longer text is counted in parts that are summed.
 _PART = 100_000
 _SPACE = 32
@@ -39,6 +40,14 @@ def gram_text(code: int) -> str:
     return "".join(chr(code >> 21 * (2 - i) & 0x1FFFFF) for i in range(3)).rstrip("\0")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (general category L) in lower case."""
+    words = ALNUM.findall((text or "").lower())
+    if "".join(words).isalpha():
+        return words
+    return [run for w in words for run in "".join(c if c.isalpha() else " " for c in w).split()]  # fractions, circled digits and the like are no letters
+
+
 def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the 1- to 3-grams of words that are framed by blanks."""
     c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -49,7 +58,7 @@ def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the n-grams of a whole text; empty without a letter."""
-    words = LETTERS.findall((text or "").lower())
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes, counts = _counted(words[:_PART])
@@ -69,13 +78,15 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 
 
 def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max_per_language: int = 2_000) -> dict[str, list[int]]:
-    """A profile (gram codes in order of rank) for each language, from at most ``max_per_language`` documents of it (ids of smallest hash).
+    """A profile (gram codes in order of rank) for each language, from about ``max_per_language`` documents of it (ids of smallest hash).
 
-    Counts are summed on the shuffle; ``PROFILE`` n-grams of each language reach the driver.
+    Counts are summed on the shuffle; ``PROFILE`` n-grams of each language reach the driver, for ``MAX_LANGUAGES`` at most: a
+    column of more values is refused as no language.
     """
     usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
     ids = sampled_ids(usable.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", max_per_language)
-    train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("lang", "text")
+    # no hint: the number of languages is not known beforehand, so Spark sizes this join
+    train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,41 +99,48 @@ def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2,
 
     counts = train.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
-    rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).collect()
+    ranked_grams = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
+    rows = ranked_grams.limit(MAX_LANGUAGES * PROFILE + 1).collect()
+    if len(rows) > MAX_LANGUAGES * PROFILE:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     profiles: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         profiles.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return {lang: [g for _, g in sorted(p)] for lang, p in profiles.items()}
 
 
-def identify(documents: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """``doc_id, lang_pred, score``; the score is how much closer the language is than the farthest possible list."""
+def tables(profiles: dict[str, list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, all n-grams of their profiles, and the rank of each n-gram in each profile (-1: not listed; last row: in none)."""
     languages = sorted(profiles)
     grams = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-    ranks = np.full((len(grams) + 1, len(languages)), -1, np.int32)  # the last row is for n-grams in no profile
+    ranks = np.full((len(grams) + 1, len(languages)), -1, np.int32)
     for i, lang in enumerate(languages):
         ranks[np.searchsorted(grams, np.array(profiles[lang], np.int64)), i] = np.arange(len(profiles[lang]))
-    shared = documents.sparkSession.sparkContext.broadcast((languages, grams, ranks))  # PROFILE n-grams a language
+    return languages, grams, ranks
+
+
+def judge(text: str | None, names: list[str], known: np.ndarray, table: np.ndarray) -> tuple[str, float]:
+    """The language of least out-of-place distance, and how much closer it is than the farthest possible list."""
+    own = ranked(*gram_counts(text))
+    if not len(own) or not names:
+        return "und", 0.0
+    row = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    theirs = table[np.where(known[row] == own, row, len(known))]
+    distance = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
+    best = int(distance.argmin())
+    return names[best], 1.0 - float(distance[best]) / (PROFILE * len(own))
+
+
+def identify(documents: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
+    """``doc_id, lang_pred, score``."""
+    shared = documents.sparkSession.sparkContext.broadcast(tables(profiles))  # PROFILE n-grams of MAX_LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known, table = shared.value
         for batch in batches:
-            predicted, scores = [], []
-            for text in batch.column(1):
-                own = ranked(*gram_counts(text.as_py()))
-                if not len(own) or not names:
-                    predicted.append("und")
-                    scores.append(0.0)
-                    continue
-                row = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                theirs = table[np.where(known[row] == own, row, len(known))]
-                distance = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
-                best = int(distance.argmin())
-                predicted.append(names[best])
-                scores.append(1.0 - float(distance[best]) / (PROFILE * len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            found = [judge(t.as_py(), *shared.value) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type(documents)}, lang_pred string, score double")
 
 
 def language_id(documents: DataFrame, **parameters) -> DataFrame:

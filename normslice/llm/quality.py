@@ -2,10 +2,12 @@
 
 1. A document classifier (logistic over text statistics, fitted on a bounded sample of labelled rows) gives each document's
    probability of good quality.
-2. Sites: sums over paths and, from these, over hosts. Priors are fitted by moments over all groups: the spread of host means
+2. Sites: what is believed of each document (its label where it may be learnt from, else the classifier's evidence) is summed
+   over paths and, from these, over hosts. Priors are fitted by moments over all groups: the spread of host means
    beyond what their sizes explain sets how strongly a host is shrunk to the global mean; the spread of path means within
    hosts sets how strongly a path is shrunk to its host. Sparse sites so fall back to what is known above them.
-3. The document's log-odds are moved by how far its path's posterior lies from the global mean.
+3. The document's log-odds are moved by how far its path's posterior lies from the global mean. Its own belief is taken out of
+   its path and host first, so it does not count twice.
 
 Only grouped sums travel: a host with a third of all rows is folded before the shuffle, and its rows meet the posteriors
 in a join that adaptive execution can split.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, sampled_ids, stored
+from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
 
 _WORDS = re.compile(r"[^\W_]+")
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -69,9 +71,9 @@ class Classifier:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, held_out_mod: int = 5, held_out_rest: int = 0, max_per_class: int = 8_000, ridge: float = 1.0) -> Classifier:
-    """Logistic regression on at most ``max_per_class`` labelled rows of each class (ids of smallest hash)."""
+    """Logistic regression on about ``max_per_class`` labelled rows of each class (ids of smallest hash)."""
     usable = labels.where(F.col("quality").isin(0, 1) & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
-    ids = sampled_ids(usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "doc_id", "quality", max_per_class)
+    ids = sampled_ids(usable.groupBy(F.col("doc_id").cast(id_type(documents)).alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")), "doc_id", "quality", max_per_class)
     train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +111,8 @@ def classify(documents: DataFrame, model: Classifier, host: Column, path: Column
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p, pa.float64())], ["doc_id", "host", "path", "evidence"])
 
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long"), named(host).alias("host"), named(path).alias("path"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, host string, path string, evidence double")
+    rows = documents.select("doc_id", named(host).alias("host"), named(path).alias("path"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, f"doc_id {id_type(documents)}, host string, path string, evidence double")
 
 
 def _strength(groups: DataFrame, n: str, total: str, squares: str, centre: Column) -> float:
@@ -131,18 +133,33 @@ def _strength(groups: DataFrame, n: str, total: str, squares: str, centre: Colum
     return float(min(max(sigma2 / tau2, 1.0), 1e6)) if tau2 > 0 and sigma2 > 0 else 1e6 if sigma2 > 0 else 10.0
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """``host, path, n_path, n_host, host_posterior, path_posterior`` for every path, and the global mean."""
-    paths = stored(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), F.sum("evidence").alias("sum_path"), F.sum(F.col("evidence") * F.col("evidence")).alias("sq_path")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("sum_path").alias("sum_host"), F.sum("sq_path").alias("sq_host"))
-    total = paths.agg(F.sum("sum_path").alias("s"), F.sum("n_path").alias("n")).first()
-    prior = min(max(total["s"] / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
-    k_host = _strength(hosts, "n_host", "sum_host", "sq_host", F.lit(prior))
-    hosts = hosts.withColumn("host_posterior", (F.col("sum_host") + k_host * prior) / (F.col("n_host") + k_host))
+@dataclass(frozen=True)
+class Priors:
+    """The global mean, and how many documents' worth it weighs against a host's own, and a host's against a path's."""
+
+    mean: float
+    host: float
+    path: float
+
+
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, Priors]:
+    """``host, path, n_path, sum_path, n_host, sum_host`` for every path over ``evidence (host, path, belief)``, and the priors by moments."""
+    belief = F.col("belief")
+    paths = stored(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), F.sum(belief).alias("sum_path"), F.sum(belief * belief).alias("sq_path")), "paths")
+    hosts = stored(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("sum_path").alias("sum_host"), F.sum("sq_path").alias("sq_host")), "hosts")
+    total = hosts.agg(F.sum("sum_host").alias("s"), F.sum("n_host").alias("n")).first()
+    mean = min(max(total["s"] / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
     both = paths.join(hosts, "host")
-    k_path = _strength(both, "n_path", "sum_path", "sq_path", F.col("sum_host") / F.col("n_host"))
-    out = both.withColumn("path_posterior", (F.col("sum_path") + k_path * F.col("host_posterior")) / (F.col("n_path") + k_path))
-    return out.select("host", "path", "n_path", "n_host", "host_posterior", "path_posterior"), prior
+    priors = Priors(mean, _strength(hosts, "n_host", "sum_host", "sq_host", F.lit(mean)), _strength(both, "n_path", "sum_path", "sq_path", F.col("sum_host") / F.col("n_host")))
+    return both.select("host", "path", "n_path", "sum_path", "n_host", "sum_host"), priors
+
+
+def posteriors(sites: DataFrame, priors: Priors, own: Column | None = None) -> DataFrame:
+    """Adds ``host_posterior`` and ``path_posterior``; with ``own``, a row's own belief is first taken out of its host and path."""
+    one, less = (F.lit(0), F.lit(0.0)) if own is None else (F.lit(1), own)
+    of = lambda n, total, strength, centre: (F.col(total) - less + strength * centre) / (F.col(n) - one + strength)
+    out = sites.withColumn("host_posterior", of("n_host", "sum_host", F.lit(priors.host), F.lit(priors.mean)))
+    return out.withColumn("path_posterior", of("n_path", "sum_path", F.lit(priors.path), F.col("host_posterior")))
 
 
 def _log_odds(p: Column) -> Column:
@@ -150,13 +167,17 @@ def _log_odds(p: Column) -> Column:
     return F.log(clipped / (1 - clipped))
 
 
-def quality(documents: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep_from: float = 0.5, **parameters) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep_from: float = 0.5, held_out_mod: int = 5, held_out_rest: int = 0, **parameters) -> DataFrame:
     """One row per document: ``doc_id, held_out, evidence, host_posterior, path_posterior, score, keep``."""
-    evidence = stored(classify(documents, fit(documents, labels, **parameters), F.col(host), F.col(path)), "evidence")
-    sites, prior = site_posteriors(evidence)
-    odds = _log_odds(F.col("evidence")) + _log_odds(F.col("path_posterior")) - _log_odds(F.lit(prior))
+    model = fit(documents, labels, held_out_mod=held_out_mod, held_out_rest=held_out_rest, **parameters)
+    evidence = classify(documents, model, F.col(host), F.col(path))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
+    known = known.groupBy(F.col("doc_id").cast(id_type(documents)).alias("_id")).agg(F.max("quality").cast("double").alias("_label"))
+    believed = stored(evidence.join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "host", "path", "evidence", F.coalesce("_label", "evidence").alias("belief")), "evidence")
+    sites, priors = site_sums(believed)
+    placed = posteriors(believed.join(sites, ["host", "path"]), priors, F.col("belief"))
+    odds = _log_odds(F.col("evidence")) + _log_odds(F.col("path_posterior")) - _log_odds(F.lit(priors.mean))
     score = 1 / (1 + F.exp(-odds))
-    joined = evidence.join(sites, ["host", "path"])
-    return joined.select(
-        "doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep_from).cast("int").alias("keep")
+    return placed.select(
+        "doc_id", (crc_bucket(F.col("doc_id"), held_out_mod) == held_out_rest).alias("held_out"), "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep_from).cast("int").alias("keep")
     )

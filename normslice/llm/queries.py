@@ -23,7 +23,7 @@ def op2_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position", "previous_page")
 
 
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +87,14 @@ FROM d LEFT JOIN j USING (doc_id)
 """
 
 
-_OP3 = """
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
-x AS (SELECT *, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p),
-b AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i: to_base(CAST('0x' || substr(hex, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT), 32, 4)), '') AS d FROM x)
+_OP3 = r"""
+WITH p AS (SELECT page_id, coalesce(lower(url), 'about:blank') AS u, coalesce(html, '') AS h FROM pages),
+x AS (SELECT *, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first, regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS host, regexp_extract(u, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*(\?[^#]+)', 1) AS query FROM p),
+b AS (SELECT *, CASE WHEN host = '' THEN u ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key,
+  array_to_string(list_transform(range(0, 8), lambda i: to_base(CAST('0x' || substr(hex, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT), 32, 4)), '') AS d FROM x)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, translate(d, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
+  row_number() OVER (ORDER BY key, page_id) - 1 AS position, lag(page_id) OVER (PARTITION BY key ORDER BY page_id) AS previous_page
 FROM b
 """
 

@@ -123,7 +123,8 @@ def open_ledger(df: DataFrame, path: str) -> DataFrame | None:
 def scan(versions: DataFrame, ledger_path: str, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
     """Bring the ledger at ``ledger_path`` up to date with ``versions (path, text)`` and return ``path, blob, spans``.
 
-    ``spans`` is ``array<struct<start, rank, kind, end>>`` over all rule sets, in order of start, then kind.
+    ``spans`` is ``array<struct<start, rank, kind, end>>`` over all rule sets, in order of start, then kind. The ledger is only
+    appended to; entries that two runs at once wrote twice count once.
     """
     spark = versions.sparkSession
     content = versions.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
@@ -138,6 +139,8 @@ def scan(versions: DataFrame, ledger_path: str, rule_sets: tuple[RuleSet, ...] =
         pending = pending.where(F.size("done") < len(wanted))
     findings(pending, rule_sets).write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("rule_version").isin(wanted) & (F.size("findings") > 0))
+    # two runs at once may both have scanned a blob: one entry for each (blob, rule version) counts
+    ledger = ledger.groupBy("blob", "rule_version").agg(F.first("findings").alias("findings"))
     by_blob = ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("spans"))
     return content.select("path", "blob").join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(_FINDINGS)).alias("spans"))
 

@@ -13,8 +13,8 @@ that meet at a point are linked to the smallest there.
 Copies are folded into their fingerprint before any of this, so a text repeated a million times costs one fingerprint.
 
 Defined results: a null text is an empty text; texts without words have fingerprint 0 and are linked like any other;
-null ids take no part in the choice of the smallest id (a group of null ids only has a null component); repeated rows
-give repeated result rows; an empty table gives an empty table; extra columns are not read.
+null ids take no part in the choice of the smallest id (a group of null ids only has a null component); rows that repeat
+an id are one document in the components, and each gives a result row; ids of any type are compared as their type orders them; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import components, fresh, stored
+from normslice.llm.common import components, fresh, id_type, stored
 
 BITS = 64
 SEED = 42
@@ -54,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) for every row."""
+    """``doc_id, text_hash, fp`` (signed 64-bit) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["doc_id", "text_hash", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, f"doc_id {id_type(documents)}, text_hash long, fp long")
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -127,14 +128,14 @@ def links(nodes: DataFrame, *, radius: int = 2, segments: int = 2, bucket_limit:
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 2, segments: int = 2, bucket_limit: int = 48) -> DataFrame:
-    """``doc_id, fingerprint (16 hex digits), component_id`` for every row; linked documents share the smallest id."""
+    """``doc_id, fingerprint (16 hex digits), component_id, text_hash`` for every row; linked documents share the smallest id."""
     prints = stored(fingerprints(documents, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "fp-nodes")
     joined = components(links(nodes.where("node is not null"), radius=radius, segments=segments, bucket_limit=bucket_limit), "a", "b")
     resolved = nodes.join(joined.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
         "fp", F.coalesce("component", "node").alias("component_id")
     )
-    return prints.join(resolved, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(resolved, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def drop_near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
@@ -142,20 +143,26 @@ def drop_near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
     return keep_smallest(documents, near_duplicates(documents, **parameters))
 
 
+def text_hash() -> Column:
+    """What tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def keep_smallest(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose id is the ``component_id`` of their group in ``marks``; rows of null id stay.
+    """The rows of ``documents`` whose id is the ``component_id`` of their group in ``marks (doc_id, text_hash, component_id)``.
 
-    Only the ids that go are joined to the texts; of repeated rows of one kept id, one stays.
+    Every row is judged by its own text: of rows that repeat an id with different texts, each stays or goes with the group of
+    its text. Of repeated rows of one id and text that stays, one stays; rows of null id stay. Only the ids and hashes of
+    rows that go are joined to the texts.
     """
     from pyspark.sql import Window
 
-    gone = fresh(documents.columns, "_gone")
-    goes = marks.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = documents.join(goes, F.col("doc_id") == F.col(gone), "left_anti")
-    again = marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    gone, other, own, row = (fresh(documents.columns, n) for n in ("_gone", "_other", "_own", "_row"))
+    goes = marks.where("doc_id <> component_id").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(other)).distinct()
+    kept = documents.withColumn(own, text_hash()).join(goes, (F.col("doc_id") == F.col(gone)) & (F.col(own) == F.col(other)), "left_anti")
+    again = marks.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if not again:
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    row = fresh(documents.columns, "_row")
+        return kept.drop(own)
+    order = Window.partitionBy("doc_id", own).orderBy(own)
     ranked = kept.where("doc_id is not null").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
-    return ranked.unionByName(kept.where("doc_id is null"))
+    return ranked.unionByName(kept.where("doc_id is null")).drop(own)

@@ -15,25 +15,25 @@ A byte goes if a ``LENGTH``-byte string over it also starts earlier (in a smalle
 4. Per document, removed windows become byte ranges that are cut from its text.
 
 The folding before the shuffle leaves each buffer of text at most one row for a run, so a passage held by a third of all
-documents does not pile up in a task; which anchors are spread is estimated on a sample and changes the layout only, never the
-result.
+documents does not pile up in a task. Which anchors are spread over shards is counted over all contents that reach the shards.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all; ``doc_id`` names a document: rows repeating
 an id are one document (each row is returned, positions are not copies of themselves); rows of null id are returned whole
-and are no source of copies; an empty table gives an empty table; extra columns are not read. Kept bytes may cut a character.
+and are no source of copies; an empty table gives an empty table; ids are whole
+numbers; extra columns are not read. Kept bytes may cut a character.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import stored
+from normslice.llm.common import stored, whole_ids
 
 LENGTH = 100
 GRAM = 32
@@ -41,11 +41,12 @@ GRAM = 32
 BUFFER = 2 << 20
 #: Bytes of run contents that fill a shard; one whole anchor group may come on top.
 SHARD = 1 << 20
-#: An anchor whose contents would take more bytes than this, judged by SAMPLE of the documents, is spread over shards.
+#: An anchor whose contents take more bytes than this is spread over shards.
 SPREAD_BYTES = 3 << 20
+#: The share of documents from which the dealing of runs before they meet is laid out.
 SAMPLE = 0.02
-#: At most so many anchors are spread (the most frequent ones): the bound of the broadcast.
-MAX_SPREAD = 20_000
+#: Windows of spread anchors that one range of the merging holds, about.
+RANGE_WINDOWS = 200_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -302,50 +303,54 @@ def _ranges(doc: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     return [pa.array(doc[first]), pa.array(at[first]), pa.array((at[last] - at[first] + 1).astype(np.int32))]
 
 
-def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over blocks of whole ``(anchor, salt)`` groups; rows come sorted by these."""
-    names = ["doc", "start", "n", "salt", "window"]
-    block: list[tuple] = []
-    size = 0
-
-    def solved() -> Iterator[pa.RecordBatch]:
-        contents = [r[5] for r in block]
-        classes, owner, offset = equal_windows(contents)
-        docs, starts, salts = (np.array([r[i] for r in block], np.int64) for i in (2, 3, 1))
-        doc, at = docs[owner], starts[owner] + offset
-        order = np.lexsort((at, doc, classes))
-        classes, doc, at, owner, offset = classes[order], doc[order], at[order], owner[order], offset[order]
-        new = np.ones(len(order), bool)
-        new[1:] = classes[1:] != classes[:-1]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        goes = ~new & ((doc != doc[head]) | (at != at[head]))
-        if goes.any():
-            ranges = _ranges(doc[goes], at[goes])
-            k = len(ranges[0])
-            yield pa.RecordBatch.from_arrays([*ranges, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        first = new & (salts[owner] >= 0)  # first of their class here; another shard may know better
-        if first.any():
-            order = np.lexsort((offset[first], owner[first]))
-            own, off = owner[first][order], offset[first][order]
-            head = np.ones(len(own), bool)
-            head[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
-            begin = np.flatnonzero(head)
-            count = np.diff(np.append(begin, len(own)))
-            own, off = own[begin], off[begin]
-            parts = [contents[o][f : f + c + LENGTH - 1] for o, f, c in zip(own.tolist(), off.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary())], names
-            )
+def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffix arrays over blocks of whole ``(anchor, salt)`` groups, of about ``limit`` bytes; rows come sorted by these."""
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if size >= SHARD and row[:2] != block[-1][:2]:
-                yield from solved()
-                block, size = [], 0
-            block.append(row)
-            size += len(row[5])
-    if block:
-        yield from solved()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "start", "n", "salt", "window"]
+        block: list[tuple] = []
+        size = 0
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            contents = [r[5] for r in block]
+            classes, owner, offset = equal_windows(contents)
+            docs, starts, salts = (np.array([r[i] for r in block], np.int64) for i in (2, 3, 1))
+            doc, at = docs[owner], starts[owner] + offset
+            order = np.lexsort((at, doc, classes))
+            classes, doc, at, owner, offset = classes[order], doc[order], at[order], owner[order], offset[order]
+            new = np.ones(len(order), bool)
+            new[1:] = classes[1:] != classes[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            goes = ~new & ((doc != doc[head]) | (at != at[head]))
+            if goes.any():
+                ranges = _ranges(doc[goes], at[goes])
+                k = len(ranges[0])
+                yield pa.RecordBatch.from_arrays([*ranges, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            first = new & (salts[owner] >= 0)  # first of their class here; another shard may know better
+            if first.any():
+                order = np.lexsort((offset[first], owner[first]))
+                own, off = owner[first][order], offset[first][order]
+                head = np.ones(len(own), bool)
+                head[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
+                begin = np.flatnonzero(head)
+                count = np.diff(np.append(begin, len(own)))
+                own, off = own[begin], off[begin]
+                parts = [contents[o][f : f + c + LENGTH - 1] for o, f, c in zip(own.tolist(), off.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary())], names
+                )
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if size >= limit and row[:2] != block[-1][:2]:
+                    yield from solved()
+                    block, size = [], 0
+                block.append(row)
+                size += len(row[5])
+        if block:
+            yield from solved()
+
+    return run
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,43 +404,50 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
-def _spread(texts: DataFrame) -> dict[int, int]:
-    """Anchors of very many contents, with the number of shards for each; from a sample, at most ``MAX_SPREAD``."""
-    sample = texts.sample(SAMPLE, seed=11).mapInArrow(_anchored, _RUN).where("not done")
-    counts = sample.groupBy("anchor").agg((F.count(F.lit(1)) / SAMPLE * int(LENGTH * 1.4)).alias("bytes")).where(F.col("bytes") > SPREAD_BYTES)
-    most = counts.orderBy(F.col("bytes").desc()).limit(MAX_SPREAD).collect()
-    return {r["anchor"]: int(min(1 << 30, 1 + r["bytes"] // SPREAD_BYTES)) for r in most}
+def _shares(runs: DataFrame, share: float = 1.0) -> DataFrame:
+    """``anchor_, shards`` of the anchors of ``runs`` whose contents take more than ``SPREAD_BYTES`` together."""
+    size = F.sum(F.col("n") + (LENGTH - 1)) / share
+    heavy = runs.groupBy(F.col("anchor").alias("anchor_")).agg(size.alias("bytes")).where(F.col("bytes") > SPREAD_BYTES)
+    return heavy.select("anchor_", F.least(F.lit(1 << 30), 1 + F.floor(F.col("bytes") / SPREAD_BYTES)).cast("int").alias("shards"))
+
+
+def _dealt(runs: DataFrame, heavy: DataFrame, by: Column) -> DataFrame:
+    """Adds ``salt``: which shard of a heavy anchor a run goes to, -1 for other anchors. Heavy anchors are few; Spark sizes the join."""
+    return runs.join(heavy, F.col("anchor") == F.col("anchor_"), "left").withColumn("salt", F.coalesce(F.pmod(by, F.col("shards")).cast("int"), F.lit(-1))).drop("anchor_", "shards")
 
 
 def removed_windows(documents: DataFrame) -> DataFrame:
-    """``doc, start, n``: ranges of window starts whose windows have an earlier equal."""
+    """``doc, start, n, by``: ranges of window starts whose windows have an earlier equal, and what found it: run, suffix or merge."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    spread = _spread(texts)
     keyed = texts.mapInArrow(_anchored, _RUN)
-    salt = F.lit(-1)
-    if spread:
-        shards = F.create_map(*(F.lit(x).cast("long") if i % 2 == 0 else F.lit(x) for kv in spread.items() for i, x in enumerate(kv))) if len(spread) <= 200 else None
-        if shards is not None:
-            salt = F.coalesce(F.pmod(F.col("content"), F.try_element_at(shards, F.col("anchor"))).cast("int"), F.lit(-1))
-        else:
-            side = documents.sparkSession.createDataFrame(list(spread.items()), "anchor long, shards int")
-            keyed = keyed.join(F.broadcast(side), "anchor", "left")  # MAX_SPREAD rows at most
-            salt = F.coalesce(F.pmod(F.col("content"), F.col("shards")).cast("int"), F.lit(-1))
-    keyed = keyed.select("anchor", "content", "doc", "start", "n", "done", F.when(F.col("done"), F.lit(-1)).otherwise(salt).alias("salt"))
+    # runs meet by streaming over sorted rows, so a heavy anchor that the sample misses costs time in a task, no memory
+    expected = stored(_shares(texts.sample(SAMPLE, seed=11).mapInArrow(_anchored, _RUN).where("not done"), SAMPLE), "expected")
+    if expected.limit(1).count():
+        keyed = _dealt(keyed, expected, F.col("content")).withColumn("salt", F.when(F.col("done"), F.lit(-1)).otherwise(F.col("salt")))
+    else:
+        keyed = keyed.withColumn("salt", F.lit(-1))
     met = stored(
-        keyed.repartition("anchor", "salt").sortWithinPartitions("anchor", "content", "n", "done", "doc", "start").mapInArrow(_meet, _MET),
+        keyed.select("anchor", "content", "doc", "start", "n", "done", "salt").repartition("anchor", "salt").sortWithinPartitions("anchor", "content", "n", "done", "doc", "start").mapInArrow(_meet, _MET),
         "runs",
     )
-    plays = met.where("multi").groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "start", "n")).alias("plays"))
+    # contents are held in memory, so which anchors are spread over shards is counted over all of them
+    playing = met.where("multi").drop("salt")
+    heavy = stored(_shares(playing), "heavy")
+    spread = heavy.limit(1).count() > 0
+    playing = _dealt(playing, heavy, F.xxhash64("doc", "start")) if spread else playing.withColumn("salt", F.lit(-1))
+    plays = playing.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "start", "n")).alias("plays"))
     contents = texts.join(plays, "doc").select("doc", "text", "plays").mapInArrow(_contents, "anchor long, salt int, doc long, start long, n int, bytes binary")
-    solved = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sharded, _GONE)
-    gone = met.where("not multi").select("doc", "start", "n")
+    solved = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sharded(SHARD), _GONE)
+    gone = met.where("not multi").select("doc", "start", "n", F.lit("run").alias("by"))
     if spread:
         solved = stored(solved, "windows")
-        lists = solved.where("window is not null").mapInArrow(_single, "doc long, start long, salt int, window binary")
-        gone = gone.union(lists.repartitionByRange("window").mapInArrow(_merged, "doc long, start long, n int"))
+        first = solved.where("window is not null")
+        ranges = max(1, -(-(first.agg(F.sum("n")).first()[0] or 0) // RANGE_WINDOWS))
+        lists = first.mapInArrow(_single, "doc long, start long, salt int, window binary")
+        merged = lists.repartitionByRange(ranges, "window").mapInArrow(_merged, "doc long, start long, n int")
+        gone = gone.union(merged.withColumn("by", F.lit("merge")))
         solved = solved.where("window is null")
-    return gone.union(solved.select("doc", "start", "n"))
+    return gone.union(solved.select("doc", "start", "n", F.lit("suffix").alias("by")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,6 +477,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    whole_ids(documents)
     gone = removed_windows(documents).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     return texts.join(gone, "doc", "left").select("doc", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

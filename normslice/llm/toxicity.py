@@ -3,14 +3,14 @@
 1. ``fit``: the numbers of toxic and clean labelled documents that hold a word give it a log-odds under a two-level Dirichlet
    prior: a word is shrunk to its stem (first letters), a stem to the global rate. Rare and unseen words so borrow
    from their stem.
-2. ``segments``: over the scores of a whole text, the linear-time all-maximal-segments scan finds every disjoint passage
-   of maximal score; an E-value from Karlin-Altschul statistics (lambda from the null word distribution, K from
-   the clean training documents' maxima) tells which passages are significant.
+2. ``segments``: over the scores of a whole text, in which a positive word counts once in ``REPEAT`` + 1 words, the linear-time all-maximal-segments scan finds every disjoint passage
+   of maximal score; an E-value from Karlin-Altschul statistics (lambda from the word
+   tokens of clean training documents, K from their maxima) tells which passages are significant.
 3. ``score``: a logistic link over the extreme-value statistics of the document's passages, fitted on the training rows.
 
 Defined results: a null or wordless text has no passage and gets the score of an empty text (intercept only); repeated
 rows are scored alike; a label other than 0 or 1 and null ids are ignored in training; with no labelled rows of one
-of the classes every score is 0. Clashing extra columns of the input are never read.
+of the classes every score is 0; ids keep their type. Clashing extra columns of the input are never read.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, sampled_ids, stored
+from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
 
 WORDS = re.compile(r"[^\W_]+")
 STEM = 6
-#: A positive word counts again only this many words after its last occurrence.
+#: A positive word counts again only more than this many words after it last counted.
 REPEAT = 8
 
 
@@ -52,10 +52,11 @@ class ToxicityModel:
             (words[w] if w in words else stems.get(w[:STEM], default) for w in found), float, len(found)
         )
         last: dict[str, int] = {}
-        for i in np.flatnonzero(out > 0).tolist():  # a word repeated at once adds nothing to its passage
+        for i in np.flatnonzero(out > 0).tolist():  # a word said again at once adds nothing to its passage
             if i - last.get(found[i], -REPEAT - 1) <= REPEAT:
                 out[i] = 0.0
-            last[found[i]] = i
+            else:
+                last[found[i]] = i
         return out
 
     def e_value(self, segment_score: float, n_tokens: int) -> float:
@@ -101,26 +102,23 @@ def _features(model: ToxicityModel, scores: np.ndarray, alpha: float) -> tuple[n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts of each class hold a word, in this partition; flushed when the table grows large."""
-    counts: Counter = Counter()
+    """How many texts of each class hold a word, and how often, in this partition; flushed when the table grows large."""
+    counts: dict[tuple[str, int], list[int]] = {}
 
     def flush() -> pa.RecordBatch:
         items = list(counts.items())
         counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k, _ in items], pa.string()),
-                pa.array([k[1] for k, _ in items], pa.int32()),
-                pa.array([v for _, v in items], pa.int64()),
-            ],
-            ["word", "toxic", "n"],
-        )
+        columns = [[k[0] for k, _ in items], [k[1] for k, _ in items], [v[0] for _, v in items], [v[1] for _, v in items]]
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "toxic", "n", "m"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
             label = toxic.as_py()
-            for word in set(WORDS.findall((text.as_py() or "").lower())):  # a word that one text repeats is one witness
-                counts[word, label] += 1
+            for word, times in Counter(WORDS.findall((text.as_py() or "").lower())).items():  # a word that one text repeats is one witness
+                own = counts.setdefault((word, label), [0, 0])
+                own[0] += 1
+                own[1] += times
             if len(counts) > 200_000:
                 yield flush()
     yield flush()
@@ -167,79 +165,64 @@ def fit(
     held_out_mod: int = 5,
     held_out_rest: int = 0,
     max_per_class: int = 8_000,
-    max_words: int = 100_000,
     stem_prior: float = 10.0,
     word_prior: float = 6.0,
     drift: float = 0.75,
     alpha: float = 0.05,
 ) -> ToxicityModel:
-    """Learn from at most ``max_per_class`` labelled rows of each class (bounded sample, ids of smallest hash).
+    """Learn from about ``max_per_class`` labelled rows of each class (bounded sample, ids of smallest hash).
 
-    Rows with ``crc32(id) mod held_out_mod == held_out_rest`` are never learnt from. What reaches the driver is bounded by
-    ``max_words`` word counts and ``2 * max_per_class`` rows of four features.
+    Rows with ``crc32(id) mod held_out_mod == held_out_rest`` are never learnt from. What reaches the driver are the words and
+    stems of the sampled texts, all of them, and four features for each sampled row.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
-    ids = sampled_ids(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", "toxic", max_per_class)
-    train = stored(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxicity")
-    counts = train.mapInArrow(_counts, "word string, toxic int, n long")
-    table = (
-        counts.groupBy("word")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    )
-    stems = table.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    total = table.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    if not total or not total["t"] or not total["c"]:
+    ids = sampled_ids(usable.groupBy(F.col("doc_id").cast(id_type(documents)).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", "toxic", max_per_class)
+    train = stored(documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxicity")  # two classes
+    counts = train.mapInArrow(_counts, "word string, toxic int, n long, m long")
+    of = lambda label, column: F.sum(F.when(F.col("toxic") == label, F.col(column)).otherwise(0))
+    table = stored(counts.groupBy("word").agg(of(1, "n").alias("t"), of(0, "n").alias("c"), of(0, "m").alias("tokens")), "words")
+    alone = F.col("t") + F.col("c") < 2  # a word of one text scores as its stem
+    by_stem = table.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(alone, F.col("tokens")).otherwise(0)).alias("tokens")).collect()
+    toxic, clean = sum(r["t"] for r in by_stem), sum(r["c"] for r in by_stem)
+    if not toxic or not clean:
         return ToxicityModel({}, {}, -drift, 1.0, 0.0, (-50.0, 0.0, 0.0, 0.0))
-    base = total["t"] / (total["t"] + total["c"])
-    by_stem = stems.orderBy((F.col("t") + F.col("c")).desc(), "stem").limit(max_words).collect()
-    by_word = table.where("t + c >= 2").orderBy((F.col("t") + F.col("c")).desc(), "word").limit(max_words).collect()
+    base = toxic / (toxic + clean)
+    by_word = table.where(~alone).collect()
     rate_of = {r["stem"]: (r["t"] + stem_prior * base) / (r["t"] + r["c"] + stem_prior) for r in by_stem}
     shift = _logit(base) + drift
     stem_scores = {s: _logit(p) - shift for s, p in rate_of.items()}
-    word_scores = {}
-    for r in by_word:
-        prior = rate_of.get(r["word"][:STEM], base)
-        word_scores[r["word"]] = _logit((r["t"] + word_prior * prior) / (r["t"] + r["c"] + word_prior)) - shift
-    clean = [(word_scores[r["word"]], r["c"]) for r in by_word if r["c"]]
-    values, weights = np.array([x for x, _ in clean]), np.array([c for _, c in clean], float)
-    # the null must have some positive score: clean words above the drift, or one pseudo-count of a toxic word
-    values, weights = np.append(values, max(word_scores.values())), np.append(weights, 1.0)
+    word_scores = {r["word"]: _logit((r["t"] + word_prior * rate_of[r["word"][:STEM]]) / (r["t"] + r["c"] + word_prior)) - shift for r in by_word}
+    # the null: tokens of clean texts, each by the score that it has in a scan
+    null = [(word_scores[r["word"]], r["tokens"]) for r in by_word if r["tokens"]] + [(stem_scores[r["stem"]], r["tokens"]) for r in by_stem if r["tokens"]]
+    values, weights = np.array([x for x, _ in null]), np.array([n for _, n in null], float)
+    # it must have some positive score: clean words above the drift, or one pseudo-count of the most toxic word or stem
+    values, weights = np.append(values, max([*word_scores.values(), *stem_scores.values()])), np.append(weights, 1.0)
     draft = ToxicityModel(word_scores, stem_scores, -drift, _karlin_lambda(values, weights), 0.0, (0.0,) * 4)
-    sc = train.sparkSession.sparkContext
-    shared = sc.broadcast(draft)  # at most 2 * max_words entries
+    maxima = _over_sample(train.where("toxic = 0"), draft, lambda m, scores: [float(len(scores)), max((s for _, _, s in maximal_segments(scores)), default=0.0)])
+    # a Gumbel maximum has mean (ln(K n) + Euler's constant) / lambda: K by moments over the clean rows
+    seen = [(n, best) for _, (n, best) in maxima if n and best > 0]
+    log_k = float(np.mean([draft.lam * best - math.log(n) for n, best in seen])) - 0.5772156649 if seen else 0.0
+    model = replace(draft, log_k=log_k)
+    sample = _over_sample(train, model, lambda m, scores: _features(m, scores, alpha)[0].tolist())
+    return replace(model, link=_logistic(np.array([x for _, x in sample]), np.array([y for y, _ in sample], float)))
+
+
+def _over_sample(train: DataFrame, model: ToxicityModel, measure: Callable[[ToxicityModel, np.ndarray], list[float]]) -> list[tuple[int, list[float]]]:
+    """``(toxic, measures)`` of every sampled row; the sample is bounded, and so is what comes to the driver."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                scores = model.scores(text.as_py())
-                segments = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)
-                rows.append((toxic.as_py(), len(scores), segments[0] if segments else 0.0, segments[:50]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())))],
-                ["toxic", "n", "best", "top"],
-            )
-
-    sample = train.mapInArrow(maxima, "toxic int, n long, best double, top array<double>").collect()
-    null = [(r["best"], r["n"]) for r in sample if r["toxic"] == 0 and r["n"] and r["best"] > 0]
-    # a Gumbel maximum has mean (ln(K n) + Euler's constant) / lambda: K by moments over the clean rows
-    log_k = float(np.mean([draft.lam * b - math.log(n) for b, n in null])) - 0.5772156649 if null else 0.0
-    model = ToxicityModel(word_scores, stem_scores, -drift, draft.lam, log_k, draft.link)
-    rows, y = [], []
-    for r in sample:
-        n = max(r["n"], 1)
-        excess = sum(model.lam * s - log_k - math.log(n) for s in r["top"] if model.e_value(s, n) <= alpha)
-        calibrated = model.lam * r["best"] - log_k - math.log(n) if r["top"] else 0.0
-        rows.append([1.0, min(calibrated, 60.0), min(model.lam * r["best"], 60.0), math.log1p(max(excess, 0.0))])
-        y.append(float(r["toxic"]))
-    return ToxicityModel(word_scores, stem_scores, -drift, model.lam, log_k, _logistic(np.array(rows), np.array(y)))
+            rows = [measure(shared.value, shared.value.scores(t.as_py())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    return [(r["toxic"], r["x"]) for r in train.mapInArrow(run, "toxic int, x array<double>").collect()]
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, passages: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, score, predicted, n_passages, toxic_tokens`` (``passages``: with their token spans)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, score double, predicted int, n_passages int, toxic_tokens int"
+    schema = f"doc_id {id_type(documents)}, score double, predicted int, n_passages int, toxic_tokens int"
     schema += ", passages array<struct<start:int,end:int,score:double,e_value:double>>" if passages else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +243,9 @@ def score(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, pa
             if passages:
                 types.append(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])))
                 names.append("passages")
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], ["doc_id", *names])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05) -> DataFrame:

@@ -4,15 +4,16 @@ Writing. Payloads are digested where they lie; for each digest a grouped minimum
 others become revisits without payload. Records are text (html in UTF-8), so Spark's text writer makes real archive files on
 any store, with the record end ``CRLF CRLF`` as its line separator.
 
-Index. Each archive yields a run of capture entries sorted by URL key and timestamp. Runs are dealt out by ranges
-of the full key (a URL captured a million times spans many ranges), and in each range a loser tree merges the k runs that reach
-into it: one comparison per level for each entry, where a heap needs two. Ranges in order make the global capture
-history.
+Index. Each archive yields a run of capture entries sorted by URL key and timestamp, which is written. Runs are cut into ranges
+of the full key (a URL captured a million times spans many ranges) of a bounded number of entries, and in each range a loser tree
+merges the stretches of the k runs that reach into it: one comparison per level for each entry, where a heap needs two. Ranges
+in order make the global capture history: what comes out of the trees gives each capture its position in it and the capture
+of the same URL before it, and is the result.
 
 Defined results: null html is an empty payload and counts like any other; a null page id has no response role in a group with
 ids, makes a revisit there, and is a response if its group has no id; rows repeating the smallest id of a payload are all
-responses; a null url is recorded as ``about:blank``; line ends in urls are escaped; an empty table writes no record. Extra
-columns are not read.
+responses; a null url is recorded as ``about:blank``; line ends in urls are escaped; an empty table writes no record; page ids
+are whole numbers. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normslice.llm.common import shared_path, stored
+from normslice.llm.common import shared_path, stored, whole_ids
 
 RECORD_END = "\r\n\r\n"
-#: Records in one archive file at most: the reader holds one file at a time.
+#: Records and bytes in one archive file at most (one record may be longer): the reader holds one file at a time.
 RECORDS_PER_FILE = 2_000
+FILE_BYTES = 64 << 20
+LARGE = 1 << 20  # payloads above this are written one to a file
+#: Entries that one range of the index holds, about: they are merged in the memory of one task.
+RANGE_ENTRIES = 50_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -43,6 +48,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """A record for each row of ``pages (page_id, url, html)``, as archive files below ``path``."""
+    whole_ids(pages, "page_id")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html")))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
@@ -67,7 +73,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    sized = rows.select(record.alias("value"), F.octet_length("html").alias("size"))
+    small, large = F.col("size") <= LARGE, F.col("size") > LARGE
+    most = pages.select(F.octet_length(F.col("html").cast("string")).alias("size")).agg(F.max(F.when(small, F.col("size"))).alias("small"), F.count_if(large).alias("large")).first()
+    for part, records_per_file in ((small, min(RECORDS_PER_FILE, FILE_BYTES // ((most["small"] or 0) + 4096))), (large, 1)):
+        if part is small or most["large"]:
+            sized.where(part).select("value").write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def url_key(url: str) -> str:
@@ -117,12 +128,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = []
             for headers, offset, length, block in records(content.as_py()):
                 kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                size = None
+                http, _, payload = block.partition(b"\r\n\r\n")
+                size = int(http.rpartition(b"Content-Length: ")[2])  # of the payload, which a revisit does not repeat
                 if kind == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    size = len(payload)
-                    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"digest mismatch in {path.as_py()} at byte {offset}")
+                    if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                        raise ValueError(f"payload mismatch in {path.as_py()} at byte {offset}")
                 stamp = "".join(c for c in headers["warc-date"] if c.isdigit())[:14]
                 entries.append((url_key(headers["warc-target-uri"]), stamp, _page(headers["warc-record-id"]), kind, size, digest, _page(headers.get("warc-refers-to")), path.as_py(), offset, length))
             entries.sort(key=_order)
@@ -174,8 +184,16 @@ class LoserTree:
             self._replay(best)
 
 
+_CAPTURE = _ENTRY.replace("run long, place int", "range int, at long, previous_page long, first boolean")
+_CAPTURE_TYPES = [*_TYPES[:10], pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+_CAPTURE_NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range: its rows come grouped by run in run order and leave in key order."""
+    """One key range: its entries come run by run and leave in key order, each with its place and the same URL's capture before it."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
     runs: list[list[tuple]] = []
     last = None
     for batch in batches:
@@ -185,20 +203,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = row[10]
             runs[-1].append(row)
     out: list[tuple] = []
-    for row in LoserTree(runs):
-        out.append(row)
+    before: tuple | None = None
+    for at, row in enumerate(LoserTree(runs)):
+        same = before is not None and before[0] == row[0]
+        out.append((*row[:10], part, at, before[2] if same else None, before is None))
+        before = row
         if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+            yield _columns(out)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+        yield _columns(out)
+
+
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CAPTURE_TYPES, strict=True)], _CAPTURE_NAMES)
 
 
 def capture_index(archives: DataFrame) -> DataFrame:
-    """The merged index of archive files ``(path, content)``: globally ordered by URL key, timestamp and id."""
+    """The capture history of archive files ``(path, content)``: entries with their ``position`` in global order and ``previous_page``."""
     runs = stored(archives.select("path", "content").mapInArrow(_runs, _ENTRY), "capture-runs")
-    dealt = runs.repartitionByRange("url_key", "timestamp", "page_id", "offset")
-    return dealt.sortWithinPartitions("run", "place").mapInArrow(_merge, _ENTRY)
+    ranges = max(1, -(-runs.count() // RANGE_ENTRIES))
+    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id", "offset")
+    merged = stored(dealt.sortWithinPartitions("run", "place").mapInArrow(_merge, _CAPTURE), "captures")
+    ends = merged.groupBy("range").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("url_key", "page_id"), "at").alias("_end"))
+    order = Window.orderBy("range")  # a row for each range
+    ends = ends.select(F.col("range").alias("_range"), F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"), F.lag("_end").over(order).alias("_last"))
+    placed = merged.join(F.broadcast(ends), F.col("range") == F.col("_range"))  # ends: an entry for every RANGE_ENTRIES captures
+    carried = F.when(F.col("first") & (F.col("_last.url_key") == F.col("url_key")), F.col("_last.page_id")).otherwise(F.col("previous_page"))
+    return placed.select(*_NAMES[:10], (F.col("_below") + F.col("at")).alias("position"), carried.alias("previous_page"))
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -206,14 +238,11 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the archives, read them back, merge their index: one row for each page.
+    """Write the archives, read them back, merge their index: the capture history, one row for each page.
 
-    A revisit has no payload of its own: its length is that of the response that it refers to.
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, timestamp, file, offset, length, position, previous_page``.
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     write_archives(pages, path)
-    index = stored(capture_index(read_archives(spark, path)), "capture-index")
-    sizes = index.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("_of"), F.col("payload_digest").alias("_digest")).agg(F.first("payload_bytes").alias("_bytes"))
-    joined = index.join(sizes, (F.col("refers_to") == F.col("_of")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+    return capture_index(read_archives(spark, path))

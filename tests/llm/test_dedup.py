@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from normslice.llm import simhash, substring_dedup
+from normslice.llm import near_copies, simhash, substring_dedup
 from normslice.llm.common import components
 from tests.llm.conftest import prose
 
@@ -127,10 +129,40 @@ def test_substrings_against_brute_force(make_docs):
 
 
 def test_substrings_with_small_buffers_shards_and_spread_anchors(make_docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD", 2000)
+    monkeypatch.setattr(substring_dedup, "SHARD", 1)  # every shard alone
     monkeypatch.setattr(substring_dedup, "SPREAD_BYTES", 300)
     monkeypatch.setattr(substring_dedup, "SAMPLE", 0.9)
+    monkeypatch.setattr(substring_dedup, "RANGE_WINDOWS", 300)
     check_substrings(make_docs)
+    found = substring_dedup.removed_windows(make_docs([t for _, t in substring_rows()])).groupBy("by").agg(F.sum("n").alias("n")).collect()
+    assert all(r["n"] > 0 for r in found) and {r["by"] for r in found} == {"run", "suffix", "merge"}
+
+
+def test_an_anchor_that_the_sample_misses_is_spread(make_docs, monkeypatch):
+    """No document in the sample: the shards are laid out by the counts over all contents."""
+    monkeypatch.setattr(substring_dedup, "SPREAD_BYTES", 300)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1e-9)
+    check_substrings(make_docs)
+
+
+def test_text_ids_are_refused_where_positions_are_computed(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        substring_dedup.substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark, make_docs):
+    """Id 4 has a copy of 2 and a text of its own: the copy goes, the other stays. Copies of one row become one."""
+    own, other = prose(40, 80), prose(41, 80)
+    docs = make_docs([prose(39, 80), own, own, other, other, prose(42, 80)], [1, 2, 4, 4, 4, None])
+    for kept in (simhash.drop_near_duplicates(docs), simhash.keep_smallest(docs, near_copies.near_copies(docs))):
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, prose(39, 80)), (2, own), (4, other), (None, prose(42, 80))], key=str)
+
+
+def test_text_ids(spark):
+    texts = {"b": prose(1, 60), "a": prose(1, 60), "c": prose(2, 60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == ["a", "c"]
 
 
 def test_substrings_of_awkward_rows(awkward, empty):

@@ -9,6 +9,7 @@ import pytest
 
 from normslice.llm import matroska as mk
 from normslice.llm import warc
+from tests.llm.conftest import prose
 
 
 def test_mux_and_parse_round_trip():
@@ -61,6 +62,86 @@ def test_signed_vints_and_cut_files():
         mk.parse(mk.mux(b"x" * 64)[:-5])
 
 
+def test_every_file_parses_or_raises_a_value_error():
+    r = random.Random(2)
+    whole = mk.mux(r.randbytes(4160))
+    refused = 0
+    for _ in range(3000):
+        data = bytearray(whole)
+        for _ in range(r.randint(1, 3)):
+            data[r.randrange(min(400, len(data)))] = r.randrange(256)
+        for read in (mk.parse, mk.seek):
+            try:
+                read(bytes(data[: r.randrange(len(data))] if r.random() < 0.3 else data))
+            except ValueError:
+                refused += 1
+    assert refused > 500
+    no_number = mk.element(mk.EBML, b"") + mk.element(mk.SEGMENT, mk.element(mk.TRACKS, mk.element(mk.TRACK, mk.element(mk.CODEC, b"x"))))
+    short = file_of(b"\x81\x00")
+    wrong_cue = bytearray(whole)
+    wrong_cue[whole.rindex(bytes([mk.CUE_CLUSTER, 0x81])) + 2 if bytes([mk.CUE_CLUSTER, 0x81]) in whole else whole.rindex(bytes([mk.CUE_CLUSTER])) + 2] ^= 1
+    for bad in (no_number, short, bytes(wrong_cue), b"", b"\x1a\x45"):
+        for read in (mk.parse, mk.seek):
+            with pytest.raises(ValueError):
+                read(bad)
+
+
+def walk(data, at, end, path=()):
+    """An independent reader of known sizes: ``(path of ids in hex, content)`` of all elements."""
+    masters = {"1a45dfa3", "18538067", "114d9b74", "4dbb", "1549a966", "1654ae6b", "ae", "e1", "1f43b675", "1c53bb6b", "bb", "b7"}
+    while at < end:
+        n = 8 - data[at].bit_length() + 1
+        name, at = data[at : at + n].hex(), at + n
+        n = 8 - data[at].bit_length() + 1
+        size = int.from_bytes(data[at : at + n], "big") - (1 << 7 * n)
+        at += n
+        yield (*path, name), data[at : at + size], at
+        if name in masters:
+            yield from walk(data, at, at + size, (*path, name))
+        at += size
+
+
+def test_files_have_what_readers_ask_for():
+    payload = random.Random(3).randbytes(40_000)
+    data = mk.mux(payload)
+    found = {}
+    for path, content, at in walk(data, 0, len(data)):
+        found.setdefault("/".join(path), []).append((content, at))
+    one = lambda *names: found["/".join(names)][0][0]
+    assert [one("1a45dfa3", x) for x in ("4286", "42f7", "42f2", "42f3", "4282", "4287", "4285")] == [b"\1", b"\1", b"\4", b"\x08", b"matroska", b"\4", b"\2"]
+    track = ("18538067", "1654ae6b", "ae")
+    assert [one(*track, x) for x in ("d7", "73c5", "83", "86")] == [b"\1", b"\1", b"\2", b"A_PCM/INT/LIT"] and one("18538067", "1549a966", "4d80")
+    segment = found["18538067"][0][1]
+    cues = segment + int.from_bytes(one("18538067", "114d9b74", "4dbb", "53ac"), "big")
+    assert data[cues : cues + 4].hex() == "1c53bb6b"
+    clusters = [at for _, at in found["18538067/1f43b675"]]
+    starts = [segment + int.from_bytes(c, "big") for c, _ in found["18538067/1c53bb6b/bb/b7/f1"]]
+    assert all(data[s : s + 4].hex() == "1f43b675" and s < c for s, c in zip(starts, clusters, strict=True)) and len(starts) == 2
+    blocks = [c for c, _ in found["18538067/1f43b675/a3"]]
+    frames = b"".join(b[5:] if b[3] >> 1 & 3 == 2 else b[4:] for b in blocks if b[3] >> 1 & 3 in (0, 2))
+    laced = [b for b in blocks if b[3] >> 1 & 3 not in (0, 2)]
+    assert len(frames) + sum(map(len, laced)) >= len(payload) and payload.startswith(frames[:4096])
+
+
+@pytest.mark.parametrize("frame", [512, 100, 37])
+def test_cues_lead_to_the_same_tables(frame):
+    r = random.Random(4)
+    for size in (64, 4160, 70_016):
+        payload = r.randbytes(size)
+        data = mk.mux(payload, frame)
+        assert mk.seek(data) == mk.parse(data)
+        assert b"".join(data[a : a + n] for _, _, a, n, *_ in mk.seek(data).packets) == payload
+    assert "xiph" in {p[5] for p in mk.parse(mk.mux(b"x" * 1050, 100)).packets}
+
+
+def test_features_are_those_of_the_payload(make_docs):
+    for r in mk.media_columns(make_docs(["", "abc", prose(1, 400)])).collect():
+        payload = mk.padded(["", "abc", prose(1, 400)][r["doc_id"]].encode())
+        samples = [b - 128 for b in payload]
+        assert r["feature"].endswith(f"sum={sum(samples)};energy={sum(s * s for s in samples)}") and f"ticks={len(payload)};" in r["feature"]
+        assert r["n_packets"] == -(-len(payload) // mk.FRAME) and r["media_sha256"] == hashlib.sha256(mk.mux(payload)).hexdigest()
+
+
 def test_media_columns(awkward, empty):
     rows = mk.media_columns(awkward).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in awkward.collect()}
@@ -94,6 +175,23 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_index(pages(spark, [])).count() == 0
 
 
+def test_captures_know_their_place_and_the_one_before(spark, monkeypatch):
+    """Ranges of a few entries, one URL with a third of all captures, large payloads in files of their own."""
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 7)
+    monkeypatch.setattr(warc, "LARGE", 2_000)
+    urls = ["http://hot.example.com/"] + [f"http://h{i % 5}.example.com/{i % 4}" for i in range(20)]
+    rows = [(i, urls[0] if i % 3 == 0 else urls[1 + i % 20], "y" * (5_000 if i % 40 == 0 else 10) + str(i // 2), None, None) for i in range(150)]
+    found = warc.archive_and_index(pages(spark, rows).repartition(5)).collect()
+    want, last = [], {}
+    for page, url in sorted(((i, u) for i, u, *_ in rows), key=lambda x: (warc.url_key(x[1]), x[0])):
+        want.append((len(want), page, last.get(url)))
+        last[url] = page
+    assert sorted((r["position"], r["page_id"], r["previous_page"]) for r in found) == want
+    assert {r["payload_bytes"] for r in found} == {len(t) for _, _, t, *_ in rows}
+    alone = [r["file"] for r in found if r["payload_bytes"] > 5_000]
+    assert len(alone) == 4 and all(sum(r["file"] == f for r in found) == 1 for f in alone)
+
+
 def test_the_index_is_in_global_order(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example.com/{i % 11}", f"<i>{i}</i>", None, None) for i in range(300)]
     path = str(tmp_path / "archives")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from normslice.llm import bpe, decontaminate, language, quality, secrets, toxicity
+from normslice.llm import bpe, decontaminate, language, matroska, quality, secrets, toxicity
 from tests.llm.conftest import prose
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,6 +62,36 @@ def test_toxicity_learns_and_calibrates(spark, make_docs):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_calibration_and_score_equal_the_definition(spark, make_docs):
+    """Lambda solves its equation over the clean tokens, K comes from the clean maxima, the link sees what scoring sees."""
+    docs, labels = toxic_table(spark, make_docs, 160)
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = {r["doc_id"]: r["toxic"] for r in labels.where("crc32(cast(doc_id as string)) % 5 <> 0").collect()}
+    docs_with, tokens = Counter(), Counter()
+    for i, label in train.items():
+        words = re.findall(r"[^\W_]+", texts[i].lower())
+        docs_with.update(set(words))
+        tokens.update(words if not label else [])
+    value = lambda w: model.words[w] if docs_with[w] >= 2 else model.stems[w[: toxicity.STEM]]
+    assert set(model.words) == {w for w, n in docs_with.items() if n >= 2}
+    top = max([*model.words.values(), *model.stems.values()])
+    total = sum(tokens.values()) + 1
+    assert sum(n / total * np.exp(model.lam * value(w)) for w, n in tokens.items()) + np.exp(model.lam * top) / total == pytest.approx(1, abs=1e-6)
+    best = {i: max((s for *_, s in toxicity.maximal_segments(model.scores(texts[i]))), default=0.0) for i in train}
+    clean = [(model.lam * best[i] - np.log(60)) for i, label in train.items() if not label and best[i] > 0]
+    assert model.log_k == pytest.approx(np.mean(clean) - 0.5772156649)
+    x = np.array([toxicity._features(model, model.scores(texts[i]), 0.05)[0] for i in sorted(train)])
+    assert model.link == pytest.approx(toxicity._logistic(x, np.array([float(train[i]) for i in sorted(train)])), rel=1e-5)
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-float(toxicity._features(model, model.scores(texts[r["doc_id"]]), 0.05)[0] @ np.array(model.link)))))
+
+
+def test_a_word_said_again_counts_at_intervals():
+    model = toxicity.ToxicityModel({"vile": 2.0}, {}, -1.0, 1.0, 0.0, (0.0,) * 4)
+    assert np.flatnonzero(model.scores("vile " * 30) > 0).tolist() == [0, 9, 18, 27]
+
+
 def test_toxicity_does_not_read_the_held_out_labels(spark, make_docs):
     docs, labels = toxic_table(spark, make_docs, 120)
     flipped = labels.selectExpr("doc_id", "quality", "if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic) as toxic")
@@ -107,6 +137,26 @@ def test_gram_counts_equal_slicing(monkeypatch):
         assert own == [g for g, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:10]]
 
 
+def test_only_letters_count_as_letters(spark):
+    """Fractions, circled digits and Roman numerals are word characters, but no letters."""
+    train = [(i, f"lorem ipsum {i}", "la") for i in range(40)]
+    odd = [(100, "\u00bd \u2461 \u2167"), (101, "x\u00b2"), (102, "_ 12 \u0661"), (103, "\u00bda\u2460b")]
+    docs = spark.createDataFrame(train + [(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
+    by_id = {r["doc_id"]: r["lang_pred"] for r in language.language_id(docs).collect()}
+    assert [by_id[i] for i, _ in odd] == ["und", "la", "und", "la"]
+    assert language.words_of("\u00bda\u2460b C\u00b2") == ["a", "b", "c"]
+
+
+def test_distances_and_choices_equal_the_definition():
+    """Out-of-place distances by dictionaries, over profiles of several languages with ties."""
+    profiles = {lang: [language.gram_code(g) for g in grams] for lang, grams in {"p": ["a", "b", "ab", " a"], "q": ["b", "a", "c"], "r": ["z"]}.items()}
+    for text in ("ab ab b", "ccc", "zz z", "q", "abc cab"):
+        own = [int(c) for c in language.ranked(*language.gram_counts(text))]
+        distance = {lang: sum(abs(p.index(g) - i) if g in p else language.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert language.judge(text, *language.tables(profiles)) == (best, pytest.approx(1 - distance[best] / (language.PROFILE * len(own))))
+
+
 def test_language_of_awkward_rows(awkward, empty):
     by_id = {r["doc_id"]: r for r in language.language_id(awkward).collect()}
     assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (0, 1, 2))
@@ -133,10 +183,30 @@ def test_quality_separates_and_shrinks(spark, make_docs, awkward, empty):
     assert {r["evidence"] for r in quality.quality(awkward, labels.limit(0)).collect()} == {0.5}
 
 
+def test_a_document_does_not_count_in_its_own_sites(spark, make_docs):
+    """Posteriors of every row equal sums over all other rows of its host and path, labels standing in where they may be learnt from."""
+    texts = [prose(i, 30) + ("." if i % 3 else " ### !!!") for i in range(90)]
+    docs = make_docs(texts).selectExpr("doc_id", "text", "concat('h', doc_id % 4) source", "concat('p', doc_id % 7) lang")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = quality.quality(docs, labels).collect()
+    belief = {r["doc_id"]: float(r["doc_id"] % 3 != 0) if r["doc_id"] < 60 and not r["held_out"] else r["evidence"] for r in rows}
+    _, priors = quality.site_sums(spark.createDataFrame([(f"h{i % 4}", f"p{i % 7}", b) for i, b in belief.items()], "host string, path string, belief double"))
+    for r in rows:
+        i = r["doc_id"]
+        host = [b for j, b in belief.items() if j != i and j % 4 == i % 4]
+        path = [b for j, b in belief.items() if j != i and j % 4 == i % 4 and j % 7 == i % 7]
+        h = (sum(host) + priors.host * priors.mean) / (len(host) + priors.host)
+        p = (sum(path) + priors.path * h) / (len(path) + priors.path)
+        odds = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+        assert (r["host_posterior"], r["path_posterior"]) == (pytest.approx(h), pytest.approx(p))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(odds(r["evidence"]) + odds(p) - odds(priors.mean)))))
+
+
 def test_site_posteriors_shrink_sparse_sites_most(spark):
     rows = [(i, "big", "p", 0.2) for i in range(200)] + [(900, "small", "p", 0.2)] + [(1000 + i, f"h{i % 20}", f"q{i % 2}", 0.9 if i % 20 else 0.5) for i in range(400)]
-    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double"))
-    by = {(r["host"], r["path"]): r for r in sites.collect()}
+    sites, priors = quality.site_sums(spark.createDataFrame(rows, "doc_id long, host string, path string, belief double"))
+    by = {(r["host"], r["path"]): r for r in quality.posteriors(sites, priors).collect()}
+    prior = priors.mean
     assert abs(by["big", "p"]["host_posterior"] - 0.2) < abs(by["small", "p"]["host_posterior"] - 0.2)
     assert 0.2 < by["small", "p"]["path_posterior"] < 1 and 0 < prior < 1
 
@@ -184,6 +254,34 @@ def test_decontamination_against_brute_force(spark, make_docs):
     assert got == want and len(want) > 20
 
 
+def test_the_multi_index_holds_all_within_the_radius():
+    r = np.random.default_rng(1)
+    prints = r.integers(0, 2**64, 400, dtype=np.uint64)
+    table = decontaminate.BlockTables(prints, 19)
+    asked = 0
+    for i in range(200):
+        flips = r.choice(64, r.integers(0, 26), replace=False)
+        query = prints[i] ^ np.uint64(sum(1 << int(b) for b in flips))
+        want = [j for j in range(400) if int(prints[j] ^ query).bit_count() <= 19]
+        assert table.near(query).tolist() == want
+        asked += len(want)
+    assert 100 < asked < 400
+
+
+def test_unsteady_items_and_blocks_of_the_benchmark(spark, make_docs, monkeypatch):
+    """Two alternating words have two shingles and a fingerprint that hangs on one vote; they are found by shingles. One pass per block."""
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 2)
+    items = [(1, " ".join(["tick", "tock"] * 7)[:-5]), (2, "tick tock"), (3, prose(70, 40)), (4, prose(71, 50)), (5, prose(72, 60))]
+    texts = ["so " + " ".join(["tock", "tick"] * 7)[:-5], "tick tock said", prose(5, 30) + " " + items[2][1], items[3][1], "nothing", f"{items[4][1]} {items[2][1]}"]
+    found = decontaminate.contamination(make_docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {}
+    for x in found:
+        got.setdefault(x["doc_id"], {})[x["item_id"]] = x["similarity"]
+    assert got == {i: m for i, t in enumerate(texts) if (m := plain_matches(t, items))} and set(got) == {0, 1, 2, 3, 5}
+    kept = decontaminate.drop_contaminated(make_docs(texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [4]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, prose(2, 80)), (None, "x"), (2, None)], "item_id long, text string")
     assert sorted((r["doc_id"] for r in decontaminate.contamination(awkward, bench).collect())) == [4, 4, 5]
@@ -244,6 +342,27 @@ def test_the_ledger_scans_only_what_it_has_not_seen(spark, make_docs, tmp_path):
     assert read().where("rule_version = 'extra-2'").count() == 4 and read().where("count > 1").count() == 0
 
 
+def test_a_ledger_that_two_runs_wrote_at_once(spark, make_docs, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    once = secrets.secrets(make_docs(SECRET_TEXTS), ledger).orderBy("doc_id").collect()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-twin")
+    spark.read.parquet(ledger + "-twin").write.mode("append").parquet(ledger)
+    assert secrets.secrets(make_docs(SECRET_TEXTS), ledger).orderBy("doc_id").collect() == once
+
+
+def test_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([(f"d{i}", prose(i, 40), "ab"[i % 2], "s") for i in range(30)], "doc_id string, text string, lang string, source string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, i % 2) for i in range(30)], "doc_id string, quality int, toxic int")
+    bench = spark.createDataFrame([("i1", prose(3, 40))], "item_id string, text string")
+    outs = [
+        toxicity.toxicity(docs, labels), matroska.media_columns(docs), bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), secrets.secrets(docs),
+        language.language_id(docs), quality.quality(docs, labels),
+    ]
+    for out in outs:
+        assert dict(out.dtypes)["doc_id"] == "string" and {r["doc_id"] for r in out.collect()} == {f"d{i}" for i in range(30)}
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()] == [("d3", "i1")]
+
+
 def test_redaction(make_docs, awkward, empty):
     docs = make_docs(SECRET_TEXTS)
     rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
@@ -274,6 +393,15 @@ def test_tokens_equal_the_library(make_docs, awkward, empty):
     assert bpe.encode(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_letters_of_a_newer_unicode_are_split_as_the_library_does(make_docs):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    newer = [chr(c) for a, b in bpe.NEWER for c in (a, (a + b) // 2, b)]
+    texts = [f"ab{c} {c}{c}x 1{c}2\u00e9{c}" for c in newer] + ["".join(newer)]
+    for row in bpe.encode(make_docs(texts), VOCABULARY, public_tokenizers.PATTERN, keep_ids=True).collect():
+        assert row["ids"] == library.encode_ordinary(texts[row["doc_id"]])
+    assert sum(b - a + 1 for a, b in bpe.NEWER) < 18_000
+
+
 def test_rank_queue_pops_in_order():
     r = random.Random(1)
     queue, want = bpe.RankQueue(), []
