@@ -1,7 +1,7 @@
 """WARC archives: writing with revisit records, reading back, and a globally ordered capture index.
 
-Writing. Payloads are digested where they lie; for each digest a grouped minimum names the page whose record is the response, all
-others become revisits without payload. Records are text (html in UTF-8), so Spark's text writer makes real archive files on
+Writing. Payloads are digested where they lie; for each digest of several pages a grouped minimum names the one whose record is the
+response, all others become revisits without payload. Records are text (html in UTF-8), so Spark's text writer makes real archive files on
 any store, with the record end ``CRLF CRLF`` as its line separator.
 
 Index. Each archive yields a run of capture entries sorted by URL key and timestamp, which is written. Runs are cut into ranges
@@ -51,8 +51,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
     whole_ids(pages, "page_id")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest")
+    # only payloads that several pages have are looked up; their table is written, so Spark knows its size when it plans the join
+    again = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(stored(again.select("digest", "first"), "repeated-payloads"), "digest", "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
