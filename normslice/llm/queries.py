@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from normslice.llm import bpe, decontaminate, language, matroska, quality, secrets, simhash, substring_dedup, toxicity, warc
 from normslice.llm.common import table
@@ -59,7 +60,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_toxicity, op2_media_matroska, op3_warc_index_merge, op4_byte_level_bpe, op5_secret_scans,
         op6_suffix_array_dedup, op7_language_id, op8_quality_classifier, op9_simhash_near_dedup, op10_benchmark_decontamination,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | {"media_payloads": media_payloads, "tokens_round_trip": tokens_round_trip, "quality_sites": quality_sites}
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the media columns: sizes and digests of the payloads read back."""
+    return op2_media_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def tokens_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the tokens: the bytes that they decode to."""
+    return op4_byte_level_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priors and posteriors of sites over a stand-in belief, by moments."""
+    belief = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), ((F.col("doc_id") * 7 + F.coalesce("n_chars", F.lit(0))) % 101 / 100.0).alias("belief"))
+    sites, priors = quality.site_sums(belief)
+    rounded = [F.round(F.col(c), 6).alias(c) for c in ("host_posterior", "path_posterior")]
+    return quality.posteriors(sites, priors).select("host", "path", F.col("n_path"), F.col("n_host"), *rounded)
 
 
 _OP5 = r"""
@@ -99,5 +118,31 @@ FROM b
 """
 
 
+_MEDIA = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n, greatest(64, CAST(ceil(octet_length(b) / 64.0) AS BIGINT) * 64) AS m, b FROM d)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || unhex(repeat('00', CAST(m - n AS INTEGER)))) AS payload_sha256 FROM p
+"""
+_TOKENS = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+
+def _strength_sql(n: str, s: str, sq: str, centre: str) -> str:
+    k, rows, within = "count(*)", f"sum({n})", f"sum({sq} - {n} * ({s} / {n}) * ({s} / {n}))"
+    between, squares = f"sum({n} * ({s} / {n} - {centre}) * ({s} / {n} - {centre}))", f"sum({n} * {n})"
+    sigma = f"(greatest({within}, 0.0) / nullif({rows} - {k}, 0))"
+    tau = f"(({between} - ({k} - 1) * {sigma}) / greatest({rows} - {squares} / {rows}, 1e-9))"
+    return f"CASE WHEN {k} < 2 OR {rows} <= {k} THEN 10.0 WHEN {tau} > 0 AND {sigma} > 0 THEN least(greatest({sigma} / {tau}, 1.0), 1e6) WHEN {sigma} > 0 THEN 1e6 ELSE 10.0 END"
+
+
+_SITES = f"""
+WITH e AS (SELECT coalesce(source, '') AS host, coalesce(lang, '') AS path, (doc_id * 7 + coalesce(n_chars, 0)) % 101 / 100.0 AS b FROM documents),
+p AS (SELECT host, path, count(*) AS n, sum(b) AS s, sum(b * b) AS q FROM e GROUP BY ALL), h AS (SELECT host, sum(n) AS hn, sum(s) AS hs, sum(q) AS hq FROM p GROUP BY host),
+m AS (SELECT least(greatest(sum(s) / sum(n), 1e-6), 1 - 1e-6) AS mean FROM p), b AS (SELECT * FROM p JOIN h USING (host)),
+kh AS (SELECT {_strength_sql('hn', 'hs', 'hq', '(SELECT mean FROM m)')} AS k FROM h), kp AS (SELECT {_strength_sql('n', 's', 'q', '(hs / hn)')} AS k FROM b),
+o AS (SELECT b.*, (hs + kh.k * mean) / (hn + kh.k) AS hp FROM b, m, kh)
+SELECT host, path, n AS n_path, CAST(hn AS BIGINT) AS n_host, round(hp, 6) AS host_posterior, round((s + kp.k * hp) / (n + kp.k), 6) AS path_posterior FROM o, kp
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index_merge": _OP3, "op5_secret_scans": _OP5}
+    return {"op3_warc_index_merge": _OP3, "op5_secret_scans": _OP5, "media_payloads": _MEDIA, "tokens_round_trip": _TOKENS, "quality_sites": _SITES}
