@@ -3,6 +3,10 @@
 Everything that recipes, rules and constraints want to know about a case is requested from ``Primitives``, which names each
 distinct request once. The event log then answers all requests in a single ``groupBy(case).agg(...)``: one event-level
 shuffle with map-side partial aggregates, whatever the size of the norm.
+
+As-of pairings and counts between anchors read arrays of a case's instants in that aggregation. For logs with traces too long for an
+array (``long_traces``) they are second requests: the anchors of the first aggregation are joined back to the events, where adaptive
+execution can split the rows of one giant case, and a second aggregation with partial sums answers them.
 """
 
 from __future__ import annotations
@@ -24,10 +28,16 @@ Set = tuple[str, ...]
 
 
 class Primitives:
-    """Requests for per-case aggregates; each distinct one is computed once."""
+    """Requests for per-case aggregates; each distinct one is computed once.
+
+    ``late`` holds those that read the answers of others, ``paired`` the label sets whose next instant each event must know.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, long_traces: bool = False) -> None:
         self.requests: dict[str, tuple[str, Column]] = {}
+        self.long_traces = long_traces
+        self.late: dict[str, tuple[str, Column]] = {}
+        self.paired: dict[str, tuple[str, Set]] = {}
 
     def _ask(self, key: Any, aggregate: Callable[[], Column]) -> Column:
         key = json.dumps(key, sort_keys=True, default=str)
@@ -35,6 +45,17 @@ class Primitives:
             self.requests[key] = (f"p{len(self.requests)}", aggregate())
         return F.col(self.requests[key][0])
 
+    def _ask_late(self, key: Any, aggregate: Callable[[], Column]) -> Column:
+        key = json.dumps(key, sort_keys=True, default=str)
+        if key not in self.late:
+            self.late[key] = (f"q{len(self.late)}", aggregate())
+        return F.col(self.late[key][0])
+
+    @property
+    def names(self) -> set[str]:
+        """The columns that hold answers."""
+        return {name for name, _ in (*self.requests.values(), *self.late.values())}
+
     @property
     def aggregates(self) -> list[Column]:
         return [c.alias(name) for name, c in self.requests.values()]
@@ -63,6 +84,8 @@ class Primitives:
 
     def first_from(self, activities: Set, start: Column) -> Column:
         """The earliest instant of the set at or after ``start``: an as-of pairing inside the aggregation."""
+        if self.long_traces:
+            return self._ask_late(["from", activities, str(start._jc)], lambda: F.min(F.when(self._hit(activities) & (F.col("__us") >= start), F.col("__us"))))
         return F.array_min(F.filter(self.times(activities), lambda t: t >= start))
 
     def scoped_count(self, activities: Set, after: Set | None, before: Set | None) -> Column:
@@ -80,8 +103,23 @@ class Primitives:
         known = F.lit(True)
         for anchor in (start, end):
             known = known & anchor.isNotNull() if anchor is not None else known
+        if self.long_traces:
+            hit = lambda: F.count_if(self._hit(activities) & F.coalesce(inside(F.col("__us")), F.lit(False)))
+            return F.when(known, F.coalesce(self._ask_late(["between", activities, after, before], hit), F.lit(0)))
         return F.when(known, F.size(F.filter(self.times(activities), inside)))
 
+    def mean_over(self, a: Set, b: Set, judged: Callable[[Column, Column], Column], key: Any) -> tuple[Column, Column]:
+        """Over the case's timed ``a``: the mean of what is judged of each and the next ``b`` (NULL: none known), and how many there are."""
+        if self.long_traces:
+            name = self.paired.setdefault(json.dumps(b), (f"__next{len(self.paired)}", b))[0]
+            timed = self._hit(a) & F.col("__us").isNotNull()
+            mean = self._ask_late(["each", a, b, key], lambda: F.avg(F.when(timed, judged(F.col("__us"), F.col(name)))))
+            return mean, self.scoped_count(a, None, None)
+        starts, ends = self.times(a), self.times(b)
+        each = F.transform(starts, lambda s: judged(s, F.array_min(F.filter(ends, lambda e: e >= s))))
+        known = F.filter(each, lambda v: v.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v) / F.size(known)), F.size(starts)
+
     def total(self, column: str, activities: Set, agg: str) -> Column:
         """Aggregate of a numeric column over the set; what is no number counts as 0, no event gives 0."""
 
@@ -138,11 +176,8 @@ def lag_violation(c: Lag, p: Primitives, window_end: int | None) -> Column:
 
     without = one if c.missing_a == "violate" else unknown
     if c.activation == "each":
-        starts, ends = p.times(a), p.times(b)
-        each = F.transform(starts, lambda s: judged(s, F.array_min(F.filter(ends, lambda e: e >= s))))
-        known = F.filter(each, lambda v: v.isNotNull())
-        mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v) / F.size(known))
-        return F.when(F.size(starts) == 0, without).otherwise(mean)
+        mean, n = p.mean_over(a, b, judged, c.params)
+        return F.when(n == 0, without).otherwise(mean)
     start = p.last(a) if c.activation == "last" else p.first(a)
     end = p.first(b) if c.response == "first_overall" else p.first_from(b, start)
     return F.when(start.isNull(), without).otherwise(judged(start, end))
@@ -176,7 +211,7 @@ def violation(c: Constraint, p: Primitives, attribute: Callable[[str], Column],
 
 def compiled(log: Any, norm: Any, derive: bool = True) -> DataFrame:
     """The case table with ``v__<id>`` (violation) and ``s__<id>`` (in scope) for each constraint of the norm."""
-    p = Primitives()
+    p = Primitives(log.has_long_traces(norm.looks_around))
     known = {*log.case_attributes, *log.builtin_attributes}
 
     def attribute(name: str) -> Column:
@@ -195,7 +230,7 @@ def compiled(log: Any, norm: Any, derive: bool = True) -> DataFrame:
         nu = violation(nc.constraint, p, attribute, log.censoring_end_us)
         columns += [F.when(scope, nu).alias(f"v__{nc.id}"), scope.alias(f"s__{nc.id}")]
     cases = with_derived(log.aggregated(p), derived)
-    kept = [c for c in cases.columns if c not in {name for name, _ in p.requests.values()}]
+    kept = [c for c in cases.columns if c not in p.names]
     return cases.select(*(F.col(f"`{c}`") for c in kept), *columns)
 
 

@@ -60,12 +60,12 @@ ROLES = {"case_col": "case", "activity_col": "event_type", "timestamp_col": "ts"
 
 def user_days(spark: SparkSession, sf_dir: str, **roles) -> EventLog:
     """Short traces: a case is a user's day."""
-    return EventLog(events(spark, sf_dir), **(ROLES | {"case_attributes": ["segment", "weekday"], "exposure_col": "value", "exposure_agg": "sum", "validate": False} | roles))
+    return EventLog(events(spark, sf_dir), **(ROLES | {"case_attributes": ["segment", "weekday"], "exposure_col": "value", "exposure_agg": "sum", "validate": False, "long_traces": False} | roles))
 
 
 def users(spark: SparkSession, sf_dir: str, **roles) -> EventLog:
     """Long traces: a case is a user."""
-    return EventLog(events(spark, sf_dir, by_day=False), **(ROLES | {"case_attributes": ["segment"], "validate": False} | roles))
+    return EventLog(events(spark, sf_dir, by_day=False), **(ROLES | {"case_attributes": ["segment"], "validate": False, "long_traces": False} | roles))
 
 
 def _ev(case: str) -> str:
@@ -90,7 +90,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_log(spark: SparkSession, sf_dir: str, **roles) -> EventLog:
-    return EventLog(orders(spark, sf_dir), **({"case_col": "case", "activity_col": "act", "timestamp_col": "ts", "order_col": "line", "case_attributes": ["o_orderstatus", "c_mktsegment"], "validate": False} | roles))
+    return EventLog(orders(spark, sf_dir), **({"case_col": "case", "activity_col": "act", "timestamp_col": "ts", "order_col": "line", "case_attributes": ["o_orderstatus", "c_mktsegment"], "validate": False, "long_traces": False} | roles))
 
 
 ORDERS = """ev AS (SELECT CAST(o.key AS VARCHAR) AS case_id, o.*, epoch_us(o.ts) AS us, c.c_mktsegment FROM (

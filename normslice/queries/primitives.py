@@ -295,3 +295,24 @@ _recipe("indicator_times", {"name": "x", "kind": "indicator_times", "activities"
 _recipe("eval", [{"name": "x", "kind": "eval", "expr": "(exposure + 10) / n_events - 2 * n_events"}], "(sum(value) + 10) / count(*) - 2 * count(*)")
 _recipe("eval_division", [{"name": "n", "kind": "count", "activities": "click"}, {"name": "m", "kind": "count", "activities": "view"}, {"name": "x", "kind": "eval", "expr": "1 / (n - m) + (n >= m) * `exposure` ** 0.5"}], "1.0 / nullif(count(*) FILTER (act = 'click') - count(*) FILTER (act = 'view'), 0) + CASE WHEN count(*) FILTER (act = 'click') >= count(*) FILTER (act = 'view') THEN 1 ELSE 0 END * sqrt(sum(value))")
 _recipe("quantile_default", {"name": "x", "kind": "quantile_scale", "attribute": "n_events"}, f"WITH {DAYS}, c AS (SELECT case_id, CAST(count(*) AS DOUBLE) AS e FROM ev GROUP BY case_id), q AS (SELECT quantile_cont(e, 0.95) AS q FROM c) SELECT case_id, {r('least(greatest(e / q, 0), 1)')} AS x FROM c, q")
+
+# one case holds a third of all events
+
+HOT = USERS.replace("CAST(user_id AS VARCHAR) AS case_id", "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS case_id")
+
+
+def hot_log(spark, d):
+    e = events(spark, d, by_day=False).withColumn("case", F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("case")))
+    return EventLog(e, **ROLES, validate=False, long_traces=True)
+
+
+_LONG = {
+    "long_lag_each": (Lag("view", "purchase", 2, 24, "h", activation="each", missing_b="skip"), f"WITH {HOT}, b AS (SELECT *, min(us) FILTER (act = 'purchase') OVER (PARTITION BY case_id ORDER BY us RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb FROM ev), l AS (SELECT case_id, {sat('(pb - us) / 1e6 / 3600.0', 2.0, 24.0)} AS v FROM b WHERE act = 'view') SELECT e.case_id, {r('CASE WHEN any_value(l.n) IS NULL THEN 1.0 ELSE any_value(l.v) END')} AS violation FROM ev e LEFT JOIN (SELECT case_id, avg(v) AS v, count(*) AS n FROM l GROUP BY case_id) l ON e.case_id = l.case_id GROUP BY e.case_id"),
+    "long_lag_last": (Lag("view", "purchase", 2, 24, "h", activation="last"), f"WITH {HOT}, a AS (SELECT case_id, max(us) FILTER (act = 'view') AS v1 FROM ev GROUP BY case_id), k AS (SELECT case_id, any_value(v1) AS v1, min(us) FILTER (act = 'purchase' AND us >= v1) AS p FROM ev JOIN a USING (case_id) GROUP BY case_id) SELECT case_id, {r('CASE WHEN v1 IS NULL THEN 1.0 ELSE coalesce(' + sat('(p - v1) / 1e6 / 3600.0', 2.0, 24.0) + ', 1.0) END')} AS violation FROM k"),
+    "long_band": (Singularity("click", 3, 20, after="signup", before="error"), f"WITH {HOT}, a AS (SELECT case_id, min(us) FILTER (act = 'signup') AS x, min(us) FILTER (act = 'error') AS y FROM ev GROUP BY case_id), k AS (SELECT case_id, any_value(x) AS x, any_value(y) AS y, count(*) FILTER (act = 'click' AND us > x AND us < y) AS n FROM ev JOIN a USING (case_id) GROUP BY case_id) SELECT case_id, {r('CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN ' + sat('CAST(n AS DOUBLE)', 3.0, 20.0) + ' END')} AS violation FROM k"),
+}
+for _name, (_body, _sql) in _LONG.items():
+
+    @query(f"con_{_name}", _sql)
+    def _(spark, d, body=_body):
+        return evaluate_constraint(hot_log(spark, d), _one(body))

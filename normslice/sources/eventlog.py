@@ -23,13 +23,20 @@ from normslice.plans.constraints import labels
 CASE, ACTIVITY, TIMESTAMP = "case:concept:name", "concept:name", "time:timestamp"
 #: A column of more distinct labels is refused where labels come to the driver.
 MAX_LABELS = 100_000
+#: Instants of a case that one array may hold.
+LONG_TRACE = 50_000
+#: A long trace is paired in stretches of this many microseconds (a day).
+STRETCH = 86_400_000_000
 RESERVED = ("case_id", "n_events", "first_ts", "last_ts", "exposure", "score")
 RESERVED_PREFIXES = ("contrib__", "score__", "v__", "s__", "__")
 EXPOSURE_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "first": None, "last": None, "median": F.median}
 
 
 class EventLog:
-    """Roles over a DataFrame of events. ``validate=False`` skips the one aggregate that checks the data."""
+    """Roles over a DataFrame of events. ``validate=False`` skips the one aggregate that checks the data.
+
+    ``long_traces`` says whether a case may have more than ``LONG_TRACE`` events; if it is not said, it is counted once, when it matters.
+    """
 
     def __init__(
         self,
@@ -53,6 +60,7 @@ class EventLog:
         keep_columns: Sequence[str] | None = None,
         dedupe: bool = False,
         validate: bool = True,
+        long_traces: bool | None = None,
     ) -> None:
         roles = [case_col, activity_col, timestamp_col, *case_attributes, *(c for c in (exposure_col, order_col, event_id_col, lifecycle_col) if c)]
         if lacking := sorted(set(roles) - set(df.columns)):
@@ -71,6 +79,7 @@ class EventLog:
         self._added: list[tuple[str, DataFrame]] = []
         self._derived: list[Mapping[str, Any]] = []
         self._censoring_us: int | None = None
+        self._long_traces = long_traces
         if lifecycle_col:
             df = df.where(F.coalesce(F.lower(F.col(f"`{lifecycle_col}`").cast("string")).isin([t.lower() for t in keep_transitions]), F.lit(False)))
         tie = F.col(f"`{order_col}`") if order_col else F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in df.columns))
@@ -103,6 +112,12 @@ class EventLog:
 
     # case table
 
+    def has_long_traces(self, matters: bool = True) -> bool:
+        """Whether a case has more than ``LONG_TRACE`` events, as declared or counted (once for a log)."""
+        if self._long_traces is None and matters:
+            self._long_traces = self.events.groupBy("__case").count().where(F.col("count") > LONG_TRACE).limit(1).count() > 0
+        return bool(self._long_traces) and matters
+
     @property
     def builtin_attributes(self) -> list[str]:
         """Columns of every case table that rules, metrics and recipes may use."""
@@ -126,18 +141,29 @@ class EventLog:
         cases = self.events.groupBy(F.col("__case").alias("case_id")).agg(
             F.count(F.lit(1)).alias("n_events"), instant(F.min("__us")).alias("first_ts"), instant(F.max("__us")).alias("last_ts"), *picked, *primitives.aggregates
         )
+        if primitives.late:
+            cases = self._with_late(cases, primitives)
         for name, values in self._added:
             cases = cases.join(values.select(F.col(values.columns[0]).alias("case_id"), F.col(values.columns[1]).alias(name)), "case_id", "left")
         return cases
 
+    def _with_late(self, cases: DataFrame, primitives: Primitives) -> DataFrame:
+        """Adds the requests that read other answers: these are joined back to the events, which are aggregated once more."""
+        events = self.events
+        for name, b in primitives.paired.values():
+            events = _with_next(events, b, name)
+        anchors = cases.select(F.col("case_id").alias("__id"), *(F.col(name) for name, _ in primitives.requests.values()))
+        late = events.join(anchors, F.col("__case") == F.col("__id")).groupBy(F.col("__case").alias("__of")).agg(*(c.alias(name) for name, c in primitives.late.values()))
+        return cases.join(late, F.col("case_id") == F.col("__of"), "left").drop("__of")
+
     @property
     def cases(self) -> DataFrame:
         """One row per case: counts, first and last time, attributes, exposure, derived attributes."""
-        p = Primitives()
+        p = Primitives(self.has_long_traces(any(r["kind"] in ("count", "lag") for r in self._derived)))
         known = {*self.case_attributes, *self.builtin_attributes}
         made = [(r["name"], recipes.column(r, p, lambda n: self._attribute(n, known))) for r in self._derived]
         cases = with_derived(self.aggregated(p), made)
-        return cases.drop(*(name for name, _ in p.requests.values()))
+        return cases.drop(*p.names)
 
     @staticmethod
     def _attribute(name: str, known: set[str]) -> Column:
@@ -172,8 +198,8 @@ class EventLog:
 
     # primitives of single label sets
 
-    def _single(self, ask: Any) -> DataFrame:
-        p = Primitives()
+    def _single(self, ask: Any, scoped: bool = False) -> DataFrame:
+        p = Primitives(self.has_long_traces(scoped))
         column = ask(p)
         return self.aggregated(p).select("case_id", column.alias("value"))
 
@@ -188,22 +214,22 @@ class EventLog:
 
     def first_after(self, a: Any, b: Any, activation: str = "first", response: str = "first_after") -> DataFrame:
         """``case_id, t_a, t_b``."""
-        a, b, p = labels(a, "a"), labels(b, "b"), Primitives()
+        a, b, p = labels(a, "a"), labels(b, "b"), Primitives(self.has_long_traces(response != "first_overall"))
         start = p.last(a) if activation == "last" else p.first(a)
         end = p.first(b) if response == "first_overall" else p.first_from(b, start)
         return self.aggregated(p).select("case_id", instant(start).alias("t_a"), instant(end).alias("t_b"))
 
     def activation_lags(self, a: Any, b: Any, unit: str = "D") -> DataFrame:
-        """``case_id, t_a, lag``: each timed ``a`` with the first ``b`` at or after it, by a RANGE window (any trace length)."""
+        """``case_id, t_a, lag``: each timed ``a`` with the first ``b`` at or after it, by one running minimum along the trace, from its end."""
         a, b = labels(a, "a"), labels(b, "b")
-        ahead = Window.partitionBy("__case").orderBy("__us").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        ahead = Window.partitionBy("__case").orderBy(F.col("__us").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         timed = self.events.where(F.col("__us").isNotNull() & member(F.col("__act"), {*a, *b}))
         paired = timed.withColumn("__b", F.min(F.when(member(F.col("__act"), b), F.col("__us"))).over(ahead)).where(member(F.col("__act"), a))
         return paired.select(F.col("__case").alias("case_id"), instant(F.col("__us")).alias("t_a"), ((F.col("__b") - F.col("__us")) / 1e6 / UNIT_SECONDS[unit]).alias("lag"))
 
     def count_scoped(self, activity: Any, after: Any = None, before: Any = None) -> DataFrame:
         side = lambda x: labels(x, "anchor") if x else None
-        return self._single(lambda p: p.scoped_count(labels(activity, "activity"), side(after), side(before)))
+        return self._single(lambda p: p.scoped_count(labels(activity, "activity"), side(after), side(before)), scoped=bool(after or before))
 
     def count_before(self, b: Any, a: Any) -> DataFrame:
         return self.count_scoped(b, before=a)
@@ -309,6 +335,20 @@ class EventLog:
         return self.events.drop("__case", "__act", "__us", "__tie").withColumnsRenamed(names)
 
 
+def _with_next(events: DataFrame, b: tuple[str, ...], name: str) -> DataFrame:
+    """Adds to each event the first instant of ``b`` at or after it. Long traces are cut into stretches of time: the running minimum
+    inside a stretch, or else the first ``b`` of the stretches after it, so a giant case is many tasks' work."""
+    hit = F.when(member(F.col("__act"), b), F.col("__us"))
+    dealt = events.withColumn("__stretch", F.floor(F.col("__us") / STRETCH))
+    back = Window.partitionBy("__case", "__stretch").orderBy(F.col("__us").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("__c").orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy(F.col("__case").alias("__c"), F.col("__stretch").alias("__s")).agg(F.min(hit).alias("__f"))
+    ahead = firsts.select("__c", "__s", F.min("__f").over(later).alias("__ahead"))
+    inside = dealt.withColumn("__inside", F.min(hit).over(back))
+    joined = inside.join(ahead, (F.col("__case") == F.col("__c")) & F.col("__stretch").eqNullSafe(F.col("__s")), "left")
+    return joined.withColumn(name, F.when(F.col("__us").isNotNull(), F.coalesce("__inside", "__ahead"))).drop("__stretch", "__inside", "__c", "__s", "__ahead")
+
+
 def _instant(df: DataFrame, name: str, fmt: str | None, dayfirst: bool, utc: bool) -> Column:
     """The timestamp column without zone; text is parsed by the format, then by common ones, failures are NULL."""
     c = F.col(f"`{name}`")

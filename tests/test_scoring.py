@@ -18,6 +18,7 @@ from normslice.operators.scoring import score
 from normslice.plans.constraints import Exclusion, Lag, Metric, Precedence, Presence, Singularity
 from normslice.plans.norm import Layer, Norm, NormConstraint, View
 from normslice.queries import documents
+from normslice.sources import eventlog
 from normslice.sources.eventlog import EventLog
 from normslice.sources.example import example_log, example_norm
 
@@ -79,6 +80,9 @@ def test_invariants(spark, seed):
             assert (s is None) == (not weighed) and (s is None or -1e-9 <= s <= 1 + 1e-9)
             if s is not None:
                 assert sum(row[f"contrib__{v}__{x}"] for x in norm.layer_ids) == pytest.approx(1 - s)
+    long = log_of(spark, rows)
+    long._long_traces = True
+    assert {r["case_id"]: r["score__v"] for r in score(long, norm).table.collect()} == pytest.approx({r["case_id"]: r["score__v"] for r in table})
     shuffled = rows[:]
     random.Random(seed).shuffle(shuffled)
     again = {r["case_id"]: r["score__v"] for r in score(log_of(spark, shuffled), norm).table.collect()}
@@ -94,6 +98,17 @@ def test_invariants(spark, seed):
     assert all(0 <= r["stable_PI"] <= plain[r["region"]]["stable_PI"] + 1e-9 for r in backlog)
 
 
+def test_trace_length_is_counted_when_it_matters(spark, monkeypatch):
+    monkeypatch.setattr(eventlog, "LONG_TRACE", 3)
+    rows, _ = random_parts(2)
+    plain, paired = Norm((NormConstraint("a", "l", Presence("ask")),)), Norm((NormConstraint("a", "l", Lag("ask", "send", 1, 9)),))
+    log = log_of(spark, rows)
+    score(log, plain)
+    assert log._long_traces is None
+    names = score(log, paired).table.columns
+    assert log._long_traces is True and not [c for c in names if c.startswith("q")]
+
+
 def test_one_event_shuffle(spark):
     rows, norm = random_parts(1)
     plan = score(log_of(spark, rows), norm).table._jdf.queryExecution().executedPlan().toString()
