@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, id_type, sampled_ids
+from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
 
 ALNUM = re.compile(r"[^\W\d_]+")
 PROFILE = 400
@@ -84,8 +84,8 @@ def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2,
     column of more values is refused as no language.
     """
     usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
-    ids = sampled_ids(usable.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", max_per_language)
-    # no hint: the number of languages is not known beforehand, so Spark sizes this join
+    # written first, so Spark knows the sample's size when it plans the join: texts are shuffled only if very many languages make it large
+    ids = stored(sampled_ids(usable.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", max_per_language), "sample")
     train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
