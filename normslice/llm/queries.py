@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normslice.llm import bpe, decontaminate, language, matroska, quality, secrets, simhash, substring_dedup, toxicity, warc
+from normslice.llm import bayes_minhash, bpe, decontaminate, divergence, language, matroska, quality, secrets, simhash, spelling, substring_dedup, toxicity, warc
 from normslice.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,10 +55,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_media_matroska, op3_warc_index_merge, op4_byte_level_bpe, op5_secret_scans,
         op6_suffix_array_dedup, op7_language_id, op8_quality_classifier, op9_simhash_near_dedup, op10_benchmark_decontamination,
+        op11_minhash_near_dedup, op12_spelling_variants, op13_source_divergence,
     )
     return {f.__name__: f for f in every} | {"media_payloads": media_payloads, "tokens_round_trip": tokens_round_trip, "quality_sites": quality_sites}
 
@@ -144,5 +157,40 @@ SELECT host, path, n AS n_path, CAST(hn AS BIGINT) AS n_host, round(hp, 6) AS ho
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+same AS (SELECT r, hash(list_sort(list(s))) AS h FROM s GROUP BY r), f AS (SELECT r, min(r) OVER (PARTITION BY h) AS one FROM same),
+k AS (SELECT s.* FROM s JOIN f USING (r) WHERE r = one),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM k a JOIN k b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common) UNION SELECT one, r FROM f WHERE one < r),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, u.b FROM reach JOIN u ON u.a = reach.b),
+c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (SELECT r, lang, source, {_LOWER.format("unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")} AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+full_ AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, sum(n) AS n FROM full_ GROUP BY ALL),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p FROM full_ JOIN v USING (lang)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q FROM l JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index_merge": _OP3, "op5_secret_scans": _OP5, "media_payloads": _MEDIA, "tokens_round_trip": _TOKENS, "quality_sites": _SITES}
+    return {"op3_warc_index_merge": _OP3, "op5_secret_scans": _OP5, "op11_minhash_near_dedup": _OP11, "op13_source_divergence": _OP13, "media_payloads": _MEDIA, "tokens_round_trip": _TOKENS, "quality_sites": _SITES}
