@@ -4,9 +4,9 @@ Each (language, source) group gives every kept term a share of a thousand millio
 where absent terms have ``n = 0``, so a group's share ``z`` of an absent term is one number. The distance of two groups is the
 sum of ``|p - q|`` over all kept terms; it is split by how many groups hold a term:
 
+* if no term occurred, the distance would be ``V * |z_g - z_h|``; what follows is added to that;
 * *heavy* terms, held by many groups, are dealt in blocks; each block meets each pair of group tiles as a dense numpy matrix;
-* *light* terms are never laid out. If no light term occurred, their part would be ``light terms * |z_g - z_h|``. A posting
-  of one group alone moves it by ``|z_g - p| - |z_g - z_h|``, summed over a histogram of counts; a term that both hold is
+* *light* terms are never laid out. A posting of one group alone moves the distance by ``|z_g - p| - |z_g - z_h|``, summed over a histogram of counts; a term that both hold is
   corrected by ``|p_g - p_h| - |z_g - p_h| - |p_g - z_h| + |z_g - z_h|``, over the few pairs of its posting list.
 
 Both partial sums are whole numbers and are added exactly. Terms are counted inside the tasks that read the texts (tables of at
@@ -80,7 +80,8 @@ def _share(n: str, total: str) -> Column:
 
 
 def _dense(key: tuple, rows: pa.Table, side: int) -> pa.Table:
-    """Distances of the groups of two tiles over one block of heavy terms; rows without a term carry the share of absent terms."""
+    """What the terms of one block add to the distances of the groups of two tiles, beyond that of absent terms. Rows without a
+    term carry a group's share of absent terms; terms that no group of the two tiles holds are not in the matrix and add nothing."""
     gid, share = (rows.column(c).to_numpy() for c in ("gid", "p"))
     words = rows.column("term").combine_chunks().dictionary_encode()
     if isinstance(words, pa.ChunkedArray):
@@ -89,17 +90,17 @@ def _dense(key: tuple, rows: pa.Table, side: int) -> pa.Table:
     groups = np.unique(gid)
     at = np.searchsorted(groups, gid)
     matrix = np.zeros((len(groups), max(1, len(words.dictionary))), np.int64)
-    matrix[at[code < 0]] = share[code < 0, None]
+    absent = np.zeros(len(groups), np.int64)
+    absent[at[code < 0]] = share[code < 0]
+    matrix[:] = absent[:, None]
     matrix[at[code >= 0], code[code >= 0]] = share[code >= 0]
-    if not len(words.dictionary):
-        matrix[:] = 0
     first, second = (np.flatnonzero(groups // side == key[k].as_py()) for k in (2, 3))
     left, right, value = [], [], []
     for g in first:
         other = second[second > g]
         left.append(np.full(len(other), groups[g]))
         right.append(groups[other])
-        value.append(np.abs(matrix[other] - matrix[g]).sum(1))
+        value.append((np.abs(matrix[other] - matrix[g]) - np.abs(absent[other] - absent[g])[:, None]).sum(1))
     columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (left, right, value)]
     return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(columns[0]), pa.string()), *columns], ["lang", "a", "b", "value"])
 
@@ -145,9 +146,9 @@ def divergence(documents: DataFrame, *, least_docs: int = 30, top_terms: int = 5
 
 def _pairs(groups: DataFrame, postings: DataFrame, side: int, block: int) -> DataFrame:
     """``lang, a, b, value``: the distance of every two groups of a language (numbers ``a < b``)."""
-    narrow = groups.select("lang", "gid", "z", "n_light")
-    every = narrow.toDF("lang", "a", "za", "n_light").join(narrow.drop("n_light").toDF("lang", "b", "zb"), "lang").where("a < b")
-    absent = every.select("lang", "a", "b", (F.col("n_light") * F.abs(F.col("za") - F.col("zb"))).alias("value"))
+    narrow = groups.select("lang", "gid", "z", "v")
+    every = narrow.toDF("lang", "a", "za", "v").join(narrow.drop("v").toDF("lang", "b", "zb"), "lang").where("a < b")
+    absent = every.select("lang", "a", "b", (F.col("v") * F.abs(F.col("za") - F.col("zb"))).alias("value"))
 
     rare = postings.where("light").select("lang", "term", "gid", "p", "z")
     counts = rare.groupBy("lang", "gid", "p").agg(F.count(F.lit(1)).alias("m"))
