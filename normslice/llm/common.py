@@ -11,7 +11,7 @@ from normslice.functions.shared import remove as _remove
 from normslice.functions.shared import shared_path, stored
 from normslice.functions.shared import stored_at as _stored
 
-__all__ = ["components", "crc_bucket", "fresh", "id_type", "sampled_ids", "shared_path", "stored", "table", "whole_ids"]
+__all__ = ["class_shares", "components", "crc_bucket", "fresh", "id_type", "sampled_ids", "shared_path", "stored", "table", "under_share", "whole_ids"]
 
 #: Rows of one Arrow batch, unless the session sets its own number.
 BATCH_ROWS = 512
@@ -71,9 +71,16 @@ def sampled_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int
     gathered. The number of ids of a class varies about ``per_class`` by its square root.
     """
     rows = labelled.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-    sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_size"))
-    share = F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("_size"))
-    return rows.join(sizes, class_col).where(F.xxhash64(id_col).cast("double") <= share * 2.0**64 - 2.0**63).select(id_col, class_col)
+    return rows.join(class_shares(rows, class_col, per_class), class_col).where(under_share(id_col)).select(id_col, class_col)
+
+
+def class_shares(rows: DataFrame, class_col: str, per_class: int) -> DataFrame:
+    """``class, _share`` (of its rows that make about ``per_class``) for each class."""
+    return rows.groupBy(class_col).agg(F.least(F.lit(1.0), F.lit(float(per_class)) / F.count(F.lit(1))).alias("_share"))
+
+
+def under_share(id_col: str) -> Column:
+    return F.xxhash64(id_col).cast("double") <= F.col("_share") * 2.0**64 - 2.0**63
 
 
 def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ compared to each profile by the out-of-place distance: for each n-gram of the do
 Words are runs of letters in lower case, framed by blanks; n-grams have 1 to 3 characters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; texts of any length are counted whole; with
-nothing to learn from every text is ``und``; repeated rows are judged alike; null ids are carried; extra columns are ignored.
+nothing to learn from every text is ``und``; of rows that repeat an id each teaches its own text under its own language; null ids are carried; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
+from normslice.llm.common import class_shares, crc_bucket, id_type, stored, under_share
 
 ALNUM = re.compile(r"[^\W\d_]+")
 PROFILE = 400
@@ -84,9 +84,9 @@ def fit(documents: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2,
     column of more values is refused as no language.
     """
     usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out_rest))
-    # written first, so Spark knows the sample's size when it plans the join: texts are shuffled only if very many languages make it large
-    ids = stored(sampled_ids(usable.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", max_per_language), "sample")
-    train = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("lang", "text")
+    # written first, so Spark knows its few rows when it plans the join and leaves the texts where they lie
+    shares = stored(class_shares(usable, "lang", max_per_language), "shares")
+    train = usable.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(shares, "lang").where(under_share("doc_id")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

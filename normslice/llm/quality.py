@@ -13,7 +13,7 @@ Only grouped sums travel: a host with a third of all rows is folded before the s
 in a join that adaptive execution can split.
 
 Defined results: null and empty texts have the statistics of an empty text; a null host or path is the empty name; rows
-repeating an id are scored alike; labels other than 0 and 1 are ignored; with no labels of one class the classifier
+repeating an id have that id's label in common, whatever their texts; labels other than 0 and 1 are ignored; with no labels of one class the classifier
 says 0.5; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
 
 _WORDS = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
 N_FEATURES = 12
 
 
 def statistics(text: str | None) -> list[float]:
-    """Bounded statistics of a whole text."""
+    """Statistics of a whole text, by the same rules at every length (digits are decimal digits of any script)."""
     text = text or ""
     n = max(len(text), 1)
     words = _WORDS.findall(text)
@@ -49,13 +50,13 @@ def statistics(text: str | None) -> list[float]:
     upper = sum(w.isupper() and len(w) > 1 for w in words)
     return [
         1.0,
-        min(math.log1p(len(words)), 10.0),
+        math.log1p(len(words)),
         len(lower) / m,
         max(lower.values(), default=0) / m,
         sum(map(len, words)) / m / 10,
         upper / m,
         len(_ODD.findall(text)) / n * 10,
-        sum(c.isdigit() for c in text) / n * 10 if len(text) < 1 << 16 else len(re.findall(r"\d", text)) / n * 10,
+        len(_DIGIT.findall(text)) / n * 10,
         1 - distinct_lines / max(len(lines), 1),
         math.log1p(n / max(len(lines), 1)) / 10,
         text.count(".") / m * 5,

@@ -12,7 +12,7 @@ of the same URL before it, and is the result.
 
 Defined results: null html is an empty payload and counts like any other; a null page id has no response role in a group with
 ids, makes a revisit there, and is a response if its group has no id; rows repeating the smallest id of a payload are all
-responses; a null url is recorded as ``about:blank``; line ends in urls are escaped; an empty table writes no record; page ids
+responses; pages have no capture time unless a column is named (all are then of one instant, and captures of one URL are in the order of their ids, of any size); a null url is recorded as ``about:blank``; line ends in urls are escaped; an empty table writes no record; page ids
 are whole numbers. Extra columns are not read.
 """
 
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from normslice.llm.common import shared_path, stored, whole_ids
 
 RECORD_END = "\r\n\r\n"
+#: The capture time of pages that have none.
+NO_TIME = "2024-01-01T00:00:00Z"
 #: Records and bytes in one archive file at most (one record may be longer): the reader holds one file at a time.
 RECORDS_PER_FILE = 2_000
 FILE_BYTES = 64 << 20
@@ -46,10 +48,10 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*quads)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """A record for each row of ``pages (page_id, url, html)``, as archive files below ``path``."""
+def write_archives(pages: DataFrame, path: str, time_col: str | None = None) -> None:
+    """A record for each row of ``pages (page_id, url, html)``, as archive files below ``path``; ``time_col`` has capture times."""
     whole_ids(pages, "page_id")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _stamp(pages, time_col).alias("when"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html")))
     # only payloads that several pages have are looked up; their table is written, so Spark knows its size when it plans the join
     again = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -57,7 +59,6 @@ def write_archives(pages: DataFrame, path: str) -> None:
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
-    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(_HTTP), F.lit("Content-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
@@ -65,7 +66,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", name(F.col("page_id"))),
-        line("WARC-Date", when),
+        line("WARC-Date", F.col("when")),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", name(F.col("first"))))).otherwise(""),
@@ -82,6 +83,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
             sized.where(part).select("value").write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _stamp(pages: DataFrame, time_col: str | None) -> Column:
+    """The capture time in whole seconds of the years 1 to 9999 (UTC sessions); unknown times are ``NO_TIME``."""
+    if time_col is None:
+        return F.lit(NO_TIME)
+    first, last = (F.lit(x).cast("timestamp") for x in ("0001-01-01 00:00:00", "9999-12-31 23:59:59"))
+    when = F.col(f"`{time_col}`").cast("timestamp")
+    text = F.date_format(F.least(F.greatest(when, first), last), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(when.isNull(), NO_TIME).otherwise(text)
+
+
 def url_key(url: str) -> str:
     """Sort-friendly key: host labels reversed, then path and query, in lower case, without scheme, www, port and fragment."""
     try:
@@ -144,7 +155,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _order(entry: tuple) -> tuple:
-    return entry[0], entry[1], -1 if entry[2] is None else entry[2], entry[7], entry[8]
+    return entry[0], entry[1], entry[2] is not None, entry[2] or 0, entry[7], entry[8]
 
 
 class LoserTree:
@@ -229,7 +240,7 @@ def capture_index(archives: DataFrame) -> DataFrame:
     ends = merged.groupBy("range").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("url_key", "page_id"), "at").alias("_end"))
     order = Window.orderBy("range")  # a row for each range
     ends = ends.select(F.col("range").alias("_range"), F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"), F.lag("_end").over(order).alias("_last"))
-    placed = merged.join(F.broadcast(ends), F.col("range") == F.col("_range"))  # ends: an entry for every RANGE_ENTRIES captures
+    placed = merged.join(stored(ends, "range-ends"), F.col("range") == F.col("_range"))  # written first: its size is known when the join is planned
     carried = F.when(F.col("first") & (F.col("_last.url_key") == F.col("url_key")), F.col("_last.page_id")).otherwise(F.col("previous_page"))
     return placed.select(*_NAMES[:10], (F.col("_below") + F.col("at")).alias("position"), carried.alias("previous_page"))
 
@@ -238,12 +249,12 @@ def read_archives(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archive_and_index(pages: DataFrame, path: str | None = None, time_col: str | None = None) -> DataFrame:
     """Write the archives, read them back, merge their index: the capture history, one row for each page.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, timestamp, file, offset, length, position, previous_page``.
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, time_col)
     return capture_index(read_archives(spark, path))

@@ -201,6 +201,17 @@ def test_the_index_is_in_global_order(spark, tmp_path):
     assert keys == sorted(keys) and len(keys) == 300
 
 
+def test_ids_of_any_size_keep_their_order(spark):
+    """Hashed 64-bit ids, and times beyond the year 9999."""
+    ids = [9 * 10**17, -(10**18), 3 * 10**11, 7, 10**13, 2**63 - 1, -(2**63), 0]
+    rows = [(i, "http://one.example.com/", f"<i>{k // 2}</i>", None, None) for k, i in enumerate(ids)]
+    found = sorted(warc.archive_and_index(pages(spark, rows).repartition(3)).collect(), key=lambda r: r["position"])
+    assert [r["page_id"] for r in found] == sorted(ids) and [r["previous_page"] for r in found] == [None, *sorted(ids)[:-1]]
+    times = spark.createDataFrame([(1, "http://a/", "x", 4 * 10**15), (2, "http://a/", "y", 10**12), (3, "http://a/", "z", None), (4, "http://a/", "w", 1_720_000_000)], "page_id long, url string, html string, s long")
+    timed = warc.archive_and_index(times.selectExpr("page_id", "url", "html", "timestamp_micros(s * 1000) as t"), time_col="t").collect()
+    assert [r["page_id"] for r in sorted(timed, key=lambda r: r["position"])] == [4, 2, 3, 1] and all(len(r["timestamp"]) == 14 for r in timed)
+
+
 def test_loser_tree():
     r = random.Random(8)
     for k in range(8):

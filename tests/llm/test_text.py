@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from array import array
 from collections import Counter
 
@@ -414,3 +415,33 @@ def test_rank_queue_pops_in_order():
             assert queue.pop() == want.pop(0)
     want.sort()
     assert [queue.pop() for _ in range(len(want))] == want and queue.pop() is None
+
+
+def test_each_row_teaches_its_own_language(spark):
+    """Rows that repeat an id in different languages."""
+    rows = [(1, "zwei drei vier", "bb"), (1, "quatro cinco", "aa"), (None, "nada", "aa"), (3, "sette", None)]
+    profiles = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = {lang: {language.gram_text(g) for g in p} for lang, p in profiles.items()}
+    assert "zwe" in grams["bb"] and "zwe" not in grams["aa"] and "qua" in grams["aa"] and "qua" not in grams["bb"]
+    assert "nad" not in grams["aa"] and "set" not in grams["aa"] | grams["bb"]
+
+
+def test_statistics_have_one_rule_at_every_length():
+    for n in (65_535, 65_536, 70_000):
+        digits = quality.statistics("\u00b2" * n)[7], quality.statistics("7" * n)[7]
+        assert digits == (0.0, 10.0)
+    assert quality.statistics("a " * 30_000)[1] > quality.statistics("a " * 25_000)[1]
+
+
+def test_the_classifier_learns_and_ignores_held_out_labels(spark):
+    texts = [("12 34 !! ## 99 " * 20 if i % 2 else prose(i, 60), 1 - i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
+    labels = [(i, 1 - q if i in held else q) for i, (_, q) in enumerate(texts)]  # held-out labels are wrong on purpose
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r["evidence"] for r in quality.classify(docs, model, F.lit("h"), F.lit("p")).collect()}
+    assert all((got[i] > 0.5) == bool(q) for i, (_, q) in enumerate(texts))
+    single = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert {r["evidence"] for r in quality.classify(docs, single, F.lit("h"), F.lit("p")).collect()} == {0.5}
