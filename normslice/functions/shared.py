@@ -6,10 +6,26 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster, ship it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``df.mapInArrow``, on workers that find this package."""
+    show_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it. Unset, a local session gets a temporary folder and a cluster an error."""
     context = spark.sparkContext

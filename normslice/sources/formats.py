@@ -1,6 +1,4 @@
-"""Event data in files: CSV and Parquet by extension, XES through Spark's XML reader, OCEL 2.0 JSON, XLSX, and file catalogues.
-
-XES and OCEL are read by Spark with explicit schemas and unnested with ``explode``; nothing of them passes through the driver.
+"""Event data in files: CSV and Parquet by extension, XES (``sources/xes.py``), OCEL 2.0, XLSX, and file catalogues.
 """
 
 from __future__ import annotations
@@ -18,8 +16,10 @@ from pyspark.sql import types as T
 
 from normslice.errors import LogSchemaError
 from normslice.sources.eventlog import ACTIVITY, CASE, TIMESTAMP, EventLog
+from normslice.sources.xes import read_xes, repeated_traces
+
+__all__ = ["catalogue", "duplicate_keys", "from_objects", "python_list", "read_log", "read_ocel", "read_strings", "read_table", "read_xes", "read_xlsx", "repeated_traces", "verify", "write_backlog", "write_cases", "write_xes"]
 
-XES_TYPES = ("string", "date", "int", "float", "boolean", "id")
 #: The longest workbook that the driver will take; larger tables belong in CSV or Parquet.
 MAX_WORKBOOK_BYTES = 64 << 20
 
@@ -60,38 +60,6 @@ def from_objects(spark: SparkSession, events: Any, **roles: Any) -> EventLog:
     return EventLog(spark.createDataFrame(events), **({"case_col": CASE, "activity_col": ACTIVITY, "timestamp_col": TIMESTAMP} | roles))
 
 
-def _typed(kind: str) -> T.StructField:
-    pair = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())])
-    return T.StructField(kind, T.ArrayType(pair))
-
-
-def read_xes(spark: SparkSession, path: str, attributes: Sequence[str] = (), event_attributes: Sequence[str] = ("concept:name", "time:timestamp", "lifecycle:transition", "org:resource"), strict: bool = False) -> DataFrame:
-    """One row for each event of an XES file: case id, named trace and event attributes, and the event's place in its trace.
-
-    Attribute values stay text but for the times; a repeated key in one element takes the last value (``strict``: raises an error
-    that names it), a bad date is NULL.
-    """
-    event = T.StructType([_typed(k) for k in XES_TYPES])
-    schema = T.StructType([*(_typed(k) for k in XES_TYPES), T.StructField("event", T.ArrayType(event))])
-    traces = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path)
-
-    def value(of: str, key: str) -> Column:
-        every = [F.filter(F.col(f"{of}{k}"), lambda x: x["_key"] == key) for k in XES_TYPES]
-        found = F.coalesce(*(F.try_element_at(x, F.lit(-1))["_value"] for x in every))
-        if not strict:
-            return found
-        n = sum((F.coalesce(F.size(x), F.lit(0)) for x in every), F.lit(0))
-        return F.when(n > 1, F.raise_error(F.lit(f"an element has the key {key!r} more than once")).cast("string")).otherwise(found)
-
-    cases = traces.select(value("", "concept:name").alias(CASE), *(value("", a).alias(f"case:{a}") for a in attributes), F.posexplode_outer("event").alias("event_position", "e"))
-    rows = cases.where("e is not null")
-    columns = []
-    for a in event_attributes:
-        v = value("e.", a)
-        columns.append((F.try_to_timestamp(v).cast("timestamp_ntz") if a == TIMESTAMP else v).alias(a))
-    return rows.select(CASE, *(F.col(f"`case:{a}`") for a in attributes), "event_position", *columns)
-
-
 def write_xes(events: DataFrame, path: str, *, case_col: str, activity_col: str, timestamp_col: str, case_attributes: Sequence[str] = (), order: Sequence[str] = ()) -> None:
     """A log as XES files below ``path``, each a whole document: traces with text attributes, events with activity and time in order."""
     pair = lambda key, c: F.struct(F.lit(key).alias("_key"), c.cast("string").alias("_value"))
