@@ -11,6 +11,8 @@ A family of near copies is not compared pair by pair. In the first round each me
 heads: the member that meets most others over all its bands (the original of a family of edited copies) and one by hash.
 Linked sets become one component. In the second round sets of different components that still share a bucket are
 compared, except for pairs within the largest component at the bucket. No bucket is capped and no pair of different components is left out.
+Members carry their set's size and the parities of its hashes in 512 classes: as many shingles differ as parities do, so
+the join itself passes over most pairs of a family that lie below the threshold, and none above it.
 
 Defined results: a null text is an empty one; texts without words have an empty set, are linked with nothing and keep their
 own id as component; each row is judged by its own text, so rows that repeat an id with other texts can lie in different
@@ -27,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normslice.llm.common import components, id_type, stored
@@ -38,6 +40,7 @@ BAND = 4
 BATCH = 16
 SEED = 42
 _CHUNK = 2048
+_PARITY = [f"p{k}" for k in range(8)]
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _ADDENDS = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -86,16 +89,18 @@ def prints(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, marks = [], [], []
+            keys, sizes, marks, odd = [], [], [], []
             for text in batch.column(2):
                 h = shingles(words_of(text.as_py()))
                 sizes.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes(), SEED) if len(h) else None)
                 marks.append(signature(h).tobytes() if len(h) else None)
+                odd.append(np.packbits((np.bincount(h & 511, minlength=512) & 1).astype(bool)).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "key", "n_shingles", "signature"])
+            columns += [pa.array(c) for c in np.array(odd, np.int64).reshape(-1, len(_PARITY)).T]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "key", "n_shingles", "signature", *_PARITY])
 
-    schema = f"doc_id {id_type(documents)}, mark long, key binary, n_shingles long, signature binary"
+    schema = f"doc_id {id_type(documents)}, mark long, key binary, n_shingles long, signature binary, " + ", ".join(f"{p} long" for p in _PARITY)
     return _marked_texts(documents).mapInArrow(run, schema)
 
 
@@ -104,6 +109,13 @@ def _marked_texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("doc_id", text).alias("mark"), text.alias("text"))
 
 
+def _room(percent: int) -> Column:
+    """Necessary for the similarity of members ``x`` and ``y``: sizes, and no more differing parities than shingles may differ."""
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
     """The rows of ``pairs (a, b, ...)`` whose sizes allow the similarity and that the signatures do not rule out."""
     names = pairs.columns
@@ -163,31 +175,33 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, miss: float = 1e
     """``doc_id, n_shingles, component_id, kept`` for every row; documents linked at ``percent`` similarity share the smallest id."""
     rows = stored(prints(documents), "minhash-prints")
     worded = rows.where("key is not null")
-    nodes = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("holder"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    nodes = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("holder"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", *_PARITY)))
     nodes = stored(nodes, "minhash-nodes")
 
     width = 4 * BAND
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(HASHES // BAND)))
-    entries = nodes.select("key", F.explode(bands).alias("bucket"))
+    entries = nodes.select("key", F.explode(bands).alias("bucket"), "n_shingles", *_PARITY)
     met = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = stored(entries.join(met, "bucket"), "band-members")
     weights = members.groupBy("key").agg(F.sum("held").alias("weight"))
-    weighed = members.drop("held").join(weights, "key")
-    central = (F.max(F.struct("weight", "key")).alias("most"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("any"))
-    heads = weighed.groupBy("bucket").agg(*central).select("bucket", F.explode(F.array_distinct(F.array("most.key", "any.key"))).alias("head"))
+    weighed = members.select("bucket", "key").join(weights, "key")
     members = members.drop("held")
-    first = members.join(heads, "bucket").where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    central = (F.max(F.struct("weight", "key")).alias("most"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("any"))
+    heads = weighed.groupBy("bucket").agg(*central).select("bucket", F.explode(F.array_distinct(F.array("most.key", "any.key"))).alias("key"))
+    heads = heads.join(nodes.select("key", "n_shingles", *_PARITY), "key")
+    least, greatest = (lambda c, f=f: f("x." + c, "y." + c) for f in (F.least, F.greatest))
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") != F.col("y.key")) & _room(percent)
+    first = members.alias("x").join(heads.alias("y"), met).select(least("key").alias("a"), greatest("key").alias("b")).distinct()
     first = stored(_possible(first, nodes, percent, miss), "near-pairs")
     linked = components(_confirmed(first, nodes, documents, percent), "a", "b").toDF("key", "linked")
 
     group = F.coalesce("linked", "key").alias("group")
-    placed = members.join(linked, "key", "left").select("bucket", "key", group)
+    placed = members.join(linked, "key", "left").select(*members.columns, group)
     shares = placed.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("share"))
     open_ = shares.groupBy("bucket").agg(F.max(F.struct("share", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", F.col("top.group").alias("main"))
-    rest = stored(placed.join(open_, "bucket").select("bucket", "key", "group", (F.col("group") == F.col("main")).alias("main")), "open-buckets")
+    rest = stored(placed.join(open_, "bucket").select(*members.columns, "group", (F.col("group") == F.col("main")).alias("main")), "open-buckets")
     other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.group") != F.col("y.group")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key")))
-    least, greatest = (lambda c: f("x." + c, "y." + c) for f in (F.least, F.greatest))
-    second = rest.where("not main").alias("x").join(rest.alias("y"), other).select(least("key").alias("a"), greatest("key").alias("b"), least("group").alias("ga"), greatest("group").alias("gb")).distinct()
+    second = rest.where("not main").alias("x").join(rest.alias("y"), other & _room(percent)).select(least("key").alias("a"), greatest("key").alias("b"), least("group").alias("ga"), greatest("group").alias("gb")).distinct()
     second = stored(_possible(second, nodes, percent, miss), "near-pairs")
     merged = components(_confirmed(second, nodes, documents, percent), "ga", "gb").toDF("group", "merged")
 
