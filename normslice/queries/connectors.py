@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normslice.functions.shared import shared_path
-from normslice.queries.logs import DAYS, ROLES, events, norm, query, r, table
+from normslice.operators import compare
+from normslice.queries.logs import ROLES, events, norm, query, r, table
 from normslice.queries.reports import S_LB
-from normslice.sources import formats
+from normslice.sources import formats, ocel
 from normslice.streaming.cases import score_stream
 
 
@@ -21,6 +22,94 @@ def _(spark, d):
     return rows.select(F.col("`case:concept:name`").alias("case_id"), "event_position", F.col("`concept:name`").alias("event_type"), F.col("`time:timestamp`").alias("ts"))
 
 
+def _elements(spark, d):
+    """Orders and customers as objects, the placing of an order as an event; with JSON and XML forms."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("oid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cid"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), "o_orderpriority", F.col("o_totalprice").cast("string").alias("price"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("cid"), "c_mktsegment")
+    link = lambda *ends: F.array(*(F.struct(F.col(x).alias("objectId"), F.lit(y).alias("qualifier")) for x, y in ends))
+    note = lambda name, x: F.array(F.struct(F.lit(name).alias("name"), F.lit("1970-01-01T00:00:00Z").alias("time"), F.col(x).alias("value")))
+    happened = o.select(F.concat(F.lit("e"), "oid").alias("id"), F.lit("place").alias("type"), "time", link(("oid", "places"), ("cid", "placed by")).alias("relationships"))
+    things = o.select(F.col("oid").alias("id"), F.lit("order").alias("type"), note("price", "price").alias("attributes"), link(("cid", "of")).alias("relationships"))
+    return happened, things.unionByName(c.select(F.col("cid").alias("id"), F.lit("customer").alias("type"), note("segment", "c_mktsegment").alias("attributes"), F.expr("array()").cast("array<struct<objectId:string,qualifier:string>>").alias("relationships")))
+
+
+def _written_json(happened, things, path):
+    """A document for each partition, its elements in one list."""
+    import pyarrow as pa
+
+    def run(batches):
+        text = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], ["value"])
+        yield text('{"objectTypes": [{"name": "order", "attributes": []}], "events": [')
+        between = ""
+        for batch in batches:
+            if batch.num_rows:
+                yield text(between + ", ".join(batch.column(0).to_pylist()))
+                between = ", "
+        yield text("]}")
+
+    rows = happened.select(F.to_json(F.struct("*")).alias("value")).union(things.select(F.to_json(F.struct("*"))))
+    rows.mapInArrow(run, "value string").write.text(path)
+
+
+def _written_xml(happened, things, path):
+    related = F.when(F.size("relationships") > 0, F.struct(F.transform("relationships", lambda x: F.struct(x["objectId"].alias("_object-id"), x["qualifier"].alias("_qualifier"))).alias("relationship"))).alias("objects")
+    own = [F.col(c).alias(f"_{c}") for c in ("id", "type")]
+    attributes = F.struct(F.transform("attributes", lambda x: F.struct(x["name"].alias("_name"), x["time"].alias("_time"), x["value"].alias("_VALUE"))).alias("attribute")).alias("attributes")
+    happened.select(*own, F.col("time").alias("_time"), related).write.format("xml").options(rootTag="events", rowTag="event").mode("append").save(path)
+    things.select(*own, attributes, related).write.format("xml").options(rootTag="objects", rowTag="object").mode("append").save(path)
+
+
+_OCEL_SIZES = {"events": "orders", "objects": "(SELECT o_orderkey FROM orders UNION ALL SELECT c_custkey FROM customer)", "links": "(SELECT * FROM orders UNION ALL SELECT * FROM orders)", "object_links": "orders", "object_attributes": "(SELECT o_orderkey FROM orders UNION ALL SELECT c_custkey FROM customer)"}
+
+
+@query("src_ocel_formats", " UNION ALL ".join(f"SELECT '{t}' AS part, '{f}' AS format, count(*) AS n, true AS same FROM {x}" for t, x in _OCEL_SIZES.items() for f in ("json", "xml")))
+def _(spark, d):
+    """A log of orders written as JSON and as XML: the digests of all tables read back equal those of the tables written."""
+    happened, things = _elements(spark, d)
+    paths = {f: shared_path(spark, f"ocel-{f}") for f in ("json", "xml")}
+    _written_json(happened, things, paths["json"])
+    _written_xml(happened, things, paths["xml"])
+    want = ocel.tables_of(happened, things)
+    rows = None
+    for name, read in (("json", ocel.read_ocel), ("xml", ocel.read_ocel_xml)):
+        found = read(spark, paths[name])
+        for part in ocel.TABLES:
+            a, b = compare.digest(found[part]), compare.digest(want[part]).toDF("n_", "total_", "mixed_")
+            row = a.crossJoin(b).select(F.lit(part).alias("part"), F.lit(name).alias("format"), "n", ((F.col("n") == F.col("n_")) & (F.col("total") == F.col("total_")) & (F.col("mixed") == F.col("mixed_"))).alias("same"))  # one row each
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query("src_read_ocel", "SELECT 'c' || o_custkey AS case_id, count(*) AS n_events, min(CAST(o_orderdate AS TIMESTAMP)) AS first_ts, max(c_mktsegment) AS segment FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def _(spark, d):
+    """Customers' orders out of many JSON files."""
+    happened, things = _elements(spark, d)
+    path = shared_path(spark, "ocel")
+    _written_json(happened.repartition(6), things.repartition(6), path)
+    t = ocel.read_ocel(spark, path)
+    links = t["links"].where("object_type = 'customer'").join(t["events"], "event_id")
+    segment = t["object_attributes"].where("name = 'segment'").select("object_id", F.col("value").alias("segment"))
+    return links.join(segment, "object_id").groupBy(F.col("object_id").alias("case_id")).agg(F.count(F.lit(1)).alias("n_events"), F.min("time").alias("first_ts"), F.max("segment").alias("segment"))
+
+
+_LEFT = "SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS act, ts FROM events"
+_RIGHT = "SELECT CAST(user_id AS VARCHAR) AS case_id, CASE WHEN event_id % 499 = 3 THEN 'changed' ELSE event_type END AS act, ts FROM events WHERE event_id % 389 <> 7"
+
+
+@query("cmp_encodings", f"WITH a AS ({_LEFT}), b AS ({_RIGHT}), u AS (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b) SELECT case_id, act, ts, CAST(sum(s) AS BIGINT) AS surplus FROM u GROUP BY ALL HAVING sum(s) <> 0")
+def _(spark, d):
+    """One log as XES and as CSV, of which some rows were lost and some changed: exactly those are found."""
+    e = table(spark, d, "events").withColumn("case", F.col("user_id").cast("string"))
+    xes, csv = shared_path(spark, "cmp-xes"), shared_path(spark, "cmp-csv")
+    formats.write_xes(e, xes, case_col="case", activity_col="event_type", timestamp_col="ts", order=["event_id"])
+    when = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    changed = F.when(F.col("event_id") % 499 == 3, "changed").otherwise(F.col("event_type"))
+    e.where("event_id % 389 <> 7").select("case", changed.alias("act"), F.date_format("ts", when).alias("ts")).write.option("header", True).csv(csv)
+    left = formats.read_xes(spark, xes, strict=True).select(F.col("`case:concept:name`").alias("case_id"), F.col("`concept:name`").alias("act"), F.col("`time:timestamp`").alias("ts"))
+    right = formats.read_table(spark, csv, "case_id string, act string, ts string").withColumn("ts", F.to_timestamp("ts", when).cast("timestamp_ntz"))
+    return compare.differing_rows(left, right)
+
+
 @query("stream_case_rules", f"WITH {S_LB} SELECT case_id, n_events, {r('score_Ops')} AS score__Ops, {r('score_Finance')} AS score__Finance FROM s")
 def _(spark, d):
     """The norm with its as-of and scoped rules on a real stream: the events in files of eight, two a trigger; a case's row is its fullest."""

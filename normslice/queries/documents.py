@@ -158,17 +158,6 @@ def _(spark, d):
     ).select("case_id", "segment", "n_events", "first_ts", "n_labels")
 
 
-@query("src_read_ocel", "SELECT 'nation ' || s_nationkey AS case_id, count(*) AS n_events FROM supplier GROUP BY ALL")
-def _(spark, d):
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("nation"))
-    event = F.struct("id", F.lit("register").alias("type"), F.lit("2024-01-01T00:00:00").alias("time"), F.array(F.struct(F.col("nation").alias("objectId"), F.lit("home").alias("qualifier"))).alias("relationships"))
-    thing = F.struct(F.col("nation").alias("id"), F.lit("nation").alias("type"))
-    path = shared_path(spark, "ocel")
-    s.agg(F.collect_list(event).alias("events"), F.collect_set(thing).alias("objects")).select(F.to_json(F.struct("events", "objects")).alias("value")).write.text(path)  # such a file is one document
-    links = formats.read_ocel(spark, path)["links"].where("object_type = 'nation'")
-    return links.groupBy(F.col("object_id").alias("case_id")).agg(F.count(F.lit(1)).alias("n_events"))
-
-
 @query("src_read_strings", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer")
 def _(spark, d):
     path = shared_path(spark, "strings")

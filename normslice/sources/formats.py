@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from normslice.errors import LogSchemaError
 from normslice.sources.eventlog import ACTIVITY, CASE, TIMESTAMP, EventLog
+from normslice.sources.ocel import python_list, read_ocel, read_ocel_flat, read_ocel_xml
 from normslice.sources.xes import read_xes, repeated_traces
 
-__all__ = ["catalogue", "duplicate_keys", "from_objects", "python_list", "read_log", "read_ocel", "read_strings", "read_table", "read_xes", "read_xlsx", "repeated_traces", "verify", "write_backlog", "write_cases", "write_xes"]
+__all__ = ["catalogue", "duplicate_keys", "from_objects", "python_list", "read_log", "read_ocel", "read_ocel_flat", "read_ocel_xml", "read_strings", "read_table", "read_xes", "read_xlsx", "repeated_traces", "verify", "write_backlog", "write_cases", "write_xes"]
 
 #: The longest workbook that the driver will take; larger tables belong in CSV or Parquet.
 MAX_WORKBOOK_BYTES = 64 << 20
@@ -76,34 +77,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-OCEL_SCHEMA = (
-    "events array<struct<id:string,type:string,time:string,attributes:array<struct<name:string,value:string>>,relationships:array<struct<objectId:string,qualifier:string>>>>,"
-    "objects array<struct<id:string,type:string,attributes:array<struct<name:string,time:string,value:string>>,relationships:array<struct<objectId:string,qualifier:string>>>>"
-)
-
-
-def read_ocel(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Object-centric log as tables: ``events``, ``objects``, ``links`` (event-object), ``object_links``, ``object_attributes``."""
-    raw = spark.read.schema(OCEL_SCHEMA).option("multiLine", True).json(path)
-    events = raw.select(F.explode("events").alias("e"))
-    objects = raw.select(F.explode("objects").alias("o"))
-    kinds = objects.select(F.col("o.id").alias("_id"), F.col("o.type").alias("object_type"))
-    links = events.select(F.col("e.id").alias("event_id"), F.explode("e.relationships").alias("r")).select("event_id", F.col("r.objectId").alias("object_id"), F.col("r.qualifier").alias("qualifier"))
-    return {
-        "events": events.select(F.col("e.id").alias("event_id"), F.col("e.type").alias("activity"), F.try_to_timestamp("e.time").cast("timestamp_ntz").alias("time")),
-        "objects": objects.select(F.col("o.id").alias("object_id"), F.col("o.type").alias("object_type")),
-        "links": links.join(kinds, F.col("object_id") == F.col("_id"), "left").drop("_id"),
-        "object_links": objects.select(F.col("o.id").alias("object_id"), F.explode("o.relationships").alias("r")).select("object_id", F.col("r.objectId").alias("other_id"), F.col("r.qualifier").alias("qualifier")),
-        "object_attributes": objects.select(F.col("o.id").alias("object_id"), F.explode("o.attributes").alias("a")).select("object_id", "a.*"),
-    }
-
-
-def python_list(column: Column) -> Column:
-    """The items of a list written as text, such as ``['a', 'b']``."""
-    inner = F.regexp_extract(column, r"^\s*\[(.*)\]\s*$", 1)
-    return F.when(column.isNotNull(), F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")), lambda x: x != ""))
-
-
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
