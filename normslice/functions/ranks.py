@@ -78,9 +78,10 @@ def order_statistic(df: DataFrame, value: str, k: int) -> int:
     return before(counts, "__v").where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()["__v"]
 
 
-def spearman(pairs: DataFrame) -> DataFrame:
-    """One row ``correlation`` of the columns ``x, y`` by average ranks; rows where one is unknown are left out."""
-    counts = stored(pairs.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+def spearman(pairs: DataFrame, weighted: bool = False) -> DataFrame:
+    """One row ``correlation`` of the columns ``x, y`` by average ranks; rows where one is unknown are left out. ``weighted``: a row stands for ``n``."""
+    times = F.sum("n") if weighted else F.count(F.lit(1))
+    counts = stored(pairs.where("x is not null and y is not null").groupBy("x", "y").agg(times.alias("n")), "pair-counts")
     for c in ("x", "y"):
         ranks = before(counts.groupBy(c).agg(F.sum("n").alias("n")), c)
         counts = counts.join(ranks.select(F.col(c).alias(f"__{c}"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{c}")), F.col(c) == F.col(f"__{c}"))
@@ -91,6 +92,42 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return sums.select(F.try_divide(F.col("ab"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))).alias("correlation"))
 
 
+def spearman_all(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, j, correlation`` for every two of the columns, by average ranks over the rows that know both.
+
+    Rows are folded to distinct combinations. All columns are ranked in one pass, and one aggregate has the products of all pairs; the mean of
+    average ranks is known beforehand. Ranks over the rows of a pair only differ where one column is unknown and the other is not;
+    such pairs are ranked by themselves.
+    """
+    folded = stored(values.groupBy(*map(_q, columns)).agg(F.count(F.lit(1)).alias("__n")), "score-counts")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    known = [_q(c).isNotNull() for c in columns]
+    apart = folded.agg(*(F.max(known[i] != known[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
+    alone = [(i, j) for i, j in pairs if apart[f"p{i}_{j}"]]
+    together = [p for p in pairs if p not in alone]
+    parts = []
+    if together:
+        stack = F.array(*(F.struct(F.lit(i).alias("column"), _q(columns[i]).cast("double").alias("x")) for i in sorted({k for p in together for k in p})))
+        counts = stored(folded.select("__n", F.inline(stack)).where("x is not null").groupBy("column", "x").agg(F.sum("__n").alias("n")), "value-counts")
+        ranks = before(counts, "x", by=["column"])
+        ranked = folded
+        for i in sorted({k for p in together for k in p}):
+            own = ranks.where(F.col("column") == i).select(F.col("x").alias(f"__x{i}"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"__r{i}"))
+            ranked = ranked.join(own, _q(columns[i]).cast("double") == F.col(f"__x{i}"), "left")
+        n = F.col("__n").cast("double")
+        # average ranks of N rows have the mean (N + 1) / 2: sums of squares and products are taken about it afterwards
+        sums = [F.sum(F.when(F.col(f"__r{i}").isNotNull() & F.col(f"__r{j}").isNotNull(), n)).alias(f"n{i}_{j}") for i, j in together]
+        total = ranked.agg(F.max(F.lit(1)).alias("one"), *sums).first()
+        shift = {p: ((total[f"n{p[0]}_{p[1]}"] or 0.0) + 1) / 2 for p in together}
+        product = lambda i, j, m: F.sum(n * (F.col(f"__r{i}") - m) * (F.col(f"__r{j}") - m))
+        rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.try_divide(product(i, j, shift[i, j]), F.sqrt(product(i, i, shift[i, j])) * F.sqrt(product(j, j, shift[i, j]))).alias("correlation")) for i, j in together]
+        parts.append(ranked.agg(F.array(*rows).alias("r")).select(F.inline("r")))
+    for i, j in alone:
+        pair = folded.select(_q(columns[i]).alias("x"), _q(columns[j]).alias("y"), F.col("__n").alias("n"))
+        parts.append(spearman(pair, weighted=True).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "correlation"))
+    return reduce(DataFrame.union, parts)
+
+
 def pearson(pairs: DataFrame) -> DataFrame:
     return pairs.agg(correlation("x", "y").alias("correlation"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from normslice.errors import NormError, NotScoredError
 from normslice.functions.core import average_rank, correlation, finite_or_none
-from normslice.functions.ranks import rank_correlation
+from normslice.functions.ranks import rank_correlation, spearman_all
 from normslice.functions.shared import stored
 from normslice.operators.scoring import ScoreResult, q
 
@@ -204,6 +204,10 @@ def view_agreement(result: ScoreResult, by: str | Sequence[str], *, k: int = 20,
     if method == "pearson":
         flat = cases.select(*(s.alias(f"_s{i}") for i, s in score_of.items()))
         found = flat.agg(rows(lambda i, j: correlation(f"_s{i}", f"_s{j}").alias("correlation")).alias("r")).select(F.inline("r"))
+    elif method == "spearman":
+        flat = cases.select(*(F.round(s, 9).alias(f"_s{i}") for i, s in score_of.items()))
+        names = F.array(*map(F.lit, views))
+        found = spearman_all(flat, [f"_s{i}" for i in score_of]).select(names[F.col("i")].alias("view_a"), names[F.col("j")].alias("view_b"), "correlation")
     else:
         parts = []
         for i, j in pairs:

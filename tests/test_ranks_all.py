@@ -1,0 +1,27 @@
+"""Rank correlations of all pairs in one pass, with NULLs that fall together and NULLs that do not."""
+
+import random
+
+import pandas as pd
+import pytest
+
+from normslice.functions import ranks
+
+
+def test_spearman_of_all_pairs(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(400):
+        a = r.choice([0.0, 0.25, 0.5, r.random()])
+        row = [a, a + r.choice([0.0, 0.3]), r.random(), None if k % 5 == 0 else r.random(), 1.0]
+        rows.append([None] * 5 if k % 17 == 0 else row)
+    names = list("abcde")
+    frame = pd.DataFrame(rows, columns=names, dtype=float)
+    found = {(x["i"], x["j"]): x["correlation"] for x in ranks.spearman_all(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)), names).collect()}
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = frame[[names[i], names[j]]].dropna()
+            if j == 4:
+                assert found[i, j] is None
+            else:
+                assert found[i, j] == pytest.approx(both.corr("spearman").iloc[0, 1])
