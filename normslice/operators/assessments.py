@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normslice.errors import NormError
@@ -200,16 +200,43 @@ def _poisson(limit: int = 12) -> list[float]:
 POISSON = _poisson()
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: int = 200, seed: int = 7, top: int = 5) -> DataFrame:
-    """Poisson bootstrap of ``PI`` by group over clusters of cases: median, 2.5 and 97.5 % quantiles, share of replicates in the top.
+def numbered(clusters: DataFrame) -> DataFrame:
+    """``_cluster, number``: distinct clusters numbered from 0 in the order of their MD5, in tasks by its first three digits."""
+    hashed = clusters.select("_cluster", F.md5(F.coalesce(F.col("_cluster").cast("string"), F.lit(""))).alias("_h")).withColumn("_prefix", F.substring("_h", 1, 3))
+    below = F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # 4,096 prefixes at most
+    bases = hashed.groupBy(F.col("_prefix").alias("_p")).agg(F.count(F.lit(1)).alias("n")).select("_p", F.coalesce(below, F.lit(0)).alias("_below"))
+    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy("_h", "_cluster"))
+    return hashed.withColumn("_inside", inside).join(bases, F.col("_prefix") == F.col("_p")).select("_cluster", (F.col("_below") + F.col("_inside") - 1).alias("number"))
 
-    Scores are summed per (cluster, group) first. A cluster's multiplicity in a replicate comes from a hash, so it is the
-    same on any partitioning and after a lost executor; a multinomial draw of all clusters would fix their number instead. A
-    replicate in which a group has no cluster counts with a PI of 0.
+
+def multinomial(spark: SparkSession, clusters: int, replicates: int, seed: int) -> DataFrame:
+    """``rep, number, m``: how often each replicate draws a cluster, out of as many draws as there are clusters. Clusters that it does not draw are left out.
+
+    A draw is a number that its own hash picks, so draws are made where they are counted and no list of them goes anywhere.
+    """
+    drawn = spark.range(clusters * replicates).select((F.col("id") % replicates).cast("int").alias("rep"), F.floor(F.col("id") / replicates).alias("i"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.col("rep").cast("string"), F.lit("draw"), F.col("i").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return drawn.select("rep", F.floor(u * float(clusters)).alias("number")).groupBy("rep", "number").agg(F.count(F.lit(1)).alias("m"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, group: str, *, replicates: int = 200, seed: int = 7, top: int = 5, method: str = "poisson") -> DataFrame:
+    """Bootstrap of ``PI`` by group over clusters of cases: median, 2.5 and 97.5 % quantiles, share of replicates in the top.
+
+    Scores are summed per (cluster, group) first. Multiplicities come from hashes, so they are the same on any partitioning and after a
+    lost executor: ``poisson`` draws each cluster by itself, without a shuffle; ``multinomial`` draws as many clusters as there are in
+    every replicate. A replicate in which a group has no cluster counts with a PI of 0.
     """
+    if method not in ("poisson", "multinomial"):
+        raise NormError("method must be poisson or multinomial")
     cells = stored(df.groupBy(q(cluster).alias("_cluster"), q(group).alias("_group")).agg(F.count("score").alias("n"), F.sum("score").alias("s")).where("n > 0"), "cells")
     every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
-    sums = cells.select("*", every).withColumn("m", draw(seed, F.col("rep"), F.col("_cluster"))).where("m > 0").groupBy("rep", "_group").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))
+    if method == "poisson":
+        drawn = cells.select("*", every).withColumn("m", draw(seed, F.col("rep"), F.col("_cluster"))).where("m > 0")
+    else:
+        names = stored(numbered(cells.select("_cluster").distinct()), "clusters")
+        placed = cells.join(names.withColumnRenamed("_cluster", "_c"), F.col("_cluster").eqNullSafe(F.col("_c")))
+        drawn = multinomial(df.sparkSession, names.count(), replicates, seed).join(placed, "number")
+    sums = drawn.groupBy("rep", "_group").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))
     sums = stored(sums, "replicates")
     means = sums.groupBy(F.col("rep").alias("_rep")).agg((F.sum("s") / F.sum("n")).alias("mean"))
     grid = cells.select("_group").distinct().select(F.col("_group").alias("_g"), every)

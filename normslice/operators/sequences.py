@@ -13,8 +13,59 @@ from normslice.functions.core import duration
 from normslice.operators.scoring import q
 
 
-def runs(events: DataFrame, case: str, order: Sequence[str], value: str) -> DataFrame:
-    """Run-length form of a value along each case: ``case, run, value, length``; NULL values stand for themselves."""
+def _stretches(events: DataFrame, case: str, order: Sequence[str], value: str, stretches: int) -> tuple[DataFrame, DataFrame]:
+    """Heads of the runs inside each stretch (``_run`` counts them, ``_n`` is their length), and a summary for each case and stretch.
+
+    Stretches are ranges of (case, order), so a giant case is many of them and equal places are never parted.
+    """
+    dealt = events.repartitionByRange(stretches, q(case), *(q(o) for o in order)).withColumn("_stretch", F.spark_partition_id())
+    w = Window.partitionBy(q(case), "_stretch").orderBy(*(q(o) for o in order))
+    peers = Window.partitionBy(q(case), "_stretch", *(q(o) for o in order))
+    placed = dealt.select(q(case), "_stretch", q(value).alias("_v"), *(q(o).alias(f"_o{i}") for i, o in enumerate(order)), F.row_number().over(w).alias("_row"), F.lag(q(value)).over(w).alias("_before"), (F.count(F.lit(1)).over(peers) > 1).alias("_tied"))
+    w = Window.partitionBy(q(case), "_stretch").orderBy("_row")
+    marked = placed.withColumn("_run", F.sum(((F.col("_row") == 1) | ~F.col("_v").eqNullSafe(F.col("_before"))).cast("int")).over(w))
+    each = marked.groupBy(q(case), "_stretch", "_run").agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("_n"), F.max("_tied").alias("_tied"))
+    by_run = Window.partitionBy(q(case), "_stretch").orderBy("_run")
+    last = Window.partitionBy(q(case), "_stretch").orderBy(F.col("_run").desc())
+    heads = each.select("*", F.lag("_v", 2).over(by_run).alias("_two"), F.row_number().over(last).alias("_back"))
+    at = lambda place, k: F.max(F.when(F.col(place) == k, F.struct(F.col("_v").alias("v"))))  # noqa: E731  a struct, so that a NULL value is not an absent run
+    summary = heads.groupBy(q(case), "_stretch").agg(
+        F.count(F.lit(1)).alias("r"), F.count_if((F.col("_run") > 2) & F.col("_v").eqNullSafe(F.col("_two"))).alias("back"), F.max("_tied").alias("tied"), at("_run", 1).alias("v1"), at("_run", 2).alias("v2"), at("_back", 1).alias("z1"), at("_back", 2).alias("z2")
+    )
+    return heads, summary
+
+
+def _then(a: Column, b: Column) -> Column:
+    """The summary of two stretches that follow each other. It is associative: any grouping of a case's stretches gives the same."""
+    same = lambda x, y: x.isNotNull() & y.isNotNull() & x.eqNullSafe(y)
+    joined = same(a["z1"], b["v1"])
+    one = lambda condition: condition.cast("long")
+    across = F.when(joined, one(same(a["z2"], b["v2"]))).otherwise(one(same(a["z2"], b["v1"])) + one(same(a["z1"], b["v2"])))
+    return F.struct(
+        (a["r"] + b["r"] - one(joined)).alias("r"),
+        (a["back"] + b["back"] + across).alias("back"),
+        (a["tied"] | b["tied"]).alias("tied"),
+        a["v1"].alias("v1"),
+        F.when(a["r"] > 1, a["v2"]).when(joined, b["v2"]).otherwise(b["v1"]).alias("v2"),
+        b["z1"].alias("z1"),
+        F.when(b["r"] > 1, b["z2"]).when(joined, a["z2"]).otherwise(a["z1"]).alias("z2"),
+    )
+
+
+def runs(events: DataFrame, case: str, order: Sequence[str], value: str, stretches: int | None = None) -> DataFrame:
+    """Run-length form of a value along each case: ``case, run, value, length``; NULL values stand for themselves.
+
+    ``stretches``: cases may be giant, and are cut into so many ranges of the whole log; else a case is one task's work.
+    """
+    if stretches:
+        heads, summary = _stretches(events, case, order, value, stretches)
+        in_case = Window.partitionBy(q(case)).orderBy("_stretch")  # a row for each stretch
+        goes_on = F.coalesce(F.lag("z1").over(in_case).eqNullSafe(F.col("v1")) & F.lag("z1").over(in_case).isNotNull(), F.lit(False))
+        counted = summary.select(q(case).alias("_case"), F.col("_stretch").alias("_s"), "r", goes_on.cast("long").alias("on"))
+        ahead = Window.partitionBy("_case").orderBy("_s")
+        offsets = counted.select("_case", "_s", (F.coalesce(F.sum("r").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("on").over(ahead)).alias("_more"))
+        numbered = heads.join(offsets, q(case).eqNullSafe(F.col("_case")) & (F.col("_stretch") == F.col("_s")))
+        return numbered.groupBy(q(case), (F.col("_run") + F.col("_more")).alias("run"), F.col("_v").alias(value)).agg(F.sum("_n").alias("length"))
     w = Window.partitionBy(q(case)).orderBy(*(q(o) for o in order))
     first = F.row_number().over(w) == 1
     change = first | ~q(value).eqNullSafe(F.lag(q(value)).over(w))
@@ -23,8 +74,18 @@ def runs(events: DataFrame, case: str, order: Sequence[str], value: str) -> Data
     return marked.groupBy(q(case), F.col("_run").alias("run"), q(value)).agg(F.count(F.lit(1)).alias("length"))
 
 
-def returns(events: DataFrame, case: str, order: Sequence[str], value: str) -> DataFrame:
-    """Per case: changes of the value, and returns A-B-A over its runs; ties in the order make both unknown."""
+def returns(events: DataFrame, case: str, order: Sequence[str], value: str, stretches: int | None = None) -> DataFrame:
+    """Per case: changes of the value, and returns A-B-A over its runs; ties in the order make both unknown.
+
+    ``stretches`` as in ``runs``: stretches are summed up where they lie, and a case folds its few summaries in order.
+    """
+    if stretches:
+        _, summary = _stretches(events, case, order, value, stretches)
+        parts = F.sort_array(F.collect_list(F.struct("_stretch", "r", "back", "tied", "v1", "v2", "z1", "z2")))  # one for each stretch at most
+        plain = lambda x: F.struct(*(x[c].alias(c) for c in ("r", "back", "tied", "v1", "v2", "z1", "z2")))
+        folded = summary.groupBy(q(case)).agg(parts.alias("_p")).select(q(case), F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), plain(F.col("_p")[0]), lambda a, b: _then(a, b)).alias("_x"))
+        known = ~F.col("_x.tied")
+        return folded.select(q(case), F.when(known, F.col("_x.r") - 1).alias("n_changes"), F.when(known, F.col("_x.back")).alias("n_returns"))
     w = Window.partitionBy(q(case)).orderBy(*(q(o) for o in order))
     peers = Window.partitionBy(q(case), *(q(o) for o in order))
     tied = events.select("*", F.count(F.lit(1)).over(peers).alias("_n")).groupBy(q(case).alias("_case")).agg((F.max("_n") > 1).alias("_tied"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from normslice.functions.shared import shared_path
 from normslice.operators import compare
+from normslice.operators import sequences as S
 from normslice.queries.logs import ROLES, events, norm, query, r, table
 from normslice.queries.reports import S_LB
 from normslice.sources import formats, ocel
@@ -110,6 +111,24 @@ def _(spark, d):
     return compare.differing_rows(left, right)
 
 
+_GIANT = "e AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'giant' ELSE CAST(user_id AS VARCHAR) END AS c, event_type AS act, ts, event_id FROM events), l AS (SELECT *, row_number() OVER w AS i, lag(act) OVER w AS before FROM e WINDOW w AS (PARTITION BY c ORDER BY ts, event_id))"
+
+
+def _giant(spark, d):
+    return table(spark, d, "events").withColumn("case", F.when(F.col("user_id") % 3 == 0, "giant").otherwise(F.col("user_id").cast("string")))
+
+
+@query("seq_returns_giant", f"WITH {_GIANT}, h AS (SELECT *, lag(act, 2) OVER (PARTITION BY c ORDER BY ts, event_id) AS two FROM l WHERE i = 1 OR act <> before) SELECT c AS \"case\", count(*) - 1 AS n_changes, count(*) FILTER (act = two) AS n_returns FROM h GROUP BY c")
+def _(spark, d):
+    """Changes and returns where one case has a third of all events: its stretches are many tasks' work."""
+    return S.returns(_giant(spark, d), "case", ["ts", "event_id"], "event_type", stretches=24)
+
+
+@query("seq_runs_giant", f"WITH {_GIANT}, k AS (SELECT *, sum(CASE WHEN i = 1 OR act <> before THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY ts, event_id) AS run FROM l) SELECT c AS \"case\", CAST(run AS BIGINT) AS run, act AS event_type, count(*) AS length FROM k GROUP BY ALL")
+def _(spark, d):
+    return S.runs(_giant(spark, d), "case", ["ts", "event_id"], "event_type", stretches=24)
+
+
 @query("stream_case_rules", f"WITH {S_LB} SELECT case_id, n_events, {r('score_Ops')} AS score__Ops, {r('score_Finance')} AS score__Finance FROM s")
 def _(spark, d):
     """The norm with its as-of and scoped rules on a real stream: the events in files of eight, two a trigger; a case's row is its fullest."""

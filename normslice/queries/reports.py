@@ -490,6 +490,22 @@ def _(spark, d):
     return A.cluster_bootstrap(frame, "user", "segment", replicates=100)
 
 
+@query(
+    "assess_bootstrap_multinomial",
+    f"""WITH {S_LB}, cl AS (SELECT split_part(case_id, '-', 1) AS c, segment AS g, count(score_Ops) AS n, sum(score_Ops) AS s FROM s GROUP BY ALL HAVING count(score_Ops) > 0),
+num AS (SELECT c, row_number() OVER (ORDER BY md5(c), c) - 1 AS k FROM (SELECT DISTINCT c FROM cl)), size AS (SELECT count(*) AS n FROM num),
+u AS (SELECT rep, CAST(floor(CAST(CAST('0x' || substr(md5('7|' || rep || '|draw|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * n) AS BIGINT) AS k FROM size, (SELECT unnest(range(0, n)) AS i FROM size), (SELECT unnest(range(0, 100)) AS rep)),
+m AS (SELECT c, rep, count(*) AS m FROM u JOIN num USING (k) GROUP BY ALL), t AS (SELECT rep, g, sum(m * n) AS n, sum(m * s) AS s FROM cl JOIN m USING (c) WHERE m > 0 GROUP BY ALL),
+me AS (SELECT rep, sum(s) / sum(n) AS mean FROM t GROUP BY rep), gr AS (SELECT DISTINCT g, rep FROM cl, (SELECT unnest(range(0, 100)) AS rep)),
+pi AS (SELECT gr.g, gr.rep, coalesce(round(greatest(mean - s / n, 0.0) * n, 12), 0.0) AS pi FROM gr LEFT JOIN t ON gr.g = t.g AND gr.rep = t.rep LEFT JOIN me ON gr.rep = me.rep),
+bk AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY pi DESC, g) AS i FROM pi)
+SELECT g AS segment, {r('quantile_cont(pi, 0.025)')} AS low, {r('quantile_cont(pi, 0.5)')} AS median, {r('quantile_cont(pi, 0.975)')} AS high, {r('count(*) FILTER (i <= 5 AND pi > 0) / 100')} AS top_share FROM bk GROUP BY g""",
+)
+def _(spark, d):
+    frame = result(spark, d).frame("Ops").withColumn("user", F.split_part("case_id", F.lit("-"), F.lit(1)))
+    return A.cluster_bootstrap(frame, "user", "segment", replicates=100, method="multinomial")
+
+
 # sequences
 
 _LAGGED = f"{USERS}, l AS (SELECT *, lag(act) OVER w AS before, row_number() OVER w AS i FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY ts, event_id))"
