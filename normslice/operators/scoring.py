@@ -206,3 +206,18 @@ def evaluate_constraint(log: Any, nc: Any, norm: Norm | None = None) -> DataFram
     """``case_id, violation`` of a single constraint."""
     alone = (norm or Norm((nc,))).replace(constraints=(nc,), layers=(), views=())
     return compiled(log, alone).select("case_id", q(f"v__{nc.id}").alias("violation"))
+
+
+def reasons(log: Any, norm: Norm, derive: bool = True) -> DataFrame:
+    """``case_id, constraint, state, reason`` for every case and constraint: ``assessed``, ``out_of_scope`` or ``unavailable``, and why (NULL if assessed).
+
+    A scope that does not hold names the first part of the rule that fails; missing evidence names what is missing.
+    """
+    table = compiled(log, norm, derive, reasons=True)
+    each = F.array(*(F.struct(F.lit(c.id).alias("constraint"), F.when(~q(f"s__{c.id}"), "out_of_scope").when(q(f"v__{c.id}").isNull(), "unavailable").otherwise("assessed").alias("state"), q(f"r__{c.id}").alias("reason")) for c in norm.constraints))
+    return table.select("case_id", *(q(c) for c in table.columns if not c.startswith(("v__", "s__", "r__")) and c != "case_id"), F.inline(each))
+
+
+def reason_profile(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cases by group, constraint, state and reason of ``reasons``."""
+    return found.groupBy(*map(q, by), "constraint", "state", "reason").agg(F.count(F.lit(1)).alias("n_cases"))

@@ -128,6 +128,15 @@ def span(events: DataFrame, case: str, act: str, us: str, start: Sequence[str],
     return pair.select(q(case), F.when(state == "measured", duration(F.col("_a"), F.col("_b"), unit)).alias("span"), state.alias("state"))
 
 
+def first_interval(events: DataFrame, case: str, act: str, us: str, start: Sequence[str], end: Sequence[str], unit: str = "D") -> DataFrame:
+    """Per case: first start to first end, with its state. Without a start the interval is out of scope; a start or end without an
+    instant makes it invalid, and no later one repairs that."""
+    is_start, is_end = (q(act).isin(list(x)) for x in (start, end))
+    found = events.groupBy(q(case)).agg(F.min(F.when(is_start, q(us))).alias("_a"), F.min(F.when(is_end, q(us))).alias("_b"), F.count_if(is_start).alias("_n"), F.count_if((is_start | is_end) & q(us).isNull()).alias("_bad"))
+    state = F.when(F.col("_n") == 0, "out_of_scope").when(F.col("_bad") > 0, "invalid").when(F.col("_b").isNull(), "no_end").when(F.col("_b") < F.col("_a"), "reversed").otherwise("measured")
+    return found.select(q(case), F.when(state == "measured", duration(F.col("_a"), F.col("_b"), unit)).alias("span"), state.alias("state"))
+
+
 def band(value: Column, limits: Sequence[float], names: Sequence[str]) -> Column:
     """The name of the first limit that the value lies under; the last name at or above all limits."""
     out = F.lit(names[-1])

@@ -209,8 +209,28 @@ def violation(c: Constraint, p: Primitives, attribute: Callable[[str], Column],
     raise NormError(f"{c!r} is no known constraint")
 
 
-def compiled(log: Any, norm: Any, derive: bool = True) -> DataFrame:
-    """The case table with ``v__<id>`` (violation) and ``s__<id>`` (in scope) for each constraint of the norm."""
+def unavailable(c: Constraint, p: Primitives, attribute: Callable[[str], Column]) -> Column:
+    """Why a constraint in scope has no violation, in words: its missing evidence."""
+    named = "|".join
+    first = lambda *pairs: F.coalesce(*(F.when(missing, F.lit(text)) for missing, text in pairs), F.lit("unknown"))
+    none = lambda x: p.count(x) == 0
+    if isinstance(c, (Exclusion, Singularity)):
+        return first(*((none(x), f"no {named(x)}") for x in (c.after, c.before) if x))
+    if isinstance(c, Lag):
+        return first((none(c.a), f"no {named(c.a)}"), (none(c.b), f"no {named(c.b)}"), (F.lit(True), f"no {named(c.b)} after {named(c.a)}"))
+    if isinstance(c, Precedence):
+        return first((none(c.a), f"no {named(c.a)}"), (none(c.b), f"no {named(c.b)}"))
+    if isinstance(c, Balance):
+        sides = ((c.attr_x, c.activities_x), (c.attr_y, c.activities_y))
+        return first(*((p.total(x, labels, c.agg).isNull(), f"no {c.agg} of {x} on {named(labels)}") for x, labels in sides))
+    if isinstance(c, Metric):
+        return first((attribute(c.attribute).isNull(), f"{c.attribute} is unknown"), (F.lit(True), f"{c.attribute} is no number"))
+    return F.lit("unknown")
+
+
+def compiled(log: Any, norm: Any, derive: bool = True, reasons: bool = False) -> DataFrame:
+    """The case table with ``v__<id>`` (violation) and ``s__<id>`` (in scope) for each constraint of the norm; with ``reasons`` also
+    ``r__<id>``: why a constraint is out of scope or cannot be evaluated, NULL where it has been."""
     p = Primitives(log.has_long_traces(norm.looks_around))
     known = {*log.case_attributes, *log.builtin_attributes}
 
@@ -229,6 +249,9 @@ def compiled(log: Any, norm: Any, derive: bool = True) -> DataFrame:
         scope = rules.column(nc.applicability, attribute, p.count)
         nu = violation(nc.constraint, p, attribute, log.censoring_end_us)
         columns += [F.when(scope, nu).alias(f"v__{nc.id}"), scope.alias(f"s__{nc.id}")]
+        if reasons:
+            lacking = F.when(nu.isNull(), unavailable(nc.constraint, p, attribute))
+            columns.append(F.when(scope, lacking).otherwise(rules.why_not(nc.applicability, attribute, p.count)).alias(f"r__{nc.id}"))
     cases = with_derived(log.aggregated(p), derived)
     kept = [c for c in cases.columns if c not in p.names]
     return cases.select(*(F.col(f"`{c}`") for c in kept), *columns)

@@ -6,6 +6,7 @@ import ast
 import operator
 import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from normslice.errors import NormError
 from normslice.functions.core import UNIT_SECONDS, duration, every, member, number
 from normslice.plans.constraints import choice, finite, labels
+from normslice.plans.patterns import java
 
 #: The kinds of recipes, what each needs and what it may have, and the quantile that scales by default.
 AGGREGATES = ("sum", "mean", "max", "min", "std", "first", "last")
@@ -62,6 +64,8 @@ def check(recipe: Mapping[str, Any]) -> None:
     for test in _tests(recipe.get("where")):
         if len(test) != 2 or "column" not in test or not set(test) <= {"column", "in", "not_in", "eq", "regex"}:
             raise NormError(f"recipe {name!r}: a where test is a column and one of in, not_in, eq, regex: {test!r}")
+        if "regex" in test:
+            java(test["regex"])  # refused now, not when the log is read
 
 
 def _tests(where: Any) -> list[dict[str, Any]]:
@@ -85,7 +89,7 @@ def where(condition: Any) -> Column:
         elif "eq" in test:
             parts.append(F.coalesce(c == test["eq"], F.lit(False)))
         else:
-            parts.append(F.coalesce(c.cast("string").rlike(test["regex"]), F.lit(False)))
+            parts.append(F.coalesce(c.cast("string").rlike(java(test["regex"])), F.lit(False)))
     return every(parts)
 
 
@@ -100,11 +104,15 @@ def columns(recipe: Mapping[str, Any]) -> set[str]:
 
 _QUOTED = re.compile(r"`([^`]*)`")
 _COMPARE = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+#: Functions of one number.
+_FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "expm1": F.expm1, "log": F.ln, "log10": F.log10, "log1p": F.log1p, "floor": F.floor, "ceil": F.ceil, "sin": F.sin, "cos": F.cos, "tan": F.tan}
+_AND_OR = {"&": "and", "|": "or"}
 _ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: lambda x, y: F.try_divide(x, y), ast.Pow: lambda x, y: F.pow(x, y)}
 
 
 def expression(text: Any, attribute: Callable[[str], Column] | None) -> Column | None:
-    """An ``eval`` expression as a DOUBLE: names (in backticks if they are no words), numbers, ``+ - * / **``, comparisons, brackets.
+    """An ``eval`` expression as a DOUBLE: names (in backticks if they are no words), numbers, ``+ - * / **``, comparisons (also in chains), brackets,
+    functions of one number, and ``and``, ``or``, ``not`` (``&``, ``|``, ``~`` bind as loosely as these) over comparisons.
 
     A division by zero and a result that is no number are NULL; a comparison gives 1 or 0, also of an unknown value (0). Without
     ``attribute`` the expression is only checked.
@@ -116,7 +124,8 @@ def expression(text: Any, attribute: Callable[[str], Column] | None) -> Column |
         return f"_quoted_{len(quoted) - 1}_"
 
     try:
-        tree = ast.parse(_QUOTED.sub(plain, text).strip(), mode="eval").body
+        loose = re.sub("[&|]", lambda m: f" {_AND_OR[m[0]]} ", re.sub("~", " not ", _QUOTED.sub(plain, text)))
+        tree = ast.parse(loose.strip(), mode="eval").body
     except (SyntaxError, TypeError, ValueError):
         raise NormError(f"{text!r} is no expression") from None
 
@@ -132,10 +141,27 @@ def expression(text: Any, attribute: Callable[[str], Column] | None) -> Column |
         if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
             x, y = made(node.left), made(node.right)
             return _ARITHMETIC[type(node.op)](x, y) if attribute else None
-        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _COMPARE:
-            x, y = made(node.left), made(node.comparators[0])
-            return F.coalesce(_COMPARE[type(node.ops[0])](x, y), F.lit(False)).cast("double") if attribute else None
-        raise NormError(f"an expression takes names, numbers, + - * / **, comparisons and brackets: {text!r}")
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _FUNCTIONS and len(node.args) == 1 and not node.keywords:
+            x = made(node.args[0])
+            return _FUNCTIONS[node.func.id](x).cast("double") if attribute else None
+        if isinstance(node, (ast.Compare, ast.BoolOp)) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            truth = judged(node)
+            return truth.cast("double") if attribute else None
+        raise NormError(f"an expression takes names, numbers, + - * / **, comparisons, and, or, not, brackets and {sorted(_FUNCTIONS)}: {text!r}")
+
+    def judged(node: ast.expr) -> Column | None:
+        """A condition, never NULL."""
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            x = judged(node.operand)
+            return ~x if attribute else None
+        if isinstance(node, ast.BoolOp):
+            parts = [judged(v) for v in node.values]
+            return reduce(operator.and_ if isinstance(node.op, ast.And) else operator.or_, parts) if attribute else None
+        if isinstance(node, ast.Compare) and all(type(o) in _COMPARE for o in node.ops):
+            sides = [made(x) for x in (node.left, *node.comparators)]
+            links = [_COMPARE[type(o)](x, y) for o, x, y in zip(node.ops, sides, sides[1:], strict=False)] if attribute else []
+            return F.coalesce(reduce(operator.and_, links), F.lit(False)) if attribute else None
+        raise NormError(f"and, or, not take comparisons: {text!r}")
 
     out = made(tree)
     return None if out is None else F.when(F.abs(number(out)) < float("inf"), number(out))

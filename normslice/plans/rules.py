@@ -104,6 +104,33 @@ def attributes(rule: Any) -> set[str]:
     return {v[0] for kind, v in _walk(rule) if kind == "short"} | {v["attr"] for kind, v in _walk(rule) if kind == "attr"}
 
 
+def why_not(rule: Any, attribute: Callable[[str], Column], count: Callable[[tuple[str, ...]], Column]) -> Column:
+    """Why a rule does not hold: the first part that fails, in words; NULL where it holds. Built beside ``column``, of the same parts."""
+    if not rule:
+        return F.lit(None).cast("string")
+    kinds = set(rule) & TREE
+    holds = column(rule, attribute, count)
+    said = lambda text: F.when(~holds, F.lit(text))
+    if not kinds:
+        parts = [F.when(attribute(k).isNull(), F.lit(f"{k} is unknown")).when(~member(attribute(k), v if isinstance(v, list) else [v]), F.lit(f"{k} is not listed")) for k, v in rule.items()]
+        return F.coalesce(*parts)
+    if "attr" in kinds:
+        op = next(k for k in rule if k != "attr")
+        name = rule["attr"]
+        if op in ("isna", "notna"):
+            return F.when(~holds, F.when(attribute(name).isNull(), F.lit(f"{name} is unknown")).otherwise(F.lit(f"{name} is known")))
+        return F.when(~holds, F.when(attribute(name).isNull(), F.lit(f"{name} is unknown")).otherwise(F.lit(f"{name}: {op} fails")))
+    if "has" in kinds:
+        return said(f"no {'|'.join(labels(rule['has'], 'has'))}")
+    if "lacks" in kinds:
+        return said(f"has {'|'.join(labels(rule['lacks'], 'lacks'))}")
+    if "not" in kinds:
+        return said("excluded")
+    if "any" in kinds:
+        return said(f"none of {len(rule['any'])} alternatives")
+    return F.coalesce(*(why_not(part, attribute, count) for part in rule["all"]))
+
+
 def column(rule: Any, attribute: Callable[[str], Column], count: Callable[[tuple[str, ...]], Column]) -> Column:
     """The rule as a BOOLEAN that is never NULL."""
     if not rule:

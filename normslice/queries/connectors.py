@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from normslice.functions.shared import shared_path
 from normslice.operators import compare
 from normslice.operators import sequences as S
-from normslice.queries.logs import ROLES, events, norm, query, r, table
+from normslice.operators.scoring import reason_profile, reasons, score
+from normslice.plans.constraints import Exclusion, Lag, Metric, Presence, Singularity
+from normslice.plans.families import Families, expand
+from normslice.plans.norm import Norm, NormConstraint, View
+from normslice.queries.logs import LAYER_OF, ORDERS, ROLES, VIOLATIONS, events, norm, order_log, query, r, sat, table, user_days
 from normslice.queries.reports import S_LB
 from normslice.sources import formats, ocel
 from normslice.streaming.cases import score_stream
@@ -129,6 +133,74 @@ def _(spark, d):
     return S.runs(_giant(spark, d), "case", ["ts", "event_id"], "event_type", stretches=24)
 
 
+# families of activities, reasons, patterns
+
+_FAMILIES = Families({"shipping": ["ship_*"], "returned": ["ship_R"], "kept": ["ship_A", "ship_N"], "unknown": ["nothing*"]})
+
+
+def family_norm():
+    return Norm(
+        (
+            NormConstraint("repeated", "l", Singularity("@shipping", 2, 3)),
+            NormConstraint("handled", "l", Lag("place", "@shipping", 20, 40, "D", missing_a="skip")),
+            NormConstraint("kept", "m", Presence("@kept", 2), applicability={"has": ["@shipping"]}),
+            NormConstraint("returned", "m", Exclusion("@returned")),
+            NormConstraint("never", "m", Exclusion("@unknown")),
+        ),
+        views=(View("all", constraint_weights={"repeated": 1, "handled": 2, "kept": 1, "returned": 1, "never": 1}),),
+        scoring_mode="flat",
+    )
+
+
+_FAMILY_SQL = f"""WITH {ORDERS}, g AS (SELECT case_id, count(*) FILTER (act LIKE 'ship_%') AS n, count(*) FILTER (act IN ('ship_A', 'ship_N')) AS k, count(*) FILTER (act = 'ship_R') AS b, min(us) FILTER (act = 'place') AS p FROM ev GROUP BY case_id),
+f AS (SELECT case_id, min(us) FILTER (act LIKE 'ship_%' AND us >= p) AS s FROM ev JOIN (SELECT case_id, p FROM g) USING (case_id) GROUP BY case_id),
+v AS (SELECT case_id, {sat('CAST(n AS DOUBLE)', 2.0, 3.0)} AS v1, CASE WHEN p IS NULL THEN NULL WHEN s IS NULL THEN 1.0 ELSE {sat('(s - p) / 1e6 / 86400.0', 20.0, 40.0)} END AS v2, CASE WHEN n > 0 THEN 1 - least(k / 2.0, 1) END AS v3, CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END AS v4 FROM g JOIN f USING (case_id))
+SELECT case_id, {r('1 - (v1 + 2 * coalesce(v2, 0) + coalesce(v3, 0) + v4) / (3 + CASE WHEN v2 IS NULL THEN 0 ELSE 2 END + CASE WHEN v3 IS NULL THEN 0 ELSE 1 END)')} AS score FROM v"""
+
+
+@query("fam_scores", _FAMILY_SQL)
+def _(spark, d):
+    """A norm over families of activities."""
+    log = order_log(spark, d)
+    return score(log, expand(family_norm(), _FAMILIES, log.activity_labels())).frame("all").select("case_id", "score")
+
+
+@query("fam_interval", f"WITH {ORDERS}, x AS (SELECT case_id, act, CASE WHEN line = 6 THEN NULL ELSE us END AS us FROM ev), g AS (SELECT case_id, min(us) FILTER (act = 'place') AS a, min(us) FILTER (act LIKE 'ship_%') AS b, count(*) FILTER (us IS NULL) AS bad FROM x GROUP BY case_id), s AS (SELECT *, CASE WHEN bad > 0 THEN 'invalid' WHEN b IS NULL THEN 'no_end' WHEN b < a THEN 'reversed' ELSE 'measured' END AS state FROM g) SELECT case_id AS \"case\", state, {r("CASE WHEN state = 'measured' THEN (b - a) / 1e6 / 86400.0 END")} AS span FROM s")
+def _(spark, d):
+    """Order to first shipment; an order with a shipment of unknown time has no duration."""
+    log = order_log(spark, d)
+    shipped = _FAMILIES.dictionary(log.activity_labels())["shipping"]
+    broken = log.events.withColumn("__us", F.when(F.col("line") != 6, F.col("__us")))
+    return S.first_interval(broken, "case", "act", "__us", ["place"], shipped)
+
+
+@query("fam_events", "SELECT event_type, CASE WHEN event_type LIKE 'c%' THEN 'c' WHEN event_type IN ('view', 'purchase') THEN 'shop' END AS family, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    log = user_days(spark, d)
+    found = Families({"c": ["c*"], "shop": ["view", "purchase"]}).labelled(log.events, "event_type", log.activity_labels())
+    return found.groupBy("event_type", "family").agg(F.count(F.lit(1)).alias("n"))
+
+
+_C_REASONS = {"c4": "CASE WHEN v1 IS NULL THEN 'no view' END", "c5": "CASE WHEN p1 IS NULL THEN 'no purchase' END"}
+_REASONS = " UNION ALL ".join(
+    f"SELECT segment, '{c}' AS \"constraint\", {'s8' if c == 'c8' else 'true'} AS s, {c} IS NOT NULL AS known, {_C_REASONS.get(c, 'NULL')} AS why FROM v" for c in LAYER_OF
+)
+
+
+@query("assess_reasons", f"WITH {VIOLATIONS}, x AS ({_REASONS}) SELECT segment, \"constraint\", CASE WHEN NOT s THEN 'out_of_scope' WHEN known THEN 'assessed' ELSE 'unavailable' END AS state, CASE WHEN NOT s THEN 'segment is not listed' WHEN NOT known THEN why END AS reason, count(*) AS n_cases FROM x GROUP BY ALL")
+def _(spark, d):
+    """Why criteria are out of scope or cannot be evaluated, by segment."""
+    return reason_profile(reasons(user_days(spark, d), norm()), ["segment"])
+
+
+@query("rec_where_python", "WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS case_id, event_type FROM events) SELECT case_id, CAST(count(*) FILTER (regexp_matches(event_type, '^(?:p|s).*[hnp]$')) AS DOUBLE) AS hits, CASE WHEN count(*) > 2 AND NOT count(*) > 4 OR count(*) = 1 THEN 1.0 ELSE 0.0 END AS few FROM e GROUP BY case_id")
+def _(spark, d):
+    """A pattern in Python's syntax, and an expression with ``&``, ``|`` and ``~``."""
+    recipes = ({"name": "hits", "kind": "count_events", "where": {"column": "event_type", "regex": r"\A(?P<first_one>[ps]).*[hnp]\Z"}}, {"name": "few", "kind": "eval", "expr": "n_events > 2 & ~(n_events > 4) | abs(n_events) == 1"})
+    small = Norm((NormConstraint("h", "l", Metric("hits", 1, 1)),), views=(View("all", constraint_weights={"h": 1}),), derived_attributes=recipes, scoring_mode="flat")
+    return score(user_days(spark, d), small).frame("all").select("case_id", "hits", "few")
+
+
 @query("stream_case_rules", f"WITH {S_LB} SELECT case_id, n_events, {r('score_Ops')} AS score__Ops, {r('score_Finance')} AS score__Finance FROM s")
 def _(spark, d):
     """The norm with its as-of and scoped rules on a real stream: the events in files of eight, two a trigger; a case's row is its fullest."""
