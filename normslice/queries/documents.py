@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from normslice.functions.shared import shared_path
 from normslice.operators.backlog import prioritize
 from normslice.operators.scoring import score
-from normslice.plans.norm import Norm
+from normslice.plans.constraints import Presence
+from normslice.plans.norm import Layer, Norm, NormConstraint, View
 from normslice.queries.logs import DAYS, ORDERS, ROLES, events, order_log, query, r, sat, table, user_days
 from normslice.queries.reports import S_LB, _tail, backlog_sql, result
 from normslice.sources import formats
@@ -118,12 +119,18 @@ def _(spark, d):
     return prioritize(document_scores(spark, d), ["o_orderstatus", "c_mktsegment"], view="Control", gamma=20)
 
 
-_LAYERED = "w(c, layer, w) AS (VALUES " + ", ".join(f"('{c}', '{b[0]}', {b[3]!r})" for c, b in BODY.items()) + "), a(view, layer, a) AS (VALUES " + ", ".join(f"('{v}', '{x}', {a!r})" for v, ws in LAYER_WEIGHTS.items() for x, a in ws.items()) + ")"
 
 
-@query("norm_weight_table", f"WITH {_LAYERED}, v AS (SELECT DISTINCT view FROM a) SELECT c AS \"constraint\", w.layer, v.view, {r('coalesce(a, 0) * w.w / (SELECT sum(x.w) FROM w x WHERE x.layer = w.layer)')} AS weight FROM w, v LEFT JOIN a ON a.layer = w.layer AND a.view = v.view")
+@query("norm_weight_table", f"WITH c AS (SELECT event_type AS a, count(*) AS n FROM events GROUP BY event_type), l AS (SELECT a, n, CASE WHEN a < 'm' THEN 'early' ELSE 'late' END AS layer FROM c), s AS (SELECT layer, sum(n) AS n FROM l GROUP BY layer) SELECT l.a AS \"constraint\", l.layer, v.view, {r('CASE v.view WHEN 1 THEN l.n ELSE (CASE l.layer WHEN $$early$$ THEN 3 ELSE 1 END) * l.n / s.n END')} AS weight FROM l JOIN s USING (layer), (VALUES (1), (2)) v(view)".replace("v.view, round", "CASE v.view WHEN 1 THEN 'own' ELSE 'layered' END AS view, round"))
 def _(spark, d):
-    return spark.createDataFrame(Norm.loads(json.dumps(DOCUMENT)).weight_table(), "constraint string, layer string, view string, weight double")
+    """The weights of a norm that asks for every activity of the log, by how often it occurs."""
+    found = {x["event_type"]: x["count"] for x in table(spark, d, "events").groupBy("event_type").count().collect()}  # the process's activities
+    layer = lambda a: "early" if a < "m" else "late"
+    made = Norm(
+        tuple(NormConstraint(a, layer(a), Presence(a), float(n)) for a, n in found.items()), tuple(Layer(x) for x in sorted({layer(a) for a in found})),
+        (View("own", constraint_weights={a: float(n) for a, n in found.items()}), View("layered", layer_weights={"early": 3.0, "late": 1.0})),
+    )
+    return spark.createDataFrame(made.weight_table(), "constraint string, layer string, view string, weight double")
 
 
 # readers and writers: what was written must come back
@@ -166,16 +173,26 @@ def _(spark, d):
     return formats.read_strings(spark, path, ["c_custkey", "c_mktsegment"]).drop("source_file")
 
 
-@query("src_catalogue", "SELECT 'gone.txt' AS want_path UNION ALL SELECT 'sub/other.txt'")
+@query("src_catalogue", "SELECT CAST(c_nationkey AS VARCHAR) AS nation, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM (SELECT c_nationkey, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey)")
 def _(spark, d):
-    """Of three catalogued files one is missing and one differs."""
+    """A file for each nation's customers, catalogued by size and digest."""
     path = shared_path(spark, "catalogue")
-    for name in ("sub", "."):
-        spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{path}/{name}" if name != "." else f"{path}/top")
-    found = formats.catalogue(spark, path)
-    renamed = found.where(F.col("relative").endswith(".txt")).withColumn("relative", F.when(F.startswith("relative", F.lit("sub/")), "sub/other.txt").otherwise("top.txt"))
-    expected = renamed.select(F.col("relative").alias("path"), F.when(F.col("relative") == "top.txt", F.col("sha256")).otherwise("0").alias("sha256"))
-    return formats.verify(renamed, expected.union(spark.createDataFrame([("./gone.txt", "0")], "path string, sha256 string"))).select("want_path")
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("value"), F.col("c_nationkey").alias("nation"))
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("value", "nation").write.partitionBy("nation").text(path)
+    found = formats.catalogue(spark, path).where("relative like '%.txt'")
+    return found.select(F.regexp_extract("relative", "nation=([0-9]+)/", 1).alias("nation"), "bytes", "sha256")
+
+
+@query("src_catalogue_damage", "SELECT 'nation=' || c_nationkey AS want_path FROM (SELECT DISTINCT c_nationkey FROM customer) WHERE c_nationkey % 5 = 1 UNION ALL SELECT 'gone.txt'")
+def _(spark, d):
+    """Of the catalogued files, those that differ from what was expected, and one that is missing."""
+    path = shared_path(spark, "catalogue")
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("value"), F.col("c_nationkey").alias("nation"))
+    rows.repartition("nation").write.partitionBy("nation").text(path)
+    found = formats.catalogue(spark, path).where("relative like '%.txt'").withColumn("relative", F.substring_index("relative", "/", 1))
+    damaged = F.split_part("relative", F.lit("="), F.lit(2)).cast("int") % 5 == 1
+    expected = found.select(F.col("relative").alias("path"), F.when(damaged, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    return formats.verify(found, expected.union(spark.createDataFrame([("./gone.txt", "0")], "path string, sha256 string"))).select("want_path")
 
 
 @query("sink_cases", f"WITH {S_LB} SELECT case_id, {r('score_Ops')} AS score__Ops, {r('d_Finance_match')} AS contrib__Finance__match FROM s")

@@ -4,17 +4,21 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import re
 import zipfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normslice.errors import LogSchemaError
+from normslice.functions.shared import in_arrow
 from normslice.sources.eventlog import ACTIVITY, CASE, TIMESTAMP, EventLog
 from normslice.sources.ocel import python_list, read_ocel, read_ocel_flat, read_ocel_xml
 from normslice.sources.xes import read_xes, repeated_traces
@@ -117,13 +121,43 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1, dates: Sequence[st
     return df.withColumns({d: F.try_to_timestamp(F.col(f"`{d}`")).cast("timestamp_ntz") for d in dates})
 
 
+#: The stores that Arrow opens as streams.
+_STREAMED = {"file": "file", "": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "hdfs": "hdfs"}
+_CHUNK = 8 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            scheme, _, rest = path.partition(":")
+            store, inner = fs.FileSystem.from_uri(f"{_STREAMED[scheme]}:{rest}" if scheme != "file" else "file:///" + unquote(rest).lstrip("/"))
+            made = hashlib.sha256()
+            with store.open_input_stream(unquote(rest) if scheme == "file" else inner) as stream:
+                while chunk := stream.read(_CHUNK):
+                    made.update(chunk)
+            digests.append(made.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests)], ["path", "length", "sha256"])
+
+
 def catalogue(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``path, relative, bytes, sha256`` of every file below a path; ``relative`` starts below it (a single file: its name)."""
+    """``path, relative, bytes, sha256`` of every file below a path; ``relative`` starts below it (a single file: its name).
+
+    Files of any size are digested as streams, in pieces of 8 MB, where Arrow opens their store (files, S3, GCS, HDFS). In other stores Spark
+    reads a file whole, which ends at 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
     root = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
     below = F.when(F.startswith(plain, F.lit(root + "/")), F.substring(plain, len(root) + 2, 1 << 30)).otherwise(F.substring_index(plain, "/", -1))
-    return files.select("path", below.alias("relative"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    scheme = re.match("([a-zA-Z][a-zA-Z0-9+.-]*):", path)
+    if (scheme[1] if scheme else "") in _STREAMED:
+        found = files.select("path", "length").transform(in_arrow, _digests, "path string, length long, sha256 string")
+    else:
+        found = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return found.select("path", below.alias("relative"), F.col("length").alias("bytes"), "sha256")
 
 
 def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
