@@ -9,7 +9,6 @@ import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -122,7 +121,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1, dates: Sequence[st
 
 
 #: The stores that Arrow opens as streams.
-_STREAMED = {"file": "file", "": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "hdfs": "hdfs"}
+_STREAMED = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "hdfs": "hdfs"}
 _CHUNK = 8 << 20
 
 
@@ -133,9 +132,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = []
         for path in batch.column(0).to_pylist():
             scheme, _, rest = path.partition(":")
-            store, inner = fs.FileSystem.from_uri(f"{_STREAMED[scheme]}:{rest}" if scheme != "file" else "file:///" + unquote(rest).lstrip("/"))
+            local = _STREAMED[scheme] == "file"  # paths are spelled as they are, not as in URIs
+            store, inner = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if local else fs.FileSystem.from_uri(f"{_STREAMED[scheme]}:{rest}")
             made = hashlib.sha256()
-            with store.open_input_stream(unquote(rest) if scheme == "file" else inner) as stream:
+            with store.open_input_stream(inner, compression=None) as stream:
                 while chunk := stream.read(_CHUNK):
                     made.update(chunk)
             digests.append(made.hexdigest())
@@ -153,7 +153,7 @@ def catalogue(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
     root = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
     below = F.when(F.startswith(plain, F.lit(root + "/")), F.substring(plain, len(root) + 2, 1 << 30)).otherwise(F.substring_index(plain, "/", -1))
     scheme = re.match("([a-zA-Z][a-zA-Z0-9+.-]*):", path)
-    if (scheme[1] if scheme else "") in _STREAMED:
+    if scheme is None or scheme[1] in _STREAMED:
         found = files.select("path", "length").transform(in_arrow, _digests, "path string, length long, sha256 string")
     else:
         found = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
