@@ -116,9 +116,18 @@ class Primitives:
             mean = self._ask_late(["each", a, b, key], lambda: F.avg(F.when(timed, judged(F.col("__us"), F.col(name)))))
             return mean, self.scoped_count(a, None, None)
         starts, ends = self.times(a), self.times(b)
-        each = F.transform(starts, lambda s: judged(s, F.array_min(F.filter(ends, lambda e: e >= s))))
-        known = F.filter(each, lambda v: v.isNotNull())
-        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v) / F.size(known)), F.size(starts)
+        # both sides merged from the last instant to the first, a ``b`` before an ``a`` of the same instant: one pass knows the next ``b``
+        side = lambda times, kind: F.transform(times, lambda t: F.struct((-t).alias("back"), F.lit(kind).alias("kind")))
+        points = F.sort_array(F.concat(side(ends, 0), side(starts, 1)))
+        nothing = F.struct(F.lit(None).cast("long").alias("next"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+
+        def step(acc: Column, p: Column) -> Column:
+            found = F.when(p["kind"] == 1, judged(-p["back"], acc["next"]))
+            after = F.when(p["kind"] == 0, -p["back"]).otherwise(acc["next"])
+            return F.struct(after.alias("next"), (acc["sum"] + F.coalesce(found, F.lit(0.0))).alias("sum"), (acc["n"] + found.isNotNull().cast("long")).alias("n"))
+
+        folded = F.aggregate(points, nothing, step, lambda acc: F.when(acc["n"] > 0, acc["sum"] / acc["n"]))
+        return folded, F.size(starts)
 
     def total(self, column: str, activities: Set, agg: str) -> Column:
         """Aggregate of a numeric column over the set; what is no number counts as 0, no event gives 0."""
