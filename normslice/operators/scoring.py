@@ -221,3 +221,8 @@ def reasons(log: Any, norm: Norm, derive: bool = True) -> DataFrame:
 def reason_profile(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cases by group, constraint, state and reason of ``reasons``."""
     return found.groupBy(*map(q, by), "constraint", "state", "reason").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+def first_examples(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For each group, constraint, state and reason of ``reasons``: how many cases, and the one of smallest id as its example."""
+    return found.groupBy(*map(q, by), "constraint", "state", "reason").agg(F.count(F.lit(1)).alias("n_cases"), F.min("case_id").alias("example"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normslice.functions.shared import shared_path
+from normslice.operators import assessments as A
 from normslice.operators import compare
 from normslice.operators import sequences as S
-from normslice.operators.scoring import reason_profile, reasons, score
+from normslice.operators.scoring import first_examples, reason_profile, reasons, score
 from normslice.plans.constraints import Exclusion, Lag, Metric, Presence, Singularity
 from normslice.plans.families import Families, expand
 from normslice.plans.norm import Norm, NormConstraint, View
 from normslice.queries.logs import LAYER_OF, ORDERS, ROLES, VIOLATIONS, events, norm, order_log, query, r, sat, table, user_days
 from normslice.queries.reports import S_LB
 from normslice.sources import formats, ocel
+from normslice.sources.eventlog import EventLog
 from normslice.streaming.cases import score_stream
 
 
@@ -193,6 +195,22 @@ def _(spark, d):
     return reason_profile(reasons(user_days(spark, d), norm()), ["segment"])
 
 
+@query("assess_examples", f"WITH {VIOLATIONS}, x AS ({_REASONS.replace('SELECT segment, ', 'SELECT case_id, ')}) SELECT \"constraint\", CASE WHEN NOT s THEN 'out_of_scope' WHEN known THEN 'assessed' ELSE 'unavailable' END AS state, CASE WHEN NOT s THEN 'segment is not listed' WHEN NOT known THEN why END AS reason, count(*) AS n_cases, min(case_id) AS example FROM x GROUP BY ALL")
+def _(spark, d):
+    """The first example of every evidence state."""
+    return first_examples(reasons(user_days(spark, d), norm()))
+
+
+@query("assess_sensitivity_collapse", f"WITH {S_LB} SELECT 'collapse' AS variant, count(score_Ops) AS n_scored, {r('avg(score_Ops)')} AS mean_score FROM s")
+def _(spark, d):
+    """A log in which each tenth event was recorded twice: repeated events collapsed, as a variant of the log as it is."""
+    e = events(spark, d)
+    twice = e.unionByName(e.where("event_id % 10 = 3").withColumn("event_id", F.col("event_id") + 10_000_000))
+    roles = ROLES | {"case_attributes": ["segment", "weekday"], "exposure_col": "value", "exposure_agg": "sum", "validate": False, "long_traces": False}
+    base, collapsed = (score(EventLog(twice, **roles, dedupe=x), norm()) for x in (False, True))
+    return A.sensitivity(base, {"collapse": collapsed}, ["segment"], view="Ops").select("variant", "n_scored", "mean_score")
+
+
 @query("rec_where_python", "WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS case_id, event_type FROM events) SELECT case_id, CAST(count(*) FILTER (regexp_matches(event_type, '^(?:p|s).*[hnp]$')) AS DOUBLE) AS hits, CASE WHEN count(*) > 2 AND NOT count(*) > 4 OR count(*) = 1 THEN 1.0 ELSE 0.0 END AS few FROM e GROUP BY case_id")
 def _(spark, d):
     """A pattern in Python's syntax, and an expression with ``&``, ``|`` and ``~``."""

@@ -7,7 +7,7 @@ import datetime
 import hashlib
 import re
 import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 from xml.etree import ElementTree
 
@@ -24,8 +24,6 @@ from normslice.sources.xes import read_xes, repeated_traces
 
 __all__ = ["catalogue", "duplicate_keys", "from_objects", "python_list", "read_log", "read_ocel", "read_ocel_flat", "read_ocel_xml", "read_strings", "read_table", "read_xes", "read_xlsx", "repeated_traces", "verify", "write_backlog", "write_cases", "write_xes"]
 
-#: The longest workbook that the driver will take; larger tables belong in CSV or Parquet.
-MAX_WORKBOOK_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options: Any) -> DataFrame:
@@ -81,43 +79,104 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Strings, and rows, that are handed on at once.
+_AT_ONCE = 1 << 14
+
+
+def _opened(path: str) -> Any:
+    """A file as a stream that can be sought, from any store that Arrow opens."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if _STREAMED.get(scheme) == "file":  # paths are spelled as they are, not as in URIs
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(f"{_STREAMED[scheme]}:{rest}")
+    return store.open_input_file(inner)
+
+
+def _ended(stream: Any, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of one tag as they end, each forgotten behind it: a part of a workbook is never held whole."""
+    above: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == f"{_SHEET}{tag}":
+            yield element
+            if above:
+                above[-1].remove(element)
+
+
+def _cells(sheet: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def text(of: ElementTree.Element) -> str:
+        return "".join(t.text or "" for t in of.iter(f"{_SHEET}t"))
+
+    def shared(book: zipfile.ZipFile) -> pa.ChunkedArray:
+        chunks: list[pa.Array] = []
+        held: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as stream:
+                for si in _ended(stream, "si"):
+                    held.append(text(si))
+                    if len(held) == _AT_ONCE:
+                        chunks.append(pa.array(held, pa.string()))
+                        held = []
+        return pa.chunked_array([*chunks, pa.array(held, pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with _opened(path) as file, zipfile.ZipFile(file) as book:
+                    strings = shared(book)  # as Arrow text: their bytes and an offset each
+                    with book.open("xl/workbook.xml") as stream:
+                        late = any(x.get("date1904") in ("1", "true") for x in _ended(stream, "workbookPr"))
+                    lines: list[list[str | None]] = []
+                    done = 0
+                    with book.open(f"xl/worksheets/sheet{sheet}.xml") as stream:
+                        for line in _ended(stream, "row"):
+                            values: list[str | None] = []
+                            for c in line.iter(f"{_SHEET}c"):
+                                column = 0
+                                for ch in (x for x in c.get("r", "") if x.isalpha()):
+                                    column = column * 26 + ord(ch.upper()) - 64
+                                values += [None] * ((column or len(values) + 1) - len(values))
+                                v = c.find(f"{_SHEET}v")
+                                own = text(c) if c.get("t") == "inlineStr" else v.text if v is not None else None
+                                values[(column or len(values)) - 1] = strings[int(own)].as_py() if c.get("t") == "s" and own is not None else own
+                            lines.append(values)
+                            if len(lines) == _AT_ONCE:
+                                yield made(lines, done, late)
+                                done, lines = done + len(lines), []
+                    yield made(lines, done, late)
+
+    def made(lines: list[list[str | None]], done: int, late: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(done, done + len(lines)), pa.int64()), pa.array(lines, pa.list_(pa.string())), pa.array([late] * len(lines))], ["row", "cells", "late"])
+
+    return run
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: int = 1, dates: Sequence[str] = ()) -> DataFrame:
-    """A small workbook's sheet as text columns (``dates``: serial days as timestamps, in the workbook's own date system)."""
-    from io import BytesIO
-
-    row = spark.read.format("binaryFile").load(path).select("length").first()
-    if row is None or row["length"] > MAX_WORKBOOK_BYTES:
-        raise LogSchemaError(f"{path} is no workbook of at most {MAX_WORKBOOK_BYTES} bytes")
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    with zipfile.ZipFile(BytesIO(content)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        late = any(p.get("date1904") in ("1", "true") for p in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}workbookPr"))
-        cells = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml"))
-    epoch = datetime.datetime(1904, 1, 1) if late else datetime.datetime(1899, 12, 30)
-    table = []
-    for line in cells.iter(f"{_SHEET}row"):
-        values: dict[int, str | None] = {}
-        for c in line.iter(f"{_SHEET}c"):
-            column = 0
-            for ch in (x for x in c.get("r", "A1") if x.isalpha()):
-                column = column * 26 + ord(ch.upper()) - 64
-            v = c.find(f"{_SHEET}v")
-            text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
-            values[column] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-        table.append(values)
-    if not table:
+    """A workbook's sheet as text columns (``dates``: serial days as timestamps, in the workbook's own date system).
+
+    A task reads the sheet as a stream of cells; only the header comes to the driver. Shared strings are held as Arrow text in that task.
+    """
+    file = spark.read.format("binaryFile").load(path).select("path")
+    rows = file.transform(in_arrow, _cells(sheet), "row long, cells array<string>, late boolean")
+    head = rows.where("row = 0").first()
+    if head is None:
         raise LogSchemaError(f"sheet {sheet} of {path} is empty")
-    header = {k: str(v).strip() for k, v in table[0].items() if v}
-    rows = []
-    for values in table[1:]:
-        rows.append([str(epoch + datetime.timedelta(days=float(values[k]))) if h in dates and values.get(k) else values.get(k) for k, h in header.items()])
-    df = spark.createDataFrame(rows, T.StructType([T.StructField(h, T.StringType()) for h in header.values()]))
-    return df.withColumns({d: F.try_to_timestamp(F.col(f"`{d}`")).cast("timestamp_ntz") for d in dates})
+    header = {i: str(v).strip() for i, v in enumerate(head["cells"]) if v}
+    epoch = datetime.datetime(1904, 1, 1) if head["late"] else datetime.datetime(1899, 12, 30)
+
+    def column(i: int, name: str) -> Column:
+        value = F.get("cells", F.lit(i))
+        if name not in dates:
+            return value.alias(name)
+        micros = F.round(value.try_cast("double") * 86_400_000_000).cast("long")
+        return (F.lit(epoch).cast("timestamp_ntz") + F.make_dt_interval(secs=micros / 1_000_000)).alias(name)
+
+    return rows.where("row > 0").select(*(column(i, name) for i, name in header.items()))
 
 
 #: The stores that Arrow opens as streams.
@@ -126,16 +185,11 @@ _CHUNK = 8 << 20
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     for batch in batches:
         digests = []
         for path in batch.column(0).to_pylist():
-            scheme, _, rest = path.partition(":")
-            local = _STREAMED[scheme] == "file"  # paths are spelled as they are, not as in URIs
-            store, inner = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if local else fs.FileSystem.from_uri(f"{_STREAMED[scheme]}:{rest}")
             made = hashlib.sha256()
-            with store.open_input_stream(inner, compression=None) as stream:
+            with _opened(path) as stream:
                 while chunk := stream.read(_CHUNK):
                     made.update(chunk)
             digests.append(made.hexdigest())

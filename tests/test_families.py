@@ -74,3 +74,19 @@ def test_large_files_are_digested_as_streams(spark, tmp_path):
     found = {r["relative"]: (r["bytes"], r["sha256"]) for r in formats.catalogue(spark, str(tmp_path)).collect()}
     assert found.pop("big.bin") == (size, want.hexdigest())
     assert list(found.values()) == [(10, hashlib.sha256(b"x" * 10).hexdigest())]
+
+
+def test_a_large_workbook_is_streamed(spark, tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    path, n = tmp_path / "book.xlsx", 40_000
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f"<workbook {main}><workbookPr/></workbook>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>s{i}</t></si>" for i in range(20_000)) + "</sst>")
+        head = '<row><c r="A1" t="inlineStr"><is><t>name</t></is></c><c r="C1" t="inlineStr"><is><t>day</t></is></c><c r="D1" t="inlineStr"><is><t>n</t></is></c></row>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{head}" + "".join(f'<row><c r="A{i + 2}" t="s"><v>{i % 20_000}</v></c>' + (f'<c r="C{i + 2}"><v>45000.25</v></c>' if i % 2 else "") + (f'<c r="D{i + 2}"><v>{i}</v></c>' if i % 3 else "") + "</row>" for i in range(n)) + "</sheetData></worksheet>")
+    rows = formats.read_xlsx(spark, str(path), dates=["day"])
+    assert rows.columns == ["name", "day", "n"]
+    found = rows.selectExpr("count(*) as n", "count(distinct name) as names", "count(day) as days", "min(cast(day as string)) as day", "sum(cast(n as long)) as total").first()
+    assert tuple(found) == (n, 20_000, n // 2, "2023-03-15 06:00:00", sum(i for i in range(n) if i % 3))
