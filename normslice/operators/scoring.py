@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -49,38 +49,40 @@ def with_scores(df: DataFrame, norm: Norm, views: Sequence[str], mode: str) -> D
     Sums per layer, then what is active, then contributions, then the score: each step reads columns of the one before, so
     no sum is written out twice in the plan.
     """
+    # as text: a Column is a dozen calls into the JVM, and there are views times constraints of them
     kept, layer_of, layers = df.columns, norm.layer_of, norm.layer_ids
-    plans = {}
-    first: list[Column] = []
+    plans: dict[str, dict[str, float]] = {}
+    first: list[str] = []
     for i, view in enumerate(views):
         weights = {c: float(w) for c, w in norm.raw_weights(view).items() if w > 0}
         members = {x: [c for c in weights if layer_of[c] == x] for x in layers}
         plans[view] = {x: sum(weights[c] for c in ids) for x, ids in members.items() if ids}
-        for j, (_, ids) in enumerate((x, ids) for x, ids in members.items() if ids):
-            first.append(total([F.when(q(f"v__{c}").isNotNull(), F.lit(weights[c])).otherwise(F.lit(_ZERO)) for c in ids]).alias(f"__in_{i}_{j}"))
-            first.append(total([F.coalesce(q(f"v__{c}"), F.lit(_ZERO)) * weights[c] for c in ids]).alias(f"__pen_{i}_{j}"))
-    df = df.select("*", *first)
+        for j, ids in enumerate(ids for ids in members.values() if ids):
+            first.append(_sum(f"IF(`v__{c}` IS NOT NULL, {weights[c]!r}D, 0.0D)" for c in ids) + f" AS __in_{i}_{j}")
+            first.append(_sum(f"coalesce(`v__{c}`, 0.0D) * {weights[c]!r}D" for c in ids) + f" AS __pen_{i}_{j}")
+    df = df.selectExpr("*", *first)
     second = []
     for i, view in enumerate(views):
-        inner = [F.col(f"__in_{i}_{j}") for j in range(len(plans[view]))]
-        share = list(plans[view].values())
-        active = total(inner) if mode == "flat" else total([F.when(x > 0, F.lit(w)).otherwise(F.lit(_ZERO)) for x, w in zip(inner, share, strict=True)])
-        second.append(active.alias(f"__act_{i}"))
-    df = df.select("*", *second)
+        inner = [f"__in_{i}_{j}" for j in range(len(plans[view]))]
+        active = inner if mode == "flat" else [f"IF({x} > 0, {w!r}D, 0.0D)" for x, w in zip(inner, plans[view].values(), strict=True)]
+        second.append(f"{_sum(active)} AS __act_{i}")
+    df = df.selectExpr("*", *second)
     third = []
     for i, view in enumerate(views):
-        active = F.col(f"__act_{i}")
         place = {x: j for j, x in enumerate(plans[view])}
         for x in layers:
-            if x not in place:
-                part = F.lit(_ZERO)
-            else:
-                inner, penalty = F.col(f"__in_{i}_{place[x]}"), F.col(f"__pen_{i}_{place[x]}")
-                part = penalty / active if mode == "flat" else F.when(inner > 0, plans[view][x] * penalty / inner / active).otherwise(F.lit(_ZERO))
-            third.append(F.when(active > 0, part).alias(f"contrib__{view}__{x}"))
-    df = df.select("*", *third)
-    scores = [F.when(F.col(f"__act_{i}") > 0, 1 - total([q(f"contrib__{v}__{x}") for x in layers])).alias(f"score__{v}") for i, v in enumerate(views)]
-    return df.select(*(q(c) for c in kept), *scores, *(q(f"contrib__{v}__{x}") for v in views for x in layers))
+            part = "0.0D"
+            if x in place:
+                inner, penalty = f"__in_{i}_{place[x]}", f"__pen_{i}_{place[x]}"
+                part = f"{penalty} / __act_{i}" if mode == "flat" else f"IF({inner} > 0, {plans[view][x]!r}D * {penalty} / {inner} / __act_{i}, 0.0D)"
+            third.append(f"IF(__act_{i} > 0, {part}, NULL) AS `contrib__{view}__{x}`")
+    df = df.selectExpr("*", *third)
+    scores = [f"IF(__act_{i} > 0, 1 - {_sum(f'`contrib__{v}__{x}`' for x in layers)}, NULL) AS `score__{v}`" for i, v in enumerate(views)]
+    return df.selectExpr(*(f"`{c}`" for c in kept), *scores, *(f"`contrib__{v}__{x}`" for v in views for x in layers))
+
+
+def _sum(terms: Iterable[str]) -> str:
+    return f"({' + '.join(['0.0D', *terms])})"
 
 
 def score(log: Any, norm: Norm, *, views: Sequence[str] | None = None, mode: str | None = None, derive: bool = True) -> ScoreResult:
