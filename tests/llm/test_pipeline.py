@@ -25,7 +25,7 @@ def test_stages_keep_the_columns_and_the_clean_rows(spark, awkward, tmp_path):
 
 def test_stage_names_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "byte_level_bpe"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
