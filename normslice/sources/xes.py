@@ -152,7 +152,7 @@ def _carried(summary: DataFrame, n: int) -> DataFrame:
 def read_xes(
     spark: SparkSession, path: str, attributes: Sequence[str] = (), event_attributes: Sequence[str] = (ACTIVITY, TIMESTAMP, "lifecycle:transition", "org:resource"), strict: bool = False, prefix: str = ""
 ) -> DataFrame:
-    """One row for each event of XES files: case id, named trace and event attributes, the trace's number in its file and the event's place in its trace.
+    """One row for each event of XES files: case id, named trace and event attributes, the trace's number among its file's traces that have events, and the event's place in its trace.
 
     Attribute values stay text but for the times; a bad date is NULL. A repeated key in one element takes the last value. ``strict``
     refuses repeated keys, nested attributes and files without an end. ``prefix`` is that of the XES namespace with its colon, if the file uses one.
