@@ -73,7 +73,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_suffix_array_dedup, op7_language_id, op8_quality_classifier, op9_simhash_near_dedup, op10_benchmark_decontamination,
         op11_minhash_near_dedup, op12_spelling_variants, op13_source_divergence,
     )
-    return {f.__name__: f for f in every} | {"media_payloads": media_payloads, "tokens_round_trip": tokens_round_trip, "quality_sites": quality_sites}
+    return {f.__name__: f for f in every} | {"media_payloads": media_payloads, "tokens_round_trip": tokens_round_trip, "quality_sites": quality_sites, "substring_paths": substring_paths}
+
+
+def substring_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many removed windows each step of the substring removal decides."""
+    return substring_dedup.windows_by_path(table(spark, sf_dir, "documents"))
 
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

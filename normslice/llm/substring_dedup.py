@@ -4,18 +4,19 @@ A byte goes if a ``LENGTH``-byte string over it also starts earlier (in a smalle
 
 1. *Anchors.* Each ``LENGTH``-byte window has one anchor, the leftmost of its ``GRAM``-byte substrings of least hash; equal
    windows have equal anchors at equal places. Consecutive windows with one anchor are a run, so a text becomes about
-   one run in 35 bytes. Runs of equal content (a 128-bit key) are folded where the text is read and again
-   after one shuffle: all but the first occurrence go, whole.
-2. *Shards.* Windows can also be shared by runs of different content (at the edges of a copy). First occurrences of runs
-   whose anchor has several contents meet in shards of bounded bytes. A shard builds its suffix array by Larsson-Sadakane
-   refinement (groups of equal prefixes, doubled by the ranks further on, only unsorted groups touched), Kasai common prefixes,
-   and so the classes of equal windows; all but the first of a class go.
-3. *Merging.* An anchor with very many contents is spread over several shards. Their sorted window lists are merged by key
+   one run in 35 bytes. Runs of one buffer that have equal bytes are folded where the text is read: all but the first go, whole.
+2. *Shards.* Of the others, runs whose anchor is met again anywhere come with their bytes to shards of bounded size, by anchor.
+   Equal contents are folded there once more, on their bytes; over the different ones (copies differ at their edges) a shard
+   builds its suffix array by Larsson-Sadakane refinement (groups of equal prefixes, doubled by the ranks further on, only unsorted
+   groups touched), Kasai common prefixes, and so the classes of equal windows; all but the first of a class go.
+3. *Merging.* An anchor with very many bytes is spread over several shards. Their sorted window lists are merged by key
    range with binary search; a window that an earlier one in another shard equals goes.
 4. Per document, removed windows become byte ranges that are cut from its text.
 
+Hashes only choose what is compared: every removed window has been found equal to an earlier one by bytes or by the suffix array.
 The folding before the shuffle leaves each buffer of text at most one row for a run, so a passage held by a third of all
-documents does not pile up in a task. Which anchors are spread over shards is counted over all contents that reach the shards.
+documents does not pile up in a task; a passage in very many buffers is spread over shards, each of which hands on its distinct
+windows only. Which anchors are spread over shards is counted over all contents that reach the shards.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all; ``doc_id`` names a document: rows repeating
 an id are one document (each row is returned, positions are not copies of themselves); rows of null id are returned whole
@@ -128,6 +129,16 @@ def _buffers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield made()
 
 
+def _same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces of ``size`` bytes (8 or more) at ``one`` and ``other`` are equal, eight bytes at a time."""
+    words = np.ndarray((len(data) - 7,), _U, data, strides=(1,))
+    equal = np.ones(len(one), bool)
+    for at in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(at, size - 8)
+        equal &= words[one + step] == words[other + step]
+    return equal
+
+
 _RUN = "anchor long, content long, doc long, start long, n int, done boolean"
 
 
@@ -146,6 +157,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(order), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (count[1:] != count[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            covered, place = np.flatnonzero(~new), first[order]
+            new[covered] = ~_same_bytes(data, place[covered], place[head[covered]], count[covered] + LENGTH - 1)
             itself = ~new & (doc == doc[head]) & (start == start[head])
             keep = ~itself
             # a covered run needs no meeting any more: its key only deals it out
@@ -160,47 +173,38 @@ _MET = "multi boolean, anchor long, salt int, doc long, start long, n int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams runs sorted by key: later occurrences of a run go (``multi`` false), first ones of anchors with several stay in play."""
+    """Streams runs sorted by anchor, document and place: covered ones (``multi`` false), and those whose anchor has another run."""
     names = ["multi", "anchor", "salt", "doc", "start", "n"]
-    head = None  # key and position of the run being read
-    held = None  # first occurrence that waits for the next anchor, and whether it is known to have company
+    types = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    held = None  # the last run so far, which waits for the next anchor, and whether it is known to have company
 
-    def made(multi, rows):
-        columns = list(zip(*rows, strict=True)) if isinstance(rows, list) else rows
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), multi)), *(pa.array(np.asarray(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True))], names)
+    def made(multi: bool, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([np.full(len(rows[0]), multi), *rows], types, strict=True)], names)
 
     for batch in batches:
-        if not batch.num_rows:
+        columns = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(("anchor", "salt", "doc", "start", "n", "done"))}
+        done = columns.pop("done")
+        if done.any():
+            yield made(False, [x[done] for x in columns.values()])
+        rows = [x[~done] for x in columns.values()]
+        if not len(rows[0]):
             continue
-        anchor, content, doc, start, n, done, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        key_change = np.ones(len(anchor), bool)
-        key_change[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (n[1:] != n[:-1]) | (done[1:] != done[:-1])
-        if head is not None and head[:4] == (anchor[0], content[0], n[0], done[0]):
-            key_change[0] = False
-        which = np.maximum.accumulate(np.where(key_change, np.arange(len(anchor)), -1))
-        head_doc, head_start = np.where(which < 0, head[4] if head else 0, doc[which]), np.where(which < 0, head[5] if head else 0, start[which])
-        goes = done | (~key_change & ((doc != head_doc) | (start != head_start)))
-        if goes.any():
-            yield made(False, (anchor[goes], salt[goes], doc[goes], start[goes], n[goes]))
-        last = which[-1]
-        if last >= 0:
-            head = (anchor[last], content[last], n[last], done[last], doc[last], start[last])
-        reps = np.flatnonzero(key_change & ~done)
-        if len(reps):
-            a, s, d, p, c = anchor[reps], salt[reps], doc[reps], start[reps], n[reps]
-            if held is not None:
-                a, s, d, p, c = (np.concatenate(([h], x)) for h, x in zip(held[0], (a, s, d, p, c), strict=True))
-            same = np.zeros(len(a) + 1, bool)
-            same[1:-1] = a[1:] == a[:-1]
-            company = same[1:] | same[:-1] | (s >= 0)
-            if held is not None and held[1]:
-                company[0] = True
-            held = ((a[-1], s[-1], d[-1], p[-1], c[-1]), bool(company[-1]))
-            company[-1] = False
-            if company.any():
-                yield made(True, (a[company], s[company], d[company], p[company], c[company]))
+        known = False
+        if held is not None:
+            rows, known = [np.concatenate((h, x)) for h, x in zip(held[0], rows, strict=True)], held[1]
+        anchor, salt, doc, start, _ = rows
+        again = np.zeros(len(anchor), bool)  # of rows that repeat an id
+        again[1:] = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        rows = [x[~again] for x in rows]
+        same = np.zeros(len(rows[0]) + 1, bool)
+        same[1:-1] = rows[0][1:] == rows[0][:-1]
+        company = same[1:] | same[:-1] | (rows[1] >= 0)
+        company[0] |= known
+        held = ([x[-1:] for x in rows], bool(company[-1]))
+        if company[:-1].any():
+            yield made(True, [x[:-1][company[:-1]] for x in rows])
     if held is not None and held[1]:
-        yield made(True, [held[0]])
+        yield made(True, held[0])
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -289,7 +293,7 @@ def equal_windows(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.cumsum(new)[window], owner[window], offset[window]
 
 
-_GONE = "doc long, start long, n int, salt int, window binary"
+_GONE = "doc long, start long, n int, salt int, window binary, by string"
 
 
 def _ranges(doc: np.ndarray, at: np.ndarray) -> list[pa.Array]:
@@ -304,12 +308,17 @@ def _ranges(doc: np.ndarray, at: np.ndarray) -> list[pa.Array]:
 
 
 def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffix arrays over blocks of whole ``(anchor, salt)`` groups, of about ``limit`` bytes; rows come sorted by these."""
+    """Suffix arrays over the different contents of whole ``(anchor, salt)`` groups, in blocks of about ``limit`` bytes.
+
+    Rows come sorted by group, document and place, so the first of equal contents is the one that stays; memory holds no others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "n", "salt", "window"]
+        names = ["doc", "start", "n", "salt", "window", "by"]
         block: list[tuple] = []
         size = 0
+        group = None
+        firsts: dict[bytes, tuple] = {}
 
         def solved() -> Iterator[pa.RecordBatch]:
             contents = [r[5] for r in block]
@@ -325,7 +334,7 @@ def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if goes.any():
                 ranges = _ranges(doc[goes], at[goes])
                 k = len(ranges[0])
-                yield pa.RecordBatch.from_arrays([*ranges, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*ranges, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(["suffix"] * k)], names)
             first = new & (salts[owner] >= 0)  # first of their class here; another shard may know better
             if first.any():
                 order = np.lexsort((offset[first], owner[first]))
@@ -337,16 +346,27 @@ def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 own, off = own[begin], off[begin]
                 parts = [contents[o][f : f + c + LENGTH - 1] for o, f, c in zip(own.tolist(), off.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary())], names
+                    [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary()), pa.nulls(len(own), pa.string())], names
                 )
 
         for batch in batches:
+            equal: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if size >= limit and row[:2] != block[-1][:2]:
-                    yield from solved()
-                    block, size = [], 0
-                block.append(row)
-                size += len(row[5])
+                if row[:2] != group:
+                    if size >= limit:
+                        yield from solved()
+                        block, size = [], 0
+                    group, firsts = row[:2], {}
+                first = firsts.setdefault(row[5], row)
+                if first is row:
+                    block.append(row)
+                    size += len(row[5])
+                elif first[2:4] != row[2:4]:
+                    equal.append(row[2:5])
+            if equal:
+                k = len(equal)
+                columns = [pa.array(x, t) for x, t in zip(zip(*equal, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(["bytes"] * k)], names)
         if block:
             yield from solved()
 
@@ -417,7 +437,10 @@ def _dealt(runs: DataFrame, heavy: DataFrame, by: Column) -> DataFrame:
 
 
 def removed_windows(documents: DataFrame) -> DataFrame:
-    """``doc, start, n, by``: ranges of window starts whose windows have an earlier equal, and what found it: run, suffix or merge."""
+    """``doc, start, n, by``: ranges of window starts whose windows have an earlier equal, and what found it.
+
+    ``buffer``: equal bytes where texts are read; ``bytes``: equal contents in a shard; ``suffix``: its suffix array; ``merge``: shards.
+    """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
     keyed = texts.mapInArrow(_anchored, _RUN)
     # runs meet by streaming over sorted rows, so a heavy anchor that the sample misses costs time in a task, no memory
@@ -427,7 +450,7 @@ def removed_windows(documents: DataFrame) -> DataFrame:
     else:
         keyed = keyed.withColumn("salt", F.lit(-1))
     met = stored(
-        keyed.select("anchor", "content", "doc", "start", "n", "done", "salt").repartition("anchor", "salt").sortWithinPartitions("anchor", "content", "n", "done", "doc", "start").mapInArrow(_meet, _MET),
+        keyed.select("anchor", "salt", "doc", "start", "n", "done").repartition("anchor", "salt").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_meet, _MET),
         "runs",
     )
     # contents are held in memory, so which anchors are spread over shards is counted over all of them
@@ -437,8 +460,8 @@ def removed_windows(documents: DataFrame) -> DataFrame:
     playing = _dealt(playing, heavy, F.xxhash64("doc", "start")) if spread else playing.withColumn("salt", F.lit(-1))
     plays = playing.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "start", "n")).alias("plays"))
     contents = texts.join(plays, "doc").select("doc", "text", "plays").mapInArrow(_contents, "anchor long, salt int, doc long, start long, n int, bytes binary")
-    solved = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sharded(SHARD), _GONE)
-    gone = met.where("not multi").select("doc", "start", "n", F.lit("run").alias("by"))
+    solved = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "start").mapInArrow(_sharded(SHARD), _GONE)
+    gone = met.where("not multi").select("doc", "start", "n", F.lit("buffer").alias("by"))
     if spread:
         solved = stored(solved, "windows")
         first = solved.where("window is not null")
@@ -447,7 +470,13 @@ def removed_windows(documents: DataFrame) -> DataFrame:
         merged = lists.repartitionByRange(ranges, "window").mapInArrow(_merged, "doc long, start long, n int")
         gone = gone.union(merged.withColumn("by", F.lit("merge")))
         solved = solved.where("window is null")
-    return gone.union(solved.select("doc", "start", "n", F.lit("suffix").alias("by")))
+    return gone.union(solved.select("doc", "start", "n", "by"))
+
+
+def windows_by_path(documents: DataFrame) -> DataFrame:
+    """``by, windows``: how many removed windows each step of ``removed_windows`` decides."""
+    whole_ids(documents)
+    return removed_windows(documents).groupBy("by").agg(F.sum(F.col("n").cast("long")).alias("windows"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -135,7 +136,37 @@ def test_substrings_with_small_buffers_shards_and_spread_anchors(make_docs, monk
     monkeypatch.setattr(substring_dedup, "RANGE_WINDOWS", 300)
     check_substrings(make_docs)
     found = substring_dedup.removed_windows(make_docs([t for _, t in substring_rows()])).groupBy("by").agg(F.sum("n").alias("n")).collect()
-    assert all(r["n"] > 0 for r in found) and {r["by"] for r in found} == {"run", "suffix", "merge"}
+    assert all(r["n"] > 0 for r in found) and {r["by"] for r in found} == {"buffer", "bytes", "suffix", "merge"}
+
+
+def test_equal_keys_of_different_bytes_remove_nothing(monkeypatch):
+    """Every run gets the same key: only runs of equal bytes are covered, the others stay for the shards."""
+    real = substring_dedup.runs
+
+    def colliding(data, bounds):
+        first, count, anchor, content = real(data, bounds)
+        return first, count, np.zeros_like(anchor), np.zeros_like(content)
+
+    monkeypatch.setattr(substring_dedup, "runs", colliding)
+    texts = [prose(50, 90), prose(51, 90), prose(50, 90), prose(52, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc", "text"])
+    rows = [r for out in substring_dedup._anchored(iter([batch])) for r in out.to_pylist()]
+    piece = lambda r: texts[r["doc"]].encode()[r["start"] : r["start"] + r["n"] + 99]
+    left = [piece(r) for r in rows if not r["done"]]
+    assert any(r["done"] for r in rows) and all(piece(r) in left and r["doc"] == 2 for r in rows if r["done"])
+    assert {r["doc"] for r in rows if not r["done"]} >= {0, 1, 3}
+
+
+def test_windows_by_path(make_docs):
+    """The steps together remove as many windows as brute force finds."""
+    seen, want = set(), 0
+    for _, text in substring_rows():
+        raw = (text or "").encode()
+        for i in range(len(raw) - 99):
+            want += raw[i : i + 100] in seen
+            seen.add(raw[i : i + 100])
+    found = substring_dedup.windows_by_path(make_docs([t for _, t in substring_rows()])).collect()
+    assert sum(r["windows"] for r in found) == want
 
 
 def test_an_anchor_that_the_sample_misses_is_spread(make_docs, monkeypatch):
