@@ -26,11 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _show_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (on a cluster, ship it with ``--py-files``)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    environment["PYTHONPATH"] = _with_package(environment.get("PYTHONPATH", ""))
+
+
+def _with_package(python_path: str) -> str:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in python_path.split(os.pathsep) if p]
+    return os.pathsep.join(paths if root in paths else [*paths, root])
+
+
+def _show_to_sessions() -> None:
+    """On import, for frames that did not come from ``table``: a session that is there is told, a later one inherits the variable."""
+    os.environ["PYTHONPATH"] = _with_package(os.environ.get("PYTHONPATH", ""))
+    if (spark := SparkSession.getActiveSession()) is not None:
+        _show_package(spark)
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -129,3 +139,6 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
             _remove(spark, edge_path)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+_show_to_sessions()
