@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normslice.functions.shared import shared_path
 from normslice.plans.constraints import Balance, Exclusion, Lag, Metric, Precedence, Presence, Singularity
 from normslice.plans.norm import Layer, Norm, NormConstraint, View
 from normslice.sources.eventlog import EventLog
+from normslice.streaming.live import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +57,22 @@ def events(spark: SparkSession, sf_dir: str, by_day: bool = True) -> DataFrame:
     )
 
 
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a real stream: eight files in no order of time, two a trigger."""
+    rows = events(spark, sf_dir).drop("props").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = shared_path(spark, "stream-in")
+    rows.repartition(8, F.xxhash64("event_id")).write.parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+
+
+def fullest(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream of growing groups to its end; the last row that was told of each, the one of most events."""
+    told, state = shared_path(spark, "stream-told"), shared_path(spark, "stream-state")
+    upsert(stream, lambda batch, number: batch.write.mode("append").parquet(told), state).awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    return spark.read.schema(stream.schema).parquet(told).groupBy(*keys).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), "n_events").alias("_x")).select(*keys, "_x.*")
+
+
 ROLES = {"case_col": "case", "activity_col": "event_type", "timestamp_col": "ts", "order_col": "event_id"}
 
 

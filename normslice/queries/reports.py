@@ -11,7 +11,7 @@ from normslice.operators import sequences as S
 from normslice.operators.scoring import q, score, violation_matrix
 from normslice.plans.constraints import Balance, Exclusion, Lag, Presence, Singularity
 from normslice.plans.norm import Norm, NormConstraint, View
-from normslice.queries.logs import DAYS, LAYER_OF, LAYERS, ORDERS, USERS, VIOLATIONS, effective, events, norm, order_log, orders, query, r, scored_sql, table, user_days, users
+from normslice.queries.logs import DAYS, LAYER_OF, LAYERS, ORDERS, USERS, VIOLATIONS, arriving, effective, events, fullest, norm, order_log, orders, query, r, scored_sql, table, user_days, users
 from normslice.sources.eventlog import EventLog
 from normslice.streaming.live import event_windows, live_scores
 
@@ -636,10 +636,13 @@ def live_norm():
 
 @query("stream_live_scores", f"WITH {VIOLATIONS}, x AS (SELECT *, CASE WHEN v1 IS NULL THEN NULL WHEN p1 IS NULL OR p1 < v1 THEN 1.0 ELSE least(greatest(((p1 - v1) / 1e6 / 3600.0 - 2) / 6, 0), 1) END AS g FROM v) SELECT case_id, n_events, {r('1 - (c1 + c2 + c3 + 2 * coalesce(g, 0) + c6) / (CASE WHEN g IS NULL THEN 4 ELSE 6 END)')} AS score FROM x")
 def _(spark, d):
-    live = live_scores(events(spark, d), live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts")
-    return live.select("case_id", "n_events", F.col("score__all").alias("score"))
+    """The events arrive in no order of time; every trigger tells the cases that changed."""
+    live = live_scores(arriving(spark, d), live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts", watermark=None, keep_forever=True)
+    return fullest(spark, live, ["case_id"]).select("case_id", "n_events", F.col("score__all").alias("score"))
 
 
 @query("stream_event_windows", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') + INTERVAL '6 hours' AS window_end, event_type AS activity, count(*) AS n_events FROM events GROUP BY ALL")
 def _(spark, d):
-    return event_windows(table(spark, d, "events"), "ts", "event_type", "6 hours").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "activity", "n_events")
+    """Windows over events that arrive in no order of time, all within the watermark."""
+    windows = event_windows(arriving(spark, d), "ts", "event_type", "6 hours", watermark="10000 days")
+    return fullest(spark, windows, ["window_start", "window_end", "activity"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "activity", "n_events")

@@ -6,7 +6,7 @@ cases that changed; a foreach-batch sink upserts them and slices stay batch quer
 
 A case's state ends when nothing has come for it for ``idle``: cases are sessions, and the watermark drops a session that it has
 passed. Events later than the watermark are dropped with it; a case that wakes up after ``idle`` starts anew, as another row with
-a later ``opened``. Without ``idle`` a case is one row for ever and its state is never dropped.
+a later ``opened``. A stream must say which it wants: ``idle``, or ``keep_forever``, where a case is one row and its state is never dropped.
 """
 
 from __future__ import annotations
@@ -44,13 +44,15 @@ def _streamable(norm: Norm) -> None:
             raise NormError(f"constraint {nc.id!r} needs the whole case; score it in batch")
 
 
-def live_scores(events: DataFrame, norm: Norm, *, case_col: str, activity_col: str, timestamp_col: str, watermark: str | None = "1 day", idle: str | None = None) -> DataFrame:
+def live_scores(events: DataFrame, norm: Norm, *, case_col: str, activity_col: str, timestamp_col: str, watermark: str | None = "1 day", idle: str | None = None, keep_forever: bool = False) -> DataFrame:
     """Scores per case of a (streaming or batch) frame of events: ``case_id``, with ``idle`` also ``opened``, counts and scores.
 
-    A stream without ``idle`` is written in mode ``update``; with ``idle`` in ``append``, when a case is over (Spark emits sessions
-    only then). A watermark needs a TIMESTAMP column.
+    A stream that keeps its cases for ever is written in mode ``update``; with ``idle`` in ``append``, when a case is over (Spark
+    emits sessions only then). A watermark needs a TIMESTAMP column.
     """
     _streamable(norm)
+    if idle and keep_forever or events.isStreaming and not (idle or keep_forever):
+        raise NormError("a stream of cases needs either idle, after which a case's state ends, or keep_forever")
     if watermark and events.isStreaming:
         events = events.withWatermark(timestamp_col, watermark)
     rows = events.select("*", F.col(f"`{activity_col}`").cast("string").alias("__act"), micros(F.col(f"`{timestamp_col}`")).alias("__us"))

@@ -91,10 +91,13 @@ def test_live_scores_of_a_stream_equal_the_batch(spark, tmp_path):
         for r in batch.select("case_id", "score__all").collect():
             seen[r["case_id"]] = r["score__all"]
 
-    upsert(live_scores(stream, live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts", watermark=None), keep, str(tmp_path / "state")).awaitTermination()
+    upsert(live_scores(stream, live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts", watermark=None, keep_forever=True), keep, str(tmp_path / "state")).awaitTermination()
     batch = live_scores(source, live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts")
     assert seen == pytest.approx({r["case_id"]: r["score__all"] for r in batch.collect()})
     assert event_windows(source, "ts", "event_type", "1 day").agg(F.sum("n_events")).first()[0] == source.count()
+    for wrong in ({}, {"idle": "1 day", "keep_forever": True}):  # when does a case's state end?
+        with pytest.raises(NormError, match="keep_forever"):
+            live_scores(stream, live_norm(), case_col="case", activity_col="event_type", timestamp_col="ts", **wrong)
     with pytest.raises(NormError):
         live_scores(source, norm(), case_col="case", activity_col="event_type", timestamp_col="ts")
 
