@@ -1,16 +1,20 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 or more, found without loss.
 
-A 64-bit SimHash of such a pair lies some 10 bits apart, which no table of pieces finds at scale; so the pairs come from
-prefix filtering, which misses none: in any one order of all shingles, two sets of that similarity share a shingle among
-the first fifth of each, at places that leave room for the overlap they owe. Shingles that many texts hold come last in
-the order, so a common passage brings nobody together. Copies are folded first.
-
-Pairs that meet are tested by two lower bounds on the shingles that differ (a 256-bit parity fingerprint, then counts in
-about a quarter as many buckets as shingles, 1/32 of the set's bytes) and then by the exact similarity. A family of near copies would meet as all its pairs, so there are two rounds:
-each text is compared with the most central holders of its shingles, linked texts become one component, and then all
-pairs of different components that still meet are compared, and components are joined by what they yield. Of the
-components that meet at a shingle the largest is never compared with itself, so a giant family costs its size times the
-strangers there. Only the second round can be large: where many texts hold the same shingles without being near copies.
+*SimHash finds first.* Each text has a 256-bit SimHash of its five-word shingles (about 39 bits apart at the threshold, 18 at
+similarity 0.95), cut into eight 32-bit pieces. Each piece probes its ball of radius 1, half of it: of two pieces one bit apart
+the one with the bit unset asks. What meets is compared with the smallest and largest text of the bucket, so a giant family costs
+its size; pairs within ``RADIUS`` bits go to the exact similarity, and linked texts become one component. Copies are folded first.
+
+*An exact way for the rest.* No table of pieces holds all pairs of that similarity, so what SimHash leaves in different components
+is searched by prefix filtering, which misses none: in any one order of all shingles, two such sets share a shingle among the
+first fifth of each, at places that leave room for the overlap they owe. Shingles that many texts hold come last in the order,
+so a common passage brings nobody together. Texts are compared with the most central holders of their shingles in other
+components, and then all pairs of different components that still meet are compared. Of the components that meet at a shingle the
+largest is never compared with itself. Only this last step can be large: where many texts hold the same shingles without being
+near copies.
+
+All pairs that meet are tested by two lower bounds on the shingles that differ (a 256-bit parity fingerprint, then counts in about
+a quarter as many buckets as shingles, 1/32 of the set's bytes) and then by the exact similarity.
 
 Defined results as in ``simhash``: texts without words are copies of each other, a text of one to four words has one
 shingle, null ids take no part in the choice of the smallest id, extra columns are not read; ids are whole numbers.
@@ -33,11 +37,15 @@ from normslice.llm.simhash import text_hash
 SHINGLE = 5
 SEED = 42
 PARITY = [f"p{k}" for k in range(4)]
+#: The words of the 256-bit SimHash, of two 32-bit pieces each.
+PRINT = [f"f{k}" for k in range(4)]
+#: Fingerprints further apart go no further: at the threshold 39 bits with a deviation of 6, unrelated texts 128.
+RADIUS = 64
 #: A shingle that more prefixes hold comes last in the order. Any value gives the same groups.
 COMMON = 48
 _MAP_BITS = 24
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = 1 << 18
+_WORDS = 1 << 16
 _HEADS = 4
 
 
@@ -72,6 +80,23 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+_SALTS = np.array([0, 0xD6E8FEB86659FD93, 0xA5A3564E27F8861B, 0x2545F4914F6CDD1D], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The 256-bit SimHash of a set of shingles, in four words: a bit is set where over half of the shingles have it."""
+    ones = np.zeros(64 * len(_SALTS), np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit the counts of a byte
+        x = hashes[at : at + 255].view(np.uint64)[:, None] ^ _SALTS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
     """The first ``n - ceil(4 n / 5) + 1`` shingles in the order."""
     n = len(hashes)
@@ -114,7 +139,7 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
 def _prints(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, counts, parity = [], [], [], []
+            keys, sizes, counts, parity, prints = [], [], [], [], []
             for t in batch.column(1):
                 words = words_of(t.as_py())
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
@@ -122,10 +147,11 @@ def _prints(texts: DataFrame) -> DataFrame:
                 sizes.append(len(h))
                 counts.append(bucket_counts(h))
                 parity.append(np.packbits((np.bincount(h & 255, minlength=256) & 1).astype(bool)).view(np.int64))
-            bits = np.array(parity, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), *(pa.array(bits[:, k]) for k in range(4))], ["doc_id", "text_hash", "key", "n", "counts", *PARITY])
+                prints.append(fingerprint(h))
+            words = np.hstack([np.array(x, np.int64).reshape(-1, 4) for x in (parity, prints)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), *(pa.array(words[:, k]) for k in range(8))], ["doc_id", "text_hash", "key", "n", "counts", *PARITY, *PRINT])
 
-    return texts.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, counts binary, " + ", ".join(f"{p} long" for p in PARITY))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, counts binary, " + ", ".join(f"{p} long" for p in (*PARITY, *PRINT)))
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray | None) -> DataFrame:
@@ -188,43 +214,88 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select(*names, "ha", "hb").mapInArrow(run, schema)
 
 
+def _bits_apart(x: str, y: str, words: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words), F.lit(0))
+
+
+def _sizes_and_parity(x: str, y: str) -> Column:
+    """Necessary for similarity 4/5: sizes and the parity bound."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * _bits_apart(x, y, PARITY) <= n + m)
+
+
 def _may_be_near(x: str, y: str) -> Column:
-    """Necessary for similarity 4/5: sizes, room for the overlap behind the shared place, and the parity bound."""
+    """Necessary for similarity 4/5 of texts that share a shingle: room for the overlap behind the shared place, too."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(x, "n") + c(y, "n")
-    room = 9 * F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) >= 4 * both
-    sizes = 5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))
-    differ = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in PARITY), F.lit(0))
-    return sizes & room & (9 * differ <= both)
+    room = 9 * F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) >= 4 * (c(x, "n") + c(y, "n"))
+    return room & _sizes_and_parity(x, y)
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes within ``RADIUS`` bits that met in a bucket of pieces, each with its smallest and largest."""
+    piece = lambda k: F.shiftrightunsigned(PRINT[k // 2], 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
+    table = nodes.select("node", F.explode(F.array(*(piece(k) for k in range(2 * len(PRINT))))).alias("piece"))
+    buckets = table.groupBy("piece").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ball = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << k for k in range(32)))))
+    asks = table.select("node", "piece", F.explode(ball).alias("mask")).where("piece & mask = 0").select("node", F.col("piece").bitwiseXOR(F.col("mask")).alias("piece"))
+    met = asks.join(buckets, "piece").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    met = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    sized = nodes.select("node", "n", *PARITY, *PRINT)
+    x, y = sized.alias("x"), sized.alias("y")
+    met = met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    return met.where(_sizes_and_parity("x", "y") & (_bits_apart("x", "y", PRINT) <= RADIUS)).select("a", "b")
+
+
+def simhash_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, ga, gb``: the pairs that SimHash finds and the exact similarity confirms, each node a group of its own."""
+    return _verified(simhash_pairs(nodes), nodes, texts).select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb"))
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with their ``group`` as ``merged (g, to)`` has it."""
+    return rows.join(merged, F.col("group") == F.col("g"), "left").withColumn("group", F.coalesce("to", "group")).drop("g", "to")
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    return components(links, "ga", "gb").toDF("g", "to")
+
+
+def folded(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts of rows with an id, the prints of all rows, and a node for each different text: its smallest id."""
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = stored(_prints(texts.withColumn("text_hash", text_hash())), "copy-prints")
+    nodes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "counts", *PARITY, *PRINT))), "copy-nodes")
+    return texts.where("doc_id is not null"), prints, nodes
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
     """``doc_id, text_hash, component_id`` for every row; documents linked by near copies share the smallest id."""
     whole_ids(documents)
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = texts.where("doc_id is not null")
-    prints = stored(_prints(texts.withColumn("text_hash", text_hash())), "copy-prints")
-    nodes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "counts", *PARITY))), "copy-nodes")
+    named, prints, nodes = folded(documents)
+    known = nodes.where("node is not null")
+    found = _merged(simhash_links(known, named))
+    sized = _relabelled(known.select("node", "n", *PARITY, F.col("node").alias("group")), found)
+    # from here on only texts of different components are compared
     held = _prefixes(named, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > COMMON)
     rows, rows_path = stored_at(_prefixes(named, _bitmap(held, "token")), "prefixes")
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
-    sized = nodes.where("node is not null").drop("key", "counts")
     members, members_path = stored_at(rows.join(met, "token").join(sized, "node"), "members")
     remove(documents.sparkSession, rows_path)  # nothing reads the prefixes any more
-    central = [F.min(F.struct("place", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", *PARITY)).alias(f"h{k}") for k in range(_HEADS)]
-    heads = members.groupBy("token").agg(*central).select("token", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{k}.{c}") for c in ("place", "node", "n", *PARITY))) for k in range(_HEADS))))).alias("h")).select("token", "h.*")
-    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    first = members.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y")).select(*pair).distinct()
-    grouped = components(_verified(first, nodes, named), "a", "b").toDF("m", "linked")
-    group = F.coalesce("linked", "node").alias("group")
-    placed = members.join(grouped, F.col("node") == F.col("m"), "left").select(*members.columns, group)
+    of_head = ("place", "node", "n", *PARITY, "group")
+    central = [F.min(F.struct("place", F.xxhash64("node", F.lit(k)).alias("h"), *of_head[1:])).alias(f"h{k}") for k in range(_HEADS)]
+    heads = members.groupBy("token").agg(*central).select("token", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{k}.{c}") for c in of_head)) for k in range(_HEADS))))).alias("h")).select("token", "h.*")
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.group", "y.group").alias("ga"), F.greatest("x.group", "y.group").alias("gb"))
+    first = members.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & _may_be_near("x", "y")).select(*pair).distinct()
+    central_found = _merged(_verified(first, nodes, named))
+    placed = _relabelled(members, central_found)
     shares = placed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("share"))
     open_ = shares.groupBy("token").agg(F.max(F.struct("share", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("top.group").alias("main"))
     rest = stored(placed.join(open_, "token").withColumn("main", F.col("group") == F.col("main")), "open")
     remove(documents.sparkSession, members_path)
     other = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node")))
-    groups = (F.least("x.group", "y.group").alias("ga"), F.greatest("x.group", "y.group").alias("gb"))
-    second = rest.where("not main").alias("x").join(rest.alias("y"), other & _may_be_near("x", "y")).select(*pair, *groups).distinct()
-    merged = components(_verified(second, nodes, named), "ga", "gb").toDF("g", "merged")
-    resolved = nodes.join(grouped, F.col("node") == F.col("m"), "left").select("key", group).join(merged, F.col("group") == F.col("g"), "left").select("key", F.coalesce("merged", "group").alias("component_id"))
-    return prints.select("doc_id", "text_hash", "key").join(resolved, "key").select("doc_id", "text_hash", "component_id")
+    second = rest.where("not main").alias("x").join(rest.alias("y"), other & _may_be_near("x", "y")).select(*pair).distinct()
+    last_found = _merged(_verified(second, nodes, named))
+    resolved = nodes.select("key", F.col("node").alias("group"))
+    for merged in (found, central_found, last_found):
+        resolved = _relabelled(resolved, merged)
+    return prints.select("doc_id", "text_hash", "key").join(resolved.withColumnRenamed("group", "component_id"), "key").select("doc_id", "text_hash", "component_id")

@@ -63,6 +63,48 @@ def test_groups_equal_brute_force(spark, make_docs, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def plain_fingerprint(hashes):
+    words, mask = [], (1 << 64) - 1
+    for salt in (0, 0xD6E8FEB86659FD93, 0xA5A3564E27F8861B, 0x2545F4914F6CDD1D):
+        ones = [0] * 64
+        for h in hashes:
+            x = (int(h) & mask) ^ salt
+            x = ((x ^ x >> 32) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 29) * 0x94D049BB133111EB) & mask
+            x ^= x >> 32
+            for b in range(64):
+                ones[b] += x >> b & 1
+        words.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes)))
+    return words
+
+
+def test_simhash_finds_the_near_copies_in_reach_of_its_pieces(spark, make_docs):
+    r, texts = random.Random(11), []
+    for k in range(60):
+        base = prose(4000 + k, 150)
+        texts += [base, edited(r, base, r.randint(1, 4))]
+    named, prints, nodes = near_copies.folded(make_docs(texts))
+    own = [plain_fingerprint(near_copies.shingles(near_copies.words_of(t))) for t in texts]
+    assert {x["doc_id"]: [x[w] & (1 << 64) - 1 for w in near_copies.PRINT] for x in prints.collect()} == dict(enumerate(own))
+    apart = lambda x, y: [(u ^ v) for u, v in zip(x, y, strict=True)]
+    near = [(a, a + 1) for a in range(0, 120, 2) if plain_groups({0: texts[a], 1: texts[a + 1]})[1]]
+    reach = [(a, b) for a, b in near if any((d >> s & 0xFFFFFFFF).bit_count() <= 1 for d in apart(own[a], own[b]) for s in (0, 32))]
+    found = {(x["a"], x["b"]) for x in near_copies.simhash_links(nodes, named).collect()}
+    assert found == set(reach)
+    assert len(reach) > len(near) // 2 > 20
+
+
+def test_only_what_simhash_leaves_apart_meets_by_shingles(spark, make_docs, monkeypatch):
+    base = prose(77, 200)
+    texts = [base, base + " more", prose(78, 200), base[: len(base) // 2] + prose(79, 100)]
+    passed = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: passed.append(pairs.count()) or verified(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert passed == [1, 0, 0]
+
+
 def test_bucket_counts_never_exceed_the_difference():
     r = np.random.default_rng(5)
     pruned = 0
