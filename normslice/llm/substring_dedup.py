@@ -139,6 +139,18 @@ def _same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.n
     return equal
 
 
+def _ranges(doc: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> list[pa.Array]:
+    """Single windows, or runs of ``n``, as ranges of consecutive ones."""
+    n = np.ones(len(doc), np.int64) if n is None else n
+    order = np.lexsort((at, doc))
+    doc, at, n = doc[order], at[order], n[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    sizes = np.maximum.reduceat(at + n, first) - at[first] if len(first) else n
+    return [pa.array(doc[first]), pa.array(at[first]), pa.array(sizes.astype(np.int32))]
+
+
 _RUN = "anchor long, content long, doc long, start long, n int, done boolean"
 
 
@@ -169,6 +181,17 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _anchored_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_anchored``, with consecutive covered runs as one."""
+    for batch in _anchored(batches):
+        done = batch.column(5).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(~done))
+        if done.any():
+            gone = _ranges(*(batch.column(i).to_numpy()[done] for i in (2, 3, 4)))
+            key = pa.array(gone[0].to_numpy() * 1_000_003 + gone[1].to_numpy())
+            yield pa.RecordBatch.from_arrays([key, key, *gone, pa.array(np.ones(len(key), bool))], batch.schema.names)
+
+
 _MET = "multi boolean, anchor long, salt int, doc long, start long, n int"
 
 
@@ -296,34 +319,24 @@ def equal_windows(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
 _GONE = "doc long, start long, n int, salt int, window binary, by string"
 
 
-def _ranges(doc: np.ndarray, at: np.ndarray) -> list[pa.Array]:
-    """Single windows as ranges of consecutive ones."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return [pa.array(doc[first]), pa.array(at[first]), pa.array((at[last] - at[first] + 1).astype(np.int32))]
-
-
 def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Suffix arrays over the different contents of whole ``(anchor, salt)`` groups, in blocks of about ``limit`` bytes.
 
     Rows come sorted by group, document and place, so the first of equal contents is the one that stays; memory holds no others.
+    A group of one content holds no window twice (equal windows have their anchor at one place) and is passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "start", "n", "salt", "window", "by"]
         block: list[tuple] = []
         size = 0
-        group = None
+        group = None  # the last one so far, which may go on: its contents, and the first document and place of each
         firsts: dict[bytes, tuple] = {}
 
         def solved() -> Iterator[pa.RecordBatch]:
-            contents = [r[5] for r in block]
+            contents = [r[3] for r in block]
             classes, owner, offset = equal_windows(contents)
-            docs, starts, salts = (np.array([r[i] for r in block], np.int64) for i in (2, 3, 1))
+            docs, starts, salts = (np.array([r[i] for r in block], np.int64) for i in (1, 2, 0))
             doc, at = docs[owner], starts[owner] + offset
             order = np.lexsort((at, doc, classes))
             classes, doc, at, owner, offset = classes[order], doc[order], at[order], owner[order], offset[order]
@@ -349,24 +362,55 @@ def _sharded(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     [pa.array(docs[own]), pa.array(starts[own] + off), pa.array(count.astype(np.int32)), pa.array(salts[own].astype(np.int32)), pa.array(parts, pa.binary()), pa.nulls(len(own), pa.string())], names
                 )
 
+        def closed() -> None:
+            nonlocal size
+            if group is not None and (len(firsts) > 1 or group[1] >= 0):
+                block.extend((group[1], *place, content) for content, place in firsts.items())
+                size += sum(map(len, firsts))
+
         for batch in batches:
-            equal: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if row[:2] != group:
-                    if size >= limit:
-                        yield from solved()
-                        block, size = [], 0
-                    group, firsts = row[:2], {}
-                first = firsts.setdefault(row[5], row)
-                if first is row:
-                    block.append(row)
-                    size += len(row[5])
-                elif first[2:4] != row[2:4]:
-                    equal.append(row[2:5])
-            if equal:
-                k = len(equal)
-                columns = [pa.array(x, t) for x, t in zip(zip(*equal, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(["bytes"] * k)], names)
+            if not batch.num_rows:
+                continue
+            anchor, salt, doc, start, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            content = batch.column(5)
+            code = content.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            turn = np.ones(len(doc), bool)
+            turn[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
+            turn[0] = group != (int(anchor[0]), int(salt[0]))
+            number = np.cumsum(turn)  # 0: the group of the batch before
+            order = np.lexsort((code, number))
+            head = np.ones(len(order), bool)
+            head[1:] = (code[order[1:]] != code[order[:-1]]) | (number[order[1:]] != number[order[:-1]])
+            first = np.empty(len(order), np.int64)
+            first[order] = order[head][np.cumsum(head) - 1]
+            is_first = first == np.arange(len(first))
+            first_doc, first_start = doc.copy(), start.copy()
+            for i in np.flatnonzero(is_first & (number == 0)).tolist():
+                first_doc[i], first_start[i] = firsts.setdefault(content[i].as_py(), (int(doc[i]), int(start[i])))
+            equal = (doc != first_doc[first]) | (start != first_start[first])
+            if equal.any():
+                k = int(equal.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[equal]) for x in (doc, start, n)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(["bytes"] * k)], names)
+            last = int(number[-1])
+            if not last:
+                continue
+            closed()
+            different = np.bincount(number[is_first], minlength=last + 1)
+            before = 0
+            for i in np.flatnonzero(is_first & (number > 0) & (number < last) & ((different[number] > 1) | (salt >= 0))).tolist():
+                if number[i] != before and size >= limit:
+                    yield from solved()
+                    block, size = [], 0
+                before = number[i]
+                data = content[i].as_py()
+                block.append((int(salt[i]), int(doc[i]), int(start[i]), data))
+                size += len(data)
+            if size >= limit:
+                yield from solved()
+                block, size = [], 0
+            group = (int(anchor[-1]), int(salt[-1]))
+            firsts = {content[i].as_py(): (int(doc[i]), int(start[i])) for i in np.flatnonzero(is_first & (number == last)).tolist()}
+        closed()
         if block:
             yield from solved()
 
@@ -436,13 +480,17 @@ def _dealt(runs: DataFrame, heavy: DataFrame, by: Column) -> DataFrame:
     return runs.join(heavy, F.col("anchor") == F.col("anchor_"), "left").withColumn("salt", F.coalesce(F.pmod(by, F.col("shards")).cast("int"), F.lit(-1))).drop("anchor_", "shards")
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+
+
 def removed_windows(documents: DataFrame) -> DataFrame:
     """``doc, start, n, by``: ranges of window starts whose windows have an earlier equal, and what found it.
 
     ``buffer``: equal bytes where texts are read; ``bytes``: equal contents in a shard; ``suffix``: its suffix array; ``merge``: shards.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    keyed = texts.mapInArrow(_anchored, _RUN)
+    texts = _texts(documents).where("doc is not null")
+    keyed = texts.mapInArrow(_anchored_ranges, _RUN)
     # runs meet by streaming over sorted rows, so a heavy anchor that the sample misses costs time in a task, no memory
     expected = stored(_shares(texts.sample(SAMPLE, seed=11).mapInArrow(_anchored, _RUN).where("not done"), SAMPLE), "expected")
     if expected.limit(1).count():
@@ -508,5 +556,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     whole_ids(documents)
     gone = removed_windows(documents).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return texts.join(gone, "doc", "left").select("doc", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = _texts(documents)
+    # the shuffle of the texts that have an id is the one from which the contents of runs are taken
+    cut = texts.where("doc is not null").join(gone, "doc", "left").select("doc", "text", "gone")
+    rest = texts.where("doc is null").withColumn("gone", F.lit(None).cast(cut.schema["gone"].dataType))
+    return cut.union(rest).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

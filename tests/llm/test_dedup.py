@@ -157,6 +157,36 @@ def test_equal_keys_of_different_bytes_remove_nothing(monkeypatch):
     assert {r["doc"] for r in rows if not r["done"]} >= {0, 1, 3}
 
 
+def shard_batches(rows, size):
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for at in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + size]], t) for i, t in enumerate(types)], list("abcdef"))
+
+
+def test_groups_of_one_content_need_no_suffix_array(monkeypatch):
+    """Equal contents go by their bytes, also over batches; only groups of several contents, or spread ones, are sorted."""
+    one, other, third = (prose(k, 60).encode()[:150] for k in (60, 61, 62))
+    rows = [(1, -1, d, 0, 51, one) for d in range(5)] + [(2, -1, 1, 9, 51, other)] + [(3, -1, d, 20, 51, (one, third)[d % 2]) for d in range(4)] + [(4, 0, 7, 0, 51, other)]
+    given = []
+    real = substring_dedup.equal_windows
+    monkeypatch.setattr(substring_dedup, "equal_windows", lambda contents: given.extend(contents) or real(contents))
+    for size in (1, 2, 3, 100):
+        given.clear()
+        out = [r for b in substring_dedup._sharded(1)(shard_batches(rows, size)) for r in b.to_pylist()]
+        assert given == [one, third, other]
+        assert [(r["doc"], r["start"], r["n"]) for r in out if r["by"] == "bytes"] == [(d, 0, 51) for d in range(1, 5)] + [(d, 20, 51) for d in (2, 3)]
+        assert [(r["doc"], r["n"], r["window"]) for r in out if r["window"]] == [(7, 51, other)]
+
+
+def test_covered_runs_travel_as_ranges():
+    """A copied text has some ten runs; what covers it is one row of all its windows."""
+    text = prose(70, 90)
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 8], pa.int64()), pa.array([text, text])], ["doc", "text"])
+    rows = [r for out in substring_dedup._anchored_ranges(iter([batch])) for r in out.to_pylist()]
+    assert [(r["doc"], r["start"], r["n"]) for r in rows if r["done"]] == [(8, 0, len(text.encode()) - 99)]
+    assert sum(r["n"] for r in rows if not r["done"]) == len(text.encode()) - 99
+
+
 def test_windows_by_path(make_docs):
     """The steps together remove as many windows as brute force finds."""
     seen, want = set(), 0
