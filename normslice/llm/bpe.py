@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import id_type
+from normslice.llm.common import held, id_type
 
 #: A vocabulary file above this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -263,17 +263,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """The worker's codec for this vocabulary and pattern; kept over tasks, so what it remembers is used again."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
-
-
 def encode(documents: DataFrame, vocabulary: str, pattern: str, *, keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids array<int>``) for every row; ids decode to the text.
 
@@ -285,7 +274,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, *, keep_ids: boo
     schema = f"doc_id {id_type(documents)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, shared.value, pattern)
+        codec = held(key, lambda: Codec(shared.value, pattern))
         for batch in batches:
             rows = []
             for text in batch.column(1):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from normslice.functions.shared import remove as _remove
 from normslice.functions.shared import shared_path, stored
 from normslice.functions.shared import stored_at as _stored
 
-__all__ = ["class_shares", "components", "crc_bucket", "fresh", "id_type", "sampled_ids", "shared_path", "stored", "table", "under_share", "whole_ids"]
+__all__ = ["class_shares", "components", "crc_bucket", "fresh", "held", "id_type", "sampled_ids", "shared_path", "stored", "table", "under_share", "whole_ids"]
 
 #: Rows of one Arrow batch, unless the session sets its own number.
 BATCH_ROWS = 512
@@ -61,6 +63,17 @@ def whole_ids(df: DataFrame, column: str = "doc_id") -> None:
         raise TypeError(f"{column} must be a whole number here, not {id_type(df, column)}")
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps over tasks: one object for all operators, so the tables of the last one go when another begins."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like ``name`` that none of the columns has."""
     taken = {c.lower() for c in columns}

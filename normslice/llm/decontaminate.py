@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import id_type, stored
+from normslice.llm.common import held, id_type, stored
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCKS, WIDTH = 4, 16
@@ -209,17 +209,6 @@ class ItemIndex:
                             best[item] = (s, start, start + size + k - 1)
 
 
-_INDEX: dict[str, ItemIndex] = {}
-
-
-def _index(key: str, items: list[tuple[int, str]], shingle: int, radius: int) -> ItemIndex:
-    """The worker's index of this block of items; kept over tasks."""
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = ItemIndex(items, shingle, radius)
-    return _INDEX[key]
-
-
 def _item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
     """How many blocks the benchmark has, and the blocks one after the other: lists of bounded bytes and items; equal ids lie in one."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
@@ -244,7 +233,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, shingle: int =
         shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex  # MAX_BROADCAST_BYTES of text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, shared.value, shingle, radius)
+            index = held(key, lambda: ItemIndex(shared.value, shingle, radius))
             for batch in batches:
                 rows = [(i.as_py(), *m) for i, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.matches(t.as_py(), threshold)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(types)], types.names)
@@ -269,7 +258,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, shingle: in
         shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, shared.value, shingle, radius)
+            index = held(key, lambda: ItemIndex(shared.value, shingle, radius))
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normslice.functions.shared import remove, stored_at
-from normslice.llm.common import components, stored, whole_ids
+from normslice.llm.common import components, held, stored, whole_ids
 from normslice.llm.simhash import text_hash
 
 SHINGLE = 5
@@ -63,14 +63,11 @@ class _WordHashes(dict):
         return out
 
 
-_hash_of = _WordHashes()
-
-
 def shingles(words: list[bytes]) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending: a polynomial of the hashes of the words in order."""
     if not words:
         return np.zeros(0, np.int64)
-    each = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     size = min(SHINGLE, len(words))
     n = len(words) - size + 1
     out = np.full(n, size, np.uint64)
@@ -276,8 +273,8 @@ def near_copies(documents: DataFrame) -> DataFrame:
     found = _merged(simhash_links(known, named))
     sized = _relabelled(known.select("node", "n", *PARITY, F.col("node").alias("group")), found)
     # from here on only texts of different components are compared
-    held = _prefixes(named, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > COMMON)
-    rows, rows_path = stored_at(_prefixes(named, _bitmap(held, "token")), "prefixes")
+    crowded = _prefixes(named, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > COMMON)
+    rows, rows_path = stored_at(_prefixes(named, _bitmap(crowded, "token")), "prefixes")
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     members, members_path = stored_at(rows.join(met, "token").join(sized, "node"), "members")
     remove(documents.sparkSession, rows_path)  # nothing reads the prefixes any more

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normslice.llm.common import crc_bucket, id_type, sampled_ids, stored
+from normslice.llm.common import crc_bucket, held, id_type, sampled_ids, stored
 
 WORDS = re.compile(r"[^\W_]+")
 STEM = 6
@@ -221,12 +222,12 @@ def _over_sample(train: DataFrame, model: ToxicityModel, measure: Callable[[Toxi
 
 def score(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, passages: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, score, predicted, n_passages, toxic_tokens`` (``passages``: with their token spans)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, key = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = f"doc_id {id_type(documents)}, score double, predicted int, n_passages int, toxic_tokens int"
     schema += ", passages array<struct<start:int,end:int,score:double,e_value:double>>" if passages else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = held(key, lambda: shared.value)
         link = np.array(m.link)
         for batch in batches:
             out = []
@@ -250,11 +251,11 @@ def score(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, pa
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, *, alpha: float = 0.05) -> DataFrame:
     """The documents without those scored 0.5 or more, all columns kept; decided in place, so no row is shuffled."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, key = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = held(key, lambda: shared.value)
         link = np.array(m.link)
         for batch in batches:
             yield batch.filter(pa.array([float(_features(m, m.scores(t.as_py()), alpha)[0] @ link) < 0 for t in batch.column(at)], pa.bool_()))

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from normslice.llm import near_copies
+from normslice.llm import common, near_copies
 from tests.llm.conftest import prose
 
 
@@ -121,6 +121,15 @@ def test_bucket_counts_never_exceed_the_difference():
     assert near_copies.counted_apart(near_copies.bucket_counts(crowded), near_copies.bucket_counts(crowded + 1)) <= 2 * len(crowded)
 
 
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+    for _ in range(2):
+        common.held("codec", lambda: made.append("codec"))
+    near_copies.shingles(near_copies.words_of("words of another operator"))
+    assert made == ["codec"] and list(common._HELD) == ["word hashes"]
+    assert len(common._HELD["word hashes"]) == 4
+
+
 def test_empty_and_awkward_rows(spark, awkward, empty):
     assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, awkward, "").collect()
