@@ -7,8 +7,9 @@ its size; pairs within ``RADIUS`` bits go to the exact similarity, and linked te
 
 *An exact way for the rest.* No table of pieces holds all pairs of that similarity, so what SimHash leaves in different components
 is searched by prefix filtering, which misses none: in any one order of all shingles, two such sets share a shingle among the
-first fifth of each, at places that leave room for the overlap they owe. Shingles that many texts hold come last in the order,
-so a common passage brings nobody together. Texts are compared with the most central holders of their shingles in other
+first fifth of each, at places that leave room for the overlap they owe. Shingles that many texts hold come last in the order, as
+a sample of whole texts tells (any order finds the same pairs): a common passage brings nobody together, and of a large family of
+edited texts only those meet whose own shingles, which come first, leave room for the overlap. Texts are compared with the most central holders of their shingles in other
 components, and then all pairs of different components that still meet are compared. Of the components that meet at a shingle the
 largest is never compared with itself. Only this last step can be large: where many texts hold the same shingles without being
 near copies.
@@ -41,8 +42,10 @@ PARITY = [f"p{k}" for k in range(4)]
 PRINT = [f"f{k}" for k in range(4)]
 #: Fingerprints further apart go no further: at the threshold 39 bits with a deviation of 6, unrelated texts 128.
 RADIUS = 64
-#: A shingle that more prefixes hold comes last in the order. Any value gives the same groups.
-COMMON = 48
+#: One text in so many is in the sample that lays out the order of shingles. Any sample gives the same groups.
+SAMPLED = 16
+#: So many shingles at most come last, those that most texts of the sample hold; a map of ``_MAP_BITS`` has room for more.
+COMMON = 1 << 20
 _MAP_BITS = 24
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = 1 << 16
@@ -94,15 +97,13 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-    """The first ``n - ceil(4 n / 5) + 1`` shingles in the order."""
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(4 n / 5) + 1`` shingles in the order: those marked as common come last."""
     n = len(hashes)
     if not n:
         return hashes
-    if common is not None:
-        late = _marked(common, hashes)
-        hashes = np.concatenate((hashes[~late], hashes[late]))
-    return hashes[: n - (4 * n + 4) // 5 + 1]
+    late = _marked(common, hashes)
+    return np.concatenate((hashes[~late], hashes[late]))[: n - (4 * n + 4) // 5 + 1]
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -151,16 +152,38 @@ def _prints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, counts binary, " + ", ".join(f"{p} long" for p in (*PARITY, *PRINT)))
 
 
-def _prefixes(texts: DataFrame, common: np.ndarray | None) -> DataFrame:
-    shared = None if common is None else texts.sparkSession.sparkContext.broadcast(common)
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """``token, held``: at most ``COMMON`` of the shingles that two texts or more of the sample hold, the most frequent ones.
+
+    Whole texts are counted and not their prefixes: when the shingles of one prefix come last, others of the same texts take
+    their places, and a large family would meet at those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(words_of(t.as_py())))], ["token"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counts = stored(sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "common-shingles")
+    least, total = 1 << 10, 0
+    for held_by, tokens in sorted(counts.groupBy(F.least("held", F.lit(least))).count().collect(), reverse=True):
+        total += tokens
+        if total > COMMON:
+            break
+        least = held_by
+    return counts.where(F.col("held") >= least)
+
+
+def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = None if shared is None else shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 tokens, ids, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                 for i, t in zip(batch.column(0)[at : at + 64].to_pylist(), batch.column(1)[at : at + 64], strict=True):
-                    p = prefix(shingles(words_of(t.as_py())), late)
+                    p = prefix(shingles(words_of(t.as_py())), shared.value)
                     tokens.append(p)
                     ids.append(np.full(len(p), i, np.int64))
                     places.append(np.arange(len(p), dtype=np.int32))
@@ -273,8 +296,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     found = _merged(simhash_links(known, named))
     sized = _relabelled(known.select("node", "n", *PARITY, F.col("node").alias("group")), found)
     # from here on only texts of different components are compared
-    crowded = _prefixes(named, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > COMMON)
-    rows, rows_path = stored_at(_prefixes(named, _bitmap(crowded, "token")), "prefixes")
+    rows, rows_path = stored_at(_prefixes(named, _bitmap(common_shingles(named), "token")), "prefixes")
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     members, members_path = stored_at(rows.join(met, "token").join(sized, "node"), "members")
     remove(documents.sparkSession, rows_path)  # nothing reads the prefixes any more

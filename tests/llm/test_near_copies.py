@@ -105,6 +105,31 @@ def test_only_what_simhash_leaves_apart_meets_by_shingles(spark, make_docs, monk
     assert passed == [1, 0, 0]
 
 
+def test_texts_on_the_fringe_of_a_family_are_not_all_compared_with_it(spark, make_docs, monkeypatch):
+    r, base = random.Random(21), prose(500, 400)
+    texts = [base, *(edited(r, base, 4) for _ in range(80)), *(edited(r, base, 13) for _ in range(80))]
+    want, _ = plain_groups(dict(enumerate(texts)))
+    assert 60 < len(set(want.values())) < 90  # of the second eighty hardly one is near to any other text
+    passed = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: passed.append(pairs.count()) or verified(pairs, *rest))
+    assert {x["doc_id"]: x["component_id"] for x in near_copies.near_copies(make_docs(texts)).collect()} == want
+    assert passed[2] < 160  # of 6,400 pairs
+
+
+def test_the_order_of_shingles_is_bounded_and_changes_no_group(spark, make_docs, monkeypatch):
+    docs = make_docs(list(corpus().values()))
+    want, _ = plain_groups(corpus())
+    named = near_copies.folded(docs)[0]
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    every = {x["token"]: x["held"] for x in near_copies.common_shingles(named).collect()}
+    assert min(every.values()) == 2 and len(every) > 1000
+    monkeypatch.setattr(near_copies, "COMMON", 1000)
+    some = {x["token"]: x["held"] for x in near_copies.common_shingles(named).collect()}
+    assert 0 < len(some) <= 1000 and min(some.values()) > max(held for token, held in every.items() if token not in some)
+    assert {x["doc_id"]: x["component_id"] for x in near_copies.near_copies(docs).collect()} == want
+
+
 def test_bucket_counts_never_exceed_the_difference():
     r = np.random.default_rng(5)
     pruned = 0
