@@ -455,16 +455,46 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(_ranges(np.concatenate(gone_doc), np.concatenate(gone_at)), ["doc", "start", "n"])
 
 
+_START = (1 << 31) - 1  # no text is longer
+
+
+def _place(done: Column | None = None) -> Column:
+    """``start``, ``n`` and ``done`` as one long: a shuffled row is a quarter shorter. In order of ``start`` where ``n`` is under 128."""
+    n, start = F.col("n").cast("long"), F.col("start")
+    place = F.shiftleft(F.shiftright(n, 7), 40).bitwiseOR(F.shiftleft(start, 8)).bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(127)), 1))
+    return (place if done is None else place.bitwiseOR(done.cast("long"))).alias("place")
+
+
+def _placed() -> list[Column]:
+    """``start``, ``n`` and ``done`` of a ``place``."""
+    place = F.col("place")
+    n = F.shiftleft(F.shiftright(place, 40), 7).bitwiseOR(F.shiftright(place, 1).bitwiseAND(F.lit(127)))
+    return [F.shiftright(place, 8).bitwiseAND(F.lit(_START)).alias("start"), n.cast("int").alias("n"), (place.bitwiseAND(F.lit(1)) == 1).alias("done")]
+
+
+def _salt(spread: bool) -> Column:
+    return F.col("salt") if spread else F.lit(-1).alias("salt")
+
+
+def _met(keyed: DataFrame, spread: bool) -> DataFrame:
+    """Runs by anchor (and salt, where anchors are spread), document and place, as ``_meet`` reads them."""
+    keys = ["anchor", "salt"] if spread else ["anchor"]
+    rows = keyed.select(*keys, "doc", _place(F.col("done"))).repartition(*keys).sortWithinPartitions("anchor", "doc", "place")
+    return rows.select("anchor", _salt(spread), "doc", *_placed())
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that a document has in play."""
-    names = ["anchor", "salt", "doc", "start", "n", "bytes"]
+    names = ["anchor", "salt", "doc", "start", "bytes"]
     for batch in batches:
         rows = []
         for doc, text, plays in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             raw = (text.as_py() or "").encode("utf-8")
-            rows += [(p["anchor"], p["salt"], doc.as_py(), p["start"], p["n"], raw[p["start"] : p["start"] + p["n"] + LENGTH - 1]) for p in plays.as_py()]
-        rows = [r for r in rows if len(r[5]) == r[4] + LENGTH - 1]  # of rows repeating an id with another text
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            for p in plays.as_py():
+                start, size = p["place"] >> 8 & _START, (p["place"] >> 1 & 127) + LENGTH - 1
+                if start + size <= len(raw):  # of rows repeating an id with another text
+                    rows.append((p["anchor"], p.get("salt", -1), doc.as_py(), start, raw[start : start + size]))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
@@ -493,32 +523,30 @@ def removed_windows(documents: DataFrame) -> DataFrame:
     keyed = texts.mapInArrow(_anchored_ranges, _RUN)
     # runs meet by streaming over sorted rows, so a heavy anchor that the sample misses costs time in a task, no memory
     expected = stored(_shares(texts.sample(SAMPLE, seed=11).mapInArrow(_anchored, _RUN).where("not done"), SAMPLE), "expected")
-    if expected.limit(1).count():
+    spread = expected.limit(1).count() > 0
+    if spread:
         keyed = _dealt(keyed, expected, F.col("content")).withColumn("salt", F.when(F.col("done"), F.lit(-1)).otherwise(F.col("salt")))
-    else:
-        keyed = keyed.withColumn("salt", F.lit(-1))
-    met = stored(
-        keyed.select("anchor", "salt", "doc", "start", "n", "done").repartition("anchor", "salt").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_meet, _MET),
-        "runs",
-    )
+    met = stored(_met(keyed, spread).mapInArrow(_meet, _MET), "runs")
     # contents are held in memory, so which anchors are spread over shards is counted over all of them
     playing = met.where("multi").drop("salt")
     heavy = stored(_shares(playing), "heavy")
     spread = heavy.limit(1).count() > 0
-    playing = _dealt(playing, heavy, F.xxhash64("doc", "start")) if spread else playing.withColumn("salt", F.lit(-1))
-    plays = playing.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "start", "n")).alias("plays"))
-    contents = texts.join(plays, "doc").select("doc", "text", "plays").mapInArrow(_contents, "anchor long, salt int, doc long, start long, n int, bytes binary")
-    solved = contents.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "start").mapInArrow(_sharded(SHARD), _GONE)
+    playing = _dealt(playing, heavy, F.xxhash64("doc", "start")) if spread else playing
+    keys = ["anchor", "salt"] if spread else ["anchor"]
+    plays = playing.select("doc", F.struct(*keys, _place()).alias("play")).groupBy("doc").agg(F.collect_list("play").alias("plays"))
+    contents = texts.join(plays, "doc").select("doc", "text", "plays").mapInArrow(_contents, "anchor long, salt int, doc long, start long, bytes binary")
+    contents = contents.select(*keys, "doc", "start", "bytes").repartition(*keys).sortWithinPartitions(*keys, "doc", "start")
+    sized = contents.select("anchor", _salt(spread), "doc", "start", (F.octet_length("bytes") - (LENGTH - 1)).alias("n"), "bytes")
+    # a job of its own, so that its shuffles need not be on disk together with those of the texts that are cut
+    solved = stored(sized.mapInArrow(_sharded(SHARD), _GONE), "windows")
     gone = met.where("not multi").select("doc", "start", "n", F.lit("buffer").alias("by"))
     if spread:
-        solved = stored(solved, "windows")
         first = solved.where("window is not null")
         ranges = max(1, -(-(first.agg(F.sum("n")).first()[0] or 0) // RANGE_WINDOWS))
         lists = first.mapInArrow(_single, "doc long, start long, salt int, window binary")
         merged = lists.repartitionByRange(ranges, "window").mapInArrow(_merged, "doc long, start long, n int")
         gone = gone.union(merged.withColumn("by", F.lit("merge")))
-        solved = solved.where("window is null")
-    return gone.union(solved.select("doc", "start", "n", "by"))
+    return gone.union(solved.where("window is null").select("doc", "start", "n", "by"))
 
 
 def windows_by_path(documents: DataFrame) -> DataFrame:
@@ -557,7 +585,7 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     whole_ids(documents)
     gone = removed_windows(documents).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     texts = _texts(documents)
-    # the shuffle of the texts that have an id is the one from which the contents of runs are taken
+    # rows without an id would meet in one task
     cut = texts.where("doc is not null").join(gone, "doc", "left").select("doc", "text", "gone")
     rest = texts.where("doc is null").withColumn("gone", F.lit(None).cast(cut.schema["gone"].dataType))
     return cut.union(rest).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -187,6 +187,26 @@ def test_covered_runs_travel_as_ranges():
     assert sum(r["n"] for r in rows if not r["done"]) == len(text.encode()) - 99
 
 
+def test_removed_windows_leave_no_shuffle_to_the_cutting(make_docs):
+    plan = substring_dedup.removed_windows(make_docs([t for _, t in substring_rows()]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan
+
+
+def test_a_run_is_shuffled_as_three_numbers(spark):
+    rows = [(7, 1, 3, start, n, done) for start, n, done in [(0, 1, False), (5, 69, False), (2**31 - 1, 128, True), (9, 1 << 21, True), (300, 0, False)]]
+    keyed = spark.createDataFrame(rows, substring_dedup._RUN)
+    met = substring_dedup._met(keyed, False)
+    assert sorted((r["start"], r["n"], r["done"]) for r in met.collect()) == sorted(r[3:] for r in rows)
+    assert {(r["anchor"], r["salt"], r["doc"]) for r in met.collect()} == {(7, -1, 3)}
+    spread = substring_dedup._met(keyed.withColumn("salt", F.col("doc").cast("int")), True)
+    assert {r["salt"] for r in spread.collect()} == {3}
+    for frame, width in ((met, 3), (spread, 4)):
+        node = frame._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "RepartitionByExpression":
+            node = node.children().apply(0)
+        assert node.output().size() == width
+
+
 def test_windows_by_path(make_docs):
     """The steps together remove as many windows as brute force finds."""
     seen, want = set(), 0
