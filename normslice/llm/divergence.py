@@ -10,7 +10,9 @@ sum of ``|p - q|`` over all kept terms; it is split by how many groups hold a te
   corrected by ``|p_g - p_h| - |z_g - p_h| - |p_g - z_h| + |z_g - z_h|``, over the few pairs of its posting list.
 
 Both partial sums are whole numbers and are added exactly. Terms are counted inside the tasks that read the texts (tables of at
-most ``HELD`` entries), so a hot source sends one row a term and task, not one an occurrence.
+most ``HELD`` entries and one document), so a hot source sends one entry a term and task, not one an occurrence. A row has a term
+with the entries of all sources that the task met, and rows are dealt by term once: the counts of a source and those of its
+language come out of the same shuffle.
 
 Defined results: null text, lang and source count as empty ones; every row is a document, also where ids are null or repeat
 (ids are not read); a language without kept terms has distances of 0 and no term rows; a language of one source has no pairs;
@@ -32,6 +34,8 @@ from normslice.llm.common import stored
 
 #: Entries that a counting task holds before it sends them on.
 HELD = 1 << 18
+#: Rows of a batch that it sends.
+SENT = 1 << 13
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GROUP = ["lang", "source"]
 #: Groups on a side of a dense tile, and about as many terms in a block.
@@ -44,34 +48,50 @@ def terms(text: str | None) -> list[bytes]:
     return _TERM.findall((text or "").encode("utf-8", "replace").lower())
 
 
-def term_counts(documents: DataFrame, held: int = HELD) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that hold the term."""
-
-    def sent(groups: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in groups.items():
-            words = list(times)
-            for at in range(0, len(words), 1 << 16):
-                part = words[at : at + (1 << 16)]
-                columns = [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())]
-                columns += [pa.array([c[w] for w in part], pa.int64()) for c in (times, docs)]
-                yield pa.RecordBatch.from_arrays(columns, [*_GROUP, "term", "n", "docs"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                times, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                found = terms(text.as_py())
-                times.update(found)
-                docs.update(set(found))
-            if sum(len(t) for t, _ in groups.values()) > held:
-                yield from sent(groups)
+def _sent(groups: dict) -> Iterator[pa.RecordBatch]:
+    """Counts by group as rows of a language's term, with an entry for each source."""
+    of_lang: dict[str, list] = {}
+    for (lang, source), (times, docs) in groups.items():
+        of_lang.setdefault(lang, []).append((source, times, docs))
+    for lang, own in of_lang.items():
+        words = pa.array([w for _, times, _ in own for w in times], pa.binary()).cast(pa.string()).dictionary_encode()
+        code, names = words.indices.to_numpy(), words.dictionary
+        at = np.argsort(code, kind="stable")
+        source = np.repeat(np.arange(len(own)), [len(times) for _, times, _ in own])[at]
+        n = np.fromiter((k for _, times, _ in own for k in times.values()), np.int64, len(code))[at]
+        df = np.fromiter((k for _, times, docs in own for k in map(docs.__getitem__, times)), np.int64, len(code))[at]
+        entries = pa.StructArray.from_arrays([pa.array([x[0] for x in own], pa.string()).take(pa.array(source)), pa.array(n), pa.array(df)], ["source", "n", "docs"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))]).astype(np.int32)
+        rows = pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), names, pa.ListArray.from_arrays(ends, entries)], ["lang", "term", "entries"])
+        for first in range(0, rows.num_rows, SENT):
+            yield rows.slice(first, SENT)
+
+
+def counted(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """``lang, term, entries`` of batches of ``lang, source, text``; a full table is sent on behind any document, also inside a batch."""
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            times, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            found = terms(text.as_py())
+            size -= len(times)
+            times.update(found)
+            docs.update(set(found))
+            size += len(times)
+            if size > held:
+                yield from _sent(groups)
                 groups.clear()
-        yield from sent(groups)
+                size = 0
+    yield from _sent(groups)
+
 
+def term_counts(documents: DataFrame, held: int = HELD) -> DataFrame:
+    """``lang, source, term, n, docs``: occurrences, and documents that hold the term. Rows are dealt by language and term."""
     rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in _GROUP), F.col("text").cast("string"))
-    parts = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = rows.mapInArrow(lambda batches: counted(batches, held), "lang string, term string, entries array<struct<source: string, n: bigint, docs: bigint>>")
+    dealt = parts.repartition("lang", "term").select("lang", "term", F.inline("entries"))
+    return dealt.groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: str, total: str) -> Column:

@@ -1,12 +1,15 @@
 """Near-duplicates by MinHash, spelling variants and source divergence against brute force."""
 
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from normslice.llm import bayes_minhash, divergence, spelling
@@ -270,3 +273,22 @@ def test_counting_tasks_send_on_when_full(make_docs):
     assert whole == cut
     whole, cut = (sorted(map(tuple, spelling.vocabulary(docs, held=held).collect())) for held in (10**6, 5))
     assert whole == cut
+
+
+def test_counts_of_sources_and_languages_share_a_shuffle(make_docs):
+    docs = make_docs([prose(k, 20) for k in range(5)])
+    by_term = divergence.term_counts(docs).withColumn("df", F.sum("docs").over(Window.partitionBy("lang", "term")))
+    plan = by_term._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\bExchange\b", plan)) == 1
+    below = plan[plan.index("Exchange") :]
+    assert "MapInArrow" in below and "HashAggregate" not in below  # a row a term and task, not one a source as well
+
+
+def test_a_batch_of_long_texts_is_sent_in_parts():
+    texts = [" ".join(f"x{chr(97 + k)}{chr(97 + j)}" for j in range(20)) for k in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*(("en", f"s{k % 2}", t) for k, t in enumerate(texts * 2)), strict=True)], ["lang", "source", "text"])
+    sent = list(divergence.counted(iter([batch]), 30))  # more than a document, less than two
+    assert [b.num_rows for b in sent] == [40] * 20
+    whole = list(divergence.counted(iter([batch]), 10**6))
+    assert [b.num_rows for b in whole] == [400]
+    assert {(r["term"], e["source"], e["n"], e["docs"]) for b in whole for r in b.to_pylist() for e in r["entries"]} == {(w, f"s{k % 2}", 2, 2) for k, t in enumerate(texts) for w in t.split()}
