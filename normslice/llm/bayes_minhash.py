@@ -11,6 +11,7 @@ A family of near copies is not compared pair by pair. In the first round each me
 heads: the member that meets most others over all its bands (the original of a family of edited copies) and one by hash.
 Linked sets become one component. In the second round sets of different components that still share a bucket are
 compared, except for pairs within the largest component at the bucket. No bucket is capped and no pair of different components is left out.
+Only sets that meet another one carry their signature beyond the folding.
 Members carry their set's size and the parities of its hashes in 512 classes: as many shingles differ as parities do, so
 the join itself passes over most pairs of a family that lie below the threshold, and none above it.
 
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normslice.functions.shared import remove, stored_at
 from normslice.llm.common import components, id_type, stored
 from normslice.llm.near_copies import shingles, words_of
 
@@ -171,29 +173,40 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, percent
     return pairs.join(found.toDF("a", "ha"), "a").join(found.toDF("b", "hb"), "b").select(*names, "ha", "hb").mapInArrow(run, pairs.schema)
 
 
-def near_duplicates(documents: DataFrame, *, percent: int = 85, miss: float = 1e-9) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row; documents linked at ``percent`` similarity share the smallest id."""
-    rows = stored(prints(documents), "minhash-prints")
-    worded = rows.where("key is not null")
-    nodes = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("holder"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", *_PARITY)))
-    nodes = stored(nodes, "minhash-nodes")
-
+def _met(nodes: DataFrame) -> DataFrame:
+    """``bucket, key, held``: the members of band buckets of two sets or more. Most sets meet none, so entries travel as bucket and
+    key only; signatures, sizes and parities are joined to the members that are left."""
     width = 4 * BAND
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(HASHES // BAND)))
-    entries = nodes.select("key", F.explode(bands).alias("bucket"), "n_shingles", *_PARITY)
+    entries = nodes.select("key", F.explode(bands).alias("bucket"))
     met = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = stored(entries.join(met, "bucket"), "band-members")
-    weights = members.groupBy("key").agg(F.sum("held").alias("weight"))
-    weighed = members.select("bucket", "key").join(weights, "key")
-    members = members.drop("held")
+    return stored(entries.join(met, "bucket"), "met-buckets")
+
+
+def near_duplicates(documents: DataFrame, *, percent: int = 85, miss: float = 1e-9) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row; documents linked at ``percent`` similarity share the smallest id."""
+    spark = documents.sparkSession
+    full, full_path = stored_at(prints(documents), "minhash-prints")
+    worded = full.where("key is not null")
+    nodes = worded.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("holder"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", *_PARITY)))
+    nodes, node_path = stored_at(nodes, "minhash-nodes")
+    rows = stored(full.select("doc_id", "n_shingles", "key"), "minhash-rows")
+    remove(spark, full_path)
+
+    entries = _met(nodes)
+    near = stored(nodes.drop("least").join(entries.groupBy("key").agg(F.sum("held").alias("weight")), "key"), "band-nodes")
+    smallest = stored(nodes.select("key", "least"), "minhash-least")
+    remove(spark, node_path)
+    members = stored(entries.join(near.select("key", "weight", "n_shingles", *_PARITY), "key").drop("held"), "band-members")
     central = (F.max(F.struct("weight", "key")).alias("most"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("any"))
-    heads = weighed.groupBy("bucket").agg(*central).select("bucket", F.explode(F.array_distinct(F.array("most.key", "any.key"))).alias("key"))
-    heads = heads.join(nodes.select("key", "n_shingles", *_PARITY), "key")
+    heads = members.groupBy("bucket").agg(*central).select("bucket", F.explode(F.array_distinct(F.array("most.key", "any.key"))).alias("key"))
+    heads = heads.join(near.select("key", "n_shingles", *_PARITY), "key")
+    members = members.drop("weight")
     least, greatest = (lambda c, f=f: f("x." + c, "y." + c) for f in (F.least, F.greatest))
     met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") != F.col("y.key")) & _room(percent)
     first = members.alias("x").join(heads.alias("y"), met).select(least("key").alias("a"), greatest("key").alias("b")).distinct()
-    first = stored(_possible(first, nodes, percent, miss), "near-pairs")
-    linked = components(_confirmed(first, nodes, documents, percent), "a", "b").toDF("key", "linked")
+    first = stored(_possible(first, near, percent, miss), "near-pairs")
+    linked = components(_confirmed(first, near, documents, percent), "a", "b").toDF("key", "linked")
 
     group = F.coalesce("linked", "key").alias("group")
     placed = members.join(linked, "key", "left").select(*members.columns, group)
@@ -202,13 +215,13 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, miss: float = 1e
     rest = stored(placed.join(open_, "bucket").select(*members.columns, "group", (F.col("group") == F.col("main")).alias("main")), "open-buckets")
     other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.group") != F.col("y.group")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key")))
     second = rest.where("not main").alias("x").join(rest.alias("y"), other & _room(percent)).select(least("key").alias("a"), greatest("key").alias("b"), least("group").alias("ga"), greatest("group").alias("gb")).distinct()
-    second = stored(_possible(second, nodes, percent, miss), "near-pairs")
-    merged = components(_confirmed(second, nodes, documents, percent), "ga", "gb").toDF("group", "merged")
+    second = stored(_possible(second, near, percent, miss), "near-pairs")
+    merged = components(_confirmed(second, near, documents, percent), "ga", "gb").toDF("group", "merged")
 
-    of_key = nodes.select("key", "least").join(linked, "key", "left").select("key", "least", group).join(merged, "group", "left").select("key", "least", F.coalesce("merged", "group").alias("component"))
+    of_key = smallest.join(linked, "key", "left").select("key", "least", group).join(merged, "group", "left").select("key", "least", F.coalesce("merged", "group").alias("component"))
     of_key = stored(of_key, "near-components")
-    smallest = of_key.groupBy("component").agg(F.min("least").alias("component_id"))
-    resolved = of_key.join(smallest, "component").select("key", "component_id")
+    ids = of_key.groupBy("component").agg(F.min("least").alias("component_id"))
+    resolved = of_key.join(ids, "component").select("key", "component_id")
     alone = rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = worded.select("doc_id", "n_shingles", "key").join(resolved, "key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    out = rows.where("key is not null").join(resolved, "key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

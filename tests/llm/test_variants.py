@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from normslice.llm import bayes_minhash, divergence, spelling
+from normslice.llm import bayes_minhash, common, divergence, spelling
 from tests.llm.conftest import prose
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -94,6 +94,23 @@ def test_minhash_awkward(awkward, empty, make_docs):
     assert {g["component_id"] for g in bayes_minhash.near_duplicates(other).collect()} == {"d1"}
 
 
+def test_minhash_entries_are_lean_and_wide_tables_go(spark, make_docs, monkeypatch):
+    """Band entries (32 a set) travel as bucket and key; sets that meet none end there; tables with all signatures are not kept."""
+    kept = {}
+
+    def stored(df, name):
+        kept.setdefault(name, []).append((df._jdf.queryExecution().optimizedPlan().toString(), out := common.stored(df, name)))
+        return out
+
+    monkeypatch.setattr(bayes_minhash, "stored", stored)
+    base = prose(31, 200)
+    docs = make_docs([base, base.replace(base.split()[100], "other"), *(prose(40 + k, 60) for k in range(20))])
+    assert len(bayes_minhash.near_duplicates(docs).collect()) == 22
+    assert [frame.columns for frames in kept.values() for plan, frame in frames if "substring(signature" in plan] == [["bucket", "key", "held"]]
+    signed = [frame.count() for frames in kept.values() for _, frame in frames if "signature" in frame.columns]
+    assert signed == [2]
+
+
 def test_posterior_bounds():
     from fractions import Fraction
 
