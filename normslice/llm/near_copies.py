@@ -17,6 +17,9 @@ near copies.
 All pairs that meet are tested by two lower bounds on the shingles that differ (a 256-bit parity fingerprint, then counts in about
 a quarter as many buckets as shingles, 1/32 of the set's bytes) and then by the exact similarity.
 
+Spark takes a table to be as large as its files, and an exploded one as large as what it was made of: the 132 questions of a text
+would count as one row and be broadcast. The joins of questions and of shared shingles are therefore told to shuffle and merge.
+
 Defined results as in ``simhash``: texts without words are copies of each other, a text of one to four words has one
 shingle, null ids take no part in the choice of the smallest id, extra columns are not read; ids are whole numbers.
 """
@@ -258,7 +261,7 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     buckets = table.groupBy("piece").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     ball = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << k for k in range(32)))))
     asks = table.select("node", "piece", F.explode(ball).alias("mask")).where("piece & mask = 0").select("node", F.col("piece").bitwiseXOR(F.col("mask")).alias("piece"))
-    met = asks.join(buckets, "piece").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    met = asks.hint("merge").join(buckets, "piece").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
     met = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     sized = nodes.select("node", "n", *PARITY, *PRINT)
     x, y = sized.alias("x"), sized.alias("y")
@@ -304,7 +307,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     central = [F.min(F.struct("place", F.xxhash64("node", F.lit(k)).alias("h"), *of_head[1:])).alias(f"h{k}") for k in range(_HEADS)]
     heads = members.groupBy("token").agg(*central).select("token", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{k}.{c}") for c in of_head)) for k in range(_HEADS))))).alias("h")).select("token", "h.*")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.group", "y.group").alias("ga"), F.greatest("x.group", "y.group").alias("gb"))
-    first = members.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & _may_be_near("x", "y")).select(*pair).distinct()
+    first = members.alias("x").hint("merge").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & _may_be_near("x", "y")).select(*pair).distinct()
     central_found = _merged(_verified(first, nodes, named))
     placed = _relabelled(members, central_found)
     shares = placed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("share"))
@@ -312,7 +315,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     rest = stored(placed.join(open_, "token").withColumn("main", F.col("group") == F.col("main")), "open")
     remove(documents.sparkSession, members_path)
     other = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node")))
-    second = rest.where("not main").alias("x").join(rest.alias("y"), other & _may_be_near("x", "y")).select(*pair).distinct()
+    second = rest.where("not main").alias("x").hint("merge").join(rest.alias("y"), other & _may_be_near("x", "y")).select(*pair).distinct()
     last_found = _merged(_verified(second, nodes, named))
     resolved = nodes.select("key", F.col("node").alias("group"))
     for merged in (found, central_found, last_found):

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute-force five-word similarity."""
 
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -159,3 +160,19 @@ def test_empty_and_awkward_rows(spark, awkward, empty):
     assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, awkward, "").collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [0, 3, 4, 6, 7, 8, None]
+
+
+def test_joins_of_questions_and_shared_shingles_are_never_broadcast(spark, make_docs, monkeypatch):
+    """Spark takes 132 questions of a text for one row: under its own threshold they would all come to the driver."""
+    plans, verified = [], near_copies._verified
+
+    def noted(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", noted)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    near_copies.near_copies(make_docs([prose(k, 40) for k in range(6)]))
+    assert len(plans) == 3
+    for plan, key in zip(plans, ("piece", "token", "token"), strict=True):
+        assert re.search(rf"SortMergeJoin \[{key}#", plan) and not re.search(rf"BroadcastHashJoin \[{key}#", plan)
